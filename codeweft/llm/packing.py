@@ -21,8 +21,9 @@ from pyspark.sql import types as T
 
 from codeweft.llm.common import bucketed_rank, cut, map_texts, without
 
-#: Distinct words whose ids a worker keeps; beyond it the table is begun again (ids don't change).
-TABLE_SIZE = 500_000
+#: Distinct strings between spaces whose ids a worker keeps in each of two generations: when the young one is full it
+#: becomes the old one, and what is met again comes back. Longer strings are not kept.
+TABLE_SIZE, LONGEST = 200_000, 200
 #: Steps of the search for a better packing than the best known one, and fillings looked at in a step.
 SEARCH_STEPS, FILLINGS, PROBES = 5_000, 8, 400
 
@@ -55,20 +56,43 @@ class _Encoder:
         self.plain = re.compile("[\\t\\n\\r\\x20-\\x7e\\xa1-\\u012f\\u0131-\\u024f\\u2010-\\u2027]*")
         self.word = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\\s{letters}{numbers}]+")
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        size = self.lib.get_vocab_size()
+        self.last = np.array([(self.lib.id_to_token(i) or "").endswith("</w>") for i in range(size)])  # ends a word
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, dtype="<u4").tobytes() for x in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, new: list[str]) -> None:
+        """Encode strings in one go with spaces between and part the ids where their words end."""
+        if not new:
+            return
+        ids = np.array(self.lib.encode(" ".join(new), add_special_tokens=False).ids, dtype="<u4")
+        ends = np.flatnonzero(self.last[ids]) + 1
+        n = np.cumsum([len(self.word.findall(w)) for w in new])
+        if len(ends) != n[-1]:  # not the words expected: one by one
+            self.known.update(zip(new, self._library(new), strict=True))
+            return
+        at = 4 * ends[n - 1]
+        data = ids.tobytes()
+        self.known.update(zip(new, [data[i:j] for i, j in zip([0, *at[:-1]], at, strict=True)], strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.known) > TABLE_SIZE:
-            self.known.clear()
-        known = self.known
-        words = [self.word.findall(t.lower()) if self.by_word and self.plain.fullmatch(t) and not _SPECIAL.search(t) else None for t in texts]
-        new = list({w for ws in words if ws for w in ws if w not in known})
-        known.update(zip(new, self._library(new), strict=True))
-        whole = iter(self._library([t for t, ws in zip(texts, words, strict=True) if ws is None]))
-        return [next(whole) if ws is None else b"".join([known[w] for w in ws]) for ws in words]
+            self.known, self.old = {}, self.known
+        known, old, out = self.known, self.old, []
+        for text in texts:
+            parts = text.lower().split() if self.by_word and self.plain.fullmatch(text) and not _SPECIAL.search(text) else None
+            if parts is None or (parts and max(map(len, parts)) > LONGEST):
+                out += self._library([text])
+                continue
+            new = {w for w in parts if w not in known}
+            if old and new:
+                known.update({w: old[w] for w in new if w in old})
+            self._learn([w for w in new if w not in known])
+            out.append(b"".join([known[w] for w in parts]))
+        return out
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, text: str = "text", end: int = 0, with_ids: bool = False) -> DataFrame:
