@@ -31,6 +31,12 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_conversations(rows.unionByName(extra))
 
 
+def op7_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codeweft.llm.decontamination import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codeweft.llm.token_counts import document_token_counts
 
@@ -44,7 +50,7 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op3_stratified_sharding, op6_chat_formatting, op8_token_counts)}
+    return {f.__name__: f for f in (op2_best_fit_packing, op3_stratified_sharding, op6_chat_formatting, op7_winnowing_decontamination, op8_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
