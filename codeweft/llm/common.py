@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -86,3 +87,61 @@ def bucketed_rank(df: DataFrame, group: list[str], order: list[str], out: str, r
     ranked = df.withColumn("__in", F.row_number().over(inside))
     joined = ranked.join(offsets, [*keys, "__bucket"], "left")
     return joined.withColumn(out, F.col("__before") + F.col("__in") - 1).drop("__spot", "__bucket", "__before", "__in", *keys)
+
+
+_WORD_BYTE = np.ones(256, dtype=bool)
+_WORD_BYTE[:128] = [chr(i) in "0123456789abcdefghijklmnopqrstuvwxyz" for i in range(128)]
+_POWERS = np.ones((2, 1), dtype=np.uint64)
+_P = 0x9E3779B97F4A7C15
+#: Bytes of text hashed at once.
+_CHUNK = 1 << 20
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """Scramble unsigned 64-bit integers (a fixed bijection)."""
+    x = x.astype(np.uint64)
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _powers(n: int) -> np.ndarray:
+    """Powers of an odd number and of its inverse modulo 2^64."""
+    global _POWERS
+    if _POWERS.shape[1] < n:
+        n = max(n, 2 * _CHUNK)
+        _POWERS = np.ones((2, n), dtype=np.uint64)
+        _POWERS[0, 1:], _POWERS[1, 1:] = _P, pow(_P, -1, 1 << 64)
+        np.multiply.accumulate(_POWERS, axis=1, out=_POWERS)
+    return _POWERS
+
+
+def word_hashes(texts: list[str], stem: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of the lower-cased texts, one text after the other, and each text's number of words.
+
+    stem: hash only so many first bytes of a word (0: all).
+    """
+    hashes, counts, k = [], [], 0
+    while k < len(texts):
+        size, first = 0, k
+        parts = []
+        while k < len(texts) and (not parts or size < _CHUNK):
+            parts.append(texts[k].lower().encode())
+            size += len(parts[-1]) + 1
+            k += 1
+        data = np.frombuffer(b"\n".join([b"", *parts, b""]), dtype=np.uint8)
+        word = _WORD_BYTE[data]
+        edge = np.flatnonzero(word[1:] != word[:-1])
+        start, end = edge[::2] + 1, edge[1::2] + 1
+        end = np.minimum(end, start + stem) if stem else end
+        power = _powers(len(data))
+        total = np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[0, : len(data)], dtype=np.uint64)
+        hashes.append(mix((total[end - 1] - total[start - 1]) * power[1, start]))
+        ends = np.cumsum([len(p) + 1 for p in parts])
+        counts.append(np.diff(np.searchsorted(start, np.concatenate([[0], ends + 1]))))
+        assert k > first
+    if not texts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate(hashes), np.concatenate(counts)

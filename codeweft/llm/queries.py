@@ -43,14 +43,26 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_token_counts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codeweft.llm.quality import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codeweft.llm.packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codeweft.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op3_stratified_sharding, op6_chat_formatting, op7_winnowing_decontamination, op8_token_counts)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_best_fit_packing, op3_stratified_sharding, op6_chat_formatting, op7_winnowing_decontamination, op8_token_counts, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
