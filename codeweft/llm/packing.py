@@ -12,6 +12,8 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import compress
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,7 @@ from codeweft.llm.common import bucketed_rank, cut, map_texts, without
 
 #: Distinct strings between spaces whose ids a worker keeps in each of two generations: when the young one is full it
 #: becomes the old one, and what is met again comes back. Longer strings are not kept.
-TABLE_SIZE, LONGEST = 200_000, 200
+TABLE_SIZE, LONGEST = 300_000, 200
 #: Steps of the search for a better packing than the best known one, and fillings looked at in a step.
 SEARCH_STEPS, FILLINGS, PROBES = 5_000, 8, 400
 
@@ -63,11 +65,22 @@ class _Encoder:
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, dtype="<u4").tobytes() for x in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _parted(self, w: str) -> bool:
+        """A known word and known marks after it: their ids follow each other."""
+        bare = w.rstrip(".,!?;:%*#$&")
+        if len(bare) == len(w) or bare not in self.known or not bare[-1:].isalnum():
+            return False
+        if (marks := self.known.get(w[len(bare) :])) is None:
+            self._learn([w[len(bare) :]])
+            marks = self.known[w[len(bare) :]]
+        self.known[w] = self.known[bare] + marks
+        return True
+
     def _learn(self, new: list[str]) -> None:
         """Encode strings in one go with spaces between and part the ids where their words end."""
         if not new:
             return
-        ids = np.array(self.lib.encode(" ".join(new), add_special_tokens=False).ids, dtype="<u4")
+        ids = np.array(self.lib.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, dtype="<u4")
         ends = np.flatnonzero(self.last[ids]) + 1
         n = np.cumsum([len(self.word.findall(w)) for w in new])
         if len(ends) != n[-1]:  # not the words expected: one by one
@@ -87,11 +100,15 @@ class _Encoder:
             if parts is None or (parts and max(map(len, parts)) > LONGEST):
                 out += self._library([text])
                 continue
-            new = {w for w in parts if w not in known}
-            if old and new:
+            ids = [*map(known.get, parts)]
+            gaps = [*compress(range(len(ids)), map(not_, ids))]
+            if gaps:
+                new = {parts[i] for i in gaps}
                 known.update({w: old[w] for w in new if w in old})
-            self._learn([w for w in new if w not in known])
-            out.append(b"".join([known[w] for w in parts]))
+                self._learn([w for w in new if w not in known and not self._parted(w)])
+                for i in gaps:
+                    ids[i] = known[parts[i]]
+            out.append(b"".join(ids))
         return out
 
 
