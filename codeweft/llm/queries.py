@@ -22,6 +22,12 @@ def op3_stratified_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codeweft.llm.near_duplicates import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codeweft.llm.chat import format_conversations
 
@@ -62,7 +68,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_best_fit_packing, op3_stratified_sharding, op6_chat_formatting, op7_winnowing_decontamination, op8_token_counts, op9_toxicity)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_best_fit_packing, op3_stratified_sharding, op4_ngram_jaccard_join, op6_chat_formatting, op7_winnowing_decontamination, op8_token_counts, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
