@@ -28,6 +28,12 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codeweft.llm.html_text import page_texts
+
+    return page_texts(table(spark, sf_dir, "pages"))
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codeweft.llm.chat import format_conversations
 
@@ -67,8 +73,14 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codeweft.llm.neighbours import search
+
+    return search(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_best_fit_packing, op3_stratified_sharding, op4_ngram_jaccard_join, op6_chat_formatting, op7_winnowing_decontamination, op8_token_counts, op9_toxicity)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_best_fit_packing, op3_stratified_sharding, op4_ngram_jaccard_join, op5_html_extraction, op6_chat_formatting, op7_winnowing_decontamination, op8_token_counts, op9_toxicity, op10_additive_quantisation)}
 
 
 def oracle_sql() -> dict[str, str]:
