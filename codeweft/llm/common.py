@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -145,3 +146,12 @@ def word_hashes(texts: list[str], stem: int = 0) -> tuple[np.ndarray, np.ndarray
     if not texts:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     return np.concatenate(hashes), np.concatenate(counts)
+
+
+def scratch(df: DataFrame) -> DataFrame:
+    """Write as Parquet in the shared folder and read again; the folder is the cluster's to clear."""
+    spark = df.sparkSession
+    shared_folder(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/codeweft-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
