@@ -666,8 +666,8 @@ def token_histogram(s, d):
 
 @query(
     """c AS (SELECT DISTINCT o_custkey AS k, l_partkey AS p FROM orders JOIN lineitem ON o_orderkey = l_orderkey), z AS (SELECT k, count(*) AS n FROM c GROUP BY k),
-    x AS (SELECT a.k AS a, b.k AS b, count(*) AS both FROM c a JOIN c b ON a.p = b.p AND b.k = a.k + 1 GROUP BY ALL)
-    SELECT a, b, round(both::DOUBLE / (m.n + n.n - both), 6) AS similarity FROM x JOIN z m ON m.k = a JOIN z n ON n.k = b""",
+    x AS (SELECT a.k AS a, b.k AS b, count(*) AS shared FROM c a JOIN c b ON a.p = b.p AND b.k = a.k + 1 GROUP BY ALL)
+    SELECT a, b, round(shared::DOUBLE / (m.n + n.n - shared), 6) AS similarity FROM x JOIN z m ON m.k = a JOIN z n ON n.k = b""",
     "one AS (SELECT 1)",
 )
 def neighbor_jaccard(s, d):

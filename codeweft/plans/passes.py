@@ -31,9 +31,9 @@ def resolve_imports(specs: DataFrame, files: DataFrame) -> DataFrame:
     return out.select("file_path", "specifier", "kind", F.coalesce(F.concat("path", F.lit("::File::"), "path"), F.concat("specifier", F.lit("::Module::"), "specifier")).alias("dst"), F.when(F.col("path").isNull(), "external").otherwise("path").alias("method"), "path")
 
 
-def _edge(df: DataFrame, src: str, dst: str, kind: str, **properties) -> DataFrame:
+def _edge(df: DataFrame, src: str, dst: str, edge_type: str, **properties) -> DataFrame:
     told = F.to_json(F.struct(*[v.alias(k) for k, v in properties.items()])) if properties else F.lit(None).cast("string")
-    return df.select(F.col(src).alias("src"), F.col(dst).alias("dst"), F.lit(kind).alias("edge_type"), told.alias("properties"))
+    return df.select(F.col(src).alias("src"), F.col(dst).alias("dst"), F.lit(edge_type).alias("edge_type"), told.alias("properties"))
 
 
 def structure_pass(project: str, files: DataFrame, symbols: DataFrame, edges: DataFrame, config: EngineConfig) -> DataFrame:
