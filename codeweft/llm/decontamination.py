@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from codeweft.llm.common import NON_WORD_CLASS, cut, text_of
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Rows of benchmark windows (about 150 bytes each) up to which they are sent to every executor; beyond it both sides are
-#: shuffled by the hash.
+#: Rows (benchmark windows or keys of documents, at most a few hundred bytes each) up to which they are sent to every
+#: executor; beyond it both sides are shuffled.
 BROADCAST_ROWS = 500_000
 
 
@@ -94,7 +94,7 @@ def spans(docs: DataFrame, benchmark: DataFrame, span: int = 13, k: int = 8) ->
     # Lower case of all letters here: it finds at least what lower case of A to Z finds, at a fraction of the cost.
     kept = _winnow(texts.select(_key().alias("key"), words(F.lower(text_of("text"))).alias("words")), k, span)
     met = cut(kept.select("key", F.explode_outer("kept").alias("gram")).join(marks, "gram", "left_semi").select("key").distinct())
-    near = texts.withColumn("key", _key()).join(met, "key", "left_semi")
+    near = texts.withColumn("key", _key()).join(_small(met, met.count()), "key", "left_semi")
     cased = near.select("key", words(ascii_lower(text_of("text"))).alias("words"), words(F.lower(text_of("text"))).alias("lower"))
     grams = _k_grams(cased.select("key", F.col("words").alias("exact"), F.col("lower").alias("words")), k)
     hits = grams.select("key", "exact", F.posexplode_outer("grams").alias("at", "gram")).join(marks, "gram", "left_semi")
@@ -140,6 +140,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = 13) -> Data
 def clean_documents(docs: DataFrame, benchmark: DataFrame, span: int = 13) -> DataFrame:
     """The documents, all columns, without those that are contaminated."""
     hits = spans(docs, benchmark, span)
-    near = docs.select("doc_id", "text").withColumn("key", _key()).join(hits, "key").select("key", covered(F.col("spans")).alias("n_hit"), n_words(text_of("text")).alias("n_words"))
-    bad = near.where(F.col("n_hit") * 20 >= F.col("n_words")).select(F.col("key").alias("__key")).distinct()
-    return docs.withColumn("__key", _key()).join(bad, "__key", "left_anti").select(*docs.columns)
+    hits = cut(hits.select("key", covered(F.col("spans")).alias("n_hit")))
+    near = docs.select("doc_id", "text").withColumn("key", _key()).join(_small(hits, hits.count()), "key").select("key", "n_hit", n_words(text_of("text")).alias("n_words"))
+    bad = cut(near.where(F.col("n_hit") * 20 >= F.col("n_words")).select(F.col("key").alias("__key")).distinct())
+    return docs.withColumn("__key", _key()).join(_small(bad, bad.count()), "__key", "left_anti").select(*docs.columns)
