@@ -48,6 +48,11 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in taken])
 
 
+def whole_row(df: DataFrame) -> Column:
+    """Column row: all columns of a row, whatever their names, out of the way of an operator's own; row.* brings them back."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns]).alias("row")
+
+
 def map_texts(df: DataFrame, text: str, fields: list[tuple[str, T.DataType]], work: Callable[[list[str]], list[list]], keep: list[str] | None = None) -> DataFrame:
     """Add columns that Python computes from a batch of texts (null: empty), one Arrow batch at a time."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeweft.llm.common import NON_WORD_CLASS, cut, text_of
+from codeweft.llm.common import NON_WORD_CLASS, cut, text_of, whole_row
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Rows (benchmark windows or keys of documents, at most a few hundred bytes each) up to which they are sent to every
@@ -31,6 +31,14 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, _UPPER, _UPPER.lower())
 
 
+def folded(text: Column) -> Column:
+    """Lower case of all letters at a fraction of the cost of `ascii_lower`: texts alike in that are alike in this too.
+
+    Lower case writes sigma by what stands around it, beyond the word's end; it is one letter here.
+    """
+    return F.replace(F.lower(text), F.lit("\u03c2"), F.lit("\u03c3"))
+
+
 def _key() -> Column:
     return F.struct("doc_id", F.md5(text_of("text")))
 
@@ -89,13 +97,12 @@ def spans(docs: DataFrame, benchmark: DataFrame, span: int = 13, k: int = 8) ->
     size = known.count()
     short = sorted(r[0] for r in known.where(F.col("n") < span).select("n").distinct().collect())  # at most span - 1
     full = known.where(F.col("n") == span)
-    marks = _small(_winnow(full.select(F.split(F.lower("window"), " ").alias("words")), k, span).select(F.explode_outer("kept").alias("gram")).distinct(), size)
+    marks = _small(_winnow(full.select(F.split(folded(F.col("window")), " ").alias("words")), k, span).select(F.explode_outer("kept").alias("gram")).distinct(), size)
     texts = docs.select("doc_id", "text")
-    # Lower case of all letters here: it finds at least what lower case of A to Z finds, at a fraction of the cost.
-    kept = _winnow(texts.select(_key().alias("key"), words(F.lower(text_of("text"))).alias("words")), k, span)
+    kept = _winnow(texts.select(_key().alias("key"), words(folded(text_of("text"))).alias("words")), k, span)
     met = cut(kept.select("key", F.explode_outer("kept").alias("gram")).join(marks, "gram", "left_semi").select("key").distinct())
     near = texts.withColumn("key", _key()).join(_small(met, met.count()), "key", "left_semi")
-    cased = near.select("key", words(ascii_lower(text_of("text"))).alias("words"), words(F.lower(text_of("text"))).alias("lower"))
+    cased = near.select("key", words(ascii_lower(text_of("text"))).alias("words"), words(folded(text_of("text"))).alias("lower"))
     grams = _k_grams(cased.select("key", F.col("words").alias("exact"), F.col("lower").alias("words")), k)
     hits = grams.select("key", "exact", F.posexplode_outer("grams").alias("at", "gram")).join(marks, "gram", "left_semi")
     first, last = F.greatest(F.col("at") - (span - k), F.lit(0)), F.least(F.col("at"), F.size("exact") - span)
@@ -143,4 +150,4 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, span: int = 13) -> Da
     hits = cut(hits.select("key", covered(F.col("spans")).alias("n_hit")))
     near = docs.select("doc_id", "text").withColumn("key", _key()).join(_small(hits, hits.count()), "key").select("key", "n_hit", n_words(text_of("text")).alias("n_words"))
     bad = cut(near.where(F.col("n_hit") * 20 >= F.col("n_words")).select(F.col("key").alias("__key")).distinct())
-    return docs.withColumn("__key", _key()).join(_small(bad, bad.count()), "__key", "left_anti").select(*docs.columns)
+    return docs.select(whole_row(docs), _key().alias("__key")).join(_small(bad, bad.count()), "__key", "left_anti").select("row.*")
