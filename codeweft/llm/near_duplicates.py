@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codeweft.llm.common import cut, map_texts, mix, text_of, without, word_hashes
+from codeweft.llm.common import cut, map_texts, mix, text_of, whole_row, word_hashes
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 4, 5  # a link: similarity of 4/5 at least
 #: Two texts at the threshold share no band with a probability of (1 - 0.8^6)^36, under 2 in 100,000.
@@ -262,12 +262,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents, all columns, one of each class: that with the smallest doc_id (of rows alike, any one)."""
-    columns = docs.columns
     texts, linked = classes(docs.select("doc_id", "text"))
     best = linked.join(texts.select("id", "rep"), "id").groupBy("root").agg(F.min(F.struct(F.col("rep").isNull(), "rep", "id"))["id"].alias("id"))
     gone = cut(linked.select("id").join(best, "id", "left_anti"))
     copied = cut(texts.where("copies > 1").select("id", "rep"))
-    rows = without(docs, ["__id"]).select(F.struct(*columns).alias("row"), _id().alias("__id"), "doc_id")
+    rows = docs.select(whole_row(docs), _id().alias("__id"), "doc_id")
     stay = rows.join(_sent(gone.withColumnRenamed("id", "__id"), gone.count()), "__id", "left_anti")
     n = copied.count()
     copied = copied.withColumnRenamed("id", "__id")

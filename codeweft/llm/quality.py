@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codeweft.llm.common import cut, map_texts, without
+from codeweft.llm.common import cut, map_texts, whole_row, without
 from codeweft.llm.toxicity import labelled
 
 #: Labelled rows to learn from at most: those with the smallest hashes of doc_id.
@@ -125,8 +125,8 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def accepted_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents, all columns, that are accepted. The evidence is found twice, which costs less than moving the texts."""
-    model, columns = fit(docs, labels), docs.columns
+    model = fit(docs, labels)
     seen = evidence(docs.select("source", "lang", "text"), model, ["source", "lang"])
     known, told = sites(seen, F.col("source"), F.col("lang"))
-    packed = evidence(docs.select(F.struct(*columns).alias("row"), "source", "lang", "text"), model, ["row", "source", "lang"])
+    packed = evidence(docs.select(whole_row(docs), "source", "lang", "text"), model, ["row", "source", "lang"])
     return combine(packed, known, told, F.col("source"), F.col("lang")).where("accepted").select("row.*")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codeweft.llm.common import map_texts, mix, text_of, word_hashes
+from codeweft.llm.common import map_texts, mix, text_of, whole_row, word_hashes
 
 BITS, STEM = 20, 4
 #: Labelled rows to learn from at most: those with the smallest hashes of doc_id.
@@ -127,4 +127,5 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def clean_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents, all columns, that are not called toxic."""
-    return score(docs, fit(docs, labels), out="__toxicity").where(F.col("__toxicity") < THRESHOLD).drop("__toxicity")
+    rows = docs.select(whole_row(docs), "text")
+    return score(rows, fit(docs, labels), keep=["row"]).where(F.col("score") < THRESHOLD).select("row.*")

@@ -244,6 +244,24 @@ def test_decontamination(spark, short):
     assert decontamination.contamination(df, bench.limit(0)).where("contaminated").count() == decontamination.contamination(df.limit(0), bench).count() == 0
 
 
+def test_sigma_at_the_end_of_a_word(spark):
+    words = ["\u0391\u03a3", "a", "\u0392"] * 5
+    docs = spark.createDataFrame([(1, ".".join(words)), (2, " ".join(words)), (3, "'".join(words))], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, ", ".join(words))], "item_id long, text string")
+    assert [r["n_hit"] for r in decontamination.contamination(docs, bench).collect()] == [15] * 3
+
+
+def test_stages_keep_columns_with_clashing_names(spark):
+    docs, labels = labelled(spark)
+    names = ["__key", "__id", "__toxicity", "key", "id", "row", "score", "site", "a.b", "evidence", "label"]
+    docs = docs.where("doc_id < 60").select("*", *[F.concat(F.lit(n), "doc_id").alias(n) for n in names])
+    bench = spark.createDataFrame([(1, "never to be seen")], "item_id long, text string")
+    for out in (quality.accepted_documents(docs, labels), toxicity.clean_documents(docs, labels), near_duplicates.one_of_each(docs), decontamination.clean_documents(docs, bench)):
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in names)
+
+
 def labelled(spark):
     rng = random.Random(8)
     good, toxic = [f"{a}{b}" for a in "bdfgl" for b in "aeiou"], ["zurk", "zurkel", "zog"]
