@@ -30,6 +30,8 @@ VALUES, STEP, TOLERANCE = 128, 16, 1e-6
 BLOCK_TEXTS, BLOCK_BYTES = 512, 4 << 20
 #: Rows of ids (about 50 bytes each) up to which they are sent to every executor; beyond it both sides are shuffled.
 BROADCAST_ROWS = 500_000
+#: Rows up to which a key is never hot.
+HOT_ROWS = 64
 _RANDOM = np.random.default_rng(20240607)
 _XOR = _RANDOM.integers(0, 1 << 32, max(BANDS * ROWS, VALUES), dtype=np.uint64).astype(np.uint32)
 _ODD = (_RANDOM.integers(0, 1 << 32, len(_XOR), dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -148,16 +150,27 @@ def _words(text: str) -> list[bytes]:
 _TO_SPACE = bytes(i if i > 127 or chr(i) in "0123456789abcdefghijklmnopqrstuvwxyz" else 32 for i in range(256))
 
 
+def _matched(rows: DataFrame, keyed: DataFrame, key: str, total: int) -> DataFrame:
+    """Inner join of rows with keyed, which has one row (key, n, ...) for each key; n is its number of rows, total that of all.
+
+    Keys with over a thousandth of the rows are 1,000 at most: they are sent to every executor, and their rows stay where
+    they are. What is left to shuffle has no hot key.
+    """
+    often = F.col("n") > max(HOT_ROWS, total // 1000)
+    hot, rare = F.broadcast(keyed.where(often).drop("n")), keyed.where(~often).drop("n")
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(rare, key))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Rows (id, root) for the nodes of edges (a, b): root is the smallest id of the component.
 
     Alternate large and small stars; every step is a grouped minimum and a join, so no neighbourhood is gathered.
     """
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
+    def star(e: DataFrame, large: bool, total: int) -> DataFrame:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        joined = both.join(least, "a")
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+        joined = _matched(both, least, "a", total)
         hung = joined.where("b > a") if large else joined.where("b <> m")
         out = hung.select(F.col("b").alias("a"), F.col("m").alias("b"))
         out = out if large else out.unionByName(least.select("a", F.col("m").alias("b")))
@@ -169,7 +182,7 @@ def components(edges: DataFrame) -> DataFrame:
         if new == told or not new[0]:
             break
         told = new
-        edges = cut(star(cut(star(edges, True)), False))
+        edges = cut(star(cut(star(edges, True, 2 * new[0])), False, new[0]))
     return edges.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("root"))).distinct()
 
 
@@ -181,11 +194,11 @@ def _blocks(docs: DataFrame, texts: DataFrame) -> DataFrame:
     """Rows (component, low, high, id, block, text): each pair of blocks of a component, with the texts of both."""
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring("signature", b * (2 * ROWS) + 1, F.lit(2 * ROWS))))
     bands = texts.where("signature is not null").select("id", F.explode(keys).alias("key"))
-    leads = bands.groupBy("key").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    ties = bands.join(leads, "key").where("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b"))
+    leads = bands.groupBy("key").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    ties = _matched(bands, leads, "key", BANDS * texts.count()).where("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b"))
     near = cut(components(ties).join(texts.select("id", "bytes"), "id"))
-    sizes = near.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
-    placed = near.join(sizes, "root").select("id", "root", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
+    sizes = near.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n"))
+    placed = _matched(near, sizes, "root", near.count()).select("id", "root", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
     placed = cut(placed)
     whole = docs.select(_id(), text_of("text").alias("text")).join(_sent(placed, placed.count()), "id")
     once = whole.groupBy("id", "root", "blocks", "block").agg(F.any_value("text").alias("text"))
@@ -255,8 +268,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     texts, linked = classes(docs)
     each = texts.select("id", "rep", "copies").join(linked, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    least = each.groupBy("root").agg(F.min("rep").alias("class_id"))
-    named = each.join(least, "root").select("id", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("copies").alias("n_copies"))
+    least = each.groupBy("root").agg(F.min("rep").alias("class_id"), F.count(F.lit(1)).alias("n"))
+    named = _matched(each, least, "root", texts.count()).select("id", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("copies").alias("n_copies"))
     return docs.select("doc_id", _id()).join(named, "id", "left").select("doc_id", "class_id", "n_links", "n_copies")
 
 
