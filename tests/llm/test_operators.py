@@ -151,7 +151,6 @@ def links(docs):
 
 def test_near_duplicates(spark, monkeypatch):
     monkeypatch.setattr(near_duplicates, "BLOCK_TEXTS", 20)
-    monkeypatch.setattr(near_duplicates, "HOT_ROWS", 6)
     rng = random.Random(4)
     base = ["".join(rng.choice("abcdef") for _ in range(3)) for _ in range(120)]
 
