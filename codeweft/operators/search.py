@@ -12,7 +12,7 @@ from codeweft.functions.text import ascii_fold, glob_to_regex, valid_regex
 
 @dataclass
 class SearchFilter:
-    """All conditions must hold. relationship restricts the graph conditions to one edge type; direction is out, in or any."""
+    """All conditions must hold. limit None returns all matches. relationship restricts the graph conditions to one edge type; direction is out, in or any."""
 
     label: str | None = None
     file_pattern: str | None = None
@@ -25,7 +25,7 @@ class SearchFilter:
     max_degree: int | None = None
     exclude_entry_points: bool = False
     include_connected: bool = False
-    limit: int = 200
+    limit: int | None = 200
     offset: int = 0
 
 
@@ -87,15 +87,17 @@ def matching(symbols: DataFrame, edges: DataFrame, f: SearchFilter) -> DataFrame
 def search(symbols: DataFrame, edges: DataFrame, f: SearchFilter) -> DataFrame:
     """The page of the matches in order of qualified_name."""
     page = matching(symbols, edges, f).orderBy("qualified_name")
-    return (page.offset(f.offset) if f.offset else page).limit(f.limit)
+    page = page.offset(f.offset) if f.offset else page
+    return page if f.limit is None else page.limit(f.limit)
 
 
 def search_page(symbols: DataFrame, edges: DataFrame, f: SearchFilter) -> DataFrame:
     """The page with total, limit, offset and has_more beside each row."""
     found = matching(symbols, edges, f)
     total = found.agg(F.count(F.lit(1)).alias("total"))
-    page = found.orderBy("qualified_name").offset(f.offset).limit(f.limit)
-    more = (F.lit(f.offset + f.limit).cast("long") < F.col("total")).alias("has_more")
+    page = found.orderBy("qualified_name").offset(f.offset)
+    page = page if f.limit is None else page.limit(f.limit)
+    more = (F.lit(False) if f.limit is None else F.lit(f.offset + f.limit).cast("long") < F.col("total")).alias("has_more")
     return page.join(F.broadcast(total)).select(*symbols.columns, "total", F.lit(f.limit).cast("long").alias("limit"), F.lit(f.offset).cast("long").alias("offset"), more)
 
 

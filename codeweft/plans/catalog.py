@@ -87,18 +87,18 @@ def porcelain_parse(s, d):
 # --- structured search -------------------------------------------------------------------------------------------------
 
 _SEARCHES = {
-    "search_label": (search.SearchFilter(label="Supplier", limit=100_000), "label = 'Supplier'"),
-    "search_glob": (search.SearchFilter(file_pattern="r[0-2]/n?/*er", limit=100_000), "file_path GLOB 'r[0-2]/n?/*er'"),
-    "search_query": (search.SearchFilter(query="BUILDing", limit=100_000), "contains(lower(name), 'building') OR contains(lower(qualified_name), 'building') OR contains(lower(coalesce(signature, '')), 'building')"),
-    "search_name_regex": (search.SearchFilter(name_pattern="_[0-9]*7$", label="Order", limit=100_000), "label = 'Order' AND regexp_matches(name, '_[0-9]*7$')"),
-    "search_qn_regex": (search.SearchFilter(qn_pattern="^part::.*99$", limit=100_000), "regexp_matches(qualified_name, '^part::.*99$')"),
-    "search_invalid_regex": (search.SearchFilter(name_pattern="(", limit=100_000), "false"),
-    "search_relationship_out": (search.SearchFilter(label="Customer", relationship="CALLS", direction="outbound", limit=100_000), "label = 'Customer' AND qualified_name IN (SELECT src FROM edges WHERE edge_type = 'CALLS')"),
-    "search_relationship_in": (search.SearchFilter(label="Part", relationship="CALLS", direction="in", limit=100_000), "label = 'Part' AND qualified_name IN (SELECT dst FROM edges WHERE edge_type = 'CALLS')"),
-    "search_relationship_any": (search.SearchFilter(label="Nation", relationship="CONTAINS", limit=100_000), "label = 'Nation' AND qualified_name IN (SELECT src FROM edges WHERE edge_type = 'CONTAINS' UNION SELECT dst FROM edges WHERE edge_type = 'CONTAINS')"),
-    "search_degree": (search.SearchFilter(label="Customer", relationship="CALLS", min_degree=12, max_degree=15, limit=100_000), "label = 'Customer' AND (SELECT count(*) FROM edges WHERE edge_type = 'CALLS' AND (src = qualified_name OR dst = qualified_name)) BETWEEN 12 AND 15"),
-    "search_zero_degree": (search.SearchFilter(label="Part", relationship="CALLS", direction="in", max_degree=20, limit=100_000), "label = 'Part' AND coalesce((SELECT count(*) FROM edges WHERE edge_type = 'CALLS' AND dst = qualified_name), 0) <= 20"),
-    "search_non_entry": (search.SearchFilter(label="Order", name_pattern="00$", exclude_entry_points=True, limit=100_000), "label = 'Order' AND regexp_matches(name, '00$') AND qualified_name IN (SELECT dst FROM edges WHERE edge_type = 'CALLS')"),
+    "search_label": (search.SearchFilter(label="Supplier", limit=None), "label = 'Supplier'"),
+    "search_glob": (search.SearchFilter(file_pattern="r[0-2]/n?/*er", limit=None), "file_path GLOB 'r[0-2]/n?/*er'"),
+    "search_query": (search.SearchFilter(query="BUILDing", limit=None), "contains(lower(name), 'building') OR contains(lower(qualified_name), 'building') OR contains(lower(coalesce(signature, '')), 'building')"),
+    "search_name_regex": (search.SearchFilter(name_pattern="_[0-9]*7$", label="Order", limit=None), "label = 'Order' AND regexp_matches(name, '_[0-9]*7$')"),
+    "search_qn_regex": (search.SearchFilter(qn_pattern="^part::.*99$", limit=None), "regexp_matches(qualified_name, '^part::.*99$')"),
+    "search_invalid_regex": (search.SearchFilter(name_pattern="(", limit=None), "false"),
+    "search_relationship_out": (search.SearchFilter(label="Customer", relationship="CALLS", direction="outbound", limit=None), "label = 'Customer' AND qualified_name IN (SELECT src FROM edges WHERE edge_type = 'CALLS')"),
+    "search_relationship_in": (search.SearchFilter(label="Part", relationship="CALLS", direction="in", limit=None), "label = 'Part' AND qualified_name IN (SELECT dst FROM edges WHERE edge_type = 'CALLS')"),
+    "search_relationship_any": (search.SearchFilter(label="Nation", relationship="CONTAINS", limit=None), "label = 'Nation' AND qualified_name IN (SELECT src FROM edges WHERE edge_type = 'CONTAINS' UNION SELECT dst FROM edges WHERE edge_type = 'CONTAINS')"),
+    "search_degree": (search.SearchFilter(label="Customer", relationship="CALLS", min_degree=12, max_degree=15, limit=None), "label = 'Customer' AND (SELECT count(*) FROM edges WHERE edge_type = 'CALLS' AND (src = qualified_name OR dst = qualified_name)) BETWEEN 12 AND 15"),
+    "search_zero_degree": (search.SearchFilter(label="Part", relationship="CALLS", direction="in", max_degree=20, limit=None), "label = 'Part' AND coalesce((SELECT count(*) FROM edges WHERE edge_type = 'CALLS' AND dst = qualified_name), 0) <= 20"),
+    "search_non_entry": (search.SearchFilter(label="Order", name_pattern="00$", exclude_entry_points=True, limit=None), "label = 'Order' AND regexp_matches(name, '00$') AND qualified_name IN (SELECT dst FROM edges WHERE edge_type = 'CALLS')"),
 }
 for _key, (_filter, _where) in _SEARCHES.items():
     query(f"SELECT {COLS} FROM symbols WHERE {_where}", S, E, name=_key)(lambda s, d, f=_filter: search.search(A.symbols(s, d), A.edges(s, d, ("CONTAINS",) if f.relationship == "CONTAINS" else ("CALLS",)), f))
@@ -112,7 +112,7 @@ for _key, (_filter, _where) in _SEARCHES.items():
     E,
 )
 def search_connected(s, d):
-    f = search.SearchFilter(label="Customer", relationship="CALLS", direction="any", min_degree=20, include_connected=True, limit=100_000)
+    f = search.SearchFilter(label="Customer", relationship="CALLS", direction="any", min_degree=20, include_connected=True, limit=None)
     return search.search(A.symbols(s, d), A.edges(s, d, ("CALLS",)), f)
 
 

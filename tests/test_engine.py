@@ -34,6 +34,8 @@ def test_search(small):
     assert names(search.search(*small, f(exclude_entry_points=True))) == ["a", "d", "helper"]
     assert names(search.search(*small, f(name_pattern="^main$", include_connected=True))) == ["a", "main"]
     assert names(search.search(*small, f(file_pattern="f.[a-z]y"))) == ["a", "d", "helper", "main"]
+    assert len(search.search(*small, f(limit=None)).collect()) == 4
+    assert [r["has_more"] for r in search.search_page(*small, f(limit=None, offset=1)).collect()] == [False] * 3
     page = search.search_page(*small, f(limit=2, offset=1)).collect()
     assert len(page) == 2 and page[0]["total"] == 4 and page[0]["has_more"]
 
