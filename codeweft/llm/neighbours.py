@@ -2,7 +2,8 @@
 
 A vector is the sum of one word of each codebook, all over the full dimension. Codebooks begin as k-means of residuals and are
 refitted by least squares on a bounded sample; a beam search finds every vector's words. A query scores the codes of all
-vectors by looking up its products with the words and the stored norm of the sum; the best are ranked again exactly.
+vectors by looking up its products with the words and the stored norm of the sum. The best are ranked exactly, and so is every
+vector that its stored quantisation error lets come within the distance they reach: what is left out is farther for certain.
 """
 
 from __future__ import annotations
@@ -19,8 +20,11 @@ from codeweft.llm.common import cut
 #: Vectors the codebooks are fitted to at most: those with the smallest hashes of vec_id. Every vector is indexed.
 SAMPLE = 16_000
 BOOKS, WORDS, BEAM, ROUNDS = 16, 128, 4, 2
-#: Codes and queries of one task; candidates of a query that are ranked exactly.
-CODE_BLOCK, QUERY_BLOCK, CANDIDATES = 500_000, 256, 1_000
+#: Vectors of one task, at most and (where queries are few enough to be sent to each) about; queries of one task; candidates of
+#: a query in a block that are ranked first, to know how near the others have to come.
+MOST, BLOCK, QUERY_BLOCK, CANDIDATES = 100_000, 8_192, 16_384, 1_000
+#: Share of the squares involved that rounding can take from an approximate squared distance, with room.
+ROUNDING = 1e-9
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -85,47 +89,76 @@ def fit(x: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = ROU
 
 
 def index(vectors: DataFrame, books: np.ndarray) -> DataFrame:
-    """Rows (vec_id, code, norm): one byte for each codebook, and the squared norm of the words' sum."""
+    """Rows (vec_id, v, code, norm, error): one byte for each codebook, the squared norm of the words' sum and its distance from v."""
     shared = vectors.sparkSession.sparkContext.broadcast(books)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array(batch.column(1).to_pylist(), dtype=np.float64).reshape(batch.num_rows, -1)
-            codes, norms = beam_search(x, shared.value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in codes.astype(np.uint8)], pa.binary()), pa.array(norms)], names=["vec_id", "code", "norm"])
+            for k in range(0, batch.num_rows, 1000):
+                part = batch.slice(k, 1000)
+                x = part.column(1).flatten().to_numpy().reshape(part.num_rows, -1)
+                codes = beam_search(x, shared.value)[0]
+                made = sum(words[codes[:, b]] for b, words in enumerate(shared.value))
+                norms, errors = (made**2).sum(1), np.sqrt(((x - made) ** 2).sum(1))
+                code = pa.array([c.tobytes() for c in codes.astype(np.uint8)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), code, pa.array(norms), pa.array(errors)], names=["vec_id", "v", "code", "norm", "error"])
 
-    return vectors.mapInArrow(encode, "vec_id long, code binary, norm double")
+    return vectors.select("vec_id", "v").mapInArrow(encode, "vec_id long, v array<double>, code binary, norm double, error double")
 
 
-def candidates(codes: DataFrame, queries: DataFrame, books: np.ndarray, rows: int, n_queries: int, best: int) -> DataFrame:
-    """Rows (query_id, vec_id, near): the `best` codes of each block for each query, by table look-up.
+def matrix(column: pa.ChunkedArray) -> np.ndarray:
+    return np.concatenate([c.flatten().to_numpy() for c in column.chunks]).reshape(len(column), -1)
 
-    Every query meets every code; both are dealt in blocks, and a pair of blocks is one task that returns the best only.
+
+def block_nearest(codes: DataFrame, queries: DataFrame, books: np.ndarray, rows: int, n_queries: int, neighbours: int, best: int) -> DataFrame:
+    """Rows (query_id, vec_id, score): the nearest in each block for each query, exactly, ties to the smaller vec_id.
+
+    Every query meets every code; both are dealt in blocks, and a pair of blocks is one task. It looks up approximate distances,
+    ranks the `best` exactly, and then every other vector whose distance can be within the last of them: the approximate distance
+    less the quantisation error is a lower bound. So neither copies nor near copies are cut, however many they are.
     """
-    blocks, groups = max(1, -(-rows // CODE_BLOCK)), max(1, -(-n_queries // QUERY_BLOCK))
+    blocks = max(1, -(-rows // MOST), min(-(-rows // BLOCK), rows // max(1, n_queries)))
+    groups = max(1, -(-n_queries // QUERY_BLOCK))
     shared = codes.sparkSession.sparkContext.broadcast(books)
-    left = codes.select("vec_id", "code", "norm", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
-    right = queries.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int").alias("group"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    dealt = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = codes.select("vec_id", "v", "code", "norm", "error", dealt(blocks).alias("block"), each(groups).alias("group"))
+    right = queries.select("vec_id", "v", dealt(groups).alias("group"), each(blocks).alias("block"))
 
     def scan(codes: pa.Table, queries: pa.Table) -> pa.Table:
-        empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "near": pa.array([], pa.float64())})
+        found = [pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})]
         if not codes.num_rows or not queries.num_rows:
-            return empty
+            return found[0]
         m, k, _ = shared.value.shape
-        ids, norm = codes["vec_id"].to_numpy(), codes["norm"].to_numpy()
+        ids, norm, error = (codes[c].to_numpy() for c in ("vec_id", "norm", "error"))
         code = np.frombuffer(b"".join(codes["code"].to_pylist()), dtype=np.uint8).reshape(-1, m).astype(np.int64)
-        asked, v = queries["vec_id"].to_numpy(), np.array(queries["v"].to_pylist(), dtype=np.float64)
-        found = []
-        for q, x in zip(asked, v, strict=True):
-            table = shared.value @ x  # books x words
-            near = norm - 2 * sum(table[b][code[:, b]] for b in range(m))
-            near[ids == q] = np.inf
-            top = np.argpartition(near, best)[:best] if len(near) > best else np.arange(len(near))
-            top = top[np.isfinite(near[top])]
-            found.append(pa.table({"query_id": np.full(len(top), q), "vec_id": ids[top], "near": near[top]}))
+        across = np.ascontiguousarray(matrix(codes["v"]).T)
+        slack = ROUNDING * (norm + m * (shared.value**2).sum(2).max(1).sum())
+
+        def exact(at: np.ndarray, x: np.ndarray) -> np.ndarray:
+            apart = across[:, at] - x[:, None]
+            return np.sqrt(np.add.reduce(apart * apart, axis=0))  # one component after the other: equal vectors, equal scores
+
+        for q, x in zip(queries["vec_id"].to_numpy(), matrix(queries["v"]), strict=True):
+            table, square = shared.value @ x, x @ x  # books x words
+            near = norm - 2 * sum(table[b][code[:, b]] for b in range(m)) + square
+            other = ids != q
+            near[~other] = np.inf
+            at = np.argpartition(near, best)[:best] if len(near) > best else np.arange(len(near))
+            at = at[other[at]]
+            score = exact(at, x)
+            if len(near) > best:
+                last = np.partition(score, neighbours - 1)[neighbours - 1] if len(score) >= neighbours else np.inf
+                least = np.sqrt(np.maximum(near - slack - ROUNDING * square, 0)) - error * (1 + ROUNDING)
+                more = other & (least <= last * (1 + ROUNDING))
+                more[at] = False
+                more = np.flatnonzero(more)
+                at, score = np.concatenate([at, more]), np.concatenate([score, exact(more, x)])
+            top = np.lexsort((ids[at], score))[:neighbours]
+            found.append(pa.table({"query_id": np.full(len(top), q), "vec_id": ids[at[top]], "score": score[top]}))
         return pa.concat_tables(found)
 
-    return left.groupBy("block", "group").cogroup(right.groupBy("block", "group")).applyInArrow(scan, "query_id long, vec_id long, near double")
+    return left.groupBy("block", "group").cogroup(right.groupBy("block", "group")).applyInArrow(scan, "query_id long, vec_id long, score double")
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, neighbours: int = 10, best: int = CANDIDATES) -> DataFrame:
@@ -137,15 +170,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, neighbours: int = 10, best:
         return vectors.sparkSession.createDataFrame([], schema)
     books = fit(np.array([r[0] for r in sample], dtype=np.float64))
     n = queries.count()
-    found = candidates(cut(index(vectors, books)), queries, books, rows, n, best)
-    if rows > CODE_BLOCK:
-        order = Window.partitionBy("query_id").orderBy("near", "vec_id")
-        found = found.withColumn("__place", F.row_number().over(order)).where(F.col("__place") <= best)
-    both = found.select("query_id", "vec_id").join(vectors, "vec_id").join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
-    square = F.aggregate(F.zip_with("v", "q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    scored = both.select("query_id", "vec_id", F.sqrt(square).alias("score"))
+    found = block_nearest(cut(index(vectors, books)), queries, books, rows, n, neighbours, max(best, neighbours + 1))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= neighbours).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= neighbours).select("query_id", "rank", "vec_id", "score")
 
 
 def search(embeddings: DataFrame, every: int = 100) -> DataFrame:

@@ -315,3 +315,21 @@ def test_neighbours(spark):
         best = np.lexsort((np.arange(400), d))[:10]
         assert len(set(best) & {v for v, _ in found}) >= 9 and np.allclose([s for _, s in found], [d[v] for v, _ in found], rtol=1e-12)
     assert neighbours.search(df.limit(0)).count() == 0
+
+
+def test_neighbours_of_thousands_of_copies(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(6000, 8))
+    x[rng.permutation(6000)[:2000]] = x[0]
+    near = rng.permutation(6000)[:2000]
+    x[near] = x[100] + rng.normal(size=(2000, 8)) * 1e-4
+    x[200] = x[100]
+    got = collections.defaultdict(list)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    for r in neighbours.search(df, every=40).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    assert len(got) == 150
+    for q, found in got.items():
+        d = np.sqrt(np.add.reduce(((x - x[q]) ** 2).T.copy(), axis=0))
+        d[q] = np.inf
+        assert found == np.lexsort((np.arange(6000), d))[:10].tolist()
