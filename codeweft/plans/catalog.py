@@ -185,6 +185,10 @@ def _january(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return e.select(F.explode(F.array("src", "dst")).alias("qualified_name")).distinct(), e
 
 
+def _whole(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return graph.cut(A.symbols(s, d)), graph.cut(A.edges(s, d))
+
+
 # Orders have one customer each, so a component is a customer with that month's orders, and its smallest name the customer's.
 _JANUARY = """e AS (SELECT 'c' || o_custkey AS src, 'o' || o_orderkey AS dst FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1995-02-01'),
     m AS (SELECT src AS qualified_name, src AS root FROM e UNION SELECT dst, src FROM e), k AS (SELECT root, row_number() OVER (ORDER BY root) - 1 AS community FROM (SELECT DISTINCT root FROM m))"""
@@ -197,7 +201,18 @@ def connected_components(s, d):
 
 @query()
 def louvain(s, d):
-    return graph.louvain(*_january(s, d))
+    return graph.louvain(*_whole(s, d))
+
+
+# The two queries with SQL are of that month; these are of all symbols and edges, which hang together in one large component.
+@query()
+def connected_components_all(s, d):
+    return graph.number_components(graph.connected_components(*_whole(s, d)))
+
+
+@query()
+def community_summary_all(s, d):
+    return graph.community_summary(connected_components_all(s, d))
 
 
 @query(

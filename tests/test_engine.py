@@ -197,3 +197,25 @@ def test_trace_stream(spark, tmp_path):
     ingest(spark, inbox, out, at)
     assert sorted((r["src"], r["dst"]) for r in spark.read.parquet(out).collect()) == [("a", "b"), ("b", "c")]
     assert [next_interval(5000, False, False), next_interval(40000, False, False), next_interval(60000, True, False)] == [10000, 60000, 5000]
+
+
+def test_communities_of_the_whole_graph(spark):
+    from codeweft.plans import adapters, catalog
+
+    d = "/root/testdata/sf0.001"
+    top = {r["qualified_name"]: r["qualified_name"] for r in adapters.symbols(spark, d).select("qualified_name").collect()}
+
+    def root(n):
+        while top[n] != n:
+            top[n] = top[top[n]]
+            n = top[n]
+        return n
+
+    for e in adapters.edges(spark, d).collect():
+        if e["src"] in top and e["dst"] in top:
+            x, y = sorted((root(e["src"]), root(e["dst"])))
+            top[y] = x
+    number = {n: k for k, n in enumerate(sorted({root(n) for n in top}))}
+    got = {r["qualified_name"]: r["community"] for r in catalog.QUERIES["connected_components_all"](spark, d).collect()}
+    assert got == {n: number[root(n)] for n in top}
+    assert {r["qualified_name"] for r in catalog.QUERIES["louvain"](spark, d).collect()} == set(top)
