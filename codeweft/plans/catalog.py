@@ -580,6 +580,12 @@ def tfidf_cosine(s, d):
     return _pairs(s, d).join(x, "a").join(y, ["b", "token"]).groupBy("a", "b").agg(F.round(F.sum(F.col("ua") * F.col("ub")), 4).alias("cosine"))
 
 
+@query()
+def tfidf_cosine_all(s, d):
+    """All pairs that share a word, however many documents have it."""
+    return similarity.tfidf_pairs(_weights(s, d), "doc_id").select("a", "b", F.round("cosine", 4).alias("cosine"))
+
+
 def _fnv_sql(value: str, basis: str = "14695981039346656037") -> str:
     return f"list_reduce(list_prepend({basis}::HUGEINT, list_transform(range(1, length({value}) + 1), lambda i: ascii({value}[i])::HUGEINT)), lambda h, c: (xor(h, c) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT)"
 
@@ -620,9 +626,7 @@ def shingles(s, d):
 
 @query()
 def minhash_sim(s, d):
-    m = similarity.minhash(A.table(s, d, "documents"), "doc_id", "text")
-    x, y = m.select(F.col("doc_id").alias("a"), F.col("sketch").alias("u")), m.select(F.col("doc_id").alias("b"), F.col("sketch").alias("v"))
-    return _pairs(s, d).join(x, "a").join(y, "b").select("a", "b", similarity.sketch_similarity(F.col("u"), F.col("v")).alias("similarity"))
+    return similarity.sketch_pairs(similarity.minhash(A.table(s, d, "documents"), "doc_id", "text"), "doc_id")
 
 
 # Signals compare each part with the next one, a part's type and name standing for signature and name.
