@@ -4,15 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codeweft.functions import patterns as P
 from codeweft.functions.text import OPERATOR_MARKS, cosine, jaccard, path_proximity, quantize, tokens
-from codeweft.operators.graph import cut
 from codeweft.schema import SIGNAL_WEIGHTS
 
 DIMENSION, SLOTS = 768, 64
@@ -118,49 +115,6 @@ def sketch_similarity(a: Column, b: Column) -> Column:
     return same / F.lit(float(SLOTS))
 
 
-def block_pairs(rows: DataFrame, key: str, compare, size: int = 1000) -> DataFrame:
-    """Rows (x, y, value) of all unordered pairs of different keys for which compare(left, right), on Arrow tables of rows dealt in
-    blocks, gives (places left, places right, values). Every block meets every other, so work grows with the square of the rows."""
-    blocks = max(1, -(-rows.count() // size))
-    dealt = rows.withColumn("__b", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
-    left = dealt.select("*", F.explode(F.sequence("__b", F.lit(blocks - 1))).alias("__c"))
-    right = dealt.select("*", F.explode(F.sequence(F.lit(0), "__b")).alias("__c"))
-    kind = rows.schema[key].dataType.simpleString()
-
-    def run(u: pa.Table, v: pa.Table) -> pa.Table:
-        if not u.num_rows or not v.num_rows:
-            return pa.table({"x": u[key].slice(0, 0), "y": u[key].slice(0, 0), "value": pa.array([], pa.float64())})
-        i, j, value = compare(u, v)
-        x, y = u[key].take(pa.array(i)), v[key].take(pa.array(j))
-        out = pa.table({"x": x, "y": y, "value": pa.array(value, pa.float64())})
-        same = u["__b"][0].as_py() == v["__b"][0].as_py()
-        return out.filter(pc.less(x, y)) if same else out
-
-    return left.groupBy("__b", "__c").cogroup(right.groupBy("__c", "__b")).applyInArrow(run, f"x {kind}, y {kind}, value double")
-
-
-def sketch_pairs(sketches: DataFrame, key: str) -> DataFrame:
-    """Rows (a, b, similarity) of all pairs a < b whose sketches agree in a place; equal sketches are compared as one."""
-    known = cut(sketches.select(key, "sketch"))
-    member = known.join(known.groupBy("sketch").agg(F.min(key).alias("head")), "sketch").select("head", F.col(key).alias("k"))
-
-    def compare(u: pa.Table, v: pa.Table):
-        p, q = (np.array(t["sketch"].to_pylist(), dtype=np.int64) for t in (u, v))
-        found = []
-        for at in range(0, len(p), 256):
-            agree = np.zeros((len(p[at : at + 256]), len(q)), dtype=np.uint8)
-            for k in range(SLOTS):
-                agree += p[at : at + 256, k, None] == q[None, :, k]
-            i, j = np.nonzero(agree)
-            found.append((i + at, j, agree[i, j] / SLOTS))
-        return tuple(np.concatenate(c) for c in zip(*found, strict=True))
-
-    heads = known.groupBy("sketch").agg(F.min(key).alias("head"))
-    pairs = block_pairs(heads, "head", compare).unionByName(heads.select(F.col("head").alias("x"), F.col("head").alias("y"), F.lit(1.0).alias("value")))
-    both = pairs.join(member.select(F.col("head").alias("x"), F.col("k").alias("m")), "x").join(member.select(F.col("head").alias("y"), F.col("k").alias("n")), "y")
-    return both.where("x <> y or m < n").select(F.least("m", "n").alias("a"), F.greatest("m", "n").alias("b"), F.col("value").alias("similarity"))
-
-
 def api_tokens(signature: Column) -> Column:
     return F.filter(tokens(signature), lambda t: ~t.isin(*P.API_STOP))
 

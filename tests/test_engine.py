@@ -219,16 +219,3 @@ def test_communities_of_the_whole_graph(spark):
     got = {r["qualified_name"]: r["community"] for r in catalog.QUERIES["connected_components_all"](spark, d).collect()}
     assert got == {n: number[root(n)] for n in top}
     assert {r["qualified_name"] for r in catalog.QUERIES["louvain"](spark, d).collect()} == set(top)
-
-
-def test_similarity_of_many_copies(spark, tmp_path):
-    from codeweft.plans import catalog
-
-    texts = ["one two three four five six"] * 8 + ["one two three four five seven", "other words here", ""]
-    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {(r["a"], r["b"]): r["similarity"] for r in catalog.QUERIES["minhash_sim"](spark, str(tmp_path)).collect()}
-    sketch = {r["doc_id"]: r["sketch"] for r in similarity.minhash(spark.read.parquet(str(tmp_path / "documents.parquet")), "doc_id", "text").collect()}
-    same = {(a, b): sum(x == y for x, y in zip(sketch[a], sketch[b])) / 64 for a in sketch for b in sketch if a < b}
-    assert got == {k: v for k, v in same.items() if v} and sum(v == 1.0 for v in got.values()) >= 28
-    cosine = {(r["a"], r["b"]): r["cosine"] for r in catalog.QUERIES["tfidf_cosine_all"](spark, str(tmp_path)).collect()}
-    assert sorted(cosine) == sorted((a, b) for b in range(9) for a in range(b)) and cosine[0, 7] == 1.0
