@@ -1,75 +1,164 @@
-"""Token counts without ids: pieces are counted once per distinct pre-token and summed by frequency.
-
-No piece of the vocabulary holds a space marker after another character, so a text can be cut before each run of
-spaces and the pre-tokens counted on their own; a vocabulary that breaks this rule is counted text by text.
-A worker keeps the table of distinct pre-tokens it has met and joins each document's pre-token frequencies to it.
-The join stays inside the worker because a shuffled (document, pre-token, frequency) table is larger than the texts.
+"""Token counts without ids: pieces are counted once per distinct pre-token, joined to frequencies and summed.
+
+No piece of the vocabulary holds a space marker after another character, so a text can be cut before each run of spaces and
+the pre-tokens counted on their own. A first pass gathers the distinct pre-tokens and how often they occur; the library counts
+each of them once, and the table is kept. A second pass makes each document's frequencies and joins them to the table: the most
+frequent pre-tokens, a bounded number, are sent to every worker and joined there; the frequencies of all others are
+shuffled and joined as rows. Pre-tokens too long to be kept are counted where they stand.
+A vocabulary that breaks the rule of spaces, and any .json tokenizer, is counted text by text.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codeweft.llm.common import map_texts, text_of
+from codeweft.llm.common import cut, map_texts, text_of
 
-#: Distinct pre-tokens that a worker keeps; beyond it the table is begun again (counts don't change).
-TABLE_SIZE = 400_000
+#: Bytes of the longest pre-token that is kept in the table.
+LONGEST = 64
+#: Pre-tokens that are sent to every worker at most: with LONGEST this bounds the table there, about 100 MB.
+HEAD = 500_000
+#: Distinct pre-tokens that the first pass gathers before it hands them on, at most LONGEST bytes each.
+GATHERED = 200_000
 _SPACES = " ▁"
 _PRE_TOKEN = re.compile(f"[{_SPACES}]*[^{_SPACES}]+(?:[{_SPACES}]+\\Z)?|[{_SPACES}]+")
-_workers: dict[str, _Counter] = {}
+_workers: dict[str, _Library] = {}
+
 
+class _Library:
+    """The tokenizer's own library; `cuts` tells whether a text may be cut before spaces."""
 
-class _Counter:
     def __init__(self, path: str) -> None:
-        self.known: dict[str, int] = {}
+        self.cuts = False
         if path.endswith(".model"):
             import sentencepiece
 
-            self.lib = sentencepiece.SentencePieceProcessor(model_file=path)
-            pieces = (self.lib.id_to_piece(i) for i in range(self.lib.get_piece_size()))
-            self.cuts = not any(re.search("[^▁]▁", p) for p in pieces)
-            self.lengths = lambda texts: [len(x) for x in self.lib.encode(texts, num_threads=1)]
+            lib = sentencepiece.SentencePieceProcessor(model_file=path)
+            self.cuts = not any(re.search("[^▁]▁", lib.id_to_piece(i)) for i in range(lib.get_piece_size()))
+            self.lengths: Callable[[list[str]], list[int]] = lambda texts: [len(x) for x in lib.encode(texts, num_threads=1)]
         else:
             from tokenizers import Tokenizer
 
-            self.lib, self.cuts = Tokenizer.from_file(path), False
-            self.lib.no_padding()
-            self.lib.no_truncation()
-            self.lengths = lambda texts: [len(x) for x in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def count(self, texts: list[str]) -> list[int]:
-        if not self.cuts:
-            return self.lengths(texts)
-        if len(self.known) > TABLE_SIZE:
-            self.known.clear()
-        known = self.known
-        # The library puts one space marker before a text: so does this, and every pre-token then starts with one.
-        bags = [Counter(_PRE_TOKEN.findall(" " + t)) if t else Counter() for t in texts]
-        new = list({w for bag in bags for w in bag if w not in known})
-        known.update(zip(new, self.lengths([w[1:] for w in new]), strict=True))
-        return [sum([known[w] * n for w, n in bag.items()]) for bag in bags]
-
-
-def _worker(path: str) -> _Counter:
+            lib = Tokenizer.from_file(path)
+            lib.no_padding()
+            lib.no_truncation()
+            self.lengths = lambda texts: [len(x) for x in lib.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def _library(path: str) -> _Library:
     if path not in _workers:
-        _workers[path] = _Counter(path)
+        _workers[path] = _Library(path)
     return _workers[path]
 
 
-def count_tokens(df: DataFrame, model: str, text: str = "text", out: str = "n_tokens", keep: list[str] | None = None) -> DataFrame:
+def pre_tokens(text: str) -> list[str]:
+    """The text cut before each run of spaces, without the first of them: that is the marker which the library puts before a text."""
+    if not text:
+        return []
+    if "  " not in text and "▁" not in text and text[0] != " " and text[-1] != " ":
+        return text.split(" ")
+    return [w[1:] for w in _PRE_TOKEN.findall(" " + text)]
+
+
+def _kept(word: str) -> bool:
+    return len(word) <= LONGEST // 4 or len(word.encode()) <= LONGEST
+
+
+def pre_token_table(df: DataFrame, model: str, text: str = "text") -> DataFrame:
+    """Rows (word, freq, tokens): each distinct pre-token of at most LONGEST bytes, counted once by the library."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+
+        def out() -> pa.RecordBatch:
+            rows = [(w, n) for w, n in seen.items() if _kept(w)]
+            seen.clear()
+            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], names=["word", "freq"])
+
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                seen.update(pre_tokens(t))
+                if len(seen) > GATHERED:
+                    yield out()
+        yield out()
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = _library(model).lengths(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tokens, pa.int64())], names=["word", "freq", "tokens"])
+
+    each = df.select(text_of(f"`{text}`").alias("t")).mapInArrow(gather, "word string, freq long")
+    summed = each.groupBy("word").agg(F.sum("freq").alias("freq"))
+    return cut(summed.mapInArrow(measure, "word string, freq long, tokens long"))
+
+
+def _head(table: DataFrame, most: int) -> tuple[dict[str, int], int]:
+    """The most frequent pre-tokens, at most `most`, and the frequency from which on they are in it.
+
+    The frequency is found from the numbers of words in each power of two, so no rows are sorted.
+    """
+    classes = table.groupBy(F.floor(F.log2("freq")).cast("int").alias("power")).agg(F.count(F.lit(1)).alias("n")).collect()  # at most 64 rows
+    least, total = 64, 0
+    for r in sorted(classes, key=lambda r: -r["power"]):
+        if total + r["n"] > most:
+            break
+        total, least = total + r["n"], r["power"]
+    rows = table.where(F.floor(F.log2("freq")) >= least).select("word", "tokens").toArrow()
+    return dict(zip(rows["word"].to_pylist(), rows["tokens"].to_pylist(), strict=True)), least
+
+
+def count_tokens(df: DataFrame, model: str, text: str = "text", out: str = "n_tokens", keep: list[str] | None = None, head: int = HEAD) -> DataFrame:
     """Add `out`, the number of tokens that the library for `model` (.model or .json) gives for the whole text.
 
     Null and empty texts have no tokens; no begin, end or added special tokens; an existing column named `out` is
-    replaced; an empty table gives an empty table; repeated rows are counted each.
+    replaced; an empty table gives an empty table; repeated rows are counted each. head: pre-tokens joined in the workers
+    at most; the others are joined as rows, with the same result.
     """
-    return map_texts(df, text, [(out, T.LongType())], lambda texts: [_worker(model).count(texts)], keep)
+    if not _library(model).cuts:
+        return map_texts(df, text, [(out, T.LongType())], lambda texts: [_library(model).lengths(texts)], keep)
+    names = [c for c in (df.columns if keep is None else keep) if c.lower() != out.lower()]
+    row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row") if names else F.struct(F.lit(0)).alias("row")
+    table = pre_token_table(df, model, text)
+    known, least = _head(table, head)
+    shared = df.sparkSession.sparkContext.broadcast(known)
+    tail = table.where(F.floor(F.log2("freq")) < least).select("word", "tokens")
+
+    def count(texts: list[str]) -> list[list]:
+        known, lib = shared.value, _library(model)
+        sums, rest = [], []
+        for t in texts:
+            total, other = 0, []
+            for w, n in Counter(pre_tokens(t)).items():
+                if (k := known.get(w)) is not None:
+                    total += k * n
+                elif _kept(w):
+                    other.append({"word": w, "n": n})
+                else:
+                    total += lib.lengths([w])[0] * n
+            sums.append(total)
+            rest.append(other)
+        return [sums, rest]
+
+    words = T.ArrayType(T.StructType([T.StructField("word", T.StringType()), T.StructField("n", T.LongType())]))
+    told = map_texts(df.select(row, F.col(f"`{text}`").alias("text")), "text", [("head", T.LongType()), ("rest", words)], count, ["row"])
+    if tail.isEmpty():
+        counted = told.select("row", F.col("head").alias("__n"))
+    else:
+        placed = cut(told.withColumn("at", F.monotonically_increasing_id()))
+        pairs = placed.select("at", F.explode("rest").alias("r")).select("at", "r.word", "r.n")
+        sums = pairs.join(tail, "word").groupBy("at").agg(F.sum(F.col("n") * F.col("tokens")).alias("more"))
+        counted = placed.join(sums, "at", "left").select("row", (F.col("head") + F.coalesce("more", F.lit(0))).alias("__n"))
+    return counted.select(*[F.col("row")[c].alias(c) for c in names], F.col("__n").alias(out))
 
 
 def document_token_counts(docs: DataFrame, model: str, limit: int = 4096) -> DataFrame:
+    """One row for each document: doc_id, n_bytes, n_tokens and over_limit; null texts have no bytes. Other columns are not read."""
     sized = docs.select("doc_id", "text", F.octet_length(text_of("text")).cast("long").alias("n_bytes"))
     return count_tokens(sized, model, keep=["doc_id", "n_bytes"]).withColumn("over_limit", F.col("n_tokens") > limit)
