@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-#: Rows in one Arrow batch handed to Python; bounds a worker's memory when texts are long.
+#: Rows that Python works on at a time. Batches come in by Spark's own bounds on rows and bytes, which are left as the session has them.
 ARROW_ROWS = 512
 #: Words are runs of digits, ASCII letters and everything beyond ASCII.
 WORD_CLASS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -25,10 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> None:
-    """Use the cluster's spark.checkpoint.dir; only where it is unset (tests) choose a folder."""
+    """Use the cluster's spark.checkpoint.dir. Where it is unset a local session gets a folder; a cluster has to name one that all share."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="codeweft-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="codeweft-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -55,7 +58,6 @@ def whole_row(df: DataFrame) -> Column:
 
 def map_texts(df: DataFrame, text: str, fields: list[tuple[str, T.DataType]], work: Callable[[list[str]], list[list]], keep: list[str] | None = None) -> DataFrame:
     """Add columns that Python computes from a batch of texts (null: empty), one Arrow batch at a time."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in {n.lower() for n, _ in fields}]
     source = df.select(*[F.col(f"`{c}`") for c in keep], text_of(f"`{text}`").alias("__text"))
     schema = T.StructType([*[source.schema[c] for c in keep], *[T.StructField(n, t) for n, t in fields]])
@@ -63,13 +65,13 @@ def map_texts(df: DataFrame, text: str, fields: list[tuple[str, T.DataType]], wo
     names = [*keep, *[n for n, _ in fields]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            made = work(batch.column(len(keep)).to_pylist())
-            arrays = [batch.column(i) for i in range(len(keep))]
-            arrays += [v if isinstance(v, pa.Array) else pa.array(v, type=k) for v, k in zip(made, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+        for whole in batches:
+            for at in range(0, whole.num_rows, ARROW_ROWS):
+                batch = whole.slice(at, ARROW_ROWS)
+                made = work(batch.column(len(keep)).to_pylist())
+                arrays = [batch.column(i) for i in range(len(keep))]
+                arrays += [v if isinstance(v, pa.Array) else pa.array(v, type=k) for v, k in zip(made, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return source.mapInArrow(run, schema)
 
@@ -153,10 +155,16 @@ def word_hashes(texts: list[str], stem: int = 0) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(hashes), np.concatenate(counts)
 
 
-def scratch(df: DataFrame) -> DataFrame:
-    """Write as Parquet in the shared folder and read again; the folder is the cluster's to clear."""
+def scratch(df: DataFrame) -> tuple[DataFrame, str]:
+    """Write as Parquet in the shared folder and read again; the folder, to be given to discard() once nothing reads it."""
     spark = df.sparkSession
     shared_folder(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/codeweft-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a folder that scratch() made, through Hadoop's file systems."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

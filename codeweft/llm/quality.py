@@ -17,6 +17,8 @@ from codeweft.llm.toxicity import labelled
 
 #: Labelled rows to learn from at most: those with the smallest hashes of doc_id.
 TRAINING_ROWS = 20_000
+#: Bytes of their texts at most.
+TRAINING_BYTES = 128 << 20
 #: Rows of paths (about 60 bytes each) up to which they are sent to every executor; beyond it both sides are shuffled.
 BROADCAST_ROWS = 500_000
 _UPPER, _LOWER, _DIGIT, _SPACE = (bytes(x, "ascii") for x in ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", " \t\n\r\x0b\x0c"))
@@ -50,8 +52,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
 
     Without labelled rows all weights are 0 and every document's evidence is even.
     """
-    sample = map_texts(labelled(docs, labels, label, rows), "text", [("x", T.ArrayType(T.DoubleType()))], lambda t: [list(style(t))], ["label"])
-    found = sample.collect()  # at most `rows` rows of 12 numbers, and as many again for each repeated doc_id
+    sample = map_texts(labelled(docs, labels, label, rows, TRAINING_BYTES), "text", [("x", T.ArrayType(T.DoubleType()))], lambda t: [list(style(t))], ["label"])
+    found = sample.collect()  # at most `rows` rows of 12 numbers
     if not found:
         return np.zeros(11), np.ones(11), np.zeros(23)
     x, y = np.array([r["x"] for r in found]), np.array([float(r["label"]) for r in found])
@@ -116,7 +118,11 @@ def combine(evidenced: DataFrame, known: DataFrame, told: dict[str, float], host
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row for each document. Host: source; path: lang within it; null is a host or path of its own."""
+    """One row for each document. Host: source; path: lang within it; null is a host or path of its own.
+
+    Null texts count as empty; repeated rows are judged each, and each adds to its path; an empty table stays empty; other
+    columns are not read. Without labels the evidence is even and the sites' rates are all one half.
+    """
     seen = cut(evidence(docs.select("doc_id", "source", "lang", "text"), fit(docs, labels), ["doc_id", "source", "lang"]))
     known, told = sites(seen, F.col("source"), F.col("lang"))
     out = combine(seen, known, told, F.col("source"), F.col("lang"))

@@ -12,15 +12,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codeweft.llm.common import map_texts, mix, text_of, whole_row, word_hashes
+from codeweft.llm.common import ARROW_ROWS, cut, map_texts, mix, text_of, whole_row, word_hashes
 
 BITS, STEM = 20, 4
 #: Labelled rows to learn from at most: those with the smallest hashes of doc_id.
 TRAINING_ROWS = 12_000
+#: Bytes of their texts at most, for one worker reads them all.
+TRAINING_BYTES = 64 << 20
 EPOCHS, ALPHA, BETA, L1, L2 = 6, 2.0, 1.0, 10.0, 1.0
 #: From this score on a text is called toxic.
 THRESHOLD = 0.7
@@ -32,16 +34,23 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
-    """Rows (order, label, text) of at most `rows` labels that may be learnt from, with their documents.
+def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int, size: int = TRAINING_BYTES) -> DataFrame:
+    """Rows (order, label, text): labelled documents that may be learnt from, those with the smallest hashes of doc_id.
 
-    Labels that are null are left out; of several labels of one doc_id the largest counts. The sample is bounded, so it can be
-    sent to the documents and no text is shuffled.
+    At most `rows` of them, and no more than together have `size` bytes of text (the first counts whatever its size). Labels
+    that are null or of no document are left out; of several labels of one doc_id the largest counts, of several documents the
+    smallest text. Only ids are shuffled; the sample is bounded, so it is sent to the documents and no other text moves.
     """
     known = labels.where(~held_out()).where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
-    sample = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("__label")).withColumn("__order", F.xxhash64("doc_id")).orderBy("__order", "doc_id").limit(rows)
-    texts = docs.select("doc_id", text_of("text").alias("__text"))
-    return texts.join(F.broadcast(sample), "doc_id").select(F.col("__order").alias("order"), F.col("__label").alias("label"), F.col("__text").alias("text"))
+    met = known.join(docs.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.max(label).cast("int").alias("__label"))
+    sample = cut(met.withColumn("__order", F.xxhash64("doc_id")).orderBy("__order", "doc_id").limit(rows))
+    texts = docs.select("doc_id", text_of("text").alias("__text")).join(F.broadcast(sample), "doc_id")
+    each = cut(texts.groupBy("doc_id", "__label", "__order").agg(F.min("__text").alias("__text")))
+    # One window over at most `rows` rows, of their sizes alone.
+    before = Window.orderBy("__order", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    told = each.select("doc_id", "__order", F.octet_length("__text").cast("long").alias("__size")).withColumn("__before", F.coalesce(F.sum("__size").over(before), F.lit(0)))
+    kept = told.where((F.col("__before") == 0) | (F.col("__before") + F.col("__size") <= size)).select("doc_id")
+    return each.join(F.broadcast(cut(kept)), "doc_id", "left_semi").select(F.col("__order").alias("order"), F.col("__label").alias("label"), F.col("__text").alias("text"))
 
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -84,7 +93,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TR
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: list[tuple[int, np.ndarray]] = []
-        for batch in batches:
+        for batch in (whole.slice(k, ARROW_ROWS) for whole in batches for k in range(0, whole.num_rows, ARROW_ROWS)):
             texts = batch.column(1).to_pylist()
             places, owners = features(texts)
             order = np.argsort(owners, kind="stable")
@@ -94,7 +103,6 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TR
             place, weight = learn(seen)
             yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(weight)], names=["place", "weight"])
 
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
     sample = labelled(docs, labels, label, rows).repartition(1).sortWithinPartitions("order", "text").select("label", "text")
     found = sample.mapInArrow(train, "place long, weight double").collect()  # at most 2^BITS + 1 rows
     return np.array([r[0] for r in found], dtype=np.int64), np.array([r[1] for r in found])
@@ -120,6 +128,11 @@ def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray], out: str = "s
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row for each document: doc_id, held_out, score and predicted.
+
+    Null texts score as empty ones, empty ones as texts without words, repeated rows each. Without labels all scores are 1/2;
+    an empty table stays empty; other columns of the documents are not read.
+    """
     rows = docs.select("doc_id", held_out().alias("held_out"), "text")
     scored = score(rows, fit(docs, labels), keep=["doc_id", "held_out"])
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
