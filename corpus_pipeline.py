@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from codeweft.llm import decontamination, near_duplicates, packing, quality, toxicity
-from codeweft.llm.common import scratch, table
+from codeweft.llm.common import discard, scratch, table
 from codeweft.llm.queries import tokenizer
 
 
@@ -49,9 +49,14 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet in the shared folder and read again by the next."""
-    docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        docs = scratch(docs) if k + 1 < len(STAGES) else docs
-    return docs
+    """All stages over documents, each written as Parquet in the shared folder and read again by the next.
+
+    A stage's copy goes when the next one is written, so that one at a time lies there; the result reads the last of them.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        docs, written = scratch(stage(spark, docs, sf_dir))
+        if before:
+            discard(spark, before)
+        before = written
+    return STAGES[-1][1](spark, docs, sf_dir)
