@@ -1,8 +1,8 @@
 """Chat formatting of reply trees: choose branches by score and render each as one conversation.
 
-Messages are nodes (tree, node, parent). Self-joins that double their reach enumerate root-to-leaf paths: after k joins a node
-knows its ancestor 2^k steps up, so a tree of depth d takes log2(d) joins. Branches of a tree are ranked by score; the chosen
-ones become text with a mask over what the model is to learn.
+Messages are nodes (tree, node, parent). Self-joins that double their reach follow replies to the root: after k joins a node
+knows its ancestor 2^k steps up and the scores between, so a tree of depth d takes log2(d) joins of one row a message. Branches
+are ranked by these sums; only the chosen ones are listed message by message and become text with a mask over what the model is to learn.
 """
 
 from __future__ import annotations
@@ -38,28 +38,32 @@ def paths(messages: DataFrame, best: int | None = 1) -> DataFrame:
     """Rows (tree, leaf, rank, depth, node, role, text) of the `best` branches of each tree (None: all), root first.
 
     messages: tree, node, parent (null or unknown: a root), role, text, score (null: 0). Nodes are unique in a tree; a node
-    on a cycle is on no path. Branches rank by the mean score of their messages, then by length, then by smaller leaf.
+    on a cycle is on no path, nor is one that is null. Branches rank by the mean score of their messages, then by length, then
+    by smaller leaf. A null tree is a tree of its own.
     """
-    m = cut(messages.select(F.struct("tree").alias("t"), "node", "parent", "role", "text", F.coalesce("score", F.lit(0.0)).cast("double").alias("score")))
-    known = m.select("t", F.col("node").alias("parent")).where("parent is not null")
-    links = m.where("parent is not null").join(known, ["t", "parent"], "left_semi").select("t", "node", F.col("parent").alias("up"))
-    inner = links.select("t", F.col("up").alias("node")).distinct()
-    leaves = m.where("node is not null").join(inner, ["t", "node"], "left_anti").select("t", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("below"))
-    # levels[k]: the ancestor 2^k replies up. A chain longer than all messages runs into a cycle: its leaf has no path.
-    levels, size = [cut(links)], m.count()
-    while not levels[-1].isEmpty() and 1 << len(levels) <= 2 * size:
-        upper = levels[-1].select("t", F.col("node").alias("up"), F.col("up").alias("top"))
-        levels.append(cut(levels[-1].join(upper, ["t", "up"]).select("t", "node", F.col("top").alias("up"))))
-    reached = leaves.join(levels[-1].select("t", "node"), ["t", "node"], "left_anti")
-    for k, level in enumerate(levels[:-1]):
-        more = reached.join(level, ["t", "node"]).select("t", "leaf", F.col("up").alias("node"), (F.col("below") + (1 << k)).alias("below"))
-        reached = cut(reached.unionByName(more))
-    full = reached.join(m, ["t", "node"])
-    branch = full.groupBy("t", "leaf").agg(F.avg("score").alias("mean"), F.max("below").alias("length"))
-    order = Window.partitionBy("t").orderBy(F.desc("mean"), F.desc("length"), "leaf")
-    ranked = branch.withColumn("rank", F.row_number().over(order))
+    m = cut(messages.select(F.struct("tree").alias("t"), "node", "parent", "role", "text", F.coalesce("score", F.lit(0.0)).cast("double").alias("score")).where("node is not null"))
+    size = m.count()
+    known = m.select("t", F.col("node").alias("parent"), F.lit(True).alias("found"))
+    linked = m.join(known, ["t", "parent"], "left").select("t", "node", F.when(F.col("found"), F.col("parent")).alias("up"), F.col("score").alias("sum"), F.lit(1).cast("long").alias("length"))
+    # steps[k]: each message with its ancestor 2^k replies up, and the sum over the 2^k messages before that; null: the root is passed.
+    steps = [cut(linked)]
+    while 1 << len(steps) <= 2 * size and not (ahead := steps[-1].where("up is not null")).isEmpty():
+        upper = steps[-1].select("t", F.col("node").alias("up"), F.col("up").alias("top"), F.col("sum").alias("above"), F.col("length").alias("more"))
+        grown = ahead.join(upper, ["t", "up"]).select("t", "node", F.col("top").alias("up"), (F.col("sum") + F.col("above")).alias("sum"), (F.col("length") + F.col("more")).alias("length"))
+        steps.append(cut(steps[-1].where("up is null").unionByName(grown)))
+    inner = linked.where("up is not null").select("t", F.col("up").alias("node")).distinct()
+    # A chain longer than all messages runs into a cycle: it never passes a root, and its leaf has no path.
+    leaves = steps[-1].where("up is null").join(inner, ["t", "node"], "left_anti")
+    order = Window.partitionBy("t").orderBy(F.desc(F.col("sum") / F.col("length")), F.desc("length"), "node")
+    ranked = leaves.withColumn("rank", F.row_number().over(order))
     ranked = ranked if best is None else ranked.where(F.col("rank") <= best)
-    return full.join(ranked.select("t", "leaf", "rank", "length"), ["t", "leaf"]).select(F.col("t.tree").alias("tree"), "leaf", "rank", (F.col("length") - F.col("below")).alias("depth"), "node", "role", "text")
+    reached = cut(ranked.select("t", F.col("node").alias("leaf"), "rank", "length", "node", F.lit(0).cast("long").alias("below")))
+    for k, step in enumerate(steps):
+        jump = step.where("up is not null").select("t", "node", "up")
+        more = reached.join(jump, ["t", "node"]).select("t", "leaf", "rank", "length", F.col("up").alias("node"), (F.col("below") + (1 << k)).alias("below"))
+        reached = reached.unionByName(more) if k + 1 == len(steps) else cut(reached.unionByName(more))
+    full = reached.join(m.select("t", "node", "role", "text"), ["t", "node"])
+    return full.select(F.col("t.tree").alias("tree"), "leaf", "rank", (F.col("length") - F.col("below")).alias("depth"), "node", "role", "text")
 
 
 def format_paths(chosen: DataFrame) -> DataFrame:
@@ -101,7 +105,8 @@ def masked_text(formatted: Column, spans: Column) -> Column:
 def as_replies(conversations: DataFrame) -> DataFrame:
     """Reply trees from rows (conv_id, turn, role, text): each turn answers the one before it.
 
-    Turns sort by (turn, role, text), nulls first; rows with a null conv_id make one conversation.
+    Turns sort by (turn, role, text), nulls first; rows with a null conv_id make one conversation. A conversation is one text
+    in the end, so numbering its turns in one task asks no more of it than the text does.
     """
     at = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     node = F.row_number().over(at).cast("long")
@@ -123,4 +128,8 @@ def digest(formatted: DataFrame) -> DataFrame:
 
 
 def format_conversations(conversations: DataFrame) -> DataFrame:
+    """The digest of every conversation: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
+
+    Null roles and texts are empty; repeated rows are turns of their own; an empty table has no conversations; other columns are not read.
+    """
     return digest(format_paths(paths(as_replies(conversations))))
