@@ -88,10 +88,36 @@ def windows(benchmark: DataFrame, span: int) -> DataFrame:
     return each.groupBy("n", "window").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
 
 
+def _hash_runs(df: DataFrame, lengths: list[int]) -> DataFrame:
+    """Rows (key, p, n, gram): a hash of each run of n words, for each of the lengths, each made from that of one word less."""
+    df = df.withColumn("single", F.transform("exact", lambda w: F.xxhash64(w))).withColumn("grams", F.col("single"))
+    out, parts = [], df
+    for n in range(1, max(lengths) + 1):
+        if n > 1:
+            size = F.greatest(F.size("single") - (n - 1), F.lit(0))
+            longer = F.zip_with(F.slice("grams", F.lit(1), size), F.slice("single", F.lit(n), size), lambda x, y: F.xxhash64(x, y))
+            parts = parts.withColumn("__grams", longer).drop("grams").withColumnRenamed("__grams", "grams")
+        if n in lengths:
+            out.append(parts.select("key", F.lit(n).alias("n"), F.posexplode_outer("grams").alias("p", "gram")))
+    whole = out[0]
+    for part in out[1:]:
+        whole = whole.unionByName(part)
+    return whole.where("gram is not null")
+
+
+def _short_hits(docs: DataFrame, known: DataFrame, lengths: list[int], size: int) -> DataFrame:
+    """Rows (key, p, n): word places where a run's hash is that of a whole short item. Words are compared later."""
+    items = known.where(F.col("n").isin(*lengths)).select("n", F.split("window", " ").alias("exact"), F.col("window").alias("key"))
+    marks = _small(_hash_runs(items, lengths).where("p = 0 and n = size(split(key, ' '))").select("n", "gram").distinct(), size)
+    texts = docs.select(_key().alias("key"), words(ascii_lower(text_of("text"))).alias("exact"))
+    return _hash_runs(texts, lengths).join(marks, ["n", "gram"], "left_semi").select("key", "p", "n")
+
+
 def spans(docs: DataFrame, benchmark: DataFrame, span: int = 13, k: int = 8) -> DataFrame:
     """Rows (key, spans, items) of documents in which a benchmark window occurs; key is (doc_id, md5 of the text).
 
     spans: sorted (start, end) word places of each occurrence, end exclusive; items: sorted ids of the items they are from.
+    Only hashes and word places travel to be joined; words are fetched for the places that are left and compared one by one.
     """
     known = cut(windows(benchmark, span))
     size = known.count()
@@ -102,17 +128,17 @@ def spans(docs: DataFrame, benchmark: DataFrame, span: int = 13, k: int = 8) ->
     kept = _winnow(texts.select(_key().alias("key"), words(folded(text_of("text"))).alias("words")), k, span)
     met = cut(kept.select("key", F.explode_outer("kept").alias("gram")).join(marks, "gram", "left_semi").select("key").distinct())
     near = texts.withColumn("key", _key()).join(_small(met, met.count()), "key", "left_semi")
-    cased = near.select("key", words(ascii_lower(text_of("text"))).alias("words"), words(folded(text_of("text"))).alias("lower"))
-    grams = _k_grams(cased.select("key", F.col("words").alias("exact"), F.col("lower").alias("words")), k)
-    hits = grams.select("key", "exact", F.posexplode_outer("grams").alias("at", "gram")).join(marks, "gram", "left_semi")
-    first, last = F.greatest(F.col("at") - (span - k), F.lit(0)), F.least(F.col("at"), F.size("exact") - span)
-    around = hits.where(last >= first).select("key", "exact", F.explode(F.sequence(first, last)).alias("p"))
-    found = around.select("key", "p", F.lit(span).alias("n"), F.array_join(F.slice("exact", F.col("p") + 1, F.lit(span)), " ").alias("window"))
+    grams = _k_grams(near.select("key", words(folded(text_of("text"))).alias("words")), k)
+    hits = grams.select("key", F.size("words").alias("size"), F.posexplode_outer("grams").alias("at", "gram")).join(marks, "gram", "left_semi")
+    first, last = F.greatest(F.col("at") - (span - k), F.lit(0)), F.least(F.col("at"), F.col("size") - span)
+    around = hits.where(last >= first).select("key", F.explode(F.sequence(first, last)).alias("p"), F.lit(span).alias("n"))
     if short:
-        lengths = F.array(*[F.lit(n) for n in short])
-        whole = texts.select(_key().alias("key"), words(ascii_lower(text_of("text"))).alias("exact")).withColumn("n", F.explode(lengths))
-        at = whole.where(F.size("exact") >= F.col("n")).select("key", "exact", "n", F.explode(F.sequence(F.lit(0), F.size("exact") - F.col("n"))).alias("p"))
-        found = found.unionByName(at.select("key", "p", "n", F.array_join(F.slice("exact", F.col("p") + 1, F.col("n")), " ").alias("window")))
+        around = around.unionByName(_short_hits(texts, known, short, size))
+    # The places of a document are at most as many as its words, for each length.
+    places = cut(around.groupBy("key").agg(F.collect_set(F.struct("p", "n")).alias("places")))
+    exact = texts.withColumn("key", _key()).join(_small(places, places.count()), "key").select("key", words(ascii_lower(text_of("text"))).alias("exact"), "places")
+    each = exact.select("key", "exact", F.explode("places").alias("at"))
+    found = each.select("key", F.col("at.p").alias("p"), F.col("at.n").alias("n"), F.array_join(F.slice("exact", F.col("at.p") + 1, F.col("at.n")), " ").alias("window"))
     hit = found.join(_small(known, size), ["n", "window"]).select("key", F.struct(F.col("p").alias("start"), (F.col("p") + F.col("n")).alias("end")).alias("span"), "items")
     out = hit.groupBy("key").agg(F.sort_array(F.collect_set("span")).alias("spans"), F.collect_set("items").alias("sets"))
     return out.select("key", "spans", F.array_sort(F.array_distinct(F.flatten("sets"))).alias("items"))
@@ -129,7 +155,11 @@ def covered(spans: Column) -> Column:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, span: int = 13) -> DataFrame:
-    """One row for each document: n_words, n_hit, n_items, items_sha256 and contaminated (a twentieth of its words hit)."""
+    """One row for each document: doc_id, n_words, n_hit, n_items, items_sha256 and contaminated (a twentieth of its words hit).
+
+    Null texts have no words; repeated rows are judged each; without items nothing is hit; an empty table stays empty; other
+    columns are not read.
+    """
     hits = spans(docs, benchmark, span)
     counted = docs.select("doc_id", _key().alias("key"), n_words(text_of("text")).alias("n_words"))
     joined = counted.join(hits, "key", "left")

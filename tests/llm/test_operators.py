@@ -247,6 +247,21 @@ def test_reply_trees(spark):
     assert got == {(1, 1): ["q", "good", "more"], (1, 2): ["q", "bad"], (3, 1): ["orphan"]}
 
 
+def test_combs_of_replies_and_equal_scores(spark):
+    """A comb: a chain of 40 messages, each with a leaf beside it; one path only is listed. Ties go to the longer, then the smaller leaf."""
+    rows = [(1, i, i - 1 if i else None, "user" if i % 2 else None, None if i == 5 else f"m{i}", 1.0, "clash") for i in range(40)]
+    rows += [(1, 100 + i, i, "assistant", f"leaf{i}", 1.0, "clash") for i in range(40)] + [(None, 1, None, "user", "null tree", None, "clash"), (2, None, None, "user", "null node", 1.0, "clash")]
+    rows += [(3, 1, None, "u", "root", 0.0, "clash"), (3, 3, 1, "u", "b", 1.0, "clash"), (3, 2, 1, "u", "a", 1.0, "clash")]
+    df = spark.createDataFrame(rows, "tree long, node long, parent long, role string, text string, score double, leaf string")
+    got = chat.paths(df).collect()
+    by = collections.defaultdict(list)
+    for r in sorted(got, key=lambda r: r["depth"]):
+        by[r["tree"], r["leaf"]].append(r["text"])
+    assert by == {(1, 139): [None if i == 5 else f"m{i}" for i in range(40)] + ["leaf39"], (None, 1): ["null tree"], (3, 2): ["root", "a"]}
+    assert chat.paths(df, None).where("tree = 1").select("leaf").distinct().count() == 40
+    assert chat.paths(df.limit(0)).count() == 0
+
+
 def contamination(docs, items):
     windows = collections.defaultdict(set)
     split = lambda t: WORD.findall((t or "").translate(ASCII_LOWER))
@@ -268,12 +283,15 @@ def contamination(docs, items):
     return out
 
 
-@pytest.mark.parametrize("short", [True, False])
-def test_decontamination(spark, short):
+@pytest.mark.parametrize("short, sent", [(True, 500_000), (False, 500_000), (True, -1)])
+def test_decontamination(spark, monkeypatch, short, sent):
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", sent)
     rng = random.Random(7)
     some = lambda n: " ".join(rng.choice(["a", "B", "É", "é", "c1", "İ", "Σ"][: rng.choice([2, 7])]) for _ in range(n))
     items = [(k, some(rng.choice(([0, 1, 3, 12] if short else [13]) + [13, 14, 20, 40]))) for k in range(25)] + [(None, some(20)), (3, some(15))] + ([(50, None)] if short else [])
     rows, df = documents(spark, [None if k % 9 == 0 else f"{some(rng.choice([0, 5, 13, 100]))} {rng.choice(items)[1] or ''}.{some(5)}" for k in range(50)], key=1, items=2)
+    rows = [*rows, (900, " ".join(some(100) for _ in range(2000)) + " " + items[0][1], None, None, 0)]  # about a megabyte
+    df = df.unionByName(spark.createDataFrame(rows[-1:], DOCS).withColumns({"key": F.lit(1), "items": F.lit(2)}))
     bench = spark.createDataFrame(items, "item_id long, text string")
     want, key = contamination([(r[0], r[1]) for r in rows], items), lambda r: tuple(map(str, r))
     assert sorted((tuple(r) for r in decontamination.contamination(df, bench).collect()), key=key) == sorted(want, key=key)
