@@ -56,8 +56,8 @@ def whole_row(df: DataFrame) -> Column:
     return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns]).alias("row")
 
 
-def map_texts(df: DataFrame, text: str, fields: list[tuple[str, T.DataType]], work: Callable[[list[str]], list[list]], keep: list[str] | None = None) -> DataFrame:
-    """Add columns that Python computes from a batch of texts (null: empty), one Arrow batch at a time."""
+def map_texts(df: DataFrame, text: str, fields: list[tuple[str, T.DataType]], work: Callable[[list[str]], list[list]], keep: list[str] | None = None, rows: int = ARROW_ROWS) -> DataFrame:
+    """Add columns that Python computes from at most `rows` texts at a time (null: empty)."""
     keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in {n.lower() for n, _ in fields}]
     source = df.select(*[F.col(f"`{c}`") for c in keep], text_of(f"`{text}`").alias("__text"))
     schema = T.StructType([*[source.schema[c] for c in keep], *[T.StructField(n, t) for n, t in fields]])
@@ -66,8 +66,8 @@ def map_texts(df: DataFrame, text: str, fields: list[tuple[str, T.DataType]], wo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, ARROW_ROWS):
-                batch = whole.slice(at, ARROW_ROWS)
+            for at in range(0, whole.num_rows, rows):
+                batch = whole.slice(at, rows)
                 made = work(batch.column(len(keep)).to_pylist())
                 arrays = [batch.column(i) for i in range(len(keep))]
                 arrays += [v if isinstance(v, pa.Array) else pa.array(v, type=k) for v, k in zip(made, kinds, strict=True)]

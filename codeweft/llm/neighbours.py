@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from codeweft.llm.common import cut
 
 #: Vectors the codebooks are fitted to at most: those with the smallest hashes of vec_id. Every vector is indexed.
-SAMPLE = 16_000
-BOOKS, WORDS, BEAM, ROUNDS = 16, 128, 4, 2
+SAMPLE = 8_000
+BOOKS, WORDS, BEAM, ROUNDS = 16, 128, 4, 1
 #: Vectors of one task, at most and (where queries are few enough to be sent to each) about; queries of one task; candidates of
 #: a query in a block that are ranked first, to know how near the others have to come.
 MOST, BLOCK, QUERY_BLOCK, CANDIDATES = 100_000, 8_192, 16_384, 1_000
@@ -29,61 +29,61 @@ ROUNDING = 1e-9
 
 def usable(vectors: DataFrame) -> DataFrame:
     """Rows (vec_id, v) that take part: not null, not zero, all components finite. Repeated rows are one; of different vectors
-    of one vec_id the smallest counts; rows without vec_id are left out."""
+    of one vec_id the smallest counts; rows without vec_id are left out. Vectors of different lengths have no distance: those of
+    the commonest length (of equally common ones the smallest) take part."""
     v = F.transform("embedding", lambda x: x.cast("double"))
     rows = vectors.where("vec_id is not null and embedding is not null").select("vec_id", v.alias("v"))
     whole = F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < float("inf")) & ~F.isnan(x)) & F.exists("v", lambda x: x != 0)
-    return rows.where(whole).groupBy("vec_id").agg(F.min("v").alias("v"))
+    rows = rows.where(whole)
+    length = rows.groupBy(F.size("v").alias("size")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "size").first()
+    return rows.where(F.size("v") == (length["size"] if length else 0)).groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
 def beam_search(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-    """Words (n x books) whose sums are near the vectors, and the squared norms of the sums."""
-    m, k, d = books.shape
-    flat = books.reshape(m * k, d)
-    gram, dots = flat @ flat.T, x @ flat.T
-    n = len(x)
-    chosen, cost, norms = np.zeros((n, 1, 0), dtype=np.int64), np.zeros((n, 1)), np.zeros((n, 1))
-    rows = np.arange(n)[:, None]
-    for book in range(m):
-        part = slice(book * k, (book + 1) * k)
-        cross = gram[chosen, part].sum(2) if book else np.zeros((n, 1, k))  # products with the words so far
-        grown = norms[:, :, None] + 2 * cross + np.diag(gram)[part]
-        total = grown - 2 * (dots[:, None, part] + (dots[rows[:, :, None], chosen].sum(2) if book else np.zeros((n, 1)))[:, :, None])
-        flat_total = total.reshape(n, -1)
-        width = min(beam, flat_total.shape[1])
-        best = np.argpartition(flat_total, width - 1, axis=1)[:, :width] if width < flat_total.shape[1] else np.tile(np.arange(width), (n, 1))
+    """Words (n x books) whose sums are near the vectors, and the squared norms of the sums.
+
+    Book by book, the `beam` best of all (kept sum, word) pairs are kept, by what would be left of the vector.
+    """
+    n, k = len(x), books.shape[1]
+    rows, rest = np.arange(n)[:, None], x[:, None, :]
+    cost, chosen = (x * x).sum(1)[:, None], np.zeros((n, 1, 0), dtype=np.int64)
+    for words in books:
+        total = (cost[:, :, None] - 2 * (rest @ words.T) + (words * words).sum(1)).reshape(n, -1)
+        width = min(beam, total.shape[1])
+        best = np.argpartition(total, width - 1, axis=1)[:, :width] if width < total.shape[1] else np.tile(np.arange(width), (n, 1))
         at, word = best // k, best % k
-        chosen = np.concatenate([chosen[rows, at], (word + book * k)[:, :, None]], axis=2)
-        cost, norms = flat_total[rows, best], grown.reshape(n, -1)[rows, best]
+        cost, rest = total[rows, best], rest[rows, at] - words[word]
+        chosen = np.concatenate([chosen[rows, at], word[:, :, None]], axis=2)
     first = cost.argmin(1)
-    return chosen[np.arange(n), first] - np.arange(m) * k, norms[np.arange(n), first]
+    return chosen[np.arange(n), first], ((x - rest[np.arange(n), first]) ** 2).sum(1)
+
+
+def _sums(x: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
+    order = np.argsort(group, kind="stable")
+    there, first = np.unique(group[order], return_index=True)
+    out = np.zeros((groups, x.shape[1]))
+    out[there] = np.add.reduceat(x[order], first)
+    return out
 
 
 def fit(x: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = ROUNDS) -> np.ndarray:
     """Codebooks (books x words x dimension)."""
     rng, words = np.random.default_rng(20240607), max(1, min(words, len(x)))
     out, rest = np.zeros((books, words, x.shape[1])), x.copy()
+    near_of = lambda rest, centre: ((centre**2).sum(1) - 2 * rest @ centre.T).argmin(1)
     for b in range(books):
         centre = rest[rng.choice(len(rest), words, replace=False)]
         for _ in range(6):
-            near = ((centre**2).sum(1) - 2 * rest @ centre.T).argmin(1)
-            count = np.bincount(near, minlength=words)
-            sums = np.zeros_like(centre)
-            np.add.at(sums, near, rest)
-            centre = np.where(count[:, None] > 0, sums / np.maximum(count, 1)[:, None], centre)
-        near = ((centre**2).sum(1) - 2 * rest @ centre.T).argmin(1)
+            near = near_of(rest, centre)
+            count = np.bincount(near, minlength=words)[:, None]
+            centre = np.where(count > 0, _sums(rest, near, words) / np.maximum(count, 1), centre)
         out[b] = centre
-        rest = rest - centre[near]
+        rest = rest - centre[near_of(rest, centre)]
     for _ in range(rounds):  # all words at once, given which of them each vector uses
         codes = np.concatenate([beam_search(p, out)[0] for p in np.array_split(x, max(1, len(x) // 1000))]) + np.arange(books) * words
         size = books * words
-        uses = np.zeros((size, size))
-        for a in range(books):
-            for b in range(books):
-                np.add.at(uses, (codes[:, a], codes[:, b]), 1.0)
-        sums = np.zeros((size, x.shape[1]))
-        for a in range(books):
-            np.add.at(sums, codes[:, a], x)
+        uses = np.bincount((codes[:, :, None] * size + codes[:, None, :]).ravel(), minlength=size * size).reshape(size, size).astype(float)
+        sums = sum(_sums(x, codes[:, a], size) for a in range(books))
         out = np.linalg.solve(uses + 0.05 * np.eye(size), sums + 0.05 * out.reshape(size, -1)).reshape(out.shape)
     return out
 
@@ -98,7 +98,7 @@ def index(vectors: DataFrame, books: np.ndarray) -> DataFrame:
                 part = batch.slice(k, 1000)
                 x = part.column(1).flatten().to_numpy().reshape(part.num_rows, -1)
                 codes = beam_search(x, shared.value)[0]
-                made = sum(words[codes[:, b]] for b, words in enumerate(shared.value))
+                made = sum(words[codes[:, b]] for b, words in enumerate(shared.value))  # as it is looked up
                 norms, errors = (made**2).sum(1), np.sqrt(((x - made) ** 2).sum(1))
                 code = pa.array([c.tobytes() for c in codes.astype(np.uint8)], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), code, pa.array(norms), pa.array(errors)], names=["vec_id", "v", "code", "norm", "error"])
@@ -176,5 +176,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, neighbours: int = 10, best:
 
 
 def search(embeddings: DataFrame, every: int = 100) -> DataFrame:
+    """Rows (query_id, rank, vec_id, score): the nearest of every vector whose vec_id `every` divides.
+
+    usable() tells which rows take part; an empty table, or one without such rows, gives no rows; other columns are not read.
+    """
     vectors = cut(usable(embeddings.select("vec_id", "embedding")))
     return nearest(vectors, vectors.where(F.col("vec_id") % every == 0))

@@ -11,12 +11,12 @@ import json
 import re
 import unicodedata
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import compress
-from operator import not_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,9 +25,13 @@ from codeweft.llm.common import bucketed_rank, cut, map_texts, without
 
 #: Distinct strings between spaces whose ids a worker keeps in each of two generations: when the young one is full it
 #: becomes the old one, and what is met again comes back. Longer strings are not kept.
-TABLE_SIZE, LONGEST = 300_000, 200
-#: Steps of the search for a better packing than the best known one, and fillings looked at in a step.
-SEARCH_STEPS, FILLINGS, PROBES = 5_000, 8, 400
+TABLE_SIZE, LONGEST = 500_000, 200
+#: Characters of text whose words are looked up together, and texts given out together.
+CHUNK, ROWS = 8 << 20, 4096
+#: The search for a better packing than the best known one ends after so many steps, or so many sizes tried while filling bins.
+SEARCH_STEPS, PROBES = 3_000, 300_000
+#: It also ends within this share of the lower bound: one sequence more in two thousand.
+GAP = 0.0005
 
 # The word pattern of the tokenizers whose words are encoded one by one.
 _WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -36,7 +40,8 @@ _encoders: dict[str, _Encoder] = {}
 
 
 def _class(kind: str) -> str:
-    return "".join(c for c in map(chr, range(0x21, 0x250)) if unicodedata.category(c)[0] == kind)
+    """Characters of a kind among the plain ones and their lower case, which lies beyond that range for some."""
+    return "".join(sorted({c for x in map(chr, range(0x21, 0x250)) for c in (x, *x.lower()) if unicodedata.category(c)[0] == kind}))
 
 
 class _Encoder:
@@ -90,25 +95,50 @@ class _Encoder:
         data = ids.tobytes()
         self.known.update(zip(new, [data[i:j] for i, j in zip([0, *at[:-1]], at, strict=True)], strict=True))
 
+    def _table(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct strings between spaces, none of them long."""
+        known, old = self.known, self.old
+        known[""] = b""
+        ids = [*map(known.get, words)]
+        gaps = [i for i, x in enumerate(ids) if x is None]
+        if gaps:
+            known.update({words[i]: old[words[i]] for i in gaps if words[i] in old})
+            self._learn([words[i] for i in gaps if words[i] not in known and not self._parted(words[i])])
+            for i in gaps:
+                ids[i] = known[words[i]]
+        return ids
+
+    def _by_word(self, texts: list[str]) -> list[bytes | None]:
+        """Ids of plain texts: each distinct string is looked up once, and the ids are laid out by their numbers. None: too long a string."""
+        split = pc.utf8_split_whitespace(pc.utf8_lower(pa.array(texts, pa.string())))
+        coded = split.flatten().dictionary_encode()
+        words, codes, bounds = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(), split.offsets.to_numpy()
+        length = np.fromiter(map(len, words), np.int64, len(words))
+        long = length > LONGEST
+        ids = self._table(["" if x else w for w, x in zip(words, long.tolist(), strict=True)] if long.any() else words)
+        data, sizes = np.frombuffer(b"".join(ids), dtype="<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        first, n = np.cumsum(sizes) - sizes, sizes[codes]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        flat = data[np.arange(ends[-1]) + np.repeat(first[codes] - ends[:-1], n)] if ends[-1] else data[:0]
+        bad = np.add.reduceat(np.append(long[codes], False).astype(np.int64), bounds[:-1]) if long.any() else np.zeros(len(texts))
+        return [None if bad[k] else flat[ends[bounds[k]] : ends[bounds[k + 1]]].tobytes() for k in range(len(texts))]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.known) > TABLE_SIZE:
-            self.known, self.old = {}, self.known
-        known, old, out = self.known, self.old, []
-        for text in texts:
-            parts = text.lower().split() if self.by_word and self.plain.fullmatch(text) and not _SPECIAL.search(text) else None
-            if parts is None or (parts and max(map(len, parts)) > LONGEST):
-                out += self._library([text])
-                continue
-            ids = [*map(known.get, parts)]
-            gaps = [*compress(range(len(ids)), map(not_, ids))]
-            if gaps:
-                new = {parts[i] for i in gaps}
-                known.update({w: old[w] for w in new if w in old})
-                self._learn([w for w in new if w not in known and not self._parted(w)])
-                for i in gaps:
-                    ids[i] = known[parts[i]]
-            out.append(b"".join(ids))
+        out: list[bytes | None] = [None] * len(texts)
+        plain = [i for i, t in enumerate(texts) if self.by_word and t and self.plain.fullmatch(t) and not _SPECIAL.search(t)]
+        while plain:
+            if len(self.known) > TABLE_SIZE:
+                self.known, self.old = {}, self.known
+            size, part = 0, []
+            while plain and (not part or size < CHUNK):
+                part.append(plain.pop())
+                size += len(texts[part[-1]])
+            for i, ids in zip(part, self._by_word([texts[i] for i in part]), strict=True):
+                out[i] = ids
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, ids in zip(rest, self._library([texts[i] for i in rest]) if rest else [], strict=True):
+            out[i] = ids
         return out
 
 
@@ -134,7 +164,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, text: str = "te
             rows.append(row)
         return [rows]
 
-    made = map_texts(docs, text, [("__pieces", T.ArrayType(T.StructType([T.StructField(n, t) for n, t in kind])))], work, [c for c in docs.columns if c != text])
+    made = map_texts(docs, text, [("__pieces", T.ArrayType(T.StructType([T.StructField(n, t) for n, t in kind])))], work, [c for c in docs.columns if c != text], ROWS)
     return made.select("*", F.inline("__pieces")).drop("__pieces")
 
 
@@ -144,15 +174,14 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, text: str = "te
 def lower_bound(counts: np.ndarray) -> int:
     """Fewest bins possible: for each a, items over C - a stand alone and those from a up share what the larger leave."""
     capacity = len(counts) - 1
-    n, half, best = counts.astype(object), capacity // 2, 0
-    size = np.array([int(k) * int(c) for k, c in enumerate(n)], dtype=object)
-    best = -(-int(size.sum()) // capacity)
-    cn, cs = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(size)])
-    for a in range(1, half + 1):
-        large, large_size = cn[capacity - a + 1] - cn[half + 1], cs[capacity - a + 1] - cs[half + 1]
-        alone, rest = cn[capacity + 1] - cn[capacity - a + 1], cs[half + 1] - cs[a]
-        best = max(best, int(alone + large + max(0, -(-int(rest - (large * capacity - large_size)) // capacity))))
-    return best
+    size = counts * np.arange(capacity + 1)
+    half, best = capacity // 2, -(-int(size.sum()) // capacity)
+    cn, cs = np.concatenate([[0], np.cumsum(counts)]), np.concatenate([[0], np.cumsum(size)])
+    a = np.arange(1, half + 1)
+    large, large_size = cn[capacity - a + 1] - cn[half + 1], cs[capacity - a + 1] - cs[half + 1]
+    alone, rest = cn[capacity + 1] - cn[capacity - a + 1], cs[half + 1] - cs[a]
+    over = np.maximum(0, -(-(rest - (large * capacity - large_size)) // capacity))
+    return max(best, int((alone + large + over).max(initial=0)))
 
 
 def best_fit(counts: np.ndarray) -> list[tuple[int, tuple[int, ...]]]:
@@ -178,59 +207,54 @@ def best_fit(counts: np.ndarray) -> list[tuple[int, tuple[int, ...]]]:
     return out
 
 
-def fillings(left: np.ndarray, room: int, slack: int) -> list[tuple[int, tuple[int, ...]]]:
-    """Undominated sets of lengths for the room beside the largest item, least waste first, at most `slack` of it.
+class _Budget:
+    """Sizes that the whole search may still try."""
+
+    def __init__(self, left: int) -> None:
+        self.left = left
+
+
+def fillings(left: np.ndarray, room: int, slack: int, budget: _Budget) -> Iterator[tuple[int, tuple[int, ...]]]:
+    """Undominated sets of lengths for the room beside the largest item, one by one: those without waste first, then up to `slack`.
 
     A set is dominated if a length could still be added, or one in it be exchanged for a longer one that fits: whatever a
-    packing does with the dominated set, it does no worse with the other.
+    packing does with the dominated set, it does no worse with the other. All are enumerated unless the budget runs out.
     """
-    sizes = np.flatnonzero(left[: room + 1])
-    found: dict[tuple[int, ...], int] = {}
-    probes = 0
-
-    def undominated(items: tuple[int, ...], waste: int) -> bool:
-        if not waste:
-            return True
-        spare = [int(x) for x in sizes if left[x] > items.count(int(x))]
-        return not any(x <= waste or any(y < x <= y + waste for y in items) for x in spare)
-
-    def grow(items: tuple[int, ...], free: int, top: int) -> None:
-        nonlocal probes
-        k = int(np.searchsorted(sizes, min(free, top), "right")) - 1
-        while k >= 0 and probes < PROBES and len(found) < FILLINGS:
-            x = int(sizes[k])
-            if left[x] > items.count(x):
-                probes += 1
-                rest = free - x
-                if not rest:
-                    found.setdefault((*items, x), 0)
+    sizes = [int(x) for x in np.flatnonzero(left[: room + 1])]
+    have = [int(left[x]) for x in sizes]
+    upto = [0, *np.cumsum([x * n for x, n in zip(sizes, have, strict=True)]).tolist()]
+
+    def undominated(items: tuple[tuple[int, int], ...], waste: int) -> bool:
+        used = {j: m for j, m in items}
+        spare = [x for j, x in enumerate(sizes) if have[j] > used.get(j, 0)]
+        if spare and spare[0] <= waste:
+            return False
+        return not any((k := bisect_right(spare, sizes[j])) < len(spare) and spare[k] <= sizes[j] + waste for j in used)
+
+    def grow(items: tuple[tuple[int, int], ...], free: int, top: int, low: int, high: int) -> Iterator[tuple[int, tuple[int, ...]]]:
+        j = min(top, bisect_right(sizes, free) - 1)
+        while j >= 0 and free - upto[j + 1] <= high:  # what is left of the smaller ones can fill the room
+            for m in range(min(have[j], free // sizes[j]), 0, -1):
+                budget.left -= 1
+                if budget.left <= 0:
                     return
-                if left[rest] > (items + (x,)).count(rest) and rest <= x:  # closes the gap with one more
-                    found.setdefault((*items, x, rest), 0)
-                    if x < free // 2:
-                        return
-                else:
-                    grow((*items, x), rest, x)
-            k -= 1
-            if items and k >= 0 and free - int(sizes[k]) * (len(items) + 2) > slack and not rest_fits(free, int(sizes[k])):
-                break
-        if items and free <= slack and undominated(items, free):
-            found.setdefault(items, free)
-
-    def rest_fits(free: int, x: int) -> bool:
-        return x * int(left[: x + 1].sum()) >= free
+                yield from grow((*items, (j, m)), free - m * sizes[j], j - 1, low, high)
+            j -= 1
+        if low <= free <= high and (not free or undominated(items, free)):
+            yield free, tuple(sizes[j] for j, m in items for _ in range(m))
 
-    grow((), room, room)
-    if room <= slack and undominated((), room):
-        found.setdefault((), room)
-    return sorted(((w, f) for f, w in found.items()), key=lambda y: (y[0], len(y[1]), tuple(-z for z in y[1])))
+    yield from grow((), room, len(sizes) - 1, 0, 0)
+    if slack > 0:
+        yield from grow((), room, len(sizes) - 1, 1, min(slack, room))
 
 
-def complete_bins(histogram: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
+def complete_bins(histogram: dict[int, int], capacity: int, steps: int = SEARCH_STEPS, probes: int = PROBES, gap: float = GAP) -> list[tuple[int, tuple[int, ...]]]:
     """Compositions that use up the histogram in as few bins as found; best fit is the first incumbent.
 
-    Depth first: the largest remaining item takes one of its undominated fillings, as often as the counts allow; a branch
-    ends when the waste so far rules out fewer bins than the incumbent has.
+    Depth first: the largest remaining item takes one of its undominated fillings, as often as the counts and the waste allow,
+    then half as often, and so on down to once; a branch ends when the waste so far, or the lower bound of what remains, rules
+    out fewer bins than the incumbent has. The search ends at the lower bound, within `gap` of it, or when `steps` or `probes`
+    are used up; the best packing found by then stands.
     """
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in histogram.items():
@@ -238,46 +262,47 @@ def complete_bins(histogram: dict[int, int], capacity: int) -> list[tuple[int, t
     if not counts.any():
         return []
     total, least = sum(int(k) * int(n) for k, n in histogram.items()), lower_bound(counts)
-    best = best_fit(counts)
+    best, budget = best_fit(counts), _Budget(probes)
     bins = sum(t for t, _ in best)
-    left, path, wasted, steps = counts.copy(), [], 0, 0
-    stack: list[Iterator] = []
+    left, path, wasted, used = counts.copy(), [], 0, 0
 
-    def options() -> Iterator:
+    def options() -> Iterator[tuple[int, int, tuple[int, ...]]]:
         largest = int(np.flatnonzero(left)[-1])
-        left[largest] -= 1
-        found = fillings(left, capacity - largest, (bins - 1) * capacity - total - wasted)
-        left[largest] += 1
-        return iter([(w, (largest, *f)) for w, f in found])
-
-    while bins > least and steps < SEARCH_STEPS:
-        if not left.any():
-            best, bins = list(path), sum(t for t, _ in path)
-        elif len(stack) == len(path):
-            stack.append(options())
-        choice = next(stack[-1], None) if len(stack) > len(path) else None
+        rest = left.copy()
+        rest[largest] -= 1
+        for waste, filling in fillings(rest, capacity - largest, (bins - 1) * capacity - total - wasted, budget):
+            items = (largest, *filling)
+            times = min(int(left[x]) // items.count(x) for x in set(items))
+            allowed = (bins - 1) * capacity - total - wasted
+            times = min(times, allowed // waste) if waste else times
+            while times >= 1:
+                yield waste, times, items
+                times //= 2
+
+    stack = [options()]
+    while stack and bins > least + int(gap * least) and steps > 0 and budget.left > 0:
+        choice = next(stack[-1], None)
         if choice is None:  # back one step
-            if len(stack) > len(path):
-                stack.pop()
-            if not path:
-                break
-            times, items = path.pop()
-            for x in items:
-                left[x] += times
-            wasted -= times * (capacity - sum(items))
-            continue
-        steps += 1
-        waste, items = choice
-        uses = {x: items.count(x) for x in items}
-        times = min(int(left[x]) // u for x, u in uses.items())
-        allowed = (bins - 1) * capacity - total - wasted
-        times = min(times, allowed // waste) if waste else times
-        if times < 1:
+            stack.pop()
+            if path:
+                times, items = path.pop()
+                for x in items:
+                    left[x] += times
+                wasted -= times * (capacity - sum(items))
+                used -= times
             continue
+        steps -= 1
+        waste, times, items = choice
         for x in items:
             left[x] -= times
+        wasted, used = wasted + times * waste, used + times
         path.append((times, items))
-        wasted += times * waste
+        if not left.any():
+            if used < bins:
+                best, bins = list(path), used
+            stack.append(iter(()))
+        else:
+            stack.append(options() if used + lower_bound(left) < bins else iter(()))
     return best
 
 
@@ -331,4 +356,9 @@ def pack(pieces: DataFrame, capacity: int, length: str = "length", order: list[s
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048) -> DataFrame:
+    """One row for each piece of each document: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    Null and empty texts are one piece of one token; repeated rows are packed each; an empty table stays empty; other columns
+    are not read.
+    """
     return pack(token_pieces(docs.select("doc_id", "text"), tokenizer, capacity), capacity, order=["doc_id", "piece", "ids_crc32"])

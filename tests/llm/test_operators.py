@@ -119,6 +119,52 @@ def test_bin_completion_is_no_worse_than_best_fit_and_reaches_the_optimum(seed):
     assert sum(n for n, _ in plan) == best
 
 
+def test_ids_are_those_of_the_library_whatever_the_table_holds(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path, rng = tokenizer("word_bpe_49k.json"), random.Random(12)
+    lib, encoder = Tokenizer.from_file(path), packing._Encoder(path)
+    monkeypatch.setattr(packing, "TABLE_SIZE", 20)
+    monkeypatch.setattr(packing, "CHUNK", 60)
+    letters = [chr(i) for i in [*range(0x20, 0x7F), 9, 10, 13, *range(0xA1, 0x250), *range(0x2010, 0x2030), 0x3B1, 0x4E00, 0x1F600]]
+    made = ["".join(rng.choice(letters) if rng.random() < 0.2 else rng.choice("abc ABC é.,'!") for _ in range(rng.choice([0, 5, 50, 500]))) for _ in range(400)]
+    made += ["x" * 300 + " a", " ", "", "a  b\r\nc", "<|endoftext|> a", "don't DON'T 12.5", "word. word word, word.", *made[:20]]
+    assert encoder.encode(made) == [np.array(lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in made]
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_fillings_are_the_undominated_sets(seed):
+    rng, capacity = random.Random(seed), 20
+    left = np.zeros(capacity + 1, dtype=np.int64)
+    for x in rng.sample(range(2, 12), 5):
+        left[x] = rng.randint(1, 3)
+    room, slack = 17, rng.randint(0, 4)
+    bags = {()}
+    for x in np.flatnonzero(left).tolist():
+        bags |= {b + (x,) * m for b in bags for m in range(1, int(left[x]) + 1) if sum(b) + x * m <= room}
+
+    def dominated(b):
+        waste, spare = room - sum(b), [x for x in range(1, room + 1) if left[x] > b.count(x)]
+        return any(x <= waste or any(y < x <= y + waste for y in b) for x in spare)
+
+    want = {b for b in bags if room - sum(b) <= slack and (sum(b) == room or not dominated(b))}
+    got = list(packing.fillings(left, room, slack, packing._Budget(10**6)))
+    assert {tuple(sorted(f)) for _, f in got} == want and len(got) == len(want) and all(w == room - sum(f) for w, f in got)
+
+
+def test_the_search_beats_best_fit_and_stops_within_its_steps():
+    assert sum(n for n, _ in packing.complete_bins({6: 2, 5: 1, 4: 2, 3: 1, 2: 1}, 10)) == 3
+    rng = np.random.default_rng(1)
+    histogram = collections.Counter(np.clip(rng.lognormal(6, 0.9, 3000).astype(int), 1, 2048).tolist())
+    for limits in ({}, {"steps": 1}, {"probes": 1}):
+        plan = packing.complete_bins(histogram, 2048, **limits)
+        used = collections.Counter()
+        for n, items in plan:
+            for x in items:
+                used[x] += n
+        assert used == histogram and all(sum(items) <= 2048 for _, items in plan)
+
+
 def test_sharding(spark):
     rows, df = documents(spark, texts(3), shard="clash", slot="clash")
     got = sharding.shard_documents(df, 5).collect()
@@ -372,6 +418,42 @@ def test_neighbours(spark):
     assert neighbours.search(df.limit(0)).count() == 0
 
 
+def test_beams_that_hold_all_sums_find_the_best_one():
+    rng = np.random.default_rng(13)
+    books, x = rng.normal(size=(3, 4, 5)), rng.normal(size=(50, 5))
+    codes, norms = neighbours.beam_search(x, books, beam=64)
+    sums = (books[0][:, None, None] + books[1][None, :, None] + books[2][None, None]).reshape(64, 5)
+    best = ((x[:, None] - sums) ** 2).sum(2).argmin(1)
+    assert (codes @ [16, 4, 1] == best).all() and np.allclose(norms, (sums[best] ** 2).sum(1))
+    wide, narrow = (sum(np.linalg.norm(x - sum(w[c] for w, c in zip(books, neighbours.beam_search(x, books, b)[0].T, strict=True)), axis=1)) for b in (4, 1))
+    assert wide <= narrow
+
+
+def test_codes_tell_near_from_far():
+    """The codes alone, without exact ranking, on 5,000 clustered vectors: far more than the candidates looked at."""
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(50, 16))[rng.integers(0, 50, 5000)] * 3 + rng.normal(size=(5000, 16))
+    books = neighbours.fit(x, books=8, words=64)
+    codes, norms = neighbours.beam_search(x, books)
+    made = sum(w[codes[:, b]] for b, w in enumerate(books))
+    assert np.allclose(norms, (made**2).sum(1)) and ((x - made) ** 2).sum() < 0.15 * (x**2).sum()
+    found = 0
+    for q in range(0, 5000, 100):
+        exact, near = ((x - x[q]) ** 2).sum(1), norms - 2 * sum((w @ x[q])[codes[:, b]] for b, w in enumerate(books))
+        exact[q] = near[q] = np.inf
+        found += len({*np.argsort(exact)[:10].tolist()} & {*np.argsort(near)[:100].tolist()})
+    assert found >= 0.9 * 500
+
+
+def test_vectors_of_other_lengths_and_clashing_names(spark):
+    rng = np.random.default_rng(15)
+    rows = [(i, rng.normal(size=4).tolist(), "x") for i in range(60)] + [(i, rng.normal(size=3).tolist(), "x") for i in range(60, 80)] + [(100, [], "x"), (0, None, "x")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, v string").withColumns({"code": F.lit(1), "norm": F.lit(2)})
+    got = neighbours.search(df, every=20).collect()
+    assert {r["query_id"] for r in got} == {0, 20, 40} and all(r["vec_id"] < 60 for r in got) and len(got) == 30
+    assert neighbours.search(df.where("vec_id = 0"), every=20).count() == 0
+
+
 def test_neighbours_of_thousands_of_copies(spark):
     rng = np.random.default_rng(11)
     x = rng.normal(size=(6000, 8))
