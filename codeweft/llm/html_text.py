@@ -1,12 +1,14 @@
 """Main text of HTML pages by tree scoring.
 
 Paragraphs pass points for length and commas to the elements around them, half as many with each step up; points are
-discounted by link density. The best container and its good siblings are kept, without menus, notices, adverts and the like.
+discounted by link density, and far more for elements that are named like menus, adverts, comments and the like. The best
+container and its good siblings are kept. Only then are such elements left out, never one that holds the best container.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from html import unescape
 
 import numpy as np
@@ -18,12 +20,13 @@ from codeweft.llm.common import map_texts
 
 # Names of elements and of their usual roles and classes.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template textarea title iframe svg math object select canvas audio video".split())
+_RAW = frozenset("script style noscript textarea title iframe noembed noframes xmp".split())
 _PARAGRAPH = frozenset("p pre td th li dd dt blockquote h1 h2 h3 h4 h5 h6 figcaption caption summary address".split())
 _BLOCK = _PARAGRAPH | frozenset("html body main article section div header footer nav aside ul ol dl table thead tbody tfoot tr form fieldset figure details dialog menu hr center hgroup".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
 _SCOPE = frozenset("html body main article section div ul ol dl table td th blockquote aside nav header footer form".split())
-_DROPPED = frozenset("nav header footer aside form button dialog menu head fieldset label input".split())
+_BARRIER = frozenset("td th table article body".split())
+_DROPPED = frozenset("nav header footer aside button dialog menu head label input template svg math object select canvas audio video".split())
 _NAMES = frozenset(
     "ad ads advert adverts advertisement sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription sidebar "
     "side menu menus nav navbar navigation navigate breadcrumb breadcrumbs share sharing social related recommended recommendations comment comments reply replies respond disqus "
@@ -31,109 +34,178 @@ _NAMES = frozenset(
 )
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 _NEVER = frozenset("html body main article".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s>/]*)[^>]*>|<([a-zA-Z][^\s>/]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
-_ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: One attribute after white space and slashes: a name, and a value in quotes that close, in quotes that don't, or without.
+_ATTRIBUTE = re.compile(r"[\s/]*(?:(>)|([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>\"'][^\s>]*)|))?)")
+#: How far an element's points go: as they are; named like one that is left out, in part or altogether.
+_CLEAN, _NAMED_IN_PART, _NAMED = 1.0, 0.3, 0.1
+#: An element named so in part is left out if it is smaller than this share of the best container, or as full of links.
+_SMALL, _LINKS = 0.4, 0.3
+#: Nothing but a notice, a form or the like of fewer characters is no article.
+_SHORT = 200
 
 
-def _unwanted(tag: str, attributes: str) -> bool:
+def _doubt(tag: str, attributes: list[tuple[str, str]]) -> float:
+    """0: never the article. Else the share of its points that an element of this name and class passes on."""
     if tag in _DROPPED:
-        return True
-    if not attributes.strip() or tag in _NEVER:
-        return False
-    for name, a, b, c, hidden in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), (a or b or c).lower()
-        if hidden or (name == "aria-hidden" and value == "true") or (name == "role" and value in _ROLES):
-            return True
+        return 0.0
+    worth = _NAMED if tag in ("form", "fieldset") else _CLEAN
+    if tag in _NEVER:
+        return worth
+    for name, value in attributes:
+        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value in _ROLES):
+            return 0.0
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-        if name in ("class", "id") and not _NAMES.isdisjoint(re.split(r"[^a-z0-9]+", value)):
-            return True
-    return False
+            return 0.0
+        if name in ("class", "id"):
+            for word in value.split():
+                if word in _NAMES:
+                    worth = min(worth, _NAMED)
+                elif not _NAMES.isdisjoint(re.split(r"[^a-z0-9]+", word)):
+                    worth = min(worth, _NAMED_IN_PART)
+    return worth
 
 
 class _Page:
-    """Elements in page order, each after its parent, and blocks of text with the element they are in."""
+    """Elements in page order, each after its parent, and blocks of text with the element they are in.
+
+    The page is read once: a tag that doesn't end takes the rest, and what is open is known by name, so that a closing tag
+    without its opening one costs nothing.
+    """
 
     def __init__(self, html: str) -> None:
-        self.tags, self.parents, self.dropped = [""], [-1], [False]
+        self.tags, self.parents, self.worth, self.dropped = [""], [-1], [_CLEAN], [False]
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters in links
         self.links = [0]
-        text: list[str] = []
-        linked = 0
-        stack, at, end = [0], 0, len(html)
-
-        def flush() -> None:
-            nonlocal linked
-            whole = " ".join("".join(text).split())
-            if whole:
-                self.blocks.append((holder, whole, linked))
-            text.clear()
-            linked = 0
-
-        holder = 0
+        self.stack = [0]
+        # Places in the stack of what is open, by name; of blocks; of what end tags and implied ends don't reach beyond.
+        self.open: dict[str, list[int]] = defaultdict(list)
+        self.open_blocks, self.barriers, self.scopes, self.row_scopes = [0], [0], [0], [0]
+        self._text: list[str] = []
+        self._linked = self._holder = 0
+        self._begun = False
+        self._read(html)
+        self._flush()
+
+    def _flush(self) -> None:
+        whole = " ".join("".join(self._text).split())
+        if whole:
+            self.blocks.append((self._holder, whole, self._linked))
+        self._text.clear()
+        self._linked, self._begun = 0, False
+
+    def _add(self, piece: str) -> None:
+        if self.dropped[self.stack[-1]]:
+            return
+        if not self._begun:
+            self._holder = self.stack[self.open_blocks[-1]]
+            self._begun = bool(piece.strip())
+        self._text.append(piece)
+        if self.links[self.stack[-1]]:
+            self._linked += len(" ".join(piece.split()))
+
+    def _read(self, html: str) -> None:
+        at, end = 0, len(html)
         while at < end:
-            m = _TOKEN.match(html, at)
-            at = m.end()
-            closing, opening, attributes = m.group(1), m.group(2), m.group(3)
-            if closing:
-                tag = closing.lower()
-                if tag == "br":
-                    text.append(" ")
-                for k in range(len(stack) - 1, 0, -1):
-                    if self.tags[stack[k]] == tag:
-                        if any(self.tags[x] in _BLOCK for x in stack[k:]):
-                            flush()
-                        del stack[k:]
-                        break
-                    if tag not in _SCOPE and self.tags[stack[k]] in ("td", "th", "table", "article", "body"):
+            start = html.find("<", at)
+            if start < 0:
+                start = end
+            if start > at:
+                self._add(unescape(html[at:start]))
+            if start == end:
+                return
+            following = html[start + 1 : start + 2]
+            if following == "!" or following == "?":
+                if html.startswith("<!--", start):
+                    stop, size = html.find("-->", start + 4), 3
+                elif html.startswith("<![CDATA[", start):
+                    stop, size = html.find("]]>", start + 9), 3
+                else:
+                    stop, size = html.find(">", start), 1
+                at = end if stop < 0 else stop + size
+            elif following == "/":
+                name = _NAME.match(html, start + 2)
+                stop = html.find(">", start + 2)
+                at = end if stop < 0 else stop + 1
+                if name and stop >= 0:
+                    self._end(name.group().lower())
+            elif name := _NAME.match(html, start + 1):
+                tag, at, attributes = name.group().lower(), name.end(), []
+                while True:
+                    m = _ATTRIBUTE.match(html, at)
+                    if not m or m.end() == at or m.end() >= end and not m.group(1):
+                        return  # the page ends inside a tag
+                    at = m.end()
+                    if m.group(1):
                         break
-            elif opening:
-                tag = opening.lower()
+                    attributes.append((m.group(2).lower(), (m.group(3) or m.group(4) or m.group(5) or "").lower()))
                 if tag in _RAW:
-                    if not attributes.endswith("/"):
-                        last = re.compile(f"</{tag}[^>]*>", re.I).search(html, at)
-                        at = last.end() if last else end
+                    last = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*>", re.I).search(html, at)
+                    at = last.end() if last else end
                     continue
-                if tag in _BLOCK:
-                    flush()
-                    self._close(stack, {"p"}, tag)
-                if tag in _CLOSES:
-                    self._close(stack, _CLOSES[tag], tag)
-                if tag in _VOID:
-                    text.append(" " if tag != "wbr" else "")
-                    continue
-                parent, me = stack[-1], len(self.tags)
-                heading = tag[:1] == "h" and tag[1:].isdigit() and self._in_article_header(stack)
-                self.tags.append(tag)
-                self.parents.append(parent)
-                self.links.append(self.links[parent] + (tag == "a"))
-                self.dropped.append((self.dropped[parent] and not heading) or _unwanted(tag, attributes))
-                stack.append(me)
-            elif html[m.start()] != "<" or m.end() == m.start() + 1:
-                if not self.dropped[stack[-1]]:
-                    piece = unescape(m.group())
-                    if not text or not "".join(text).strip():
-                        holder = next((x for x in reversed(stack) if self.tags[x] in _BLOCK), 0)
-                    text.append(piece)
-                    if self.links[stack[-1]]:
-                        linked += len(" ".join(piece.split()))
-        flush()
-
-    def _close(self, stack: list[int], tags: set[str], tag: str) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if self.tags[stack[k]] in tags:
-                del stack[k:]
-                return
-            if self.tags[stack[k]] in _SCOPE and not (tag == "tr" and self.tags[stack[k]] in ("td", "th")):
-                return
+                self._start(tag, attributes)
+                if html[at - 2] == "/" and (self.open["svg"] or self.open["math"]):  # only there an element can end itself
+                    self._end(tag)
+            else:
+                self._add("<")
+                at = start + 1
+
+    def _start(self, tag: str, attributes: list[tuple[str, str]]) -> None:
+        if tag in _BLOCK:
+            self._flush()
+            self._close({"p"}, tag)
+        if tag in _CLOSES:
+            self._close(_CLOSES[tag], tag)
+        if tag in _VOID:
+            if tag != "wbr":
+                self._add(" ")
+            return
+        parent, place = self.stack[-1], len(self.stack)
+        heading = tag[:1] == "h" and tag[1:].isdigit() and self._in_article_header()
+        worth = _doubt(tag, attributes)
+        self.stack.append(len(self.tags))
+        self.tags.append(tag)
+        self.parents.append(parent)
+        self.links.append(self.links[parent] + (tag == "a"))
+        self.worth.append(worth)
+        self.dropped.append((self.dropped[parent] and not heading) or not worth)
+        self.open[tag].append(place)
+        for names, places in ((_BLOCK, self.open_blocks), (_BARRIER, self.barriers), (_SCOPE, self.scopes)):
+            if tag in names:
+                places.append(place)
+        if tag in _SCOPE and tag not in ("td", "th"):
+            self.row_scopes.append(place)
+
+    def _pop(self, place: int) -> None:
+        """Close everything from this place of the stack on."""
+        if self.open_blocks[-1] >= place:
+            self._flush()
+        for k in range(len(self.stack) - 1, place - 1, -1):
+            self.open[self.tags[self.stack[k]]].pop()
+        del self.stack[place:]
+        for places in (self.open_blocks, self.barriers, self.scopes, self.row_scopes):
+            while places[-1] >= place:
+                places.pop()
+
+    def _end(self, tag: str) -> None:
+        if tag == "br":
+            self._add(" ")
+        places = self.open.get(tag)
+        if places and (tag in _SCOPE or places[-1] >= self.barriers[-1]):
+            self._pop(places[-1])
 
-    def _in_article_header(self, stack: list[int]) -> bool:
+    def _close(self, tags: set[str], tag: str) -> None:
+        place = max((self.open[t][-1] for t in tags if self.open.get(t)), default=0)
+        if place and place >= (self.row_scopes if tag == "tr" else self.scopes)[-1]:
+            self._pop(place)
+
+    def _in_article_header(self) -> bool:
         """A heading in a header that is dropped only for being one, inside an article."""
-        names = [self.tags[x] for x in stack]
-        if "header" not in names:
+        if not self.open.get("header"):
             return False
-        k = len(names) - 1 - names[::-1].index("header")
-        return not self.dropped[stack[k - 1]] and ("article" in names[:k] or "main" in names[:k])
+        place = self.open["header"][-1]
+        inside = any(self.open.get(t) and self.open[t][0] < place for t in ("article", "main"))
+        return inside and not self.dropped[self.stack[place - 1]]
 
 
 def main_text(html: str) -> str:
@@ -143,8 +215,11 @@ def main_text(html: str) -> str:
         return ""
     size = len(page.tags)
     points, chars, linked, anchors = np.zeros(size), np.zeros(size), np.zeros(size), np.zeros(size)
+    trust = np.array(page.worth)
+    for node in range(1, size):
+        trust[node] = min(trust[node], trust[page.parents[node]]) if not page.dropped[page.parents[node]] else trust[node]
     for element, text, links in page.blocks:
-        worth = text.count(",") + min(len(text) / 100, 3) + (1 if len(text) >= 25 else 0.1)
+        worth = (text.count(",") + min(len(text) / 100, 3) + (1 if len(text) >= 25 else 0.1)) * trust[element]
         chars[element] += len(text)
         linked[element] += links
         node = page.parents[element] if page.tags[element] in _PARAGRAPH and element else element
@@ -162,25 +237,36 @@ def main_text(html: str) -> str:
     while article > 0 and page.tags[article] != "article":
         article = page.parents[article]
     best = article if article > 0 else best
-    kept = np.zeros(size, dtype=bool)
+    around, node = {0}, best
+    while node > 0:
+        around.add(node)
+        node = page.parents[node]
+    if chars[best] < _SHORT and any(page.worth[node] <= _NAMED for node in around):
+        return ""
+    kept, gone = np.zeros(size, dtype=bool), np.zeros(size, dtype=bool)
     kept[best] = True
-    if best:
-        for s in range(1, size):
-            if page.parents[s] == page.parents[best] and not page.dropped[s] and s != best and page.tags[best] not in ("article", "body"):
-                good = final[s] >= max(1.0, 0.2 * final[best]) or page.tags[s] in ("h1", "h2") or (page.tags[s] in _PARAGRAPH and chars[s] > 80)
-                kept[s] = good and density[s] < 0.25
+    for node in range(1, size):
+        own = page.worth[node]
+        if own < _CLEAN and node not in around:
+            gone[node] = own <= _NAMED or chars[node] < _SMALL * chars[best] or density[node] > _LINKS
+        if best and page.parents[node] == page.parents[best] and not page.dropped[node] and node != best and page.tags[best] not in ("article", "body"):
+            good = final[node] >= max(1.0, 0.2 * final[best]) or page.tags[node] in ("h1", "h2") or (page.tags[node] in _PARAGRAPH and chars[node] > 80)
+            kept[node] = good and density[node] < 0.25
     menu = np.array([t in ("ul", "ol") for t in page.tags]) & (density >= 0.75) & (anchors >= 2)
+    rescued = np.array([not d for d in page.dropped])
     for node in range(1, size):
         up = page.parents[node]
         kept[node] |= kept[up]
         menu[node] |= menu[up]
-    return "\n".join(text for element, text, _ in page.blocks if kept[element] and not menu[element])
+        gone[node] |= gone[up] and not (page.dropped[up] and rescued[node])
+    return "\n".join(text for element, text, _ in page.blocks if kept[element] and not menu[element] and not gone[element])
 
 
 def extract_text(pages: DataFrame, html: str = "html", out: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Add `out`: the main text of each whole page; null and empty pages, and pages without text, have an empty one.
 
-    An existing column of that name is replaced; repeated rows are read each; an empty table stays empty.
+    An existing column of that name is replaced; repeated rows are read each; an empty table stays empty. The time for a page
+    grows with its length, however broken it is.
     """
     return map_texts(pages, html, [(out, T.StringType())], lambda texts: [[main_text(t) for t in texts]], keep)
 

@@ -4,8 +4,10 @@ columns with clashing names."""
 import collections
 import hashlib
 import html
+import html.parser
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -263,6 +265,86 @@ def test_html():
     assert main_text("<article><header><h1>Ti</h1><p>by me</p></header><section><p>Hi</p></section></article>") == "Ti\nHi"
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<div class="content has-sidebar"><p>Some text, with commas, of the article.</p><p>More of it.</p></div>', "Some text, with commas, of the article.\nMore of it."),
+        ('<div class="post social-post"><p>Some text, with commas, of the article.</p></div><div class="share-bar"><p>Share it</p></div>', "Some text, with commas, of the article."),
+        ("<article><p>a<script src=/a/>var x=1;</script></p><p>b</p></article>", "a\nb"),
+        ('<article><p title=5">a b</p></article>', "a b"),
+        ("<article><p title='it\"s > so'>a</p></article>", "a"),
+        ("<article><p>a</p><svg><path d=1 /><text>t</text></svg><p>b</p><br/><p/>c</article>", "a\nb\nc"),
+        ('<form id="all"><div><p>' + "An article, in a form, of some length. " * 8 + "</p></div><input></form>", ("An article, in a form, of some length. " * 8).strip()),
+        ('<div class="cookie notice">We use cookies.</div>', ""),
+        ("<article><p>a</p><div class='comments'>" + "<p>A comment, long, and with commas, more than the article.</p>" * 9 + "</div></article>", "a"),
+        ("<table><tr><td>a<td>b<tr><td>c</table>", "a\nb\nc"),
+        ("<article><p>a<textarea><p>x</textarea><p>b<!-- <p>c --><![CDATA[ d ]]><p", "a\nb"),
+    ],
+)
+def test_html_cases(page, text):
+    assert main_text(page) == text
+
+
+def test_hostile_pages_take_linear_time():
+    n = 20_000
+    pages = ["<a " * 10 * n, "<div>" * n + "</span>" * n, "<span>" + "<div>" * n + "</span>" * n, "<span><td>" + "<b>" * n + "</span>" * n, "<p>" + "a<b>b</b>" * n, "<header>" * n + "<h1>x" * n, '<p title="' * n, "<ul><li>" * n]
+    for page in pages:
+        began = time.process_time()
+        main_text(page)
+        assert time.process_time() - began < 4, page[:30]
+
+
+class _Article(html.parser.HTMLParser):
+    """A plain reading of what is inside <article>: blocks of text outside of elements that are never part of one."""
+
+    SKIP = {"nav", "form", "aside", "footer", "script", "style", "figure-ad"}
+
+    def __init__(self, page):
+        super().__init__()
+        self.open, self.blocks, self.text = [], [], ""
+        self.feed(page)
+        self.end()
+
+    def end(self):
+        if self.text.split():
+            self.blocks.append(" ".join(self.text.split()))
+        self.text = ""
+
+    def handle_starttag(self, tag, attrs):
+        inline = tag in ("a", "b", "i", "em", "strong", "span", "code", "u", "br", "img", "small", "sup", "sub")
+        if not inline:
+            self.end()
+            if "p" in self.open:
+                del self.open[len(self.open) - 1 - self.open[::-1].index("p") :]
+        if tag == "br":
+            self.text += " "
+        elif tag not in ("img", "hr", "meta", "link", "input"):
+            bad = tag in self.SKIP or {"ad", "comments", "comment", "share", "related", "cookie", "newsletter"} & set((dict(attrs).get("class") or "").split())
+            self.open.append("SKIP" if bad else tag)
+            self.names = {**getattr(self, "names", {}), len(self.open): tag}
+
+    def handle_endtag(self, tag):
+        names = [self.names[k + 1] for k in range(len(self.open))]
+        if tag in names:
+            k = len(names) - 1 - names[::-1].index(tag)
+            if any(n not in ("a", "b", "i", "em", "strong", "span", "code", "u") for n in names[k:]):
+                self.end()
+            del self.open[k:]
+
+    def handle_data(self, data):
+        if "article" in self.open and "SKIP" not in self.open:
+            self.text += data
+
+
+def test_html_of_all_pages_with_an_article():
+    import pyarrow.parquet as pq
+
+    pages = [r for r in pq.read_table("/root/testdata/sf0.1/pages.parquet", columns=["html"])["html"].to_pylist() if r and r.count("<article") == 1]
+    assert len(pages) > 100
+    wrong = [p for p in pages if main_text(p) != "\n".join(_Article(p).blocks)]
+    assert len(wrong) == 0, (len(wrong), len(pages), wrong[0])
+
+
 def test_html_over_pages(spark):
     pages = spark.createDataFrame([(1, "u", "<article><p>a&nbsp;b</article>", 1), (1, "u", "<article><p>a&nbsp;b</article>", 1), (2, None, None, 1), (None, "v", "", 1)], "page_id long, url string, html string, text int")
     assert sorted((str(r["page_id"]), r["text"], r["n_chars"]) for r in page_texts(pages).collect()) == [("1", "a b", 3), ("1", "a b", 3), ("2", "", 0), ("None", "", 0)]
