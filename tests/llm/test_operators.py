@@ -234,8 +234,11 @@ def links(docs):
     return [(i, min(least[find(k)], default=None), count[k], len(groups[t])) for k, t in enumerate(kinds) for i in groups[t]]
 
 
-def test_near_duplicates(spark, monkeypatch):
+@pytest.mark.parametrize("sent", [500_000, -1])
+def test_near_duplicates(spark, monkeypatch, sent):
     monkeypatch.setattr(near_duplicates, "BLOCK_TEXTS", 20)
+    monkeypatch.setattr(near_duplicates, "BUCKET_TEXTS", 15)
+    monkeypatch.setattr(near_duplicates, "BROADCAST_ROWS", sent)
     rng = random.Random(4)
     base = ["".join(rng.choice("abcdef") for _ in range(3)) for _ in range(120)]
 
@@ -249,6 +252,17 @@ def test_near_duplicates(spark, monkeypatch):
     key = lambda r: tuple(map(str, r))
     want = links([(r[0], r[1]) for r in rows])
     assert sorted((tuple(r) for r in near_duplicates.near_duplicates(df).collect()), key=key) == sorted(want, key=key)
+    found = near_duplicates.similar_pairs(df).collect()
+    kinds = collections.OrderedDict()
+    for r in rows:
+        kinds.setdefault(r[1] or "", []).extend([r[0]] if r[0] is not None else [])
+    sets = [(min(v, default=None), {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}) for t, v in kinds.items() if (w := WORD.findall(t.lower()))]
+    exact = collections.Counter()
+    for k, (a, x) in enumerate(sets):
+        for b, y in sets[:k]:
+            if 5 * len(x & y) >= 4 * len(x | y):
+                exact[str(min(a, b) if None not in (a, b) else a if b is None else b), str(max(a, b) if None not in (a, b) else a if b is None else b), round(len(x & y) / len(x | y), 9)] += 1
+    assert collections.Counter((str(r["a"]), str(r["b"]), round(r["similarity"], 9)) for r in found) == exact
     one = near_duplicates.one_of_each(df)
     assert one.columns == df.columns and {r["doc_id"] for r in one.collect()} >= {r[1] for r in want if r[1] is not None}
     assert near_duplicates.one_of_each(df.limit(0)).count() == near_duplicates.near_duplicates(df.limit(0)).count() == 0
@@ -265,6 +279,32 @@ def test_html():
     assert main_text("<article><header><h1>Ti</h1><p>by me</p></header><section><p>Hi</p></section></article>") == "Ti\nHi"
 
 
+def test_ties_of_buckets_connect_what_all_pairs_connect(monkeypatch):
+    rng = np.random.default_rng(16)
+    centre = rng.integers(0, 256, (12, 216), dtype=np.uint8)
+    values = centre[rng.integers(0, 12, 300)]
+    noise = rng.random(values.shape) < rng.choice([0.0, 0.05, 0.15, 0.5], 300)[:, None]
+    values = np.where(noise, rng.integers(0, 256, values.shape), values).astype(np.uint8)
+    bucket = np.sort(rng.choice([0, 0, 0, 1, 2, 3, 4, 5, 6, 7, *range(8, 60)], 300))
+    least = near_duplicates._least_matches(208)
+    for side in (None, np.where(bucket % 2 == 0, rng.integers(0, 2, 300), -1)):
+        i, j = (x.ravel() for x in np.meshgrid(np.arange(300), np.arange(300)))
+        fit = (i < j) & (bucket[i] == bucket[j]) & (True if side is None else (side[i] < 0) | (side[i] != side[j]))
+        i, j = i[fit], j[fit]
+        stay = near_duplicates._stay(values, i, j, least)
+
+        def parts(left, right):
+            sets = near_duplicates._Sets()
+            for a, b in zip(left.tolist(), right.tolist(), strict=True):
+                sets.join(a, b)
+            names = collections.defaultdict(list)
+            for k, n in sets.number.items():
+                names[sets.find(n)].append(k)
+            return sorted(sorted(x) for x in names.values())
+
+        assert len(stay) > 20 and parts(i[stay], j[stay]) == parts(*near_duplicates.bucket_ties(values, bucket, side))
+
+
 @pytest.mark.parametrize(
     "page, text",
     [
