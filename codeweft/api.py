@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweft.operators import graph, resolve, search, text
+from codeweft.operators import graph, resolve, search, similarity, text
 from codeweft.plans import passes, sqlgate
 from codeweft.schema import EngineConfig
 from codeweft.sources import discover
-from codeweft.sources.extract import extract
-from codeweft.store import Store, projects
+from codeweft.store import Store, across, projects
 
 
 class Engine:
@@ -27,38 +27,61 @@ class Engine:
         full = os.path.realpath(path)
         if self.config.allowed_root and not full.startswith(os.path.realpath(self.config.allowed_root) + os.sep):
             raise PermissionError(f"{path} lies outside {self.config.allowed_root}")
-        name, store = project or discover.project_name(path), None
-        store = self.store(name)
+        store = self.store(project or discover.project_name(path))
         files = discover.read_tree(self.spark, path, mode)
         return self._index(store, files, discover.git_changes(self.spark, path)[0])
 
     def _index(self, store: Store, files: DataFrame, head: str) -> dict[str, int | str]:
         files = graph.cut(files)
-        symbols = graph.cut(graph.first_by(extract(files, "symbols"), ["qualified_name"], ["line_end"]))
-        edges = passes.derive(store.project, files, symbols, self.config)
+        found, symbols = passes.read_files(files)
+        return self._derive(store, files, found, symbols, head)
+
+    def _derive(self, store: Store, files: DataFrame, found: DataFrame, symbols: DataFrame, head: str) -> dict[str, int | str]:
+        edges = passes.derive(store.project, files, found, symbols, self.config)
         members = graph.communities(symbols, edges, self.config.community_algorithm, self.config.community_resolution)
         marked = symbols.join(members, "qualified_name", "left").withColumn("properties", F.to_json(F.struct("community")))
-        store.replace(files=files, symbols=marked, edges=graph.first_by(edges, ["src", "dst", "edge_type"], ["properties"]))
+        vectors = similarity.symbol_vectors(symbols.where("label in ('Function', 'Class')"))
+        store.replace(files=files, symbols=marked, edges=graph.first_by(edges, ["src", "dst", "edge_type"], ["properties"]), vectors=vectors, postings=text.postings(files))
         store.set_meta("indexed_head", head)
         return {"project": store.project, "files": files.count(), "symbols": symbols.count(), "edges": store.read("edges").count()}
 
     def update_files(self, project: str, changed: DataFrame, removed: DataFrame | None = None) -> dict[str, int | str]:
-        """Merge changed and removed files and derive the graph again; no change, no work."""
+        """Merge changed and removed files; no change, no work.
+
+        Only changed files are read for symbols, which replace those of the files; what edges come from spans files, so the
+        passes run over the merged project.
+        """
         store = self.store(project)
         if changed.isEmpty() and (removed is None or removed.isEmpty()):
             return {"project": project, "files": 0}
-        lined = changed.withColumn("line_count", F.size(text.lines(F.col("content"))).cast("long"))
-        return self._index(store, resolve.merge_changes(store.read("files"), lined.select("path", "content", "language", "line_count"), "path", removed), store.get_meta("indexed_head") or "")
+        lined = changed.withColumn("line_count", F.size(text.lines(F.col("content"))).cast("long")).select("path", "content", "language", "line_count")
+        files = graph.cut(resolve.merge_changes(store.read("files"), lined, "path", removed))
+        gone = changed.select("path") if removed is None else changed.select("path").unionByName(removed.select("path"))
+        stay = store.read("symbols").drop("properties").join(gone.select(F.col("path").alias("file_path")).distinct(), "file_path", "left_anti")
+        fresh = passes.read_files(lined)[1]
+        symbols = graph.cut(stay.unionByName(fresh.select(*stay.columns)))
+        return self._derive(store, files, passes.read_files(files)[0], symbols, store.get_meta("indexed_head") or "")
 
     def search_graph(self, project: str, **conditions) -> DataFrame:
         s = self.store(project)
         return search.search_page(s.read("symbols"), s.read("edges"), search.SearchFilter(**conditions))
 
-    def trace_path(self, project: str, start: str, direction: str = "both", depth: int = 3) -> DataFrame:
+    def trace_path(self, project: str, start: str, direction: str = "both", depth: int = 3) -> dict[str, DataFrame]:
+        """nodes (qualified_name, level) and trace_edges, those met on the way."""
         s = self.store(project)
         if s.read("symbols").where(F.col("qualified_name") == start).isEmpty():
             raise KeyError(start)
-        return graph.trace(s.read("symbols"), s.read("edges"), start, direction, depth)
+        nodes = graph.trace(s.read("symbols"), s.read("edges"), start, direction, depth)
+        return {"nodes": nodes, "trace_edges": graph.trace_edges(s.read("edges"), nodes, direction, depth)}
+
+    def semantic_search(self, project: str, query: str, limit: int = 20) -> DataFrame:
+        """Symbols whose stored vectors are nearest to the query's words."""
+        s = self.store(project)
+        return similarity.vector_search(s.read("vectors"), s.read("symbols"), self.spark.createDataFrame([(query,)], "text string"), limit)
+
+    def find_symbols(self, names: list[str]) -> DataFrame:
+        """Symbols of these names in any project."""
+        return across(self.spark, self.root, self.spark.createDataFrame([(n,) for n in names], "qualified_name string"))
 
     def get_code_snippet(self, project: str, name: str) -> str:
         s = self.store(project)
@@ -89,7 +112,7 @@ class Engine:
         return sqlgate.query(self.spark, sql, {n: s.read(n) for n in ("symbols", "edges", "files", "vectors", "meta")})
 
     def list_projects(self) -> list[str]:
-        return projects(self.root)
+        return projects(self.spark, self.root)
 
     def delete_project(self, project: str) -> None:
         self.store(project).delete()
@@ -101,9 +124,8 @@ class Engine:
 
     def check_index_coverage(self, project: str, paths: list[str]) -> dict[str, int]:
         """How many of the paths are indexed, a path counting if an indexed one ends in it; 100 percent of none."""
-        known = [r[0] for r in self.store(project).read("files").where(F.exists(F.array(*[F.lit(p) for p in paths]) if paths else F.array().cast("array<string>"), lambda p: F.col("path").endswith(p))).select("path").collect()]
-        covered = sum(any(k.endswith(p) for k in known) for p in paths)
-        return {"total": len(paths), "covered": covered, "percent": round(100 * covered / len(paths)) if paths else 100}
+        asked = self.spark.createDataFrame([(p,) for p in paths], "path string")
+        return text.coverage(self.store(project).read("files"), asked).first().asDict()
 
     def ingest_traces(self, project: str, traces: DataFrame) -> int:
         """Add RUNTIME_TRACE edges; returns how many complete items came in."""
@@ -124,13 +146,62 @@ class Engine:
         files = [r["path"] for r in changes.orderBy("path").collect()]
         return {"clean": not files, "files": files, "head_changed": bool(head) and head != self.store(project).get_meta("indexed_head")}
 
-    def scan(self, project: str, size: int | None = None) -> DataFrame:
-        """Chunks of the files that a scan reads."""
-        kept = text.scan_reasons(self.store(project).read("files")).where("reason is null")
-        return text.chunks(kept, size or self.config.chunk_lines)
+    # --- scan sessions ---------------------------------------------------------------------------------------------------
+
+    def rlm_scan(self, project: str, size: int | None = None) -> dict[str, int | str]:
+        """Read the project's files in chunks and keep them as a session; expired sessions and all but the newest ones go."""
+        s, session = self.store(project), uuid.uuid4().hex
+        told = graph.cut(text.scan_reasons(s.read("files")))
+        read = told.where("reason is null")
+        rows = graph.cut(text.chunks(read, size or self.config.chunk_lines).withColumn("session", F.lit(session)))
+        reasons = {r["reason"]: r["n"] for r in told.where("reason is not null").groupBy("reason").agg(F.count(F.lit(1)).alias("n")).collect()}
+        sums = read.agg(F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).alias("b"), F.count(F.lit(1)).alias("n")).first()
+        one = self.spark.createDataFrame([(session, project, sums["b"], sums["n"], sum(reasons.values()), reasons)], "session string, root_path string, total_bytes long, files_scanned long, files_skipped long, skip_reasons map<string, long>")
+        all_sessions = s.read("sessions").unionByName(one.withColumn("created_at", F.current_timestamp()).select(*s.read("sessions").columns))
+        kept = graph.cut(text.retained(all_sessions, F.current_timestamp(), self.config.session_ttl_seconds, self.config.session_limit))
+        s.replace(sessions=kept, chunks=s.read("chunks").unionByName(rows.select(*s.read("chunks").columns)).join(kept.select("session"), "session", "left_semi"))
+        return {"session": session, "chunks": rows.count(), "files_scanned": sums["n"], "total_bytes": sums["b"]}
+
+    def rlm_session_list(self, project: str) -> DataFrame:
+        """Sessions that have not expired, the newest first."""
+        return text.retained(self.store(project).read("sessions"), F.current_timestamp(), self.config.session_ttl_seconds, self.config.session_limit)
+
+    def rlm_session_delete(self, project: str, session: str) -> None:
+        s = self.store(project)
+        if s.read("sessions").where(F.col("session") == session).isEmpty():
+            raise KeyError(session)
+        s.replace(sessions=s.read("sessions").where(F.col("session") != session), chunks=s.read("chunks").where(F.col("session") != session))
 
-    def chunk(self, project: str, offset: int = 0, limit: int = 3) -> DataFrame:
-        return self.scan(project).orderBy("path", "offset").offset(offset).limit(limit)
+    def _chunks(self, project: str, session: str) -> DataFrame:
+        return self.store(project).read("chunks").where(F.col("session") == session)
 
-    def peek(self, project: str, query: str) -> DataFrame:
-        return text.peek(self.scan(project), query)
+    def rlm_chunk(self, project: str, session: str, offset: int = 0, limit: int = 3) -> DataFrame:
+        return self._chunks(project, session).orderBy("path", "offset").offset(offset).limit(limit)
+
+    def rlm_peek(self, project: str, session: str, query: str) -> DataFrame:
+        return text.peek(self._chunks(project, session), query)
+
+    def rlm_filter(self, project: str, **conditions) -> DataFrame:
+        """The symbols to read next, with their total."""
+        return self.search_graph(project, **conditions)
+
+    def rlm_read_symbol(self, project: str, name: str) -> dict[str, DataFrame]:
+        """A symbol with its code and the edges that leave it."""
+        s = self.store(project)
+        one = self.spark.createDataFrame([(name,)], "qualified_name string")
+        return {"symbol": text.read_symbol(s.read("symbols"), s.read("files"), s.read("edges"), one), "calls": s.read("edges").where(F.col("src") == name)}
+
+    def rlm_reduce(self, project: str) -> dict[str, DataFrame]:
+        return self.get_architecture(project)
+
+    @staticmethod
+    def rlm_workflow(phase: str = "filter") -> dict[str, object]:
+        """What to do in a phase: narrow down, read symbol by symbol, put together."""
+        steps = {
+            "filter": ["index the repository", "narrow symbols down with rlm_filter or search_graph", "keep their qualified names"],
+            "map": ["read each symbol with rlm_read_symbol", "follow calls with trace_path", "read other files with rlm_scan and rlm_chunk"],
+            "reduce": ["take the architecture with rlm_reduce", "put the findings together"],
+        }
+        if phase not in steps:
+            raise ValueError(f"phase is one of {', '.join(steps)}")
+        return {"phase": phase, "steps": steps[phase]}

@@ -50,6 +50,15 @@ def lines(content: Column) -> Column:
     return F.when(F.length(content) == 0, F.array().cast("array<string>")).otherwise(F.split(body, r"\r?\n", -1))
 
 
+def line_of(text: Column, at: Column, compat: bool = False) -> Column:
+    """Line of the character at a place (from 1). compat: a place inside a line counts as on the next one, as where a match
+    that does not begin its line is told by the lines before it and one more."""
+    before = F.substr(text, F.lit(1), (at - 1).cast("int"))
+    ends = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit("")))
+    inside = (F.length(before) > 0) & ~before.endswith("\n")
+    return (ends + 1 + (F.when(inside, 1).otherwise(0) if compat else 0)).cast("long")
+
+
 def tokens(text: Column) -> Column:
     """Lower-case runs of two or more ASCII letters, digits and underscores."""
     return F.transform(F.regexp_extract_all(text, F.lit(f"({TOKEN})"), F.lit(1)), F.lower)

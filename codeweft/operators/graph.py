@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeweft.schema import COMMUNITY_WEIGHTS
@@ -17,18 +17,27 @@ ENTRY_WORDS = (
 )
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Compute once in the shared checkpoint folder; set one only where the session has none, as in tests."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> None:
+    """Use spark.checkpoint.dir. Where it is unset a local session gets a folder; a cluster has to name one that all share."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="codeweft-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="codeweft-"))
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Compute once in the shared folder: survives lost executors and ends the lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
 def trace(symbols: DataFrame, edges: DataFrame, start: str, direction: str = "both", depth: int = 3) -> DataFrame:
     """Breadth-first search: rows (qualified_name, level) of the symbols reached, each at its first level.
 
-    Ends that are no symbols are neither returned nor searched from. The frontier of a level meets the edges in one join.
+    Ends that are no symbols are neither returned nor searched from. The frontier of a level meets the edges in one join;
+    the edges are written once, dealt by the end that is searched from.
     """
     ways = []
     if direction in ("out", "outbound", "both"):
@@ -36,6 +45,7 @@ def trace(symbols: DataFrame, edges: DataFrame, start: str, direction: str = "bo
     if direction in ("in", "inbound", "both"):
         ways.append(edges.select(F.col("dst").alias("at"), F.col("src").alias("qualified_name")))
     step = ways[0] if len(ways) == 1 else ways[0].unionByName(ways[1])
+    step = cut(step) if depth > 1 else step
     known = symbols.select("qualified_name")
     seen = frontier = cut(known.where(F.col("qualified_name") == start).distinct().withColumn("level", F.lit(0)))
     for level in range(1, depth + 1):
@@ -126,8 +136,8 @@ def louvain(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, sweeps:
         return pd.DataFrame({"qualified_name": names, "head": [first[c] for c in home]})
 
     found = rows.groupBy("root").applyInPandas(moves, "qualified_name string, head string")
-    numbers = found.select("head").distinct().withColumn("community", F.row_number().over(Window.orderBy("head")) - 1)
-    return found.join(numbers, "head").select("qualified_name", F.col("community").cast("long").alias("community"))
+    found = cut(found)
+    return found.join(numbered(found.select("head").distinct(), "head", "community"), "head").select("qualified_name", "community")
 
 
 def communities(nodes: DataFrame, edges: DataFrame, algorithm: str = "louvain", resolution: float = 1.0) -> DataFrame:
@@ -139,8 +149,19 @@ def communities(nodes: DataFrame, edges: DataFrame, algorithm: str = "louvain",
 
 def number_components(roots: DataFrame) -> DataFrame:
     """Dense numbers in order of a component's smallest name."""
-    numbers = roots.select("root").distinct().withColumn("community", (F.row_number().over(Window.orderBy("root")) - 1).cast("long"))
-    return roots.join(numbers, "root").select("qualified_name", "community")
+    roots = cut(roots)
+    return roots.join(numbered(roots.select("root").distinct(), "root", "community"), "root").select("qualified_name", "community")
+
+
+def numbered(rows: DataFrame, key: str, out: str) -> DataFrame:
+    """Add `out`: the place of each key in order, from 0. Keys are sorted in ranges; the sizes of the ranges, one row for each,
+    give their first numbers, so no task sees all keys."""
+    ranged = cut(rows.repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn("__part", F.spark_partition_id()))
+    # One row for each partition.
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    inside = ranged.withColumn("__k", F.row_number().over(Window.partitionBy("__part").orderBy(key)))
+    return inside.join(F.broadcast(sizes), "__part").withColumn(out, (F.col("__before") + F.col("__k") - 1).cast("long")).drop("__part", "__before", "__k")
 
 
 def community_summary(members: DataFrame, top: int = 10, samples: int = 5) -> DataFrame:

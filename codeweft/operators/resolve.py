@@ -14,22 +14,26 @@ def resolve_calls(sites: DataFrame, registry: DataFrame, imports: DataFrame) ->
     sites: site, file_path, callee. registry: qualified_name, name, file_path. imports: file_path, imported.
     The first tier that decides wins: all in the same file; one among the imported files, or all if they are in one of them;
     exactly one in the same folder (not the root); exactly one anywhere. Otherwise the call is left open.
+
+    A name called in a file is decided once, against counts of the registry by name, by folder and by file, so a common name
+    never meets all its definitions; they are listed only where a file's definitions are the answer.
     """
-    c = sites.join(registry.select(F.col("qualified_name").alias("target"), F.col("name").alias("callee"), F.col("file_path").alias("home")), "callee")
-    c = c.join(imports.select("file_path", F.col("imported").alias("home"), F.lit(True).alias("brought")).distinct(), ["file_path", "home"], "left")
-    near = (parent_folder(F.col("home")) == parent_folder(F.col("file_path"))) & (parent_folder(F.col("file_path")) != "")
-    c = c.withColumns({"t1": F.col("home") == F.col("file_path"), "t2": F.coalesce("brought", F.lit(False)), "t3": near})
-    counts = c.groupBy("site").agg(
-        F.sum(F.col("t1").cast("int")).alias("n1"),
-        F.sum(F.col("t2").cast("int")).alias("n2"),
-        F.countDistinct(F.when(F.col("t2"), F.col("home"))).alias("f2"),
-        F.sum(F.col("t3").cast("int")).alias("n3"),
-        F.count(F.lit(1)).alias("n4"),
-    )
-    tier = F.when(F.col("n1") > 0, "same_file").when((F.col("n2") == 1) | ((F.col("n2") > 1) & (F.col("f2") == 1)), "import_map").when(F.col("n3") == 1, "same_directory").when(F.col("n4") == 1, "unique_name")
-    chosen = c.join(counts.select("site", tier.alias("strategy")).where("strategy is not null"), "site")
-    fits = F.when(F.col("strategy") == "same_file", F.col("t1")).when(F.col("strategy") == "import_map", F.col("t2")).when(F.col("strategy") == "same_directory", F.col("t3")).otherwise(F.lit(True))
-    return chosen.where(fits).select("site", "target", "strategy")
+    r = registry.select(F.col("qualified_name").alias("target"), F.col("name").alias("callee"), F.col("file_path").alias("home"))
+    one = lambda *keys: r.withColumn("folder", parent_folder(F.col("home"))).groupBy("callee", *keys).agg(F.count(F.lit(1)).alias("n"), F.min("target").alias("only"))
+    asked = sites.select("file_path", "callee").distinct().withColumn("folder", parent_folder(F.col("file_path")))
+    here = one("home").select("callee", F.col("home").alias("file_path"), F.col("n").alias("n1"))
+    brought = imports.select("file_path", F.col("imported").alias("home")).distinct()
+    met = asked.select("file_path", "callee").join(brought, "file_path").join(one("home"), ["callee", "home"])
+    through = met.groupBy("file_path", "callee").agg(F.sum("n").alias("n2"), F.count(F.lit(1)).alias("f2"), F.min("home").alias("home2"))
+    near = one("folder").where("folder <> '' and n = 1").select("callee", "folder", F.col("only").alias("t3"))
+    alone = one().where("n = 1").select("callee", F.col("only").alias("t4"))
+    told = asked.join(here, ["file_path", "callee"], "left").join(through, ["file_path", "callee"], "left").join(near, ["callee", "folder"], "left").join(alone, "callee", "left")
+    tier = F.when(F.col("n1") > 0, "same_file").when((F.col("n2") == 1) | (F.col("f2") == 1), "import_map").when(F.col("t3").isNotNull(), "same_directory").when(F.col("t4").isNotNull(), "unique_name")
+    told = told.withColumn("strategy", tier).where("strategy is not null")
+    where = F.when(F.col("strategy") == "same_file", F.col("file_path")).when(F.col("strategy") == "import_map", F.col("home2"))
+    single = told.where("strategy in ('same_directory', 'unique_name')").select("file_path", "callee", "strategy", F.when(F.col("strategy") == "same_directory", F.col("t3")).otherwise(F.col("t4")).alias("target"))
+    listed = told.where("strategy in ('same_file', 'import_map')").withColumn("home", where).join(r, ["callee", "home"]).select("file_path", "callee", "strategy", "target")
+    return sites.join(single.unionByName(listed), ["file_path", "callee"]).select("site", "target", "strategy")
 
 
 def resolve_parents(refs: DataFrame, registry: DataFrame) -> DataFrame:
@@ -73,29 +77,36 @@ def _segments(path: Column) -> Column:
 
 
 def link_routes(calls: DataFrame, routes: DataFrame) -> DataFrame:
-    """Rows (call, route, confidence). calls: call, path. routes: route, template, position.
+    """Rows (call, route, confidence). calls: call, path. routes: route, template, position (numbers or names that order them).
 
     An exact route wins, the first of them; else the last template that fits segment by segment (:id, {id} and <id> fit
-    anything); else the first that ends in the same last segment. Each class is an equi-join: on the path, on the number of
-    segments, on the last segment; no call meets routes that can't fit.
+    anything); else the first that ends in the same last segment. Each is an equi-join: on the path; on the path with a star
+    wherever the template has a hole, for each distinct set of holes among templates of so many segments; on the last segment.
     """
-    c = calls.select("call", route_key(F.col("path")).alias("p"))
-    r = routes.select("route", "position", route_key(F.col("template")).alias("t"))
-    exact = c.join(r, F.col("p") == F.col("t")).select("call", "route", F.lit(1).alias("class"), F.col("position").alias("at"))
-    parts = c.withColumn("ps", _segments(F.col("p"))).withColumn("n", F.size("ps"))
-    shapes = r.withColumn("ts", _segments(F.col("t"))).withColumn("n", F.size("ts"))
+    c = calls.select("call", route_key(F.col("path")).alias("p")).withColumn("ps", _segments(F.col("p")))
+    r = routes.select("route", "position", route_key(F.col("template")).alias("t")).withColumn("ts", _segments(F.col("t")))
+    order = F.struct("position", "route")
+    exact = c.join(r.groupBy("t").agg(F.min(order).alias("m")), F.col("p") == F.col("t")).select("call", F.lit(1).alias("class"), "m.route")
     hole = lambda x: x.rlike(r"^(:.+|\{.*\}|<.*>)$")
-    shaped = shapes.where(F.exists("ts", hole))
-    fits = F.forall(F.zip_with("ps", "ts", lambda x, y: hole(y) | (x == y)), lambda ok: ok)
-    template = parts.join(shaped, "n").where(fits).select("call", "route", F.lit(2).alias("class"), (-F.col("position")).alias("at"))
+    holes = F.transform("ts", hole)
+    shaped = r.withColumn("holes", holes).where(F.exists("holes", lambda x: x)).withColumn("key", _starred(F.col("ts"), F.col("holes")))
+    # One row for each key: what fits a call is the last template of all keys that it matches.
+    templates = shaped.groupBy("holes", "key").agg(F.max(order).alias("m"))
+    shapes = shaped.select(F.size("ts").alias("n"), "holes").distinct()
+    masked = c.withColumn("n", F.size("ps")).join(shapes, "n").withColumn("key", _starred(F.col("ps"), F.col("holes")))
+    template = masked.join(templates, ["holes", "key"]).groupBy("call").agg(F.max("m").alias("m")).select("call", F.lit(2).alias("class"), "m.route")
     tail = lambda a: F.element_at(a, -1)
-    ends = parts.withColumn("last", tail(F.col("ps"))).where("last <> ''").join(shapes.withColumn("last", tail(F.col("ts"))), "last")
-    suffix = ends.select("call", "route", F.lit(3).alias("class"), F.col("position").alias("at"))
-    best = exact.unionByName(template).unionByName(suffix).groupBy("call").agg(F.min(F.struct("class", "at", "route")).alias("m"))
+    ends = r.groupBy(tail(F.col("ts")).alias("last")).agg(F.min(order).alias("m"))
+    suffix = c.select("call", tail(F.col("ps")).alias("last")).where("last <> ''").join(ends, "last").select("call", F.lit(3).alias("class"), "m.route")
+    best = exact.unionByName(template).unionByName(suffix).groupBy("call").agg(F.min(F.struct("class", "route")).alias("m"))
     name = F.when(F.col("m.class") == 1, "exact").when(F.col("m.class") == 2, "template").otherwise("suffix")
     return best.select("call", F.col("m.route").alias("route"), name.alias("confidence"))
 
 
+def _starred(segments: Column, holes: Column) -> Column:
+    return F.array_join(F.zip_with(segments, holes, lambda x, h: F.when(h, F.lit("*")).otherwise(x)), "/")
+
+
 def merge_changes(old: DataFrame, changed: DataFrame, key: str, removed: DataFrame | None = None) -> DataFrame:
     """Rows of `old` but those of changed or removed keys, and the rows of `changed`."""
     stay = old.join(changed.select(key), key, "left_anti")

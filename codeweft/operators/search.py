@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeweft.functions.text import ascii_fold, glob_to_regex, valid_regex
+from codeweft.operators.graph import cut
 
 
 @dataclass
@@ -67,17 +68,19 @@ def matching(symbols: DataFrame, edges: DataFrame, f: SearchFilter) -> DataFrame
     if f.qn_pattern is not None:
         out = out.where(_text("qualified_name", f.qn_pattern))
     direction, bound = _direction(f.direction), f.min_degree is not None or f.max_degree is not None
-    if f.relationship is not None:
+    if f.relationship is not None and not (bound and (f.min_degree or 0) >= 1):  # at least one edge implies it
         out = out.join(endpoints(of_type(edges, f.relationship), direction), "qualified_name", "left_semi")
     if bound:
-        counted = out.join(degrees(of_type(edges, f.relationship), direction), "qualified_name", "left")
+        # Only the ends that are looked for are counted.
+        ends = endpoints(of_type(edges, f.relationship), direction).join(out.select("qualified_name"), "qualified_name", "left_semi")
+        counted = out.join(ends.groupBy("qualified_name").agg(F.count(F.lit(1)).alias("degree")), "qualified_name", "left")
         degree = F.coalesce(F.col("degree"), F.lit(0))
         out = counted.where((degree >= (f.min_degree or 0)) & (F.lit(True) if f.max_degree is None else degree <= f.max_degree)).drop("degree")
     if f.exclude_entry_points:
         out = out.join(endpoints(of_type(edges, f.relationship or "CALLS"), "in"), "qualified_name", "left_semi")
     if f.include_connected:
         near = of_type(edges, f.relationship or "CALLS").select("src", "dst")
-        found = out.select("qualified_name")
+        found = cut(out.select("qualified_name"))
         ahead = near.join(found, F.col("src") == F.col("qualified_name"), "left_semi").select(F.col("dst").alias("qualified_name"))
         behind = near.join(found, F.col("dst") == F.col("qualified_name"), "left_semi").select(F.col("src").alias("qualified_name"))
         out = symbols.join(found.unionByName(ahead).unionByName(behind), "qualified_name", "left_semi")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,6 +57,12 @@ def token_rows(texts: DataFrame, key: str, text: str) -> DataFrame:
     return texts.select(key, F.explode(tokens(F.col(text))).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"))
 
 
+def token_bags(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """Rows (key, token, n, total): as token_rows, with the number of tokens of the whole text beside each."""
+    words = texts.select(key, tokens(F.col(text)).alias("words"))
+    return words.select(key, F.size("words").alias("total"), F.explode_outer("words").alias("token")).where("token is not null").groupBy(key, "token", "total").agg(F.count(F.lit(1)).alias("n"))
+
+
 def idf(counted: DataFrame, documents: int | Column) -> DataFrame:
     """Rows (token, df, idf): ln((N + 1) / (df + 1)) + 1 from rows (key, token, n)."""
     n = F.lit(documents) if isinstance(documents, int) else documents
@@ -64,17 +70,10 @@ def idf(counted: DataFrame, documents: int | Column) -> DataFrame:
 
 
 def tfidf(counted: DataFrame, key: str, known: DataFrame) -> DataFrame:
-    """Rows (key, token, w): share of the text's tokens times idf."""
-    total = counted.groupBy(key).agg(F.sum("n").alias("total"))
-    return counted.join(known.select("token", "idf"), "token").join(total, key).select(key, "token", (F.col("n") / F.col("total") * F.col("idf")).alias("w"))
-
-
-def tfidf_pairs(weights: DataFrame, key: str) -> DataFrame:
-    """Rows (a, b, cosine) of texts that share a token."""
-    norm = weights.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    unit = weights.join(norm, key).select(F.col(key).alias("k"), "token", (F.col("w") / F.col("norm")).alias("u"))
-    x, y = unit.select(F.col("k").alias("a"), "token", F.col("u").alias("ua")), unit.select(F.col("k").alias("b"), "token", F.col("u").alias("ub"))
-    return x.join(y, "token").where("a < b").groupBy("a", "b").agg(F.sum(F.col("ua") * F.col("ub")).alias("cosine"))
+    """Rows (key, token, w): share of the text's tokens times idf. counted: key, token, n and, if it is there, total."""
+    if "total" not in counted.columns:
+        counted = counted.join(counted.groupBy(key).agg(F.sum("n").alias("total")), key)
+    return counted.join(known.select("token", "idf"), "token").select(key, "token", (F.col("n") / F.col("total") * F.col("idf")).alias("w"))
 
 
 def ri_sparse(counted: DataFrame, key: str, known: DataFrame) -> DataFrame:
@@ -200,45 +199,163 @@ def _map_cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.when(norm > 0, product / norm), F.lit(0.0))
 
 
-def pair_scores(ready: DataFrame, candidates: DataFrame, least: float = 0.35, weights: dict[str, float] | None = None) -> DataFrame:
-    """Rows (a, b, score) of candidate pairs a < b, not of one name in one file, whose combined score is `least` or more."""
+#: The signals of a pair that are made from vectors or sets, by the column that each reads.
+_SETS = {"type": "types", "flow": "words", "decorator": "marks", "diffusion": "near"}
+#: Symbols of a block; a pair of blocks is one task's work at a time.
+BLOCK = 1024
+
+
+def pair_signals(ready: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Rows (a, b, one column for each signal) of given pairs, as expressions. ready: see prepared()."""
     x = ready.select(*[F.col(c).alias(f"{c}_a") for c in ready.columns])
     y = ready.select(*[F.col(c).alias(f"{c}_b") for c in ready.columns])
     p = candidates.join(x, F.col("a") == F.col("qualified_name_a")).join(y, F.col("b") == F.col("qualified_name_b"))
-    p = p.where("a < b and not (file_path_a = file_path_b and name_a = name_b)")
     c = lambda n: (F.col(f"{n}_a"), F.col(f"{n}_b"))
     empty = F.array().cast("array<string>")
-    p = p.withColumn("ri", _map_cosine(*c("ri"))).where("ri >= 0.05")
     signals = {
         "tfidf": _map_cosine(*c("tfidf")),
-        "ri": F.col("ri"),
+        "ri": _map_cosine(*c("ri")),
         "minhash": F.coalesce(sketch_similarity(*c("sketch")), F.lit(0.0)),
         "api": api_similarity(*c("api")),
         "module": path_proximity(*c("file_path")),
-        "type": jaccard(*c("types")),
         "ast": cosine(*c("kinds")),
-        "flow": jaccard(*c("words")),
-        "decorator": jaccard(*c("marks")),
-        "diffusion": jaccard(*[F.coalesce(k, empty) for k in c("near")]),
         "halstead": volume_similarity(*c("signature")),
-    }
-    return p.select("a", "b", combined(signals, weights).alias("score")).where(F.col("score") >= least)
+    } | {name: jaccard(*[F.coalesce(k, empty) for k in c(column)]) for name, column in _SETS.items()}
+    return p.select("a", "b", *[v.alias(n) for n, v in signals.items()])
+
+
+def _cross(x: pd.DataFrame, y: pd.DataFrame) -> dict[str, np.ndarray]:
+    """Every signal of every row of x with every row of y, as matrices."""
+
+    def cosines(column: str) -> np.ndarray:
+        entries = [[[] if e is None else [(d["key"], d["value"]) for d in e] for e in side[column]] for side in (x, y)]
+        places = {k: i for i, k in enumerate({k for side in entries for e in side for k, _ in e})}
+        unit = []
+        for side in entries:
+            grid = np.zeros((len(side), len(places)))
+            for k, e in enumerate(side):
+                grid[k, [places[n] for n, _ in e]] = [v for _, v in e]
+            norm = np.sqrt((grid * grid).sum(1, keepdims=True))
+            unit.append(np.divide(grid, norm, out=np.zeros_like(grid), where=norm > 0))
+        return unit[0] @ unit[1].T
+
+    out = {n: cosines(n) for n in ("tfidf", "ri")}
+    sketch = [np.array([s if s is not None and len(s) else [0] * SLOTS for s in side["sketch"]], dtype=np.int64).reshape(-1, SLOTS) for side in (x, y)]
+    there = [np.array([s is not None and len(s) > 0 for s in side["sketch"]]) for side in (x, y)]
+    same = sum((sketch[0][:, None, k] == sketch[1][None, :, k]).astype(np.int32) for k in range(SLOTS))
+    out["minhash"] = same / SLOTS * (there[0][:, None] & there[1][None, :])
+    bags = [[pd.Series(list(v)).value_counts().to_dict() if v is not None and len(v) else {} for v in side["api"]] for side in (x, y)]
+    words = {w: i for i, w in enumerate({w for side in bags for b in side for w in b})}
+    share, member = np.zeros((len(x), len(words))), np.zeros((len(y), len(words)))
+    for k, b in enumerate(bags[0]):
+        for w, n in b.items():
+            share[k, words[w]] = n / sum(b.values())
+    for k, b in enumerate(bags[1]):
+        member[k, [words[w] for w in b]] = 1
+    size = member.sum(1)
+    norm = np.maximum(np.sqrt((share**2).sum(1))[:, None], np.sqrt(size)[None, :])
+    out["api"] = np.clip(np.divide(share @ member.T, norm, out=np.zeros_like(norm), where=norm > 0), 0, 1)
+    paths = [[p.split("/") for p in side["file_path"]] for side in (x, y)]
+    depth = max(len(p) for side in paths for p in side)
+    part = {w: i for i, w in enumerate({w for side in paths for p in side for w in p})}
+    grid = [np.array([[part[w] for w in p] + [-1 - s] * (depth - len(p)) for p in side]) for s, side in enumerate(paths)]
+    shared, going = np.zeros((len(x), len(y))), np.ones((len(x), len(y)), dtype=bool)
+    for k in range(depth):
+        going &= grid[0][:, None, k] == grid[1][None, :, k]
+        shared += going
+    long = [np.array([len(p) for p in side]) for side in paths]
+    blank = [np.array([p == "" for p in side["file_path"]]) for side in (x, y)]
+    out["module"] = np.where(blank[0][:, None] | blank[1][None, :], 0.0, shared / np.maximum(long[0][:, None], long[1][None, :]))
+    kinds = [np.stack(side["kinds"].to_list()).astype(float) for side in (x, y)]
+    norm = np.sqrt((kinds[0] ** 2).sum(1))[:, None] * np.sqrt((kinds[1] ** 2).sum(1))[None, :]
+    out["ast"] = np.divide(kinds[0] @ kinds[1].T, norm, out=np.zeros_like(norm), where=norm > 0)
+    a, b = x["volume"].to_numpy()[:, None], y["volume"].to_numpy()[None, :]
+    most = np.maximum(a, b)
+    out["halstead"] = np.where(most == 0, 0.0, 1 - np.abs(a - b) / np.where(most == 0, 1, most))
+    for name, column in _SETS.items():
+        sets = [[() if v is None else v for v in side[column]] for side in (x, y)]
+        words = {w: i for i, w in enumerate({w for side in sets for v in side for w in v})}
+        bits = [np.zeros((len(side), len(words))) for side in sets]
+        for side, grid_of in zip(sets, bits, strict=True):
+            for k, v in enumerate(side):
+                grid_of[k, [words[w] for w in v]] = 1
+        both = bits[0] @ bits[1].T
+        whole = bits[0].sum(1)[:, None] + bits[1].sum(1)[None, :] - both
+        out[name] = np.divide(both, whole, out=np.zeros_like(both), where=(whole > 0) & (both > 0))
+    return out
+
 
+def pair_scores(ready: DataFrame, candidates: DataFrame | None = None, least: float = 0.35, weights: dict[str, float] | None = None, block: int = BLOCK) -> DataFrame:
+    """Rows (a, b, score) of pairs a < b, not of one name in one file, whose combined score is `least` or more.
 
-def sharing_pairs(counted: DataFrame, key: str, rare: int = 50) -> DataFrame:
-    """Candidate pairs (a, b): texts that share a token which at most `rare` texts have."""
-    few = counted.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where(F.col("df").between(2, rare)).select("token")
-    t = counted.join(few, "token").select(F.col(key).alias("k"), "token")
-    return t.select(F.col("k").alias("a"), "token").join(t.select(F.col("k").alias("b"), "token"), "token").where("a < b").select("a", "b").distinct()
+    Without candidates all pairs are scored, which is quadratic in the symbols by its meaning: they are dealt in blocks, a
+    pair of blocks to a task, and only pairs that reach `least` come out of it. Pairs whose random-index vectors are
+    less alike than 0.05 are not scored, as in the definition. No pair is passed over for what its tokens are.
+    """
+    weights = weights or SIGNAL_WEIGHTS
+    if candidates is not None:
+        names = ready.select("qualified_name", "name", "file_path")
+        own = candidates.join(names.select(*[F.col(c).alias(f"{c}_a") for c in names.columns]), F.col("a") == F.col("qualified_name_a")).join(names.select(*[F.col(c).alias(f"{c}_b") for c in names.columns]), F.col("b") == F.col("qualified_name_b"))
+        fit = own.where("a < b and not (file_path_a = file_path_b and name_a = name_b)").select("a", "b")
+        told = pair_signals(ready, fit).where("ri >= 0.05")
+        return told.select("a", "b", combined({n: F.col(n) for n in weights}, weights).alias("score")).where(F.col("score") >= least)
+    rows = ready.select("qualified_name", "name", "file_path", F.map_entries("tfidf").alias("tfidf"), F.map_entries("ri").alias("ri"), "sketch", "api", "types", "words", "kinds", "marks", "near", volume(F.col("signature")).alias("volume"))
+    rows = rows.withColumn("blocks", F.lit(max(1, -(-ready.count() // block)))).withColumn("block", F.pmod(F.xxhash64("qualified_name"), "blocks").cast("int"))
+    other = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = other.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("other", "blocks")
+
+    def score(part: pd.DataFrame) -> pd.DataFrame:
+        within = part["low"].iloc[0] == part["high"].iloc[0]
+        x, y = (part, part) if within else (part[part["block"] == part["low"]], part[part["block"] == part["high"]])
+        empty = pd.DataFrame({"a": [], "b": [], "score": []}).astype({"a": str, "b": str, "score": float})
+        if not len(x) or not len(y):
+            return empty
+        # The API signal looks from the smaller name to the larger one: rows in order of name on both sides.
+        names = [side["qualified_name"].to_numpy(dtype=object) for side in (x, y)]
+        first = names[0][:, None] < names[1][None, :]
+        told, turned = _cross(x, y), None if within else _cross(y, x)["api"].T
+        if turned is not None:
+            told["api"] = np.where(first, told["api"], turned)
+        total = sum(weights.get(n, 0.0) * v for n, v in told.items())
+        alike = (x["name"].to_numpy()[:, None] == y["name"].to_numpy()[None, :]) & (x["file_path"].to_numpy()[:, None] == y["file_path"].to_numpy()[None, :])
+        good = (total >= least) & (told["ri"] >= 0.05) & ~alike & (first if within else names[0][:, None] != names[1][None, :])
+        i, j = np.nonzero(good)
+        if not len(i):
+            return empty
+        a, b = names[0][i], names[1][j]
+        turn = a > b
+        return pd.DataFrame({"a": np.where(turn, b, a), "b": np.where(turn, a, b), "score": total[i, j]})
+
+    return dealt.groupBy("low", "high").applyInPandas(score, "a string, b string, score double")
+
+
+def symbol_vectors(symbols: DataFrame) -> DataFrame:
+    """Rows (qualified_name, dim, data): the random-index vector of each symbol's document, as whole numbers from -127 to 127."""
+    s = symbols.select("qualified_name", F.concat_ws(" ", "name", "qualified_name", "label", F.coalesce("signature", F.lit(""))).alias("document"))
+    counted = token_rows(s, "qualified_name", "document")
+    known = idf(counted, s.count())
+    sparse = ri_sparse(counted, "qualified_name", known).groupBy("qualified_name").agg(F.map_from_entries(F.collect_list(F.struct("slot", "v"))).alias("m"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(DIMENSION - 1)), lambda k: F.coalesce(F.try_element_at(F.col("m"), k), F.lit(0.0)))
+    return sparse.select("qualified_name", F.lit(DIMENSION).alias("dim"), quantize(dense).alias("data"))
+
+
+def text_vector(query: DataFrame) -> DataFrame:
+    """One row (q): the vector of a query text (text). The text is its own corpus, so all its words weigh alike."""
+    asked = token_rows(query.limit(1).select(F.lit(1).alias("id"), "text"), "id", "text")
+    m = ri_sparse(asked, "id", asked.select("token", F.lit(1.0).alias("idf"))).agg(F.map_from_entries(F.collect_list(F.struct("slot", "v"))).alias("m"))
+    return m.select(F.transform(F.sequence(F.lit(0), F.lit(DIMENSION - 1)), lambda k: F.coalesce(F.try_element_at(F.col("m"), k), F.lit(0.0))).alias("q"))
+
+
+def vector_search(vectors: DataFrame, symbols: DataFrame, query: DataFrame, limit: int = 20, least: float = 0.05) -> DataFrame:
+    """The stored vectors nearest to a query text, joined to their symbols: rows of symbols with score, best first."""
+    found = vector_topk(vectors.select(F.col("qualified_name").alias("id"), F.col("data").alias("v")), text_vector(query), limit, least)
+    return symbols.join(F.broadcast(found.withColumnRenamed("id", "qualified_name")), "qualified_name").orderBy(F.desc("score"), "qualified_name")
 
 
 def vector_topk(vectors: DataFrame, query: DataFrame, limit: int = 20, least: float = 0.05) -> DataFrame:
     """Rows (id, score) of the vectors nearest by cosine to the one query vector (q): a cheap test on whole numbers first."""
     with_q = vectors.join(F.broadcast(query.limit(1)))
-    near = with_q.where(cosine(quantize(F.col("v")), quantize(F.col("q"))) >= least)
+    stored = vectors.schema["v"].dataType.elementType.typeName() == "byte"
+    codes = F.col("v") if stored else quantize(F.col("v"))
+    near = with_q.where(cosine(codes, quantize(F.col("q"))) >= least)
     return near.select("id", cosine(F.col("v"), F.col("q")).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
-
-
-def best_first(scored: DataFrame, key: str, limit: int) -> DataFrame:
-    """The best rows of each key."""
-    return scored.withColumn("k", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "b"))).where(F.col("k") <= limit).drop("k")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeweft.functions import patterns as P
 from codeweft.functions.text import lines
+from codeweft.operators.graph import cut
 
 
 def _folded(text: Column) -> Column:
@@ -23,27 +26,50 @@ def _hit(files: DataFrame, pattern: str) -> DataFrame:
     return files.withColumn("line_number", at).select("path", "line_number", F.left(F.coalesce(F.get(rows, at.cast("int") - 1), F.lit("")), F.lit(200)).alias("preview"))
 
 
-def phrase_search(files: DataFrame, pattern: str, limit: int = 20) -> DataFrame:
-    """Files in whose path or content the words of the pattern follow each other, in order of path."""
+def phrase_search(files: DataFrame, pattern: str, limit: int | None = 20) -> DataFrame:
+    """Files in whose path or content the words of the pattern follow each other, in order of path; limit None: all."""
     words = _folded(F.lit(pattern))
     found = files.where((F.length(F.trim(words)) > 0) & (_folded(F.col("path")).contains(words) | _folded(F.col("content")).contains(words)))
-    return _hit(found.orderBy("path").limit(limit), pattern)
+    return _hit(found if limit is None else found.orderBy("path").limit(limit), pattern)
 
 
-def scan_search(files: DataFrame, pattern: str, limit: int = 20) -> DataFrame:
+def scan_search(files: DataFrame, pattern: str, limit: int | None = 20) -> DataFrame:
     """Files with the pattern as written inside one line, in order of path, with the first such line."""
     found = files.where(F.exists(lines(F.col("content")), lambda x: x.contains(F.lit(pattern))) & (F.lit(pattern) != ""))
-    return _hit(found.orderBy("path").limit(limit), pattern)
+    return _hit(found if limit is None else found.orderBy("path").limit(limit), pattern)
 
 
 def search_code(files: DataFrame, pattern: str, limit: int = 20) -> DataFrame:
     """Phrase search, and where it finds nothing the scan."""
     if not pattern or limit <= 0:
         return _hit(files.limit(0), pattern or "")
-    found = phrase_search(files, pattern, limit)
+    found = cut(phrase_search(files, pattern, limit))  # at most `limit` rows
     return scan_search(files, pattern, limit) if found.isEmpty() else found
 
 
+def postings(files: DataFrame) -> DataFrame:
+    """Rows (word, path, places): the inverted index of contents and paths. Places count from 0; those of the path are negative."""
+    words = lambda c: F.filter(F.split(F.trim(F.regexp_replace(F.lower(F.col(c)), r"[^\p{L}\p{N}]+", " ")), " "), lambda w: w != "")
+    inside = files.select("path", F.posexplode(words("content")).alias("at", "word"))
+    named = files.select("path", words("path").alias("ws")).select("path", F.posexplode("ws").alias("at", "word"), F.size("ws").alias("n"))
+    both = inside.unionByName(named.select("path", (F.col("at") - F.col("n") - 1).alias("at"), "word"))
+    return both.groupBy("word", "path").agg(F.sort_array(F.collect_list("at")).alias("places"))
+
+
+def indexed_phrase(index: DataFrame, pattern: str) -> DataFrame:
+    """Rows (path) of the files in which the words of the pattern follow each other, from the inverted index alone.
+
+    Only the postings of the pattern's words are read; a file's places are shifted by the word's place in the pattern, and a
+    place that all words share is an occurrence.
+    """
+    words = re.findall(r"[^\W_]+", pattern.lower())
+    if not words:
+        return index.select("path").limit(0)
+    shifts = index.sparkSession.createDataFrame([(w, k) for k, w in enumerate(words)], "word string, shift int")
+    met = index.join(F.broadcast(shifts), "word").select("path", "shift", F.explode("places").alias("p")).withColumn("start", F.col("p") - F.col("shift"))
+    return met.where((F.col("p") >= 0) == (F.col("start") >= 0)).groupBy("path", "start").agg(F.countDistinct("shift").alias("n")).where(F.col("n") == len(words)).select("path").distinct()
+
+
 def snippet(content: Column, start: Column, end: Column) -> Column:
     """Lines start to end; all of the text if the range is empty."""
     rows = lines(content)
@@ -67,7 +93,7 @@ def peek(pieces: DataFrame, query: str, first: int = 20) -> DataFrame:
 
 
 def scan_reasons(files: DataFrame, total: int = P.SCAN_TOTAL_BYTES, file: int = P.SCAN_FILE_BYTES, other: int = P.SCAN_OTHER_BYTES) -> DataFrame:
-    """Add reason: why a scan in order of path skips a file, null if it reads it.
+    """Add reason: why a scan in order of path skips a file, null if it reads it. Paths are unique.
 
     The budget counts the files read before; once it is used up every later file is skipped.
     """
@@ -84,8 +110,14 @@ def scan_reasons(files: DataFrame, total: int = P.SCAN_TOTAL_BYTES, file: int =
         .when(~known & (size > other), "non_code_large")
     )
     sized = files.withColumn("__own", own).withColumn("__size", F.when(F.col("__own").isNull(), size).otherwise(0))
-    before = F.coalesce(F.sum("__size").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return sized.withColumn("reason", F.when(before >= total, "budget_exhausted").otherwise(F.col("__own"))).drop("__own", "__size")
+    # Paths are sorted in ranges; the sums of ranges, one row for each, give what was read before them.
+    ranged = cut(sized.select("path", "__own", "__size").repartitionByRange("path").withColumn("__part", F.spark_partition_id()))
+    upto = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy("__part").agg(F.sum("__size").alias("__s")).select("__part", F.coalesce(F.sum("__s").over(upto), F.lit(0)).alias("__earlier"))
+    inside = Window.partitionBy("__part").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("__earlier") + F.coalesce(F.sum("__size").over(inside), F.lit(0))
+    told = ranged.join(F.broadcast(sums), "__part").select("path", F.when(before >= total, "budget_exhausted").otherwise(F.col("__own")).alias("reason"))
+    return files.join(told, "path")
 
 
 def retained(sessions: DataFrame, now: Column, ttl_seconds: int = 3600, newest: int = 50) -> DataFrame:
@@ -99,3 +131,47 @@ def diff(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
     a, b = old.select(F.col(key), F.col(value).alias("o"), F.lit(1).alias("p")), new.select(F.col(key), F.col(value).alias("n"), F.lit(1).alias("q"))
     change = F.when(F.col("p").isNull(), "added").when(F.col("q").isNull(), "removed").when(~F.col("o").eqNullSafe(F.col("n")), "modified")
     return a.join(b, key, "full_outer").select(key, change.alias("change")).where("change is not null")
+
+
+def merged_changes(*listed: DataFrame) -> DataFrame:
+    """Rows (path, status, deleted) of several change lists, such as name-only differences and the working tree: of a path that
+    is in more than one the last list counts."""
+    out = None
+    for k, df in enumerate(listed):
+        rows = df.select("path", F.col("status") if "status" in df.columns else F.lit("M").alias("status"), F.col("deleted") if "deleted" in df.columns else F.lit(False).alias("deleted"), F.lit(k).alias("__k"))
+        out = rows if out is None else out.unionByName(rows)
+    last = out.groupBy("path").agg(F.max(F.struct("__k", "status", "deleted")).alias("m"))
+    return last.select("path", "m.status", "m.deleted")
+
+
+def coverage(files: DataFrame, asked: DataFrame) -> DataFrame:
+    """One row (total, covered, percent): how many of the asked paths (path) are indexed, a path counting if an indexed one ends
+    in it; 100 percent of none. Suffixes are met as keys, so both sides can be large."""
+    wanted = asked.select("path").distinct()
+    ends = F.transform(F.sequence(F.lit(1), F.length("path")), lambda k: F.substr(F.col("path"), k))
+    sizes = [r[0] for r in wanted.select(F.length("path")).distinct().collect()]  # lengths of paths: a few hundred at most
+    known = files.select(F.explode(F.filter(ends, lambda x: F.length(x).isin(*(sizes or [-1])))).alias("path")).distinct().withColumn("k", F.lit(1))
+    n = wanted.join(known, "path", "left").agg(F.count(F.lit(1)).alias("total"), F.count("k").alias("covered"))
+    percent = F.when(F.col("total") == 0, 100).otherwise(F.round(100 * F.col("covered") / F.col("total")))
+    return n.select("total", "covered", percent.cast("long").alias("percent"))
+
+
+def read_symbol(symbols: DataFrame, files: DataFrame, edges: DataFrame, names: DataFrame) -> DataFrame:
+    """Rows (qualified_name, name, label, file_path, snippet, calls): the symbols of these names (qualified_name) with their
+    lines of code and how many edges of each leave them."""
+    mine = symbols.join(names, "qualified_name", "left_semi").select("qualified_name", "name", "label", "file_path", "line_start", "line_end")
+    code = mine.join(files.select(F.col("path").alias("file_path"), "content"), "file_path", "left")
+    out = edges.join(names, F.col("src") == names["qualified_name"], "left_semi").groupBy(F.col("src").alias("qualified_name")).agg(F.count(F.lit(1)).alias("calls"))
+    joined = code.join(out, "qualified_name", "left")
+    return joined.select("qualified_name", "name", "label", "file_path", snippet(F.col("content"), F.col("line_start"), F.col("line_end")).alias("snippet"), F.coalesce("calls", F.lit(0)).cast("long").alias("calls"))
+
+
+def delete_files(symbols: DataFrame, edges: DataFrame, files: DataFrame, vectors: DataFrame, paths: DataFrame) -> dict[str, DataFrame]:
+    """The four tables without these files (path), their symbols and vectors, and the edges that touch those symbols."""
+    gone = symbols.join(paths.select(F.col("path").alias("file_path")), "file_path", "left_semi").select("qualified_name")
+    return {
+        "edges": edges.join(gone.withColumnRenamed("qualified_name", "src"), "src", "left_anti").join(gone.withColumnRenamed("qualified_name", "dst"), "dst", "left_anti"),
+        "vectors": vectors.join(gone, "qualified_name", "left_anti"),
+        "files": files.join(paths.select("path"), "path", "left_anti"),
+        "symbols": symbols.join(paths.select(F.col("path").alias("file_path")), "file_path", "left_anti"),
+    }

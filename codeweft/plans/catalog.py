@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +13,12 @@ from codeweft.functions import patterns as P
 from codeweft.functions import text as X
 from codeweft.operators import graph, resolve, search, similarity, text
 from codeweft.plans import adapters as A
-from codeweft.plans import sqlgate
+from codeweft.plans import code_corpus as C
+from codeweft.plans import passes, sqlgate
+from codeweft.schema import EngineConfig
 from codeweft.sources import discover, extract
+from codeweft.store import Store, projects
+from codeweft.streaming.traces import job_states
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -68,9 +73,19 @@ def file_line_counts(s, d):
     return A.files(s, d).select("path", "line_count")
 
 
-@query("SELECT DISTINCT source AS project FROM documents")
+@query("SELECT lang AS project, count(*)::BIGINT AS files FROM documents WHERE lang IS NOT NULL GROUP BY lang")
 def list_projects(s, d):
-    return A.table(s, d, "documents").select(F.col("source").alias("project")).distinct().orderBy("project")
+    """A project for each language, kept in a store of its own, listed and read back."""
+    files = A.table(s, d, "documents").where("lang is not null").select(F.col("lang").alias("project"), F.concat(F.col("doc_id"), F.lit(".txt")).alias("path"), F.lit("").alias("content"))
+    graph.shared_folder(s)
+    root = f"{s.sparkContext.getCheckpointDir()}/projects-{uuid.uuid4().hex}"
+    for r in files.select("project").distinct().collect():  # the languages
+        Store(s, root, r["project"]).replace(files=files.where(F.col("project") == r["project"]))
+    listed = [Store(s, root, p).read("files").agg(F.count(F.lit(1)).alias("files")).select(F.lit(p).alias("project"), "files") for p in projects(s, root)]
+    out = s.createDataFrame([], "project string, files long")
+    for one in listed:
+        out = out.unionByName(one)
+    return out
 
 
 @query(f"SELECT {COLS} FROM symbols WHERE qualified_name IN (SELECT DISTINCT 'part::Part::' || l_partkey FROM lineitem WHERE l_quantity = 50)", S)
@@ -151,6 +166,15 @@ for _way, _step in {"out": "SELECT src AS a, dst AS b FROM edges", "in": "SELECT
     query(_TRACE.format(step=_step), S, E, name=f"trace_{_way}")(lambda s, d, way=_way: graph.trace(A.symbols(s, d), A.edges(s, d), "customer::Customer::1", way, 3))
 
 
+_MET = _TRACE.format(step="SELECT src AS a, dst AS b FROM edges").rpartition("SELECT q AS qualified_name, 0")[0].rstrip()
+
+
+@query(_MET + " SELECT src, dst, edge_type FROM edges WHERE src IN (FROM l0 UNION ALL FROM l1 UNION ALL FROM l2)", S, E)
+def trace_edges(s, d):
+    edges = A.edges(s, d)
+    return graph.trace_edges(edges, graph.trace(A.symbols(s, d), edges, "customer::Customer::1", "out", 3), "out", 3)
+
+
 @query("SELECT src, dst, edge_type FROM edges WHERE src = 'order::Order::7'", E)
 def edges_from(s, d):
     return A.edges(s, d).where("src = 'order::Order::7'")
@@ -179,47 +203,43 @@ def dead_code(s, d):
     return graph.dead_code(A.symbols(s, d), A.edges(s, d, ("CALLS",)), ("Customer", "Part"))
 
 
-def _january(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    o = A.table(s, d, "orders").where("o_orderdate >= timestamp'1995-01-01' and o_orderdate < timestamp'1995-02-01'")
-    e = o.select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("o"), "o_orderkey").alias("dst"), F.lit("CALLS").alias("edge_type"))
-    return e.select(F.explode(F.array("src", "dst")).alias("qualified_name")).distinct(), e
-
-
 def _whole(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return graph.cut(A.symbols(s, d)), graph.cut(A.edges(s, d))
 
 
-# Orders have one customer each, so a component is a customer with that month's orders, and its smallest name the customer's.
-_JANUARY = """e AS (SELECT 'c' || o_custkey AS src, 'o' || o_orderkey AS dst FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1995-02-01'),
-    m AS (SELECT src AS qualified_name, src AS root FROM e UNION SELECT dst, src FROM e), k AS (SELECT root, row_number() OVER (ORDER BY root) - 1 AS community FROM (SELECT DISTINCT root FROM m))"""
+# What hangs together with the smallest name, found by walking; the tables leave no other component but single symbols, and the
+# result would differ if they did.
+_WALKED = """two AS (SELECT src AS a, dst AS b FROM edges UNION ALL SELECT dst, src FROM edges), known AS (SELECT qualified_name AS q FROM symbols),
+    reach AS (SELECT min(q) AS q FROM known UNION SELECT b FROM reach JOIN two ON a = q JOIN known k ON k.q = b),
+    m AS (SELECT q AS qualified_name, CASE WHEN q IN (FROM reach) THEN (SELECT min(q) FROM known) ELSE q END AS root FROM known),
+    n AS (SELECT root, row_number() OVER (ORDER BY root) - 1 AS community FROM (SELECT DISTINCT root FROM m))"""
 
 
-@query(f"{_JANUARY} SELECT qualified_name, community::BIGINT AS community FROM m JOIN k USING (root)", "one AS (SELECT 1)")
+@query(f"{_WALKED} SELECT qualified_name, community::BIGINT AS community FROM m JOIN n USING (root)", S, E, "recursive")
 def connected_components(s, d):
-    return graph.number_components(graph.connected_components(*_january(s, d)))
-
-
-@query()
-def louvain(s, d):
-    return graph.louvain(*_whole(s, d))
-
-
-# The two queries with SQL are of that month; these are of all symbols and edges, which hang together in one large component.
-@query()
-def connected_components_all(s, d):
     return graph.number_components(graph.connected_components(*_whole(s, d)))
 
 
 @query()
-def community_summary_all(s, d):
-    return graph.community_summary(connected_components_all(s, d))
+def louvain(s, d):
+    """Communities of the code made from the documents: calls, imports and inheritance between its symbols."""
+    files = C.files(s, d)
+    found, symbols = passes.read_files(files)
+    none = symbols.limit(0).select(F.lit("").alias("src"), F.lit("").alias("dst"), F.lit("").alias("edge_type"), F.lit("").alias("properties"))
+    edges = None
+    for one in (passes.call_pass, passes.import_pass, passes.inheritance_pass):
+        new = one("demo", files, found, symbols, none, EngineConfig())
+        edges = new if edges is None else edges.unionByName(new)
+    return graph.louvain(symbols, graph.cut(edges))
 
 
 @query(
-    f"""{_JANUARY}, z AS (SELECT community, count(*)::BIGINT AS size FROM m JOIN k USING (root) GROUP BY ALL ORDER BY size DESC, community LIMIT 10),
-    r AS (SELECT community, qualified_name, row_number() OVER (PARTITION BY community ORDER BY qualified_name) AS n FROM m JOIN k USING (root))
-    SELECT community::BIGINT AS community, size, string_agg(qualified_name, ',' ORDER BY qualified_name) AS members FROM z JOIN r USING (community) WHERE n <= 5 GROUP BY ALL""",
-    "one AS (SELECT 1)",
+    f"""{_WALKED}, z AS (SELECT community, count(*)::BIGINT AS size FROM m JOIN n USING (root) GROUP BY ALL ORDER BY size DESC, community LIMIT 10),
+    r AS (SELECT community, qualified_name, row_number() OVER (PARTITION BY community ORDER BY qualified_name) AS k FROM m JOIN n USING (root))
+    SELECT community::BIGINT AS community, size, string_agg(qualified_name, ',' ORDER BY qualified_name) AS members FROM z JOIN r USING (community) WHERE k <= 5 GROUP BY ALL""",
+    S,
+    E,
+    "recursive",
 )
 def community_summary(s, d):
     return graph.community_summary(connected_components(s, d))
@@ -239,13 +259,13 @@ def graph_layout(s, d):
 
 
 @query(
-    f"""{_LAYOUT_NODES}, p AS (SELECT * FROM edges WHERE edge_type = 'CONTAINS' ORDER BY src, dst, edge_type LIMIT 400)
+    f"""{_LAYOUT_NODES}, p AS (SELECT * FROM edges WHERE edge_type = 'CONTAINS' AND dst LIKE 'nation::%' ORDER BY src, dst, edge_type LIMIT 400)
     SELECT src, dst, edge_type FROM p WHERE src IN (SELECT qualified_name FROM first) AND dst IN (SELECT qualified_name FROM first) ORDER BY ALL LIMIT 200""",
     S,
     E,
 )
 def graph_layout_edges(s, d):
-    return graph.layout(A.symbols(s, d).where("label in ('Region', 'Nation')"), A.edges(s, d, ("CONTAINS",)))[1]
+    return graph.layout(A.symbols(s, d).where("label in ('Region', 'Nation')"), A.edges(s, d, ("CONTAINS",)).where("dst like 'nation::%'"))[1]
 
 
 _FOLDERS = "dirs AS (SELECT DISTINCT p FROM (SELECT unnest([string_split(path, '/')[1], array_to_string(string_split(path, '/')[1:2], '/'), path]) AS p FROM files))"
@@ -278,62 +298,141 @@ def runtime_trace_edges(s, d):
 # --- references --------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT doc_id, count(*)::BIGINT AS n, list_sort(list(DISTINCT w))[1] AS first FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?m)^([A-Z][a-z]+)', 1)) AS w FROM documents) GROUP BY doc_id")
-def regex_symbols(s, d):
-    w = A.table(s, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"(?md)^([A-Z][a-z]+)"), F.lit(1))).alias("w"))
-    return w.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("w").alias("first"))
+_QN = "path || '::' || label || '::' || name || '@L' || line_start"
 
 
-@query("SELECT doc_id, strpos(text, ' the ') AS at, CASE WHEN strpos(text, ' the ') = 0 THEN 0 ELSE length(left(text, strpos(text, ' the '))) - length(replace(left(text, strpos(text, ' the ')), chr(10), '')) + 1 END AS line FROM documents")
-def line_of_offset(s, d):
-    at = F.instr("text", " the ").cast("long")
-    before = F.left("text", at.cast("int"))
-    line = F.when(at == 0, 0).otherwise(F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).cast("long")
-    return A.table(s, d, "documents").select("doc_id", at.alias("at"), line.alias("line"))
+@query(f"SELECT {_QN} AS qualified_name, name, label, path AS file_path, line_start, line_end, signature FROM symbols", C.BASE_SQL, C.SYMBOLS_SQL)
+def extract_symbols(s, d):
+    return extract.extract(C.files(s, d), "symbols")
 
 
-@query("SELECT DISTINCT page_id, unnest(regexp_extract_all(html, '(?:href|src)=\"([^\"]+)\"', 1)) AS specifier FROM pages")
+@query("SELECT DISTINCT path AS file_path, specifier, kind FROM imports", C.BASE_SQL, C.IMPORTS_SQL)
 def import_specs(s, d):
-    return A.table(s, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('(?:href|src)="([^"]+)"'), F.lit(1))).alias("specifier")).distinct()
+    return extract.extract(C.files(s, d), "imports")
 
 
-_CODE = [
-    ("app/main.py", "from .util import helper\nimport os\n\n\ndef main():\n    helper()\n\n\n@app.get('/users/{id}')\ndef users(id):\n    return helper()\n", "python"),
-    ("app/util.py", "class Base:\n    pass\n\n\nclass Child(Base):\n    def run(self):\n        return helper()\n\n\ndef helper():\n    return 1\n", "python"),
-    ("web/client.js", "import { x } from './lib/api';\nfunction load() {\n  return fetch('/users/42');\n}\nclass A extends B {}\n", "javascript"),
-    ("web/lib/api.js", "export function x() { return 1; }\n", "javascript"),
-]
+@query("SELECT path AS file_path, callee, line FROM calls", C.BASE_SQL, C.CALLS_SQL)
+def call_sites(s, d):
+    return extract.extract(C.files(s, d), "calls")
 
 
-def _code(s: SparkSession) -> DataFrame:
-    return s.createDataFrame(_CODE, "path string, content string, language string")
+@query("SELECT path AS file_path, route, framework, line FROM routes", C.BASE_SQL, C.ROUTES_SQL)
+def route_sites(s, d):
+    return extract.extract(C.files(s, d), "routes")
 
 
-for _kind, _key in {"symbols": "extract_symbols", "calls": "call_sites", "bases": "inherits"}.items():
-    query(name=_key)(lambda s, d, k=_kind: extract.extract(_code(s), k))
+@query("SELECT path AS file_path, url, client, line FROM clients", C.BASE_SQL, C.CLIENTS_SQL)
+def client_sites(s, d):
+    return extract.extract(C.files(s, d), "clients")
 
 
-@query()
+@query("SELECT path AS file_path, name, base, edge_type FROM bases", C.BASE_SQL, C.BASES_SQL)
+def inherits(s, d):
+    return extract.extract(C.files(s, d), "bases")
+
+
+@query("SELECT path AS file_path, decorator, line FROM decorators", C.BASE_SQL, C.DECORATORS_SQL)
+def decorator_sites(s, d):
+    return extract.extract(C.files(s, d), "decorators")
+
+
+@query(
+    """SELECT i.path AS file_path, specifier, kind, coalesce(b.path || '::File::' || b.path, specifier || '::Module::' || specifier) AS dst, CASE WHEN b.path IS NULL THEN 'external' ELSE 'path' END AS method, b.path
+    FROM imports i LEFT JOIN base b ON b.path = i.meant AND b.path <> i.path""",
+    C.BASE_SQL,
+    C.IMPORTS_SQL,
+)
 def resolve_imports(s, d):
-    from codeweft.plans.passes import resolve_imports as run
+    files = C.files(s, d)
+    return passes.resolve_imports(extract.extract(files, "imports"), files, passes.path_aliases(files))
 
-    return run(extract.extract(_code(s), "imports"), _code(s))
 
+def _edges_of(s: SparkSession, d: str, run) -> DataFrame:
+    files = C.files(s, d)
+    found, symbols = passes.read_files(files)
+    return run("demo", files, found, symbols, symbols.limit(0), EngineConfig()).select("src", "dst", "edge_type")
 
+
+# Only do_* is defined where it is called, once in each file.
 @query(
-    """r AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, '(?:href|src)="([^"]+)"', 1)) AS spec FROM pages)
-    SELECT page_id, spec, array_to_string(list_filter(string_split('a/./b//' || spec, '/'), lambda x: x <> '' AND x <> '.'), '/') AS path FROM r WHERE NOT contains(spec, '..') AND NOT contains(spec, chr(92))""",
-    "one AS (SELECT 1)",
+    """SELECT c.path || '::Function::' || c.name || '@L' || c.line AS src, s.path || '::Function::' || s.name || '@L' || s.line_start AS dst, 'CALLS' AS edge_type
+    FROM caller c JOIN symbols s ON s.path = c.path AND s.name = 'do_' || c.w""",
+    C.BASE_SQL,
+    C.CALLER_SQL,
+    C.SYMBOLS_SQL,
 )
-def normalize_path(s, d):
-    specs = import_specs(s, d).select("page_id", F.col("specifier").alias("spec")).where(~F.col("spec").contains("..") & ~F.col("spec").contains("\\"))
-    return specs.withColumn("path", X.normal_path(F.concat(F.lit("a/./b//"), "spec")))
+def call_edges(s, d):
+    return _edges_of(s, d, passes.call_pass)
+
+
+@query("SELECT r.path || '::Route::' || route || '@L' || r.line AS route, r.route AS path, h.path || '::Function::' || name || '@L' || h.line AS start FROM routes r JOIN handler h ON h.path = r.path", C.BASE_SQL, C.ROUTES_SQL, C.HANDLER_SQL)
+def http_routes(s, d):
+    found, symbols = passes.read_files(C.files(s, d))
+    return passes.handlers(extract.of_kind(found, "routes"), symbols.where("label = 'Function'"))
+
+
+@query("SELECT a.path || '::Function::' || name || '@L' || a.line AS span, regexp_replace(url, '^http://h', '') AS path FROM clients c JOIN asker a ON a.path = c.path", C.BASE_SQL, C.CLIENTS_SQL, C.ASKER_SQL)
+def http_client_calls(s, d):
+    found, symbols = passes.read_files(C.files(s, d))
+    return passes.client_calls(extract.of_kind(found, "clients"), symbols.where("label = 'Function'"))
+
+
+# A client's path fits the templates that begin with its kind and word; the last of them by name is meant.
+@query(
+    """t AS (SELECT split_part(route, '/', 2) AS kind, w, max(path || '::Route::' || route || '@L' || line) AS node FROM routes WHERE route LIKE '%{id}' GROUP BY ALL),
+    h AS (SELECT h.path || '::Function::' || name || '@L' || h.line AS src, r.path || '::Route::' || route || '@L' || r.line AS dst FROM routes r JOIN handler h ON h.path = r.path),
+    c AS (SELECT DISTINCT a.path || '::Function::' || name || '@L' || a.line AS src, node AS dst FROM clients c JOIN asker a ON a.path = c.path JOIN t ON t.w = c.w AND t.kind = split_part(regexp_replace(url, '^http://h', ''), '/', 2))
+    SELECT src, dst, 'HTTP_ROUTE' AS edge_type FROM h UNION ALL SELECT src, dst, 'HTTP_CALLS' FROM c""",
+    C.BASE_SQL,
+    C.ROUTES_SQL,
+    C.HANDLER_SQL,
+    C.CLIENTS_SQL,
+    C.ASKER_SQL,
+)
+def http_edges(s, d):
+    return _edges_of(s, d, passes.route_pass)
+
+
+@query("SELECT h.path || '::Function::' || name || '@L' || h.line AS src, d.path || '::Decorator::' || decorator || '@L' || d.line AS dst FROM decorators d JOIN handler h ON h.path = d.path", C.BASE_SQL, C.DECORATORS_SQL, C.HANDLER_SQL)
+def decorates(s, d):
+    found, symbols = passes.read_files(C.files(s, d))
+    return passes.decorated(extract.of_kind(found, "decorators"), symbols)
+
+
+# No base is defined anywhere, so a stand-in is made in the file; every definition of the class inherits.
+@query(
+    """SELECT s.path || '::Class::' || s.name || '@L' || line_start AS src, b.path || '::Class::' || base || '@L0' AS dst, edge_type FROM bases b JOIN symbols s ON s.path = b.path AND s.name = b.name AND label = 'Class'
+    UNION ALL SELECT h.path || '::Function::' || h.name || '@L' || h.line, d.path || '::Decorator::' || decorator || '@L' || d.line, 'DECORATES' FROM decorators d JOIN handler h ON h.path = d.path""",
+    C.BASE_SQL,
+    C.BASES_SQL,
+    C.SYMBOLS_SQL,
+    C.DECORATORS_SQL,
+    C.HANDLER_SQL,
+)
+def inheritance_edges(s, d):
+    return _edges_of(s, d, passes.inheritance_pass)
 
 
-@query("SELECT doc_id, callee, count(*)::BIGINT AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '([A-Za-z_][A-Za-z0-9_]*), ', 1)) AS callee FROM documents) WHERE callee NOT IN ({}) GROUP BY ALL".format(", ".join(f"'{w}'" for w in P.NOISE_CALLEES)))
-def regex_calls(s, d):
-    c = A.table(s, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z_][A-Za-z0-9_]*), "), F.lit(1))).alias("callee"))
-    return c.where(~F.col("callee").isin(*P.NOISE_CALLEES)).groupBy("doc_id", "callee").agg(F.count(F.lit(1)).alias("n"))
+@query("p AS (SELECT doc_id, text, strpos(text, ' the ') AS place FROM documents), l AS (SELECT *, length(left(text, place - 1)) - length(replace(left(text, place - 1), chr(10), '')) + 1 AS n FROM p WHERE place > 0) SELECT doc_id, place, n AS line, n + CASE WHEN place > 1 AND text[place - 1] <> chr(10) THEN 1 ELSE 0 END AS compat FROM l", "one AS (SELECT 1)")
+def line_of_offset(s, d):
+    found = A.table(s, d, "documents").select("doc_id", "text", F.instr("text", " the ").cast("long").alias("place")).where("place > 0")
+    return found.select("doc_id", "place", X.line_of(F.col("text"), F.col("place")).alias("line"), X.line_of(F.col("text"), F.col("place"), True).alias("compat"))
+
+
+# A path's parts, and those that `..` steps back over: a part goes if, counted from it, as many steps back follow.
+@query(
+    """u AS (SELECT page_id, coalesce(split_part(url, '/', 4), '') AS a, page_id % 5 AS k FROM pages),
+    r AS (SELECT page_id, a, CASE k WHEN 0 THEN './' || a || '/../' || page_id WHEN 1 THEN a || chr(92) || 'x' WHEN 2 THEN '../../' || a WHEN 3 THEN '../../../' || a || '//y/.' ELSE a || '/x/../../z' END AS spec, k FROM u)
+    SELECT page_id, spec, array_to_string(list_filter([CASE WHEN k IN (0, 1, 4) THEN 'a' WHEN k = 2 THEN '' ELSE '' END, CASE WHEN k IN (0, 1, 4) THEN 'b' ELSE '' END, CASE WHEN k IN (1, 2, 3) THEN a ELSE '' END, CASE k WHEN 0 THEN page_id::VARCHAR WHEN 1 THEN 'x' WHEN 3 THEN 'y' WHEN 4 THEN 'z' ELSE '' END], lambda x: x <> ''), '/') AS path FROM r""",
+    "one AS (SELECT 1)",
+)
+def normalize_path(s, d):
+    k, a = F.col("page_id") % 5, F.coalesce(F.split_part("url", F.lit("/"), F.lit(4)), F.lit(""))
+    spec = (
+        F.when(k == 0, F.concat(F.lit("./"), a, F.lit("/../"), F.col("page_id").cast("string"))).when(k == 1, F.concat(a, F.lit("\\x"))).when(k == 2, F.concat(F.lit("../../"), a))
+        .when(k == 3, F.concat(F.lit("../../../"), a, F.lit("//y/."))).otherwise(F.concat(a, F.lit("/x/../../z")))
+    )
+    return A.table(s, d, "pages").select("page_id", spec.alias("spec")).withColumn("path", X.normal_path(F.concat(F.lit("a/./b//"), "spec")))
 
 
 # A call site is an order naming its customer's segment; the registry has suppliers under the same names.
@@ -395,18 +494,18 @@ def enclosing_spans(s, d):
 
 
 @query(f"{_POINTS} SELECT point, arg_max(span, (low, span)) AS span FROM points JOIN spans USING (file_path) WHERE line BETWEEN low AND high GROUP BY point", "one AS (SELECT 1)")
-def http_client_calls(s, d):
+def innermost_span(s, d):
     return resolve.innermost(*_point_tables(s, d))
 
 
 @query(f"{_POINTS} SELECT point, arg_min(span, (low, span)) AS start FROM points JOIN spans USING (file_path) WHERE low > line AND low <= line + 5 GROUP BY point", "one AS (SELECT 1)")
-def http_routes(s, d):
+def next_start_within(s, d):
     points, spans = _point_tables(s, d)
     return resolve.next_after(points, spans.select(F.col("span").alias("start"), "file_path", "low"), 5)
 
 
 @query(f"{_POINTS} SELECT point, arg_min(span, (low, span)) AS start FROM points JOIN spans USING (file_path) WHERE low >= line + 1 GROUP BY point", "one AS (SELECT 1)")
-def decorates(s, d):
+def next_start(s, d):
     points, spans = _point_tables(s, d)
     return resolve.next_after(points, spans.select(F.col("span").alias("start"), "file_path", "low"))
 
@@ -455,17 +554,22 @@ def incremental_merge(s, d):
 _FOLD = "' ' || trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' '"
 _HIT = """h AS (SELECT path, string_split(content, chr(10)) AS ls FROM found), k AS (SELECT path, ls, coalesce(nullif(coalesce(list_position(list_transform(ls, lambda x: contains(x, '{p}')), true), 0), 0),
       nullif(coalesce(list_position(list_transform(ls, lambda x: contains(lower(x), lower('{p}'))), true), 0), 0), 1) AS n FROM h) SELECT path, n::BIGINT AS line_number, left(ls[n], 200) AS preview FROM k"""
-_PHRASE = f"found AS (SELECT * FROM files WHERE contains({_FOLD.format('content')}, ' of the ') OR contains({_FOLD.format('path')}, ' of the ') ORDER BY path LIMIT 500), " + _HIT.format(p="of the")
+_PHRASE = f"found AS (SELECT * FROM files WHERE contains({_FOLD.format('content')}, ' of the ') OR contains({_FOLD.format('path')}, ' of the ')), " + _HIT.format(p="of the")
 
 
 @query(_PHRASE, FILES)
 def fts_phrase(s, d):
-    return text.phrase_search(A.files(s, d), "of the", 500)
+    return text.phrase_search(A.files(s, d), "of the", None)
+
 
+@query(_PHRASE.partition(", h AS")[0] + " SELECT path FROM found", FILES)
+def indexed_phrase(s, d):
+    return text.indexed_phrase(graph.cut(text.postings(A.files(s, d))), "of the")
 
-@query("found AS (SELECT * FROM files WHERE len(list_filter(string_split(content, chr(10)), lambda x: contains(x, 'thand'))) > 0 ORDER BY path LIMIT 500), " + _HIT.format(p="thand"), FILES)
+
+@query("found AS (SELECT * FROM files WHERE len(list_filter(string_split(content, chr(10)), lambda x: contains(x, 'thand'))) > 0), " + _HIT.format(p="thand"), FILES)
 def scan_substring(s, d):
-    return text.scan_search(A.files(s, d), "thand", 500)
+    return text.scan_search(A.files(s, d), "thand", None)
 
 
 @query("found AS (SELECT * FROM files WHERE len(list_filter(string_split(content, chr(10)), lambda x: contains(x, 'hstth'))) > 0 ORDER BY path LIMIT 20), " + _HIT.format(p="hstth"), FILES)
@@ -516,22 +620,31 @@ def session_retention(s, d):
     return text.retained(e.join(F.broadcast(now)), F.col("now"), ttl_seconds=864_000).select("session")
 
 
-@query("SELECT q.qualified_name, q.name, e.dst, e.edge_type FROM symbols q LEFT JOIN edges e ON e.src = q.qualified_name WHERE q.qualified_name = 'order::Order::7'", S, E)
+@query(
+    """SELECT s.path || '::' || label || '::' || s.name || '@L' || line_start AS qualified_name, s.name, label, s.path AS file_path, array_to_string((string_split(content, chr(10)))[line_start:line_end], chr(10)) AS snippet,
+      (CASE WHEN c.name IS NULL THEN 0 ELSE 1 END)::BIGINT AS calls FROM symbols s JOIN code USING (path) LEFT JOIN caller c ON c.path = s.path AND c.name = s.name AND c.line = s.line_start""",
+    C.BASE_SQL,
+    C.SYMBOLS_SQL,
+    C.content_sql(),
+    C.CALLER_SQL,
+)
 def read_symbol(s, d):
-    one = A.symbols(s, d).where("qualified_name = 'order::Order::7'").select("qualified_name", "name")
-    return one.join(A.edges(s, d), F.col("src") == F.col("qualified_name"), "left").select("qualified_name", "name", "dst", "edge_type")
+    files = C.files(s, d)
+    found, symbols = passes.read_files(files)
+    edges = passes.call_pass("demo", files, found, symbols, symbols.limit(0), EngineConfig())
+    return text.read_symbol(symbols, files, edges, symbols.select("qualified_name"))
 
 
 # --- similarity --------------------------------------------------------------------------------------------------------
 
 
 def _bags(s: SparkSession, d: str) -> DataFrame:
-    return similarity.token_rows(A.table(s, d, "documents"), "doc_id", "text")
+    return similarity.token_bags(A.table(s, d, "documents"), "doc_id", "text")
 
 
 @query("SELECT doc_id, token, n FROM bags", BAGS)
 def tokenize_counts(s, d):
-    return _bags(s, d)
+    return similarity.token_rows(A.table(s, d, "documents"), "doc_id", "text")
 
 
 _IDF = "i AS (SELECT token, count(*)::BIGINT AS df, ln(((SELECT count(*) FROM documents) + 1)::DOUBLE / (count(*) + 1)) + 1 AS idf FROM bags GROUP BY token)"
@@ -539,7 +652,7 @@ _TFIDF = f"{_IDF}, t AS (SELECT doc_id, sum(n) AS total FROM bags GROUP BY doc_i
 
 
 def _weights(s: SparkSession, d: str) -> DataFrame:
-    bags = _bags(s, d)
+    bags = graph.cut(_bags(s, d))  # the texts are split once
     return similarity.tfidf(bags, "doc_id", similarity.idf(bags, A.table(s, d, "documents").count()))
 
 
@@ -554,30 +667,23 @@ def tfidf_top(s, d):
     return _weights(s, d).withColumn("k", F.row_number().over(order)).where("k <= 3").select("doc_id", "token", F.round("w", 6).alias("w"))
 
 
-# Pairs of documents that share one of the words which two to five documents have.
-_RARE = "rare AS (SELECT token FROM bags GROUP BY token HAVING count(*) BETWEEN 2 AND 5), pairs AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM bags x JOIN bags y USING (token) JOIN rare USING (token) WHERE x.doc_id < y.doc_id)"
-
-
-def _pairs(s: SparkSession, d: str) -> DataFrame:
-    return similarity.sharing_pairs(_bags(s, d), "doc_id", 5)
-
-
-@query(f"{_RARE} SELECT a, b FROM pairs", BAGS)
-def sharing_pairs(s, d):
-    return _pairs(s, d)
+def _beside(df: DataFrame, value: str) -> DataFrame:
+    """Each document's value beside that of the next document."""
+    x, y = df.select(F.col("doc_id").alias("a"), F.col(value).alias("u")), df.select((F.col("doc_id") - 1).alias("a"), F.col("doc_id").alias("b"), F.col(value).alias("v"))
+    return x.join(y, "a")
 
 
 @query(
-    f"""{_TFIDF}, {_RARE}, n AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY doc_id)
-    SELECT a, b, round(sum(x.w * y.w) / any_value(nx.norm * ny.norm), 4) AS cosine FROM pairs JOIN w x ON x.doc_id = a JOIN w y ON y.doc_id = b AND y.token = x.token JOIN n nx ON nx.doc_id = a JOIN n ny ON ny.doc_id = b GROUP BY a, b""",
+    f"""{_TFIDF}, n AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY doc_id), x AS (SELECT x.doc_id AS a, y.doc_id AS b, sum(x.w * y.w) AS dot FROM w x JOIN w y ON y.doc_id = x.doc_id + 1 AND y.token = x.token GROUP BY ALL)
+    SELECT a, b, round(dot / (p.norm * q.norm), 4) AS cosine FROM x JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b""",
     BAGS,
 )
 def tfidf_cosine(s, d):
-    w = _weights(s, d)
+    w = graph.cut(_weights(s, d))
     norm = w.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     unit = w.join(norm, "doc_id").select("doc_id", "token", (F.col("w") / F.col("norm")).alias("u"))
-    x, y = unit.select(F.col("doc_id").alias("a"), "token", F.col("u").alias("ua")), unit.select(F.col("doc_id").alias("b"), "token", F.col("u").alias("ub"))
-    return _pairs(s, d).join(x, "a").join(y, ["b", "token"]).groupBy("a", "b").agg(F.round(F.sum(F.col("ua") * F.col("ub")), 4).alias("cosine"))
+    x, y = unit.select(F.col("doc_id").alias("a"), "token", F.col("u").alias("ua")), unit.select((F.col("doc_id") - 1).alias("a"), F.col("doc_id").alias("b"), "token", F.col("u").alias("ub"))
+    return x.join(y, ["a", "token"]).groupBy("a", "b").agg(F.round(F.sum(F.col("ua") * F.col("ub")), 4).alias("cosine"))
 
 
 def _fnv_sql(value: str, basis: str = "14695981039346656037") -> str:
@@ -589,9 +695,18 @@ def fnv_hash(s, d):
     return _bags(s, d).select("token").distinct().select("token", similarity.fnv_hash("token").alias("hash"))
 
 
-@query()
+def _seeded(seed: int) -> str:
+    return _fnv_sql("token", str(0xCBF29CE484222325 ^ seed))
+
+
+@query(
+    f"""{_IDF}, h AS (SELECT token, idf, ({_seeded(0)} % 768)::INT AS p, ({_seeded(1)} % 768)::INT AS q, CASE WHEN {_seeded(2)} % 2 = 0 THEN 1 ELSE -1 END AS sign FROM i),
+    v AS (SELECT doc_id, slot, sum(x) AS v FROM (SELECT doc_id, p AS slot, n * idf * sign AS x FROM bags JOIN h USING (token) UNION ALL SELECT doc_id, q, n * idf * sign * 0.5 FROM bags JOIN h USING (token)) GROUP BY ALL)
+    SELECT doc_id, slot, round(v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)), 6) AS v FROM v""",
+    BAGS,
+)
 def ri_vectors(s, d):
-    bags = _bags(s, d)
+    bags = graph.cut(_bags(s, d))
     sparse = similarity.ri_sparse(bags, "doc_id", similarity.idf(bags, A.table(s, d, "documents").count()))
     return sparse.select("doc_id", "slot", F.round("v", 6).alias("v"))
 
@@ -621,8 +736,7 @@ def shingles(s, d):
 @query()
 def minhash_sim(s, d):
     m = similarity.minhash(A.table(s, d, "documents"), "doc_id", "text")
-    x, y = m.select(F.col("doc_id").alias("a"), F.col("sketch").alias("u")), m.select(F.col("doc_id").alias("b"), F.col("sketch").alias("v"))
-    return _pairs(s, d).join(x, "a").join(y, "b").select("a", "b", similarity.sketch_similarity(F.col("u"), F.col("v")).alias("similarity"))
+    return _beside(m, "sketch").select("a", "b", similarity.sketch_similarity(F.col("u"), F.col("v")).alias("similarity"))
 
 
 # Signals compare each part with the next one, a part's type and name standing for signature and name.
@@ -700,10 +814,12 @@ def combined_score(s, d):
 
 
 def _scored(s: SparkSession, d: str) -> DataFrame:
-    nodes = A.symbols(s, d).where("label in ('Region', 'Nation', 'Supplier')")
-    ready = graph.cut(similarity.prepared(nodes, A.edges(s, d, ("CALLS",))))
-    counted = similarity.token_rows(ready, "qualified_name", "document")
-    return similarity.pair_scores(ready, similarity.sharing_pairs(counted, "qualified_name", 30))
+    """All pairs of classes of the code made from the documents, by all eleven signals."""
+    files = C.files(s, d)
+    found, symbols = passes.read_files(files)
+    edges = passes.call_pass("demo", files, found, symbols, symbols.limit(0), EngineConfig())
+    ready = graph.cut(similarity.prepared(symbols.where("label = 'Class'"), edges))
+    return similarity.pair_scores(ready, least=0.5)
 
 
 @query()
@@ -716,6 +832,14 @@ def greedy_topk_edges(s, d):
     return graph.greedy_pairs(_scored(s, d).select("a", "b", F.round("score", 6).alias("score")))
 
 
+@query()
+def vector_search(s, d):
+    """Symbols of the code made from the documents, stored as vectors, asked for by a text."""
+    symbols = graph.cut(extract.extract(C.files(s, d), "symbols"))
+    asked = s.createDataFrame([("class run java",)], "text string")
+    return similarity.vector_search(similarity.symbol_vectors(symbols), symbols, asked, 20).select("qualified_name", F.round("score", 5).alias("score"))
+
+
 @query("q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 7) SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], v), 5) AS score FROM embeddings, q ORDER BY list_cosine_similarity(embedding::DOUBLE[], v) DESC, vec_id LIMIT 20", "one AS (SELECT 1)")
 def vector_topk(s, d):
     e = A.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
@@ -771,12 +895,9 @@ def index_status(s, d):
     return n.select("symbols", "edges", "files", (F.col("symbols") > 0).alias("indexed"))
 
 
-@query("SELECT count(*)::BIGINT AS total, count(*) FILTER (doc_id IN (SELECT doc_id FROM labels))::BIGINT AS covered, round(100.0 * count(*) FILTER (doc_id IN (SELECT doc_id FROM labels)) / count(*))::BIGINT AS percent FROM documents")
+@query("n AS (SELECT count(DISTINCT user_id)::BIGINT AS total, (count(DISTINCT user_id) FILTER (user_id IN (SELECT doc_id FROM documents)))::BIGINT AS covered FROM events) SELECT total, covered, round(100.0 * covered / total)::BIGINT AS percent FROM n", "one AS (SELECT 1)")
 def index_coverage(s, d):
-    known = A.table(s, d, "labels").select("doc_id").distinct().withColumn("k", F.lit(1))
-    n = A.table(s, d, "documents").select("doc_id").join(known, "doc_id", "left").agg(F.count(F.lit(1)).alias("total"), F.count("k").alias("covered"))
-    percent = F.when(F.col("total") == 0, 100).otherwise(F.round(100 * F.col("covered") / F.col("total")).cast("long"))
-    return n.select("total", "covered", percent.cast("long").alias("percent"))
+    return text.coverage(A.files(s, d), A.table(s, d, "events").select(F.concat(F.lit("/"), "user_id", F.lit(".txt")).alias("path")))
 
 
 @query("SELECT name, count(*)::BIGINT AS n, string_agg(qualified_name, ',' ORDER BY qualified_name) AS names FROM symbols WHERE label = 'Part' GROUP BY name", S)
@@ -797,11 +918,28 @@ def symbol_upsert(s, d):
     return graph.first_by(e, ["user_id"], [F.desc("last")])
 
 
-@query("gone AS (SELECT qualified_name FROM symbols WHERE file_path LIKE 'r1/%') SELECT edge_type, count(*)::BIGINT AS n FROM edges WHERE src NOT IN (FROM gone) AND dst NOT IN (FROM gone) GROUP BY edge_type", S, E)
+@query(
+    """gone AS (SELECT qualified_name FROM symbols WHERE file_path LIKE 'r1/%') SELECT 'edges' AS name, count(*)::BIGINT AS n FROM edges WHERE src NOT IN (FROM gone) AND dst NOT IN (FROM gone)
+    UNION ALL SELECT 'symbols', count(*) FROM symbols WHERE file_path NOT LIKE 'r1/%' UNION ALL SELECT 'vectors', count(*) FROM symbols WHERE file_path NOT LIKE 'r1/%' UNION ALL SELECT 'files', count(DISTINCT file_path) FROM symbols WHERE file_path NOT LIKE 'r1/%'""",
+    S,
+    E,
+)
 def delete_by_file(s, d):
-    gone = A.symbols(s, d).where(F.col("file_path").like("r1/%")).select("qualified_name")
-    stay = A.edges(s, d).join(gone.withColumnRenamed("qualified_name", "src"), "src", "left_anti").join(gone.withColumnRenamed("qualified_name", "dst"), "dst", "left_anti")
-    return stay.groupBy("edge_type").agg(F.count(F.lit(1)).alias("n"))
+    symbols = A.symbols(s, d)
+    files = symbols.select(F.col("file_path").alias("path")).distinct()
+    kept = text.delete_files(symbols, A.edges(s, d), files, symbols.select("qualified_name"), files.where(F.col("path").like("r1/%")))
+    out = None
+    for name, df in kept.items():
+        one = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("SELECT page_id::VARCHAR AS path, CASE WHEN page_id % 3 = 0 THEN '??' ELSE 'M' END AS status, false AS deleted FROM pages WHERE page_id % 2 = 0 OR page_id % 3 = 0")
+def merged_changes(s, d):
+    p = A.table(s, d, "pages").select(F.col("page_id").cast("string").alias("path"), "page_id")
+    status = p.where("page_id % 3 = 0").select("path", F.lit("??").alias("status"), F.lit(False).alias("deleted"))
+    return text.merged_changes(p.where("page_id % 2 = 0"), status)
 
 
 # --- SQL passthrough ---------------------------------------------------------------------------------------------------
@@ -811,7 +949,16 @@ _SQL = {
     "sql_join": "SELECT s.label AS label, e.edge_type AS edge_type, CAST(count(*) AS BIGINT) AS n FROM edges e JOIN symbols s ON s.qualified_name = e.dst GROUP BY s.label, e.edge_type",
     "sql_window": "SELECT qualified_name, label, k FROM (SELECT qualified_name, label, row_number() OVER (PARTITION BY label ORDER BY qualified_name DESC) AS k FROM symbols) t WHERE k <= 3",
     "sql_setops": "SELECT src AS q FROM edges WHERE edge_type = 'CALLS' INTERSECT SELECT dst FROM edges WHERE edge_type = 'CALLS' EXCEPT SELECT dst FROM edges WHERE edge_type = 'IMPORTS'",
-    "sql_subquery": "SELECT qualified_name, name FROM symbols s WHERE label = 'Part' AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.dst = s.qualified_name AND e.edge_type = 'CALLS')",
+    "sql_subquery": "SELECT qualified_name, name FROM symbols s WHERE label = 'Part' AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.dst = s.qualified_name AND e.src LIKE '%7' AND e.edge_type = 'CALLS')",
+    "sql_left_join": "SELECT s.label AS label, CAST(count(e.dst) AS BIGINT) AS n, CAST(count(*) AS BIGINT) AS all_rows FROM symbols s LEFT JOIN edges e ON e.src = s.qualified_name AND e.edge_type = 'CALLS' GROUP BY s.label",
+    "sql_full_join": "SELECT coalesce(a.src, b.dst) AS q, coalesce(a.n, 0) AS n, coalesce(b.m, 0) AS m FROM (SELECT src, CAST(count(*) AS BIGINT) AS n FROM edges WHERE edge_type = 'CALLS' GROUP BY src) a FULL OUTER JOIN (SELECT dst, CAST(count(*) AS BIGINT) AS m FROM edges WHERE edge_type = 'CALLS' GROUP BY dst) b ON a.src = b.dst",
+    "sql_range_join": "SELECT a.qualified_name AS q, CAST(count(*) AS BIGINT) AS n FROM symbols a JOIN symbols b ON b.line_start < a.line_start AND b.line_start >= a.line_start - 3 WHERE a.label = 'Nation' AND b.label = 'Nation' GROUP BY a.qualified_name",
+    "sql_predicates": "SELECT qualified_name FROM symbols WHERE (name LIKE 'order__9' OR name LIKE '%7_') AND line_start BETWEEN 5 AND 900 AND label IN ('Order', 'Part') AND NOT (signature IS NULL OR signature = 'O')",
+    "sql_strings": "SELECT upper(substr(name, 1, 3)) AS head, lower(label) || '-' || CAST(length(trim(name)) AS VARCHAR(9)) AS tail, CAST(count(*) AS BIGINT) AS n FROM symbols WHERE label <> 'Order' GROUP BY upper(substr(name, 1, 3)), lower(label) || '-' || CAST(length(trim(name)) AS VARCHAR(9))",
+    "sql_math": "SELECT label, round(avg(line_start), 4) AS mean, CAST(max(abs(line_start - 500)) AS BIGINT) AS far, CAST(sum(mod(line_start, 7)) AS BIGINT) AS rest, round(sqrt(CAST(max(line_end) AS DOUBLE)), 6) AS root FROM symbols GROUP BY label",
+    "sql_frames": "SELECT qualified_name, CAST(sum(line_start) OVER (PARTITION BY label ORDER BY qualified_name ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS BIGINT) AS moving, lag(name) OVER (PARTITION BY label ORDER BY qualified_name) AS before, dense_rank() OVER (ORDER BY label) AS place FROM symbols",
+    "sql_case": "SELECT CASE WHEN line_start < 10 THEN 'small' WHEN line_start < 1000 THEN 'middle' ELSE 'large' END AS kind, CAST(count(DISTINCT label) AS BIGINT) AS labels, CAST(sum(CASE WHEN label = 'Order' THEN 1 ELSE 0 END) AS BIGINT) AS orders FROM symbols GROUP BY CASE WHEN line_start < 10 THEN 'small' WHEN line_start < 1000 THEN 'middle' ELSE 'large' END HAVING count(*) > 1",
+    "sql_cte": "SELECT * FROM (WITH big AS (SELECT src, count(*) AS n FROM edges GROUP BY src HAVING count(*) > 15) SELECT src, CAST(n AS BIGINT) AS n FROM big)",
 }
 for _key, _text in _SQL.items():
     query(_text, S, E, name=_key)(lambda s, d, q=_text: sqlgate.query(s, q, {"symbols": A.symbols(s, d), "edges": A.edges(s, d)}))
@@ -822,6 +969,12 @@ def sql_json(s, d):
     return sqlgate.query(s, "SELECT event_type, count(*) AS n, sum(CAST(get_json_object(props, '$.k') AS BIGINT)) AS k FROM traces GROUP BY event_type", {"traces": A.table(s, d, "events")})
 
 
+@query("SELECT event_type, extract(year FROM ts)::BIGINT AS year, extract(month FROM ts)::BIGINT AS month, count(*)::BIGINT AS n, min(strftime(ts, '%Y-%m-%d')) AS first FROM events WHERE extract(hour FROM ts) < 12 GROUP BY ALL")
+def sql_dates(s, d):
+    asked = "SELECT event_type, CAST(extract(YEAR FROM ts) AS BIGINT) AS year, CAST(extract(MONTH FROM ts) AS BIGINT) AS month, count(*) AS n, min(date_format(ts, 'yyyy-MM-dd')) AS first FROM traces WHERE extract(HOUR FROM ts) < 12 GROUP BY event_type, extract(YEAR FROM ts), extract(MONTH FROM ts)"
+    return sqlgate.query(s, asked, {"traces": A.table(s, d, "events")})
+
+
 _WALK = "SELECT src AS q, 0 AS level FROM edges WHERE src = 'region::Region::1' AND edge_type = 'CONTAINS' UNION SELECT e.dst, w.level + 1 FROM walk w JOIN edges e ON e.src = w.q WHERE e.edge_type = 'CONTAINS' AND w.level < 2"
 
 
@@ -840,9 +993,17 @@ def change_signatures(s, d):
     return e.select("user_id", F.md5(F.array_join(F.transform("r", lambda x: x["x"]), ",")).alias("signature"))
 
 
-@query("SELECT user_id AS job, arg_max(event_type, (ts, event_id)) AS state FROM events GROUP BY user_id")
+# Each user is a job: its first event queues it, the second runs it, a third ends it, with an error where the event is one.
+@query(
+    """e AS (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events), l AS (SELECT user_id, max(k) AS n, any_value(event_type) FILTER (k = 3) AS third FROM e WHERE k <= 3 GROUP BY user_id)
+    SELECT user_id AS job, CASE WHEN n = 1 THEN 'Queued' WHEN n = 2 THEN 'Running' WHEN third = 'error' THEN 'Failed' ELSE 'Completed' END AS state FROM l""",
+    "one AS (SELECT 1)",
+)
 def job_latest_state(s, d):
-    return A.table(s, d, "events").groupBy(F.col("user_id").alias("job")).agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("state"))
+    k = F.row_number().over(W.partitionBy("user_id").orderBy("event_id"))
+    step = F.when(F.col("k") == 1, "Queued").when(F.col("k") == 2, "Running").when(F.col("event_type") == "error", "Failed").otherwise("Completed")
+    log = A.table(s, d, "events").withColumn("k", k).where("k <= 3").select(F.col("user_id").cast("string").alias("project"), F.col("user_id").alias("job"), step.alias("state"), F.col("event_id").alias("at"))
+    return job_states(log).select("job", "state")
 
 
 @query(

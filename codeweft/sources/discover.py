@@ -5,12 +5,14 @@ from __future__ import annotations
 import fnmatch
 import os
 import subprocess
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeweft.functions import patterns as P
-from codeweft.schema import FILES
+from codeweft.functions.text import lines
 
 PROJECT_PREFIX = "cw-"
 
@@ -55,29 +57,51 @@ def _ignored(path: str, rules: list[str]) -> bool:
 
 
 def read_tree(spark: SparkSession, root: str, mode: str = "full") -> DataFrame:
-    """Files (path, content, language, line_count) below a local folder, which the driver walks; texts that are not UTF-8 go."""
-    rules: list[str] = []
-    for name in (".gitignore", ".git/info/exclude", ".codeweftignore"):
-        if os.path.isfile(full := os.path.join(root, name)):
+    """Files (path, content, language, line_count) below a folder that driver and executors see. The driver lists names and
+    sizes and reads ignore files, of which each counts for its folder and those below; executors read the texts."""
+
+    def read_rules(*names: str) -> list[str]:
+        found: list[str] = []
+        for full in (n for n in names if os.path.isfile(n)):
             with open(full, encoding="utf-8") as f:
-                rules += [x.strip() for x in f if x.strip() and not x.startswith("#")]
+                found += [x.strip() for x in f if x.strip() and not x.startswith("#")]
+        return found
+
+    rules: dict[str, list[str]] = {}
     listed = []
     for folder, names, files in os.walk(root):
         names[:] = sorted(n for n in names if n not in (".git", "node_modules"))
+        here = os.path.relpath(folder, root).replace(os.sep, "/")
+        extra = [os.path.join(root, ".git/info/exclude")] if here == "." else []
+        if own := read_rules(*(os.path.join(folder, n) for n in (".gitignore", ".codeweftignore")), *extra):
+            rules[here] = own
         for f in files:
             path = os.path.relpath(os.path.join(folder, f), root).replace(os.sep, "/")
-            if not _ignored(path, rules):
+            above = [(r, path if at == "." else path[len(at) + 1 :]) for at, r in rules.items() if at == "." or path.startswith(at + "/")]
+            if not any(_ignored(below, r) for r, below in above):
                 listed.append((path, os.path.getsize(os.path.join(folder, f))))
-    kept = wanted(spark.createDataFrame(listed, "path string, size long"), mode).select("path", "language").collect()
-    rows = []
-    for path, kind in kept:
-        try:
-            with open(os.path.join(root, path), encoding="utf-8") as f:
-                text = f.read()
-        except (UnicodeDecodeError, OSError):
-            continue
-        rows.append((path, text, kind, len(text.splitlines())))
-    return spark.createDataFrame(rows, FILES)
+    kept = wanted(spark.createDataFrame(listed, "path string, size long"), mode).select("path", "language")
+    return read_listed(spark, root, kept)
+
+
+def read_listed(spark: SparkSession, root: str, listed: DataFrame) -> DataFrame:
+    """Files (path, content, language, line_count) of the listed paths (path, language) below root, which executors read; texts
+    that are not UTF-8 are left out."""
+    base = os.path.realpath(root)
+
+    def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for path, kind in part.itertuples(index=False):
+                try:
+                    with open(os.path.join(base, path), encoding="utf-8", newline="") as f:
+                        rows.append((path, f.read(), kind))
+                except (UnicodeDecodeError, OSError):
+                    continue
+            yield pd.DataFrame(rows, columns=["path", "content", "language"])
+
+    texts = listed.select("path", "language").mapInPandas(read, "path string, content string, language string")
+    return texts.withColumn("line_count", F.size(lines(F.col("content"))).cast("long"))
 
 
 def parse_porcelain(lines: DataFrame) -> DataFrame:

@@ -1,49 +1,94 @@
-"""Projects as versioned Parquet tables: a write makes a new version, and a small file then names it."""
+"""Projects as versioned Parquet tables: a write makes a new version, and a small numbered file then names it.
+
+All files are reached through Hadoop's file systems, so a project can lie wherever Spark reads and writes.
+"""
 
 from __future__ import annotations
 
 import json
-import os
-import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeweft import schema
-from codeweft.operators.graph import first_by
+from codeweft.operators import text
+from codeweft.operators.graph import cut, first_by
+
+_TABLES = {
+    "symbols": schema.SYMBOLS, "edges": schema.EDGES, "files": schema.FILES, "vectors": schema.VECTORS, "meta": schema.META,
+    "sessions": schema.SESSIONS, "chunks": schema.CHUNKS, "jobs": schema.JOBS, "postings": schema.POSTINGS,
+}
+_POINTER = "current-"
+
+
+class Folder:
+    """Small files and names in a folder of any of Hadoop's file systems."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.jvm, self.path = spark._jvm, path.rstrip("/")
+        self.fs = self._at("").getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _at(self, name: str):  # noqa: ANN202
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def names(self, name: str = "") -> list[str]:
+        at = self._at(name)
+        return sorted(x.getPath().getName() for x in self.fs.listStatus(at)) if self.fs.exists(at) else []
+
+    def read(self, name: str) -> str:
+        stream = self.fs.open(self._at(name))
+        try:
+            return self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def write(self, name: str, content: str) -> bool:
+        """Whether the file is new: an existing one is left as it is."""
+        temporary = self._at(f"{uuid.uuid4().hex}.tmp")
+        stream = self.fs.create(temporary)
+        stream.write(bytearray(content.encode()))
+        stream.close()
+        done = not self.fs.exists(self._at(name)) and self.fs.rename(temporary, self._at(name))
+        if not done:
+            self.fs.delete(temporary, False)
+        return done
+
+    def delete(self, name: str = "") -> None:
+        self.fs.delete(self._at(name), True)
 
-_TABLES = {"symbols": schema.SYMBOLS, "edges": schema.EDGES, "files": schema.FILES, "vectors": schema.VECTORS, "meta": schema.META}
+    def size(self, name: str) -> int:
+        at = self._at(name)
+        return self.fs.getContentSummary(at).getLength() if self.fs.exists(at) else 0
 
 
 class Store:
     """Tables of one project in a folder. Readers see the version named last; versions before it are left until vacuum()."""
 
     def __init__(self, spark: SparkSession, root: str, project: str) -> None:
-        self.spark, self.project, self.folder = spark, project, os.path.join(root, f"project={project}")
+        self.spark, self.project, self.path = spark, project, f"{root.rstrip('/')}/project={project}"
+        self.folder = Folder(spark, self.path)
+
+    def _pointers(self) -> list[int]:
+        return sorted(int(n[len(_POINTER) :]) for n in self.folder.names() if n.startswith(_POINTER) and n[len(_POINTER) :].isdigit())
 
     def _versions(self) -> dict[str, str]:
-        try:
-            with open(os.path.join(self.folder, "current.json"), encoding="utf-8") as f:
-                return json.load(f)
-        except FileNotFoundError:
-            return {}
+        last = self._pointers()
+        return json.loads(self.folder.read(f"{_POINTER}{last[-1]}")) if last else {}
 
     def read(self, name: str) -> DataFrame:
         at = self._versions().get(name)
-        return self.spark.read.schema(_TABLES[name]).parquet(os.path.join(self.folder, name, at)) if at else self.spark.createDataFrame([], _TABLES[name])
+        return self.spark.read.schema(_TABLES[name]).parquet(f"{self.path}/{name}/{at}") if at else self.spark.createDataFrame([], _TABLES[name])
 
     def replace(self, **tables: DataFrame) -> None:
-        """Write new versions of tables and switch to all of them at once."""
+        """Write new versions of tables and switch to all of them at once; another writer's switch in between is an error."""
+        last = self._pointers()
         new = self._versions()
         for name, df in tables.items():
             new[name] = uuid.uuid4().hex
-            df.select(*[F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in _TABLES[name]]).write.option("compression", "zstd").parquet(os.path.join(self.folder, name, new[name]))
-        os.makedirs(self.folder, exist_ok=True)
-        temporary = os.path.join(self.folder, f"{uuid.uuid4().hex}.tmp")
-        with open(temporary, "w", encoding="utf-8") as f:
-            json.dump(new, f)
-        os.replace(temporary, os.path.join(self.folder, "current.json"))
+            df.select(*[F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in _TABLES[name]]).write.option("compression", "zstd").parquet(f"{self.path}/{name}/{new[name]}")
+        if not self.folder.write(f"{_POINTER}{(last[-1] if last else 0) + 1}", json.dumps(new)):
+            raise RuntimeError(f"project {self.project} was written by someone else meanwhile")
 
     def upsert(self, name: str, rows: DataFrame, keys: list[str]) -> None:
         """Last write wins: rows of these keys are replaced."""
@@ -63,16 +108,35 @@ class Store:
         stay = self.read("edges").where(~F.col("edge_type").isin(*types))
         self.replace(edges=stay.unionByName(rows.select("src", "dst", "edge_type", F.col("properties") if "properties" in rows.columns else F.lit(None).cast("string").alias("properties"))))
 
+    def upsert_files(self, files: DataFrame) -> None:
+        """Replace these files' rows and their postings in the inverted index."""
+        lined = cut(files)
+        gone = lined.select("path")
+        stay = self.read("files").join(gone, "path", "left_anti")
+        words = self.read("postings").join(gone, "path", "left_anti")
+        self.replace(files=stay.unionByName(lined.select(*[f.name for f in schema.FILES])), postings=words.unionByName(text.postings(lined)))
+
     def delete_files(self, paths: DataFrame) -> None:
-        """Drop files, their symbols and vectors, and the edges that touch those symbols."""
-        gone = self.read("symbols").join(paths.select(F.col("path").alias("file_path")), "file_path", "left_semi").select("qualified_name")
-        edges = self.read("edges").join(gone.withColumnRenamed("qualified_name", "src"), "src", "left_anti").join(gone.withColumnRenamed("qualified_name", "dst"), "dst", "left_anti")
-        self.replace(
-            edges=edges,
-            vectors=self.read("vectors").join(gone, "qualified_name", "left_anti"),
-            files=self.read("files").join(paths.select("path"), "path", "left_anti"),
-            symbols=self.read("symbols").join(paths.select(F.col("path").alias("file_path")), "file_path", "left_anti"),
-        )
+        """Drop files, their symbols, vectors and postings, and the edges that touch those symbols."""
+        kept = text.delete_files(*(self.read(n) for n in ("symbols", "edges", "files", "vectors")), paths)
+        self.replace(**kept, postings=self.read("postings").join(paths.select("path"), "path", "left_anti"))
+
+    def delete_edges(self, types: list[str]) -> None:
+        self.replace(edges=self.read("edges").where(~F.col("edge_type").isin(*types)))
+
+    def delete_labels(self, labels: list[str]) -> None:
+        """Drop the symbols of these labels; their edges stay."""
+        self.replace(symbols=self.read("symbols").where(~F.col("label").isin(*labels)))
+
+    def clear_vectors(self) -> None:
+        self.replace(vectors=self.spark.createDataFrame([], schema.VECTORS))
+
+    def clear(self) -> None:
+        """Empty every table; the project stays."""
+        self.replace(**{n: self.spark.createDataFrame([], t) for n, t in _TABLES.items()})
+
+    def vectors_with_symbols(self) -> DataFrame:
+        return self.read("vectors").join(self.read("symbols"), "qualified_name")
 
     def set_meta(self, key: str, value: str) -> None:
         self.upsert("meta", self.spark.createDataFrame([(key, value)], "key string, value string"), ["key"])
@@ -83,31 +147,46 @@ class Store:
 
     def vacuum(self) -> None:
         """Remove versions that are not current."""
+        for k in self._pointers()[:-1]:
+            self.folder.delete(f"{_POINTER}{k}")
         for name, at in self._versions().items():
-            for version in os.listdir(os.path.join(self.folder, name)):
+            for version in self.folder.names(name):
                 if version != at:
-                    shutil.rmtree(os.path.join(self.folder, name, version))
+                    self.folder.delete(f"{name}/{version}")
 
-    def export(self, folder: str) -> dict[str, int]:
-        """Write the tables and a manifest with their row counts; import_from reads them where there is no project yet."""
-        counts = {}
+    def export(self, folder: str) -> dict[str, dict[str, int]]:
+        """Write the tables and a manifest with their rows and bytes; import_from reads them where there is no project yet."""
+        told, out = {}, Folder(self.spark, folder)
         for name in self._versions():
             df = self.read(name)
-            df.write.mode("overwrite").option("compression", "zstd").parquet(os.path.join(folder, name))
-            counts[name] = df.count()
-        with open(os.path.join(folder, "manifest.json"), "w", encoding="utf-8") as f:
-            json.dump({"project": self.project, "rows": counts}, f)
-        return counts
+            df.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/{name}")
+            told[name] = {"rows": df.count(), "bytes": out.size(name)}
+        out.delete("manifest.json")
+        out.write("manifest.json", json.dumps({"project": self.project, "tables": told, "bytes": sum(t["bytes"] for t in told.values())}))
+        return told
 
     def import_from(self, folder: str) -> bool:
-        if self._versions() or not os.path.exists(os.path.join(folder, "manifest.json")):
+        at = Folder(self.spark, folder)
+        if self._versions() or "manifest.json" not in at.names():
             return False
-        self.replace(**{n: self.spark.read.parquet(os.path.join(folder, n)) for n in _TABLES if os.path.isdir(os.path.join(folder, n))})
+        names = set(at.names())
+        self.replace(**{n: self.spark.read.parquet(f"{folder}/{n}") for n in _TABLES if n in names})
         return True
 
     def delete(self) -> None:
-        shutil.rmtree(self.folder, ignore_errors=True)
+        self.folder.delete()
+
+
+def projects(spark: SparkSession, root: str) -> list[str]:
+    return [n.partition("=")[2] for n in Folder(spark, root).names() if n.startswith("project=")]
 
 
-def projects(root: str) -> list[str]:
-    return sorted(d.partition("=")[2] for d in os.listdir(root) if d.startswith("project=")) if os.path.isdir(root) else []
+def across(spark: SparkSession, root: str, names: DataFrame) -> DataFrame:
+    """Symbols of these names (qualified_name) in any project, with the project; of several the first project by name counts."""
+    out = None
+    for name in projects(spark, root):
+        rows = Store(spark, root, name).read("symbols").join(names, "qualified_name", "left_semi").withColumn("project", F.lit(name))
+        out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        return spark.createDataFrame([], schema.SYMBOLS).withColumn("project", F.lit(None).cast("string"))
+    return first_by(out, ["qualified_name"], ["project"])

@@ -2,20 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codeweft.operators.graph import runtime_edges
+from codeweft.operators.graph import cut, runtime_edges
 
 TRACE_SCHEMA = "caller string, `from` string, src string, callee string, `to` string, dst string, ts timestamp"
 
 
 def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str, schema: str = TRACE_SCHEMA) -> None:
-    """Append the distinct RUNTIME_TRACE edges of JSON lines in a folder; what an earlier run has seen is not added again."""
-    items = spark.readStream.schema(schema).json(folder)
-    edges = runtime_edges(items.drop("ts")).dropDuplicates(["src", "dst"])
-    edges.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    """Append the distinct RUNTIME_TRACE edges of JSON lines in a folder; what an earlier run has seen is not added again.
+
+    Each batch is compared with the edges already there, so nothing is kept in state however long the stream runs; a batch that
+    is repeated after a failure finds its own edges there and adds none.
+    """
+
+    def batch(items: DataFrame, number: int) -> None:
+        new = runtime_edges(items.drop("ts"))
+        if _exists(spark, out):
+            new = new.join(spark.read.schema(new.schema).parquet(out).select("src", "dst"), ["src", "dst"], "left_anti").select(*new.columns)
+        cut(new).write.mode("append").parquet(out)
+
+    spark.readStream.schema(schema).json(folder).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
 def recent_calls(items: DataFrame, delay: str = "10 minutes", width: str = "5 minutes") -> DataFrame:
@@ -37,3 +51,29 @@ def watch(spark: SparkSession, folder: str, checkpoint: str, apply, schema: T.St
 def next_interval(now_ms: int, changed: bool, clean: bool, base: int = 5_000, most: int = 60_000) -> int:
     """Polling back-off: doubled while nothing changes, back to the base on a change or a clean tree."""
     return base if changed or clean else min(most, now_ms * 2)
+
+
+#: What a job can become: it is queued, runs, and ends.
+TRANSITIONS = {None: ("Queued",), "Queued": ("Running", "Failed"), "Running": ("Completed", "Failed"), "Completed": (), "Failed": ()}
+
+
+def job_states(log: DataFrame, finished: int = 32) -> DataFrame:
+    """Rows (project, job, state, at) from a log (project, job, state, at): each job's last state.
+
+    Steps that the state before does not allow are left out; of finished jobs a project keeps the newest ones.
+    """
+    order = Window.partitionBy("project", "job").orderBy("at", "state")
+    rank = F.create_map(*[F.lit(x) for pair in {"Queued": 0, "Running": 1, "Failed": 2, "Completed": 2}.items() for x in pair])
+    # States only go forward, so a step counts if it is higher than all before it; a job begins queued.
+    known = log.withColumn("r", F.try_element_at(rank, F.col("state"))).where("r is not null")
+    before = F.max("r").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    first = F.first("r").over(order)
+    steps = known.withColumn("b", before).withColumn("f", first).where("f = 0 and (b is null or (r > b and not (b = 0 and state = 'Completed')))")
+    last = steps.groupBy("project", "job").agg(F.max(F.struct("r", "at", "state")).alias("m")).select("project", "job", F.col("m.state").alias("state"), F.col("m.at").alias("at"))
+    newest = Window.partitionBy("project", F.col("state").isin("Completed", "Failed")).orderBy(F.desc("at"), "job")
+    return last.withColumn("k", F.row_number().over(newest)).where(~F.col("state").isin("Completed", "Failed") | (F.col("k") <= finished)).drop("k")
+
+
+def may_start(states: DataFrame, project: str) -> bool:
+    """One job of a project at a time."""
+    return states.where((F.col("project") == project) & F.col("state").isin("Queued", "Running")).isEmpty()

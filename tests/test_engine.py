@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,8 +9,8 @@ from codeweft.functions import text as X
 from codeweft.operators import graph, resolve, search, similarity, text
 from codeweft.plans import sqlgate
 from codeweft.sources import discover
-from codeweft.sources.extract import calls_of, line_of, symbols_of
-from codeweft.store import Store
+from codeweft.sources.extract import read
+from codeweft.store import Store, across, projects
 
 
 @pytest.fixture(scope="module")
@@ -110,6 +111,8 @@ def test_paths_urls_numbers(spark):
         X.normal_path(F.lit("a/./b/../c\\d")), X.url_path(F.lit("http://h.x/a/b?q=/z")), X.url_path(F.lit("word")), X.route_key(F.lit("a/")), X.longest_identifier(F.lit("grep handleAuth x")),
         X.path_proximity(F.lit("src/a.rs"), F.lit("src/b.rs")), X.quantize(F.array(F.lit(0.5 / 127), F.lit(-0.5 / 127), F.lit(2.0))), X.cosine(F.array(F.lit(0.0)), F.array(F.lit(1.0))),
     ).first()
+    told = spark.range(1).select(*[X.line_of(F.lit("a\nb c"), F.lit(at), compat) for at, compat in ((5, False), (5, True), (3, True), (1, False), (1, True))]).first()
+    assert list(told) == [2, 3, 2, 1, 1]
     assert list(row) == ["a/c/d", "/a/b", None, "/a", "handleAuth", 0.5, [1, -1, 127], 0.0]
 
 
@@ -134,18 +137,122 @@ def test_signals(spark):
     assert m[1] == m[2] and 3 not in m
 
 
-def test_sql_guard():
-    assert sqlgate.check(" SELECT 'UPDATE' AS x; ") == "SELECT 'UPDATE' AS x"
-    for bad in ("DELETE FROM edges", "SELECT 1; SELECT 2", "WITH x AS (SELECT 1) SELECT * FROM x", "SELECT replace('a', 'b', 'c')"):
+def test_sql_guard(spark):
+    assert sqlgate.check(" SELECT 'UPDATE; x' AS x; ") == "SELECT 'UPDATE; x' AS x"
+    bad = ["DELETE FROM edges", "SELECT 1; SELECT 2", "WITH x AS (SELECT 1) SELECT * FROM x", "SELECT replace('a', 'b', 'c')", "SELECT reflect('java.lang.System', 'getenv')", "SELECT `reflect`('a', 'b')", "", "SELECT /* x */ java_method('a', 'b')"]
+    for sql in bad:
         with pytest.raises(sqlgate.RejectedSQL):
-            sqlgate.check(bad)
-
-
-def test_extraction():
-    assert [s[0] for s in symbols_of("m.py", "class A:\n    def f(self):\n        pass\n", "python")] == ["m.py::Class::A@L1", "m.py::Function::f@L2"]
-    assert [s[1] for s in symbols_of("m.rs", "pub fn go() {}\nstruct S;\n", "rust")] == ["go", "S"]
-    assert calls_of("m.js", "function a() { b(); if (x) {} }", "javascript") == [("m.js", "b", 1)]
-    assert line_of("a\nb c", 4) == 2 and line_of("a\nb c", 4, compat=True) == 3 and line_of("a\nb", 2, compat=True) == 2
+            sqlgate.check(sql)
+    edges = spark.createDataFrame([("a", "b")], "src string, dst string")
+    for sql in ("SELECT * FROM text.`/etc/hostname`", "SELECT * FROM range(3)", "SELECT (SELECT max(value) FROM text.`/etc/hostname`) FROM edges", "SELECT * FROM edges, other", "SELECT * FROM (SELECT * FROM json.`/etc`)"):
+        with pytest.raises(sqlgate.RejectedSQL):
+            sqlgate.query(spark, sql, {"edges": edges})
+    spark.range(3).createOrReplaceTempView("edges")
+    assert sqlgate.query(spark, "SELECT upper(src) AS s FROM edges e WHERE EXISTS (SELECT 1 FROM edges x WHERE x.src = e.src) -- ; DROP", {"edges": edges}).collect()[0]["s"] == "A"
+    assert spark.table("edges").count() == 3
+    spark.catalog.dropTempView("edges")
+    sqlgate.query(spark, "SELECT * FROM edges", {"edges": edges})
+    assert not spark.catalog.tableExists("edges")
+
+
+_SOURCES = {
+    "rust": ("use a::b;\nmod m;\nstruct S {\n  x: i32,\n}\nimpl Show for S {\n  fn go(&self) -> i32 {\n    help(1) // no()\n  }\n}\n", {("S", "Class", 3, 5), ("S", "Class", 6, 10), ("go", "Function", 7, 9)}, {("help", 8)}, {("a::b", "use"), ("m", "mod")}, {("S", "Show", "IMPLEMENTS")}),
+    "go": ('import (\n  "os"\n)\ntype T struct {\n}\nfunc (t *T) Run(a int) error {\n  return help(a)\n}\n', {("T", "Function", 4, 5), ("Run", "Function", 6, 8)}, {("help", 7)}, {("os", "import_block")}, set()),
+    "java": ("import a.B;\npublic class A extends B<C> implements D, E {\n  public List<String> find(int id) throws X {\n    return load(id);\n  }\n  abstract void g();\n}\n", {("A", "Class", 2, 7), ("find", "Function", 3, 5), ("g", "Function", 6, 6)}, {("load", 4)}, {("a.B", "import")}, {("A", "B", "INHERITS"), ("A", "D", "IMPLEMENTS"), ("A", "E", "IMPLEMENTS")}),
+    "typescript": ('import { x } from "./y";\nclass A extends B implements C {\n  run(a: number): void {\n    go(`(${a}`);\n  }\n}\nexport async function go(a) { return 1; }\n', {("A", "Class", 2, 6), ("run", "Function", 3, 5), ("go", "Function", 7, 7)}, {("go", 4)}, {("./y", "esm")}, {("A", "B", "INHERITS"), ("A", "C", "IMPLEMENTS")}),
+    "c": ("#include <stdio.h>\nstruct P { int a; };\nstatic int add(int a) {\n  return sum(a);\n}\n", {("P", "Class", 2, 2), ("add", "Function", 3, 5)}, {("sum", 4)}, {("stdio.h", "include")}, set()),
+    "cpp": ("class A : public B {\n  int run() const { return go(); }\n};\n", {("A", "Class", 1, 3), ("run", "Function", 2, 2)}, {("go", 2)}, set(), {("A", "B", "INHERITS")}),
+    "csharp": ("using System.Text;\nclass A : B {\n  public int Run(int a) {\n    return Go(a);\n  }\n}\n", {("A", "Class", 2, 6), ("Run", "Function", 3, 5)}, {("Go", 4)}, {("System.Text", "using")}, {("A", "B", "INHERITS")}),
+    "php": ("<?php\nuse A\\B;\nclass A extends B {\n  public function run($a) {\n    return go($a); # no()\n  }\n}\n", {("A", "Class", 3, 7), ("run", "Function", 4, 6)}, {("go", 5)}, {("A\\B", "use")}, {("A", "B", "INHERITS")}),
+    "ruby": ("require 'set'\nclass A < B\n  def run(a)\n    if a\n      go(a)\n    end\n    x if y\n  end\nend\n", {("A", "Class", 2, 9), ("run", "Function", 3, 8)}, {("go", 5)}, {("set", "require")}, {("A", "B", "INHERITS")}),
+    "kotlin": ("import c.d\nopen class A : B() {\n  fun run(a: Int): Int = go(a)\n  fun two() {\n    go(1)\n  }\n}\n", {("A", "Class", 2, 7), ("run", "Function", 3, 3), ("two", "Function", 4, 6)}, {("go", 3), ("go", 5), ("B", 2)}, {("c.d", "import")}, {("A", "B", "INHERITS")}),
+    "swift": ("import UIKit\nclass A: B {\n  func run(_ a: Int) -> Int {\n    return go(a)\n  }\n}\n", {("A", "Class", 2, 6), ("run", "Function", 3, 5)}, {("go", 4)}, {("UIKit", "import")}, {("A", "B", "INHERITS")}),
+    "shell": ("foo() {\n  bar x # baz() {\n}\nfunction baz {\n  foo\n}\n", {("foo", "Function", 1, 3), ("baz", "Function", 4, 6)}, set(), set(), set()),
+    "python": ("import os\nfrom .a import b\nclass A(B):\n    def f(self):\n        b()\n", {("A", "Class", 3, 5), ("f", "Function", 4, 5)}, {("b", 5)}, {("os", "import"), (".a", "from_rel")}, {("A", "B", "INHERITS")}),
+    "lua": ("def outer\n  fn inner\n", {("outer", "Function", 1, 2), ("inner", "Function", 2, 2)}, set(), set(), set()),
+}
+
+
+@pytest.mark.parametrize("language", _SOURCES)
+def test_extraction(language):
+    text, symbols, calls, imports, bases = _SOURCES[language]
+    found = read(text, language)
+    assert {x[:4] for x in found.symbols} == symbols
+    assert {(x[0], x[2]) for x in found.calls} == calls
+    assert {x[:2] for x in found.imports} == imports
+    assert {(x[0], x[4], x[1]) for x in found.bases} == bases
+
+
+def test_extraction_of_routes_and_odd_files():
+    web = lambda text, language: [(x[0], x[1], x[2]) for k in ("routes", "clients") for x in getattr(read(text, language), k)]
+    assert web("@app.get('/u/{id}')\ndef u(id):\n    requests.post('http://h/x')\n", "python") == [("/u/{id}", "decorator", 1), ("http://h/x", "requests", 3)]
+    assert web('app.get("/u", f);\naxios({ url: "/v" });\nfetch(`/w`);\n', "javascript") == [("/u", "express", 1), ("/v", "axios", 2), ("/w", "fetch", 3)]
+    assert web('r.HandleFunc("/u", f)\nhttp.NewRequest("GET", "/v", nil)\n', "go") == [("/u", "go_http", 1), ("/v", "request", 2)]
+    assert web('class A {\n@GetMapping(value = "/u")\nvoid f() { Uri.parse("/v"); }\n}', "java") == [("/u", "spring", 2), ("/v", "uri", 3)]
+    assert web('r.route("/u", get(f));\nreqwest::get("/v");\n', "rust") == [("/u", "axum", 1), ("/v", "reqwest", 2)]
+    assert {x[0] for x in read("def f(:\n  x\nclass B:\n  pass\n", "python").symbols} == {"f", "B"}
+    for odd in ("", "}}}})", "((((" * 3000, '"' * 999, "/*", "func", "class", "impl", "fn <", "a" * 10**6, "f(" * 5000, "\r\n\x00"):
+        for language in [*_SOURCES, "unknown", ""]:
+            read(odd, language)
+    began = time.process_time()
+    read("function f() { g(1); }\n" * 20_000, "javascript")
+    assert time.process_time() - began < 20
+
+
+def test_import_resolution(spark):
+    from codeweft.plans import passes
+
+    config = '{\n// a comment\n"compilerOptions": {"baseUrl": "./src", "paths": {"@/*": ["*"], "~util": ["util/helper"]}}}'
+    names = ["src/util/helper.ts", "src/util/index.ts", "src/main.ts", "pkg/__init__.py", "pkg/a.py", "pkg/sub/b.py", "lib/m.rs", "lib/n/mod.rs", "lib/lib.rs"]
+    files = spark.createDataFrame([("tsconfig.json", config), *((n, "") for n in names)], "path string, content string")
+    asked = [("src/main.ts", "@/util/helper", "esm", "src/util/helper.ts", "alias"), ("src/main.ts", "./util", "esm", "src/util/index.ts", "path"), ("src/main.ts", "~util", "esm", "src/util/helper.ts", "alias"), ("src/main.ts", "react", "esm", None, "external"),
+             ("pkg/sub/b.py", "pkg.a", "from", "pkg/a.py", "path"), ("pkg/a.py", ".sub.b", "from_rel", "pkg/sub/b.py", "path"), ("pkg/a.py", "pkg", "import", "pkg/__init__.py", "path"), ("pkg/sub/b.py", "..a", "from_rel", None, "external"), ("lib/lib.rs", "m", "mod", "lib/m.rs", "path"), ("lib/lib.rs", "n", "mod", "lib/n/mod.rs", "path")]
+    specs = spark.createDataFrame([a[:3] for a in asked], "file_path string, specifier string, kind string")
+    got = {(r["file_path"], r["specifier"]): (r["path"], r["method"]) for r in passes.resolve_imports(specs, files, passes.path_aliases(files)).collect()}
+    assert got == {a[:2]: a[3:] for a in asked}
+    assert passes.resolve_imports(specs.where("specifier = '@/util/helper'"), files).first()["method"] == "external"
+
+
+def test_pair_scores_of_blocks_are_those_of_expressions(spark):
+    rng = random.Random(3)
+    words = ["load", "User", "by", "id", "save", "Order", "render", "Page", "@cache", "fn"]
+    rows = [(f"q{i:02}", rng.choice(["load_user", "save_order", "render"]), rng.choice(["Function", "Class"]), rng.choice(["a/b.py", "a/c.py", "d.py"]), " ".join(rng.choice(words) for _ in range(rng.randint(0, 8)))) for i in range(40)]
+    symbols = spark.createDataFrame(rows, "qualified_name string, name string, label string, file_path string, signature string")
+    edges = spark.createDataFrame([(f"q{rng.randrange(40):02}", f"q{rng.randrange(40):02}", "CALLS") for _ in range(60)], "src string, dst string, edge_type string")
+    ready = graph.cut(similarity.prepared(symbols, edges))
+    every = symbols.select(F.col("qualified_name").alias("a")).crossJoin(symbols.select(F.col("qualified_name").alias("b"))).where("a < b")
+    table = lambda df: {(r["a"], r["b"]): round(r["score"], 9) for r in df.collect()}
+    want = table(similarity.pair_scores(ready, every))
+    assert len(want) > 50 and table(similarity.pair_scores(ready)) == want == table(similarity.pair_scores(ready, block=7))
+
+
+def test_common_names_alone_make_pairs(spark):
+    """Sixty functions of one name and signature in sixty files share only common words; every pair counts."""
+    rows = [(f"f{i}.py::Function::handle@L1", "handle", "Function", f"f{i}.py", "def handle(request)") for i in range(60)]
+    symbols = spark.createDataFrame(rows, "qualified_name string, name string, label string, file_path string, signature string")
+    ready = graph.cut(similarity.prepared(symbols, spark.createDataFrame([], "src string, dst string, edge_type string")))
+    assert similarity.pair_scores(ready).count() == 1770
+
+
+def test_postings_find_phrases(spark):
+    files = spark.createDataFrame([("src/of_the.py", "x"), ("b.py", "One of\nthe two; of\tthe"), ("c.py", "of a the"), ("d.py", ""), ("the/x.py", "of")], "path string, content string")
+    index = text.postings(files)
+    for phrase in ("of the", "One", "THE two", "the x", "of", "none of", ""):
+        assert {r["path"] for r in text.indexed_phrase(index, phrase).collect()} == {r["path"] for r in text.phrase_search(files, phrase, None).collect()}, phrase
+
+
+def test_changes_jobs_and_numbers(spark):
+    from codeweft.streaming.traces import job_states, may_start
+
+    status = spark.createDataFrame([("a", "M", False), ("b", "D", True)], "path string, status string, deleted boolean")
+    names = spark.createDataFrame([("a",), ("c",)], "path string")
+    assert sorted(tuple(r) for r in text.merged_changes(names, status).collect()) == [("a", "M", False), ("b", "D", True), ("c", "M", False)]
+    log = [("p", "j1", "Queued", 1), ("p", "j1", "Running", 2), ("p", "j1", "Completed", 3), ("p", "j1", "Running", 4), ("p", "j2", "Running", 1), ("p", "j3", "Queued", 5), ("q", "j4", "Queued", 1), ("q", "j4", "Failed", 2), ("q", "j5", "Queued", 1), ("q", "j5", "Completed", 2)]
+    states = job_states(spark.createDataFrame(log, "project string, job string, state string, at long"))
+    assert {(r["project"], r["job"], r["state"]) for r in states.collect()} == {("p", "j1", "Completed"), ("p", "j3", "Queued"), ("q", "j4", "Failed"), ("q", "j5", "Queued")}
+    assert not may_start(states, "p") and may_start(states.where("job <> 'j5'"), "q")
+    many = spark.range(500).select(F.concat(F.lit("k"), F.col("id") * 7 % 500).alias("k"))
+    assert [r["k"] for r in graph.numbered(many, "k", "n").orderBy("n").collect()] == sorted(f"k{i}" for i in range(500))
 
 
 def test_store(spark, tmp_path):
@@ -158,8 +265,28 @@ def test_store(spark, tmp_path):
     s.insert_edges(e("first"))
     s.insert_edges(e("second"))
     assert [r["properties"] for r in s.read("edges").collect()] == ["first"]
+    s.replace_edges(spark.createDataFrame([("a", "c", "CALLS")], "src string, dst string, edge_type string"), ["CALLS"])
+    assert [(r["dst"], r["properties"]) for r in s.read("edges").collect()] == [("c", None)]
+    s.upsert_files(spark.createDataFrame([("f.py", "one two", "python", 1), ("g.py", "two", "python", 1)], "path string, content string, language string, line_count long"))
+    s.upsert_files(spark.createDataFrame([("f.py", "three", "python", 1)], "path string, content string, language string, line_count long"))
+    assert sorted((r["word"], r["path"]) for r in s.read("postings").where("places[0] >= 0").collect()) == [("three", "f.py"), ("two", "g.py")]
+    told = s.export(str(tmp_path / "out"))
+    assert told["files"]["rows"] == 2 and told["files"]["bytes"] > 0
+    copy = Store(spark, str(tmp_path), "copy")
+    assert copy.import_from(str(tmp_path / "out")) and not copy.import_from(str(tmp_path / "out")) and copy.read("symbols").count() == 2
+    assert projects(spark, str(tmp_path)) == ["copy", "p"]
+    found = across(spark, str(tmp_path), spark.createDataFrame([("a",), ("x",)], "qualified_name string")).collect()
+    assert [(r["qualified_name"], r["project"]) for r in found] == [("a", "copy")]
+    copy.delete_labels(["Function"])
+    copy.delete_edges(["CALLS"])
+    assert copy.read("symbols").count() == copy.read("edges").count() == 0 and copy.read("files").count() == 2
+    copy.clear()
+    copy.vacuum()
+    assert copy.read("files").count() == 0
+    copy.delete()
+    assert projects(spark, str(tmp_path)) == ["p"]
     s.delete_files(spark.createDataFrame([("f.py",)], "path string"))
-    assert s.read("symbols").count() == s.read("edges").count() == 0
+    assert s.read("symbols").count() == s.read("edges").count() == 0 and s.read("files").count() == 1
 
 
 def test_index_a_tree(spark, tmp_path):
@@ -170,6 +297,8 @@ def test_index_a_tree(spark, tmp_path):
     (src / "lib" / "util.js").write_text("export function x() { return 1; }\n")
     (src / "server.py").write_text("@app.get('/users/{id}')\ndef users(id):\n    return id\n")
     (src / "skip.log").write_text("x")
+    (src / "lib" / "gone.js").write_text("function gone() {}\n")
+    (src / "lib" / ".gitignore").write_text("gone.js\n")
     engine = Engine(spark, str(tmp_path / "store"))
     told = engine.index_repository(str(src), project="p")
     assert told["files"] == 4
@@ -177,6 +306,18 @@ def test_index_a_tree(spark, tmp_path):
     assert {("make", "build", "CALLS"), ("Child", "Base", "INHERITS"), ("load", "/users/{id}", "HTTP_CALLS"), ("users", "/users/{id}", "HTTP_ROUTE"), ("main.js", "lib/util.js", "IMPORTS")} <= edges
     assert engine.get_code_snippet("p", "models.py::Function::build@L13") == "def build():\n    return 1"
     assert engine.query_graph("p", "SELECT count(*) AS n FROM symbols WHERE label = 'Class'").first()["n"] == 2
+    walked = engine.trace_path("p", "models.py::Function::make@L9", "out", 2)
+    assert [r["level"] for r in walked["nodes"].orderBy("level").collect()] == [0, 1] and [r["edge_type"] for r in walked["trace_edges"].collect()] == ["CALLS"]
+    assert engine.semantic_search("p", "build").first()["name"] == "build" and engine.find_symbols(["models.py::Function::make@L9"]).first()["project"] == "p"
+    session = engine.rlm_scan("p")["session"]
+    assert engine.rlm_session_list("p").count() == 1 and engine.rlm_peek("p", session, "build").count() == 1 and engine.rlm_chunk("p", session).count() == 3
+    assert engine.rlm_read_symbol("p", "models.py::Function::make@L9")["symbol"].first()["snippet"].startswith("def make")
+    engine.rlm_session_delete("p", session)
+    assert engine.rlm_session_list("p").count() == 0 and engine.rlm_workflow("map")["phase"] == "map"
+    changed = spark.createDataFrame([("models.py", "def make():\n    return 2\n", "python")], "path string, content string, language string")
+    engine.update_files("p", changed, spark.createDataFrame([("server.py",)], "path string"))
+    left = {(r["name"], r["file_path"]) for r in engine.store("p").read("symbols").collect()}
+    assert left == {("make", "models.py"), ("load", "main.js"), ("x", "lib/util.js")}
     assert engine.list_projects() == ["p"] and engine.check_index_coverage("p", ["main.js", "none.js"])["percent"] == 50
 
 
@@ -216,6 +357,6 @@ def test_communities_of_the_whole_graph(spark):
             x, y = sorted((root(e["src"]), root(e["dst"])))
             top[y] = x
     number = {n: k for k, n in enumerate(sorted({root(n) for n in top}))}
-    got = {r["qualified_name"]: r["community"] for r in catalog.QUERIES["connected_components_all"](spark, d).collect()}
+    got = {r["qualified_name"]: r["community"] for r in catalog.QUERIES["connected_components"](spark, d).collect()}
     assert got == {n: number[root(n)] for n in top}
-    assert {r["qualified_name"] for r in catalog.QUERIES["louvain"](spark, d).collect()} == set(top)
+    assert {r["qualified_name"] for r in catalog.QUERIES["louvain"](spark, d).collect()} == {r["qualified_name"] for r in catalog.QUERIES["extract_symbols"](spark, d).collect()}
