@@ -142,9 +142,12 @@ class Engine:
         return s.get_meta("adr") or ""
 
     def detect_changes(self, project: str, path: str) -> dict[str, object]:
+        """Files that differ from the commit indexed last or are changed in the working tree, each once."""
         head, changes = discover.git_changes(self.spark, path)
-        files = [r["path"] for r in changes.orderBy("path").collect()]
-        return {"clean": not files, "files": files, "head_changed": bool(head) and head != self.store(project).get_meta("indexed_head")}
+        before = self.store(project).get_meta("indexed_head") or ""
+        merged = text.merged_changes(discover.changed_since(self.spark, path, before), changes)
+        files = [r["path"] for r in merged.orderBy("path").collect()]
+        return {"clean": not files, "files": files, "head_changed": bool(head) and head != before}
 
     # --- scan sessions ---------------------------------------------------------------------------------------------------
 

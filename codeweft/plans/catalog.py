@@ -819,7 +819,7 @@ def _scored(s: SparkSession, d: str) -> DataFrame:
     found, symbols = passes.read_files(files)
     edges = passes.call_pass("demo", files, found, symbols, symbols.limit(0), EngineConfig())
     ready = graph.cut(similarity.prepared(symbols.where("label = 'Class'"), edges))
-    return similarity.pair_scores(ready, least=0.5)
+    return similarity.pair_scores(ready)
 
 
 @query()

@@ -119,6 +119,13 @@ def git_changes(spark: SparkSession, root: str) -> tuple[str, DataFrame]:
     return head.stdout.strip() if head.returncode == 0 else "", parse_porcelain(spark.createDataFrame(rows, "line string"))
 
 
+def changed_since(spark: SparkSession, root: str, commit: str) -> DataFrame:
+    """Rows (path) of the files that differ from a commit, by name only; no git or no such commit, no rows."""
+    told = subprocess.run(["git", "-C", root, "diff", "--name-only", commit], capture_output=True, text=True, check=False) if commit else None
+    rows = [(x,) for x in told.stdout.splitlines() if x] if told is not None and told.returncode == 0 else []
+    return spark.createDataFrame(rows, "path string")
+
+
 def project_name(path: str) -> str:
     import hashlib
 

@@ -137,6 +137,26 @@ def test_signals(spark):
     assert m[1] == m[2] and 3 not in m
 
 
+def test_sketches_are_those_of_plain_minhash(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice(["ab", "cd", "ef", "gh1", "x"]) for _ in range(rng.choice([0, 1, 2, 3, 9])))) for i in range(12)]
+
+    def fnv(word, seed):
+        h = 0xCBF29CE484222325 ^ seed
+        for byte in word.encode():
+            h = (h ^ byte) * 0x100000001B3 % (1 << 64)
+        return h
+
+    want = {}
+    for i, t in rows:
+        words = [w for w in t.split() if len(w) > 1]
+        made = [] if not words else ["_".join(words)] if len(words) < 3 else ["_".join(words[k : k + 3]) for k in range(len(words) - 2)]
+        if made:
+            want[i] = [min(fnv(x, seed) for x in made) for seed in range(similarity.SLOTS)]
+    got = {r["i"]: [x % (1 << 64) ^ (1 << 63) for x in r["sketch"]] for r in similarity.minhash(spark.createDataFrame(rows, "i long, t string"), "i", "t").collect()}
+    assert got == want
+
+
 def test_sql_guard(spark):
     assert sqlgate.check(" SELECT 'UPDATE; x' AS x; ") == "SELECT 'UPDATE; x' AS x"
     bad = ["DELETE FROM edges", "SELECT 1; SELECT 2", "WITH x AS (SELECT 1) SELECT * FROM x", "SELECT replace('a', 'b', 'c')", "SELECT reflect('java.lang.System', 'getenv')", "SELECT `reflect`('a', 'b')", "", "SELECT /* x */ java_method('a', 'b')"]
@@ -327,6 +347,32 @@ def test_discovery_rules(spark):
     assert paths("full") == ["a.py", "dist/c.js", "e.md", "tests/b.py"] and paths("moderate") == ["a.py", "e.md"] and paths("fast") == ["a.py", "tests/b.py"]
 
 
+def test_changes_of_a_working_tree_and_the_watch(spark, tmp_path):
+    import subprocess
+
+    from codeweft.streaming.traces import watch
+
+    src = tmp_path / "src"
+    src.mkdir()
+    git = lambda *a: subprocess.run(["git", "-C", str(src), "-c", "user.name=t", "-c", "user.email=t@t", *a], check=True, capture_output=True)
+    (src / "a.py").write_text("def a():\n    pass\n")
+    (src / "b.py").write_text("def b():\n    pass\n")
+    git("init", "-q")
+    git("add", ".")
+    git("commit", "-qm", "one")
+    engine = Engine(spark, str(tmp_path / "store"))
+    engine.index_repository(str(src), project="p")
+    assert engine.detect_changes("p", str(src)) == {"clean": True, "files": [], "head_changed": False}
+    (src / "a.py").write_text("def a2():\n    pass\n")
+    git("commit", "-qam", "two")
+    (src / "c.py").write_text("")
+    assert engine.detect_changes("p", str(src)) == {"clean": False, "files": ["a.py", "c.py"], "head_changed": True}
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "1.json").write_text('{"path": "a.py", "content": "def a3(): pass", "language": "python"}\n{"path": "b.py", "deleted": true}\n')
+    watch(spark, str(tmp_path / "in"), str(tmp_path / "at"), lambda changed, removed: engine.update_files("p", changed, removed))
+    assert {(r["name"], r["file_path"]) for r in engine.store("p").read("symbols").collect()} == {("a3", "a.py")}
+
+
 def test_trace_stream(spark, tmp_path):
     from codeweft.streaming.traces import ingest, next_interval
 
