@@ -27,7 +27,7 @@ BANDS, ROWS = 36, 6
 #: MinHash values of the incremental comparison, how many at a time, and the posterior probability below which a pair goes.
 VALUES, STEP, TOLERANCE = 128, 16, 1e-6
 #: A block holds about so many texts and so many bytes of text; a bucket of a band is compared in parts of about so many texts.
-BLOCK_TEXTS, BLOCK_BYTES, BUCKET_TEXTS = 256, 2 << 20, 1024
+BLOCK_TEXTS, BLOCK_BYTES, BUCKET_TEXTS = 128, 1 << 20, 1024
 #: Pairs of a bucket up to this size are compared in one go with those of other buckets.
 SMALL_BUCKET = 16
 #: Joins to one row of each key are dealt by key and by so many parts of its rows; thus both sides are shuffled for the join
