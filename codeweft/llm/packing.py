@@ -25,9 +25,9 @@ from codeweft.llm.common import bucketed_rank, cut, map_texts, without
 
 #: Distinct strings between spaces whose ids a worker keeps in each of two generations: when the young one is full it
 #: becomes the old one, and what is met again comes back. Longer strings are not kept.
-TABLE_SIZE, LONGEST = 500_000, 200
-#: Characters of text whose words are looked up together, and texts given out together.
-CHUNK, ROWS = 8 << 20, 4096
+TABLE_SIZE, LONGEST = 350_000, 200
+#: Characters of text whose words are looked up together, texts given out together, and new strings encoded together.
+CHUNK, ROWS, NEW = 4 << 20, 2048, 10_000
 #: The search for a better packing than the best known one ends after so many steps, or so many sizes tried while filling bins.
 SEARCH_STEPS, PROBES = 3_000, 300_000
 #: It also ends within this share of the lower bound: one sequence more in two thousand.
@@ -103,7 +103,9 @@ class _Encoder:
         gaps = [i for i, x in enumerate(ids) if x is None]
         if gaps:
             known.update({words[i]: old[words[i]] for i in gaps if words[i] in old})
-            self._learn([words[i] for i in gaps if words[i] not in known and not self._parted(words[i])])
+            new = [words[i] for i in gaps if words[i] not in known and not self._parted(words[i])]
+            for k in range(0, len(new), NEW):
+                self._learn(new[k : k + NEW])
             for i in gaps:
                 ids[i] = known[words[i]]
         return ids
