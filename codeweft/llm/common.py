@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-#: Rows that Python works on at a time. Batches come in by Spark's own bounds on rows and bytes, which are left as the session has them.
+#: Rows that Python works on at a time, and that Spark hands over at a time in a session that does not say itself how many.
 ARROW_ROWS = 512
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Words are runs of digits, ASCII letters and everything beyond ASCII.
 WORD_CLASS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 NON_WORD_CLASS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -40,6 +41,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Texts are long: where the session leaves the rows of a batch at Spark's default, fewer are handed over at a time. A value
+    that the session has set is kept."""
+    if _BATCH not in spark.conf.getAll:
+        spark.conf.set(_BATCH, str(ARROW_ROWS))
+
+
 def text_of(column: str | Column) -> Column:
     """The text, with null as the empty text."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
@@ -58,6 +66,7 @@ def whole_row(df: DataFrame) -> Column:
 
 def map_texts(df: DataFrame, text: str, fields: list[tuple[str, T.DataType]], work: Callable[[list[str]], list[list]], keep: list[str] | None = None, rows: int = ARROW_ROWS) -> DataFrame:
     """Add columns that Python computes from at most `rows` texts at a time (null: empty)."""
+    bounded_batches(df.sparkSession)
     keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in {n.lower() for n, _ in fields}]
     source = df.select(*[F.col(f"`{c}`") for c in keep], text_of(f"`{text}`").alias("__text"))
     schema = T.StructType([*[source.schema[c] for c in keep], *[T.StructField(n, t) for n, t in fields]])

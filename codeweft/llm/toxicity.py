@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codeweft.llm.common import ARROW_ROWS, cut, map_texts, mix, text_of, whole_row, word_hashes
+from codeweft.llm.common import ARROW_ROWS, bounded_batches, cut, map_texts, mix, text_of, whole_row, word_hashes
 
 BITS, STEM = 20, 4
 #: Labelled rows to learn from at most: those with the smallest hashes of doc_id.
@@ -103,6 +103,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TR
             place, weight = learn(seen)
             yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(weight)], names=["place", "weight"])
 
+    bounded_batches(docs.sparkSession)
     sample = labelled(docs, labels, label, rows).repartition(1).sortWithinPartitions("order", "text").select("label", "text")
     found = sample.mapInArrow(train, "place long, weight double").collect()  # at most 2^BITS + 1 rows
     return np.array([r[0] for r in found], dtype=np.int64), np.array([r[1] for r in found])
