@@ -5,6 +5,7 @@ import collections
 import hashlib
 import html
 import html.parser
+import math
 import random
 import re
 import time
@@ -62,8 +63,10 @@ def test_token_counts(spark):
     model = tokenizer("piece_bpe_32k.model")
     table = {r["word"]: (r["freq"], r["tokens"]) for r in token_counts.pre_token_table(df, model).collect()}
     seen = collections.Counter(w for r in rows for w in token_counts.pre_tokens(r[1] or "") if len(w.encode()) <= token_counts.LONGEST)
-    assert table == {w: (n, len(lib.encode(w))) for w, n in seen.items()} and max(map(len, table)) < 5000
-    # Whatever share of the table is joined in the workers and what as rows, the counts are the same.
+    assert table == {w: (n, len(lib.encode(w))) for w, n in seen.items() if n > 1} and max(map(len, table)) < 5000
+    few = {r["word"]: r["freq"] for r in token_counts.pre_token_table(df, model, most=60).collect()}
+    assert 20 < len(few) <= 60 and min(few.values()) > max((n for w, n in seen.items() if w not in few and n < 64), default=0)
+    # Whatever is in the table and whatever is counted where it stands, the counts are the same.
     for head in (0, 3, 60):
         counted = token_counts.count_tokens(df, model, head=head)
         assert counted.columns == df.columns and sorted((str(r["text"]), r["n_tokens"]) for r in counted.collect()) == sorted((str(t), len(lib.encode(t or ""))) for _, t, *_ in rows)
@@ -516,6 +519,85 @@ def test_learnt_operators_on_odd_rows(spark):
     assert toxicity.toxicity(df.limit(0), labels).count() == quality.classify(df.limit(0), labels).count() == 0
 
 
+def test_weights_are_those_of_plain_ftrl():
+    """The published update, one coordinate after the other, on rows of a few places."""
+    rng = random.Random(17)
+    rows = [(y := rng.randint(0, 1), sorted({rng.randrange(40) + 40 * y * (rng.random() < 0.5) for _ in range(rng.randint(1, 9))} | {1 << toxicity.BITS})) for _ in range(400)]
+    z, n, w = collections.defaultdict(float), collections.defaultdict(float), {}
+
+    def weight(i):
+        if abs(z[i]) <= toxicity.L1:
+            return 0.0
+        return -(z[i] - math.copysign(toxicity.L1, z[i])) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(3):
+        for y, places in rows:
+            w = {i: weight(i) for i in places}
+            g = 1 / (1 + math.exp(-max(-35, min(35, sum(w.values()))))) - y
+            for i in places:
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / toxicity.ALPHA
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    want = {i: weight(i) for i in z if weight(i)}
+    place, got = toxicity.learn([(y, np.array(p, dtype=np.int32)) for y, p in rows], epochs=3)
+    assert len(want) > 10 and set(place.tolist()) == set(want) and np.allclose(got, [want[i] for i in place.tolist()], rtol=1e-9)
+
+
+def test_features_are_words_stems_pairs_and_skips():
+    """Equal places for equal features, whatever text they stand in, and as many as a plain listing has."""
+    one, owners = toxicity.features(["red green blue", "", "GREEN, blue", "greenish"])
+    assert np.bincount(owners, minlength=4).tolist() == [3 + 3 + 2 + 1, 0, 2 + 2 + 1, 1 + 1]
+    sets = [set(one[owners == k].tolist()) for k in range(4)]
+    assert sets[2] <= sets[0] and len(sets[0] & sets[3]) == 1  # the stem "gree"
+
+
+def test_the_sample_is_of_labels_that_have_documents(spark):
+    docs = spark.createDataFrame([(i, f"text {i}" + " x" * (i % 5)) for i in range(300)] + [(7, "another text"), (None, "no id"), (9, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20_000)] + [(7, 1), (11, None), (None, 1)], "doc_id long, toxic int")
+    free = [i for i in range(300) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows = toxicity.labelled(docs, labels, "toxic", 10_000).collect()
+    assert len(rows) == len(free)
+    few = toxicity.labelled(docs, labels, "toxic", 50).collect()
+    assert len(few) == 50 and {r["order"] for r in few} == set(sorted(r["order"] for r in rows)[:50])
+    small = toxicity.labelled(docs, labels, "toxic", 10_000, size=200).collect()
+    assert 10 < len(small) < 40 and sum(len((r["text"] or "").encode()) for r in small) <= 200
+    by = {r["order"]: r["text"] for r in rows}
+    seven = docs.where("doc_id = 7").select(F.xxhash64("doc_id")).first()[0]
+    assert seven not in by or by[seven] == "another text"
+    assert toxicity.labelled(docs.limit(0), labels, "toxic", 50).count() == 0
+
+
+def test_posteriors_are_those_of_plain_empirical_bayes(spark):
+    rng = random.Random(18)
+    rows = [(i, rng.choice("aaaabc") if i % 50 else f"rare{i}", rng.choice(["en", "de", None]), rng.gauss(0.5, 2)) for i in range(600)]
+    seen = spark.createDataFrame(rows, "doc_id long, source string, lang string, evidence double")
+    chance = lambda x: 1 / (1 + math.exp(-x))
+    logit = lambda p: math.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6)))
+    total, mean = len(rows), sum(chance(r[3]) for r in rows) / len(rows)
+
+    def strength(spread, groups):
+        between = spread - mean * (1 - mean) * groups / total
+        return min(1e6, max(1.0, mean * (1 - mean) / max(between, 1e-9) - 1))
+
+    host, path = collections.defaultdict(lambda: [0.0, 0]), collections.defaultdict(lambda: [0.0, 0])
+    for _, s, g, e in rows:
+        for sums in (host[s], path[s, g]):
+            sums[0] += chance(e)
+            sums[1] += 1
+    k_host = strength(sum(g * g / n for g, n in host.values()) / total - mean * mean, len(host))
+    at = {s: (k_host * mean + g) / (k_host + n) for s, (g, n) in host.items()}
+    k_path = strength(sum((g / n - at[s]) ** 2 * n for (s, _), (g, n) in path.items()) / total, len(path))
+    want = {}
+    for i, s, g, e in rows:
+        posterior = (k_path * at[s] + path[s, g][0] - chance(e)) / (k_path + path[s, g][1] - 1)
+        want[i] = (at[s], posterior, chance(e + logit(posterior) - logit(mean)))
+    known, told = quality.sites(seen, F.col("source"), F.col("lang"))
+    got = quality.combine(seen, known, told, F.col("source"), F.col("lang")).collect()
+    assert len(got) == 600
+    for r in got:
+        assert np.allclose((r["host_posterior"], r["path_posterior"], r["quality"]), want[r["doc_id"]], rtol=1e-9) and r["accepted"] == (r["quality"] >= 0.5)
+
+
 def test_sparse_sites_lean_on_the_whole(spark):
     seen = spark.createDataFrame([("big", "en", 3.0)] * 50 + [("bad", "en", -3.0)] * 50 + [("one", "en", -3.0)], "source string, lang string, evidence double")
     known, told = quality.sites(seen, F.col("source"), F.col("lang"))
