@@ -1,10 +1,10 @@
 """Token counts without ids: pieces are counted once per distinct pre-token, joined to frequencies and summed.
 
 No piece of the vocabulary holds a space marker after another character, so a text can be cut before each run of spaces and
-the pre-tokens counted on their own. A first pass gathers the distinct pre-tokens and how often they occur; the library counts
-each of them once, and the table is kept. A second pass makes each document's frequencies and joins them to the table: the most
-frequent pre-tokens, a bounded number, are sent to every worker and joined there; the frequencies of all others are
-shuffled and joined as rows. Pre-tokens too long to be kept are counted where they stand.
+the pre-tokens counted on their own. A first pass gathers the distinct pre-tokens and how often they occur. The most frequent,
+a bounded number, are counted once by the library, and this table is sent to every worker, where each document's frequencies
+are joined to it. A pre-token that occurs once is counted where it stands, which is once too; so are those between, whose few
+occurrences would cost more as shuffled rows than their counting, and those too long to be kept.
 A vocabulary that breaks the rule of spaces, and any .json tokenizer, is counted text by text.
 """
 
@@ -19,14 +19,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codeweft.llm.common import cut, map_texts, text_of
+from codeweft.llm.common import bounded_batches, cut, map_texts, text_of
 
 #: Bytes of the longest pre-token that is kept in the table.
 LONGEST = 64
 #: Pre-tokens that are sent to every worker at most: with LONGEST this bounds the table there, about 100 MB.
 HEAD = 500_000
 #: Distinct pre-tokens that the first pass gathers before it hands them on, at most LONGEST bytes each.
-GATHERED = 200_000
+GATHERED = 600_000
+#: Texts whose other pre-tokens are counted together.
+ROWS = 2048
 _SPACES = " ▁"
 _PRE_TOKEN = re.compile(f"[{_SPACES}]*[^{_SPACES}]+(?:[{_SPACES}]+\\Z)?|[{_SPACES}]+")
 _workers: dict[str, _Library] = {}
@@ -71,8 +73,8 @@ def _kept(word: str) -> bool:
     return len(word) <= LONGEST // 4 or len(word.encode()) <= LONGEST
 
 
-def pre_token_table(df: DataFrame, model: str, text: str = "text") -> DataFrame:
-    """Rows (word, freq, tokens): each distinct pre-token of at most LONGEST bytes, counted once by the library."""
+def pre_token_frequencies(df: DataFrame, text: str = "text") -> DataFrame:
+    """Rows (word, freq): the distinct pre-tokens of at most LONGEST bytes that occur twice or more, over all texts."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -89,73 +91,56 @@ def pre_token_table(df: DataFrame, model: str, text: str = "text") -> DataFrame:
                     yield out()
         yield out()
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tokens = _library(model).lengths(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tokens, pa.int64())], names=["word", "freq", "tokens"])
-
+    bounded_batches(df.sparkSession)
     each = df.select(text_of(f"`{text}`").alias("t")).mapInArrow(gather, "word string, freq long")
-    summed = each.groupBy("word").agg(F.sum("freq").alias("freq"))
-    return cut(summed.mapInArrow(measure, "word string, freq long, tokens long"))
+    return each.groupBy("word").agg(F.sum("freq").alias("freq")).where("freq > 1")
 
 
-def _head(table: DataFrame, most: int) -> tuple[dict[str, int], int]:
-    """The most frequent pre-tokens, at most `most`, and the frequency from which on they are in it.
+def pre_token_table(df: DataFrame, model: str, text: str = "text", most: int = HEAD) -> DataFrame:
+    """Rows (word, freq, tokens): the most frequent pre-tokens, at most `most`, each counted once by the library.
 
-    The frequency is found from the numbers of words in each power of two, so no rows are sorted.
+    How frequent they have to be follows from the number of words of each frequency (of large ones in powers of two), so
+    nothing is sorted.
     """
-    classes = table.groupBy(F.floor(F.log2("freq")).cast("int").alias("power")).agg(F.count(F.lit(1)).alias("n")).collect()  # at most 64 rows
-    least, total = 64, 0
-    for r in sorted(classes, key=lambda r: -r["power"]):
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = _library(model).lengths(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tokens, pa.int64())], names=["word", "freq", "tokens"])
+
+    known = cut(pre_token_frequencies(df, text))
+    at_least = F.when(F.col("freq") < 64, F.col("freq")).otherwise(F.pow(F.lit(2.0), F.floor(F.log2("freq"))).cast("long"))
+    least, total = 1 << 62, 0
+    for r in sorted(known.groupBy(at_least.alias("f")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["f"]):  # at most 128 rows
         if total + r["n"] > most:
             break
-        total, least = total + r["n"], r["power"]
-    rows = table.where(F.floor(F.log2("freq")) >= least).select("word", "tokens").toArrow()
-    return dict(zip(rows["word"].to_pylist(), rows["tokens"].to_pylist(), strict=True)), least
+        total, least = total + r["n"], r["f"]
+    return known.where(at_least >= least).mapInArrow(measure, "word string, freq long, tokens long")
 
 
 def count_tokens(df: DataFrame, model: str, text: str = "text", out: str = "n_tokens", keep: list[str] | None = None, head: int = HEAD) -> DataFrame:
     """Add `out`, the number of tokens that the library for `model` (.model or .json) gives for the whole text.
 
     Null and empty texts have no tokens; no begin, end or added special tokens; an existing column named `out` is
-    replaced; an empty table gives an empty table; repeated rows are counted each. head: pre-tokens joined in the workers
-    at most; the others are joined as rows, with the same result.
+    replaced; an empty table gives an empty table; repeated rows are counted each. head: rows of the table at most;
+    whatever it is, the counts are the same.
     """
     if not _library(model).cuts:
         return map_texts(df, text, [(out, T.LongType())], lambda texts: [_library(model).lengths(texts)], keep)
-    names = [c for c in (df.columns if keep is None else keep) if c.lower() != out.lower()]
-    row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row") if names else F.struct(F.lit(0)).alias("row")
-    table = pre_token_table(df, model, text)
-    known, least = _head(table, head)
-    shared = df.sparkSession.sparkContext.broadcast(known)
-    tail = table.where(F.floor(F.log2("freq")) < least).select("word", "tokens")
+    table = pre_token_table(df, model, text, head).toArrow()  # at most `head` rows
+    shared = df.sparkSession.sparkContext.broadcast(dict(zip(table["word"].to_pylist(), table["tokens"].to_pylist(), strict=True)))
 
     def count(texts: list[str]) -> list[list]:
-        known, lib = shared.value, _library(model)
-        sums, rest = [], []
-        for t in texts:
-            total, other = 0, []
-            for w, n in Counter(pre_tokens(t)).items():
-                if (k := known.get(w)) is not None:
-                    total += k * n
-                elif _kept(w):
-                    other.append({"word": w, "n": n})
-                else:
-                    total += lib.lengths([w])[0] * n
-            sums.append(total)
-            rest.append(other)
-        return [sums, rest]
-
-    words = T.ArrayType(T.StructType([T.StructField("word", T.StringType()), T.StructField("n", T.LongType())]))
-    told = map_texts(df.select(row, F.col(f"`{text}`").alias("text")), "text", [("head", T.LongType()), ("rest", words)], count, ["row"])
-    if tail.isEmpty():
-        counted = told.select("row", F.col("head").alias("__n"))
-    else:
-        placed = cut(told.withColumn("at", F.monotonically_increasing_id()))
-        pairs = placed.select("at", F.explode("rest").alias("r")).select("at", "r.word", "r.n")
-        sums = pairs.join(tail, "word").groupBy("at").agg(F.sum(F.col("n") * F.col("tokens")).alias("more"))
-        counted = placed.join(sums, "at", "left").select("row", (F.col("head") + F.coalesce("more", F.lit(0))).alias("__n"))
-    return counted.select(*[F.col("row")[c].alias(c) for c in names], F.col("__n").alias(out))
+        known, bags, rest = shared.value, [Counter(pre_tokens(t)) for t in texts], {}
+        for bag in bags:
+            for w in bag:
+                if w not in known:
+                    rest[w] = 0
+        words = list(rest)
+        rest.update(zip(words, _library(model).lengths(words), strict=True))
+        return [[sum([(known[w] if w in known else rest[w]) * n for w, n in bag.items()]) for bag in bags]]
+
+    return map_texts(df, text, [(out, T.LongType())], count, keep, ROWS)
 
 
 def document_token_counts(docs: DataFrame, model: str, limit: int = 4096) -> DataFrame:
