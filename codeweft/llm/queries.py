@@ -79,12 +79,33 @@ def op10_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codeweft.llm.resampling import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codeweft.llm.hard_negatives import mine
+
+    return mine(table(spark, sf_dir, "embeddings"))
+
+
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codeweft.llm.vector_duplicates import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_best_fit_packing, op3_stratified_sharding, op4_ngram_jaccard_join, op5_html_extraction, op6_chat_formatting, op7_winnowing_decontamination, op8_token_counts, op9_toxicity, op10_additive_quantisation)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_best_fit_packing, op3_stratified_sharding, op4_ngram_jaccard_join, op5_html_extraction, op6_chat_formatting, op7_winnowing_decontamination, op8_token_counts, op9_toxicity, op10_additive_quantisation, op11_importance_resampling, op12_hard_negatives, op13_embedding_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat_formatting": _CHAT_SQL, "op7_winnowing_decontamination": _WINDOWS_SQL}
+    return {
+        "op6_chat_formatting": _CHAT_SQL, "op7_winnowing_decontamination": _WINDOWS_SQL, "op11_importance_resampling": _RESAMPLING_SQL,
+        "op12_hard_negatives": _NEGATIVES_SQL, "op13_embedding_near_dedup": _VECTORS_SQL,
+    }
 
 
 _CHAT_SQL = r"""WITH c AS (
@@ -107,3 +128,31 @@ c AS (SELECT doc_id, count(DISTINCT q)::BIGINT AS n_hit FROM (SELECT doc_id, unn
 t AS (SELECT doc_id, count(DISTINCT item_id)::BIGINT AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM h GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)"""
+
+# The checksum is taken byte by byte over each distinct feature; w has the words, f the features and how often they occur.
+_RESAMPLING_SQL = f"""WITH RECURSIVE table_of AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(range(0, 8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c FROM range(0, 256) AS r(i))),
+w AS (SELECT doc_id AS id, 0 AS target, {_SQL_WORDS} AS w FROM documents UNION ALL SELECT item_id, 1, {_SQL_WORDS} FROM benchmark),
+f AS (SELECT id, target, unnest(list_concat(w, list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1]))) AS f FROM w),
+d AS (SELECT DISTINCT f, hex(encode(f)) AS h FROM f),
+b AS (SELECT f, xor(list_reduce(list_transform(range(0, len(h) // 2), lambda k: ('0x' || substr(h, 2 * k + 1, 2))::BIGINT), lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8), 4294967295), 4294967295) % 10000 AS bucket FROM d, table_of),
+c AS (SELECT bucket, count(*) FILTER (target = 0) AS s, count(*) FILTER (target = 1) AS t FROM f JOIN b USING (f) GROUP BY bucket),
+n AS (SELECT coalesce(sum(s), 0) AS s_all, coalesce(sum(t), 0) AS t_all FROM c),
+g AS (SELECT bucket, floor(1000 * ln(((t + 1) * (s_all + 10000))::DOUBLE / ((s + 1) * (t_all + 10000))::DOUBLE))::BIGINT AS gain FROM c, n),
+e AS (SELECT id AS doc_id, count(*) AS n_features, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM f JOIN b USING (f) JOIN g USING (bucket) WHERE target = 0 GROUP BY id),
+o AS (SELECT w.id AS doc_id, len(w.w) >= 20 AS fit, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+  coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || w.id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM w LEFT JOIN e ON e.doc_id = w.id WHERE target = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY fit ORDER BY score DESC, doc_id) AS k, count(*) OVER (PARTITION BY fit) AS n FROM o)
+SELECT doc_id, n_features, weight, score, CASE WHEN fit AND k <= 25 * n // 100 THEN k END::BIGINT AS rank FROM r"""
+
+_NEGATIVES_SQL = """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS vec_id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score QUALIFY rank <= 10"""
+
+_VECTORS_SQL = """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.9),
+r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a)
+SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = c.vec_id)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM c"""
