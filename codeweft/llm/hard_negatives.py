@@ -155,13 +155,16 @@ def search(tree: Tree, roots: list[int], ids: np.ndarray, labels: np.ndarray, x:
                 rows = slice(at, min(at + 1024, tree.hi[node]))
                 stay = best.beats(who, upper, ids[at])  # a leaf of copies ends here for most: its vec_ids rise
                 who, upper = who[stay], upper[stay]
+                if not len(who):
+                    break
                 score = products(q[who], x[rows])
                 if met is not None:
                     met.append(score.size)
                 valid = ((q_label[who][:, None] == labels[rows]) == same) & (q_id[who][:, None] != ids[rows])
                 valid &= (score >= lo[who][:, None]) & (score <= hi[who][:, None])
                 useful = valid.any(1)
-                best.add(who[useful], score[useful], ids[rows], valid[useful])
+                if useful.any():
+                    best.add(who[useful], score[useful], ids[rows], valid[useful])
         else:
             left, right = node + 1, int(tree.right[node])
             first = (long[who] @ (tree.centre[left] - tree.centre[right])).sum() >= 0  # the child that most of them prefer goes first

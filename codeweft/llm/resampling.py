@@ -19,13 +19,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codeweft.llm.common import bounded_batches, bucketed_rank, cut, text_of, without
+from codeweft.llm.common import bounded_batches, bucketed_rank, cut, text_of, whole_row, without
 
 BUCKETS = 10_000
 #: Bytes of text the automaton works on at a time (a longer text is one piece), and bytes of a word after which its checksum is
 #: carried on alone: few words are longer, and steps for a handful of registers cost as much as for thousands.
 PIECE, LONG_WORD = 1 << 20, 48
 MIN_WORDS, PERCENT, SEED = 20, 25, 7
+#: Quantiles of the scores that make buckets of close ranks about even.
+CUTS = 256
 
 #: Bytes as they are hashed (A-Z as a-z), and which of them are of words: digits, letters and all beyond ASCII.
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -172,12 +174,18 @@ def noise(doc_id: str | Column = "doc_id", seed: int = SEED) -> Column:
 
 def draw(scored: DataFrame, percent: int = PERCENT, least_words: int = MIN_WORDS) -> DataFrame:
     """Add rank (1, 2, 3 ...) to the highest scores among documents of enough words, ties to the smaller doc_id, until `percent` of
-    these are drawn; others get null. Ranks are found in buckets of close scores, so no task sees all rows."""
+    these are drawn; others get null. Ranks are found in buckets of close scores, about even by quantiles, so no task sees all rows."""
     fit = F.col("n_words") >= least_words
-    told = scored.agg(F.count(F.lit(1)).alias("rows"), F.count_if(fit).alias("n"), *[f("score").alias(k) for f, k in ((F.min, "lo"), (F.max, "hi"))], F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).first()
+    fit_score = F.when(fit, F.col("score"))
+    told = scored.agg(F.count(F.lit(1)).alias("rows"), F.count(fit_score).alias("n"), F.min(fit_score).alias("lo"), F.max(fit_score).alias("hi"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).first()
     lo, hi, first, last = (told[k] or 0 for k in ("lo", "hi", "first", "last"))
+    marks = [int(x) for x in scored.where(fit).approxQuantile("score", [k / CUTS for k in range(1, CUTS)], 0.25 / CUTS)]
+    edges = F.lit([lo, *marks, hi])
+    k = F.size(F.filter(F.lit(marks or [hi]), lambda x: F.col("score") > x))
     inside = F.coalesce((F.col("doc_id") - first) / F.lit(float(last - first + 1)), F.lit(1.0))
-    place = (F.lit(hi) - F.col("score") + inside) / F.lit(float(hi - lo + 2))
+    depth = (F.get(edges, k + 1) - F.col("score") + inside) / (F.get(edges, k + 1) - F.get(edges, k) + 2)
+    ordered = (F.lit(len(marks)) - k + depth) / F.lit(len(marks) + 1.0)
+    place = F.when(fit, ordered).otherwise(F.shiftrightunsigned(F.xxhash64("score", "doc_id"), 11) / F.lit(2.0**53))  # others get no rank
     ranked = bucketed_rank(scored.withColumn("__fit", fit), ["__fit"], [F.desc("score"), F.col("doc_id").asc_nulls_last()], "__rank", told["rows"], position=place)
     drawn = F.col("__fit") & (F.col("__rank") < percent * told["n"] // 100)
     return ranked.withColumn("rank", F.when(drawn, F.col("__rank") + 1)).drop("__fit", "__rank")
@@ -197,8 +205,8 @@ def resample(docs: DataFrame, target: DataFrame) -> DataFrame:
 
 
 def drawn_documents(docs: DataFrame, target: DataFrame, percent: int = PERCENT, least_words: int = MIN_WORDS) -> DataFrame:
-    """The drawn documents themselves, with all their columns, and rank; clashing columns are replaced."""
-    docs = without(docs, ["rank", "score"])
+    """The drawn documents with all their columns, and rank, which replaces a column of that name."""
     gain = gains(bucket_counts(docs), bucket_counts(target))
-    scored = cut(weigh(docs, gain).withColumn("score", F.col("weight") + noise()))
-    return draw(scored, percent, least_words).where("rank is not null").drop("n_words", "n_features", "weight", "score")
+    rows = docs.select(whole_row(without(docs, ["rank"])), "doc_id", "text")
+    scored = cut(weigh(rows, gain, keep=["row", "doc_id"]).withColumn("score", F.col("weight") + noise()))
+    return draw(scored, percent, least_words).where("rank is not null").select("row.*", "rank")
