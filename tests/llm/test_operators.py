@@ -328,6 +328,46 @@ def test_html_cases(page, text):
     assert main_text(page) == text
 
 
+_LONG = "A long paragraph of the article, with commas, and many more words in it than other ones have."
+
+
+@pytest.mark.parametrize(
+    "inside, text",
+    [
+        ('<section id="search"><h2>Search</h2><p>Text on search.</p></section>', "Search\nText on search."),
+        ('<section id="navigation"><p>Text of a section.</p></section>', "Text of a section."),
+        ('<div class="alert"><p>Careful here, reader.</p></div>', "Careful here, reader."),
+        ('<div class="reply"><p>He replied so.</p></div>', "He replied so."),
+        ('<p class="social">Social matters.</p>', "Social matters."),
+        ('<h2 id="comments">Comments</h2>', "Comments"),
+        ('<h2 id="related-work">Related work</h2>', "Related work"),
+        ('<p id="header-format">The header has a format.</p>', "The header has a format."),
+        ("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math></p>", "so x=2"),
+        ("<label>A label</label>", "A label"),
+        ("<xmp><b>shown</b> &amp;</xmp>", "<b>shown</b> &amp;"),
+        ('<ul><li><a href="a">A long title of a book for further reading</a></li><li><a href=b>Another long title of an essay</a></li></ul>', "A long title of a book for further reading\nAnother long title of an essay"),
+        ('<div class="ad">Buy now, cheap.</div>', None),
+        ('<p class="sponsored">Buy now, cheap.</p>', None),
+        ('<div class="comments"><div class="comment">Nice!</div><div class="comment">Yes.</div></div>', None),
+        ("<form><label>Mail</label><p>Your mail</p><input></form>", None),
+        ('<div class="share"><a href=x>Share this</a></div>', None),
+        ('<div class="widget"><p>Get our mail.</p><input></div>', None),
+        ("<ul><li><a href=a>Home</a></li><li><a href=b>About</a></li></ul>", None),
+        ('<div role="alert">Session ends</div>', None),
+    ],
+)
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_names_alone_drop_nothing_among_paragraphs(inside, text, tag):
+    page = f"<body><nav><a href=x>home</a></nav><{tag}><h1>Title</h1><p>{_LONG}</p>{inside}<p>{_LONG}</p></{tag}><footer>f</footer></body>"
+    assert main_text(page) == "\n".join(["Title", _LONG, *([text] if text is not None else []), _LONG])
+
+
+def test_short_pages_and_siblings_of_articles():
+    assert main_text('<div class="widget content"><p>Short note only.</p></div>') == "Short note only."
+    assert main_text("<form><p>Please log in</p><input></form>") == ""
+    assert main_text(f"<div><article><p>{_LONG}</p></article><article><p>{_LONG} b</p></article><article class='comment'><p>{_LONG} c</p></article></div>") == f"{_LONG}\n{_LONG} b"
+
+
 def test_hostile_pages_take_linear_time():
     n = 20_000
     pages = ["<a " * 10 * n, "<div>" * n + "</span>" * n, "<span>" + "<div>" * n + "</span>" * n, "<span><td>" + "<b>" * n + "</span>" * n, "<p>" + "a<b>b</b>" * n, "<header>" * n + "<h1>x" * n, '<p title="' * n, "<ul><li>" * n]
@@ -386,6 +426,9 @@ def test_html_of_all_pages_with_an_article():
     assert len(pages) > 100
     wrong = [p for p in pages if main_text(p) != "\n".join(_Article(p).blocks)]
     assert len(wrong) == 0, (len(wrong), len(pages), wrong[0])
+    plain = [p.replace("<article", '<div class="entry"').replace("</article>", "</div>") for p in pages]
+    wrong = [p for p, q in zip(plain, pages, strict=True) if main_text(p) != "\n".join(_Article(q).blocks)]
+    assert len(wrong) == 0, (len(wrong), len(pages), wrong[0])
 
 
 def test_html_over_pages(spark):
