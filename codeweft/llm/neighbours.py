@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from codeweft.llm.common import cut
 
-#: Vectors the codebooks are fitted to at most: those with the smallest hashes of vec_id. Every vector is indexed.
-SAMPLE = 8_000
+#: Vectors, and bytes of vectors, that the codebooks are fitted to at most: those with the smallest hashes of vec_id. Every vector is indexed.
+SAMPLE, SAMPLE_BYTES = 8_000, 64 << 20
 BOOKS, WORDS, BEAM, ROUNDS = 16, 128, 4, 1
 #: Vectors of one task, at most and (where queries are few enough to be sent to each) about; queries of one task; candidates of
 #: a query in a block that are ranked first, to know how near the others have to come.
@@ -165,7 +165,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, neighbours: int = 10, best:
     """Rows (query_id, rank, vec_id, score) of each query's nearest by Euclidean distance, ties to the smaller vec_id."""
     schema = "query_id long, rank int, vec_id long, score double"
     rows = vectors.count()
-    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").collect()
+    width = vectors.select(F.size("v").alias("n")).first()
+    fitted = max(1, min(SAMPLE, SAMPLE_BYTES // (8 * max(1, width["n"] if width else 1))))
+    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(fitted).select("v").collect()
     if not sample:
         return vectors.sparkSession.createDataFrame([], schema)
     books = fit(np.array([r[0] for r in sample], dtype=np.float64))

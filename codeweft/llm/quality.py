@@ -87,7 +87,7 @@ def _strength(spread: float, mean: float, groups: int, n: float) -> float:
 
 
 def sites(evidenced: DataFrame, host: Column, path: Column) -> tuple[DataFrame, dict[str, float]]:
-    """Posterior of each (host, path) by grouped sums, and the common rate and prior strengths.
+    """Sums of each (host, path) and of its host, and the sums of the whole and prior strengths.
 
     Sums are made before the shuffle, so a host with a third of all rows costs a row for each task.
     """
@@ -98,23 +98,29 @@ def sites(evidenced: DataFrame, host: Column, path: Column) -> tuple[DataFrame,
     total, groups = row[1] or 0.0, row[2]
     mean = (row[0] / total) if total else 0.5
     host_strength = _strength(row[3] / total - mean * mean, mean, groups, total) if total else 1.0
-    shrunk = hosts.withColumn("host_posterior", (F.lit(host_strength * mean) + F.col("host_good")) / (F.lit(host_strength) + F.col("host_n")))
+    shrunk = hosts.withColumn("__at", (F.lit(host_strength * mean) + F.col("host_good")) / (F.lit(host_strength) + F.col("host_n")))
     both = paths.withColumn("host", F.struct(F.col("site")[paths.schema["site"].dataType.names[0]])).join(shrunk, "host")
-    away = both.agg(F.sum((F.col("good") / F.col("n") - F.col("host_posterior")) ** 2 * F.col("n")), F.count(F.lit(1))).first()
+    away = both.agg(F.sum((F.col("good") / F.col("n") - F.col("__at")) ** 2 * F.col("n")), F.count(F.lit(1))).first()
     path_strength = _strength(away[0] / total, mean, away[1], total) if total else 1.0
-    return both.select("site", "good", "n", "host_posterior"), {"mean": mean, "host_strength": host_strength, "path_strength": path_strength, "paths": away[1]}
+    told = {"good": row[0] or 0.0, "n": total, "host_strength": host_strength, "path_strength": path_strength, "paths": away[1]}
+    return both.select("site", "good", "n", "host_good", "host_n"), told
 
 
 def combine(evidenced: DataFrame, known: DataFrame, told: dict[str, float], host: Column, path: Column) -> DataFrame:
     """Add host_posterior, path_posterior, quality (probability) and accepted (quality is 1/2 at least)."""
     rows = without(evidenced, ["host_posterior", "path_posterior", "quality", "accepted"]).withColumn("site", F.struct(host, path))
     joined = rows.join(F.broadcast(known) if told["paths"] <= BROADCAST_ROWS else known, "site", "left")
-    k = F.lit(told["path_strength"])
+    # A document's own share is taken out of its path, its host and the whole, so that it doesn't count twice.
     own = _chance(F.col("evidence"))
-    posterior = (k * F.col("host_posterior") + F.col("good") - own) / (k + F.col("n") - 1)
-    quality = _chance(F.col("evidence") + _logit(posterior) - _logit(F.lit(told["mean"])))
-    out = joined.withColumn("path_posterior", posterior).withColumn("quality", quality).withColumn("accepted", F.col("quality") >= 0.5)
-    return out.drop("site", "good", "n")
+    others = told["n"] - 1
+    mean = (F.lit(told["good"]) - own) / others if others > 0 else F.lit(0.5)
+    k_host, k_path = F.lit(told["host_strength"]), F.lit(told["path_strength"])
+    host_posterior = (k_host * mean + F.col("host_good") - own) / (k_host + F.col("host_n") - 1)
+    posterior = (k_path * F.col("host_posterior") + F.col("good") - own) / (k_path + F.col("n") - 1)
+    quality = _chance(F.col("evidence") + _logit(F.col("path_posterior")) - _logit(mean))
+    out = joined.withColumn("host_posterior", host_posterior)
+    out = out.withColumn("path_posterior", posterior).withColumn("quality", quality).withColumn("accepted", F.col("quality") >= 0.5)
+    return out.drop("site", "good", "n", "host_good", "host_n")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

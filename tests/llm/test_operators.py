@@ -632,8 +632,10 @@ def test_posteriors_are_those_of_plain_empirical_bayes(spark):
     k_path = strength(sum((g / n - at[s]) ** 2 * n for (s, _), (g, n) in path.items()) / total, len(path))
     want = {}
     for i, s, g, e in rows:
-        posterior = (k_path * at[s] + path[s, g][0] - chance(e)) / (k_path + path[s, g][1] - 1)
-        want[i] = (at[s], posterior, chance(e + logit(posterior) - logit(mean)))
+        others = (mean * total - chance(e)) / (total - 1)  # the document itself is left out of all three
+        above = (k_host * others + host[s][0] - chance(e)) / (k_host + host[s][1] - 1)
+        posterior = (k_path * above + path[s, g][0] - chance(e)) / (k_path + path[s, g][1] - 1)
+        want[i] = (above, posterior, chance(e + logit(posterior) - logit(others)))
     known, told = quality.sites(seen, F.col("source"), F.col("lang"))
     got = quality.combine(seen, known, told, F.col("source"), F.col("lang")).collect()
     assert len(got) == 600
@@ -641,11 +643,21 @@ def test_posteriors_are_those_of_plain_empirical_bayes(spark):
         assert np.allclose((r["host_posterior"], r["path_posterior"], r["quality"]), want[r["doc_id"]], rtol=1e-9) and r["accepted"] == (r["quality"] >= 0.5)
 
 
+def test_a_lone_document_does_not_vouch_for_itself(spark):
+    """Among hosts of strong opinions the only document of a host keeps the odds of its own evidence."""
+    rows = [(f"h{h}", "en", 6.0 if h % 2 else -6.0) for h in range(40) for _ in range(25)] + [("alone", "en", 1.5)]
+    seen = spark.createDataFrame(rows, "source string, lang string, evidence double")
+    known, told = quality.sites(seen, F.col("source"), F.col("lang"))
+    one = quality.combine(seen, known, told, F.col("source"), F.col("lang")).where("source = 'alone'").first()
+    assert told["host_strength"] < 1.5 and abs(one["quality"] - 1 / (1 + math.exp(-1.5))) < 1e-6
+
+
 def test_sparse_sites_lean_on_the_whole(spark):
     seen = spark.createDataFrame([("big", "en", 3.0)] * 50 + [("bad", "en", -3.0)] * 50 + [("one", "en", -3.0)], "source string, lang string, evidence double")
     known, told = quality.sites(seen, F.col("source"), F.col("lang"))
-    at = {r["site"]["source"]: r["host_posterior"] for r in known.collect()}
-    assert at["bad"] < at["one"] < told["mean"] < at["big"]
+    rows = {r["source"]: r for r in quality.combine(seen, known, told, F.col("source"), F.col("lang")).collect()}
+    at = {k: r["host_posterior"] for k, r in rows.items()}
+    assert at["bad"] < at["one"] < told["good"] / told["n"] + 0.01 < at["big"] and abs(rows["one"]["quality"] - 1 / (1 + math.exp(3))) < 1e-6
 
 
 def test_neighbours(spark):
