@@ -41,64 +41,135 @@ def resolve_parents(refs: DataFrame, registry: DataFrame) -> DataFrame:
 
     refs: ref, file_path, base. registry: qualified_name, name, label, file_path. In the same file (a Class before others,
     then by name); the only one anywhere; the first Class anywhere; else a stand-in at line 0 of the same file.
+
+    A base named in a file is decided once, against one row for each name and one for each name in a file: references never meet
+    all definitions of a common name.
     """
-    c = refs.join(registry.select(F.col("name").alias("base"), "qualified_name", "label", F.col("file_path").alias("home")), "base", "left")
-    n = F.count("qualified_name").over(Window.partitionBy("ref"))
-    is_class = F.col("label") == "Class"
-    tier = F.when(F.col("home") == F.col("file_path"), F.when(is_class, 1).otherwise(2)).when(n == 1, 3).when(is_class, 4).otherwise(9)
-    ranked = c.withColumn("tier", tier).withColumn("k", F.row_number().over(Window.partitionBy("ref").orderBy("tier", "qualified_name"))).where("k = 1")
+    r = registry.select(F.col("name").alias("base"), "qualified_name", (F.col("label") != "Class").alias("other"), F.col("file_path"))
+    asked = refs.select("file_path", "base").distinct()
+    local = r.groupBy("base", "file_path").agg(F.min(F.struct("other", "qualified_name"))["qualified_name"].alias("t1"))
+    known = r.groupBy("base").agg(F.count(F.lit(1)).alias("n"), F.min("qualified_name").alias("t2"), F.min(F.when(~F.col("other"), F.col("qualified_name"))).alias("t3"))
+    told = asked.join(local, ["base", "file_path"], "left").join(known, "base", "left")
+    name = F.when(F.col("t1").isNotNull(), "local").when(F.col("n") == 1, "unique").when(F.col("t3").isNotNull(), "first_class").otherwise("synthetic")
     made = F.concat("file_path", F.lit("::Class::"), "base", F.lit("@L0"))
-    name = F.when(F.col("tier") <= 2, "local").when(F.col("tier") == 3, "unique").when(F.col("tier") == 4, "first_class").otherwise("synthetic")
-    return ranked.select("ref", F.when((F.col("tier") == 9) | F.col("qualified_name").isNull(), made).otherwise(F.col("qualified_name")).alias("target"), name.alias("strategy"))
+    told = told.select("file_path", "base", F.coalesce("t1", F.when(F.col("n") == 1, F.col("t2")), "t3", made).alias("target"), name.alias("strategy"))
+    return refs.select("ref", "file_path", "base").distinct().join(told, ["file_path", "base"]).select("ref", "target", "strategy")
+
+
+def _canonical(spans: DataFrame) -> DataFrame:
+    """Add level and node: each span as the fewest aligned ranges of 2^level lines, at most two of a level, which together are
+    its lines. A line lies in one range of each level, so a span covers a point if they share exactly one (level, node)."""
+    end = F.col("high") + 1
+
+    def nodes(k: Column) -> Column:
+        left = -_shift(-F.col("low"), k)
+        right = _shift(end, k)
+        inside = left < right
+        return F.array(
+            F.when(inside & (F.pmod(left, F.lit(2)) == 1), F.struct(k.alias("level"), left.alias("node"))),
+            F.when(inside & (F.pmod(right, F.lit(2)) == 1), F.struct(k.alias("level"), (right - 1).alias("node"))),
+        )
+
+    levels = F.sequence(F.lit(0), F.ceil(F.log2(F.col("high") - F.col("low") + 2)).cast("int"))
+    parts = F.filter(F.flatten(F.transform(levels, nodes)), lambda x: x.isNotNull())
+    return spans.where("low <= high").withColumn("__at", F.explode(parts)).select(*spans.columns, "__at.level", "__at.node")
+
+
+def _shift(x: Column, k: Column) -> Column:
+    """Floor of x over 2^k."""
+    return F.call_function("shiftright", x, k)
+
+
+def _ranges_of(points: DataFrame, spans: DataFrame) -> DataFrame:
+    """Points with the aligned ranges that their lines lie in, of the levels that their file's spans have."""
+    most = spans.groupBy("file_path").agg(F.max("level").alias("most"))
+    levels = F.explode(F.sequence(F.lit(0), F.col("most")))
+    return points.join(most, "file_path").withColumn("level", levels).withColumn("node", _shift(F.col("line"), F.col("level"))).drop("most", "line")
 
 
 def enclosing(points: DataFrame, spans: DataFrame) -> DataFrame:
-    """Every span of the same file that covers a point. points: point, file_path, line. spans: span, file_path, low, high."""
-    return points.join(spans, "file_path").where(F.col("line").between(F.col("low"), F.col("high"))).select("point", "span")
+    """Every span of the same file that covers a point. points: point, file_path, line. spans: span, file_path, low, high (whole numbers).
+
+    An equi-join on aligned ranges of lines, which meets just the pairs that it returns.
+    """
+    cut_up = _canonical(spans.select("span", "file_path", "low", "high"))
+    return _ranges_of(points.select("point", "file_path", "line"), cut_up).join(cut_up, ["file_path", "level", "node"]).select("point", "span")
 
 
 def innermost(points: DataFrame, spans: DataFrame) -> DataFrame:
-    """The covering span that starts last, ties to the larger name."""
-    return points.join(spans, "file_path").where(F.col("line").between(F.col("low"), F.col("high"))).groupBy("point").agg(F.max(F.struct("low", "span"))["span"].alias("span"))
+    """The covering span that starts last, ties to the larger name.
+
+    Of the spans that share an aligned range of lines only that which starts last is kept, so deep nests cost no more than flat ones.
+    """
+    last = _canonical(spans.select("span", "file_path", "low", "high")).groupBy("file_path", "level", "node").agg(F.max(F.struct("low", "span")).alias("last"))
+    met = _ranges_of(points.select("point", "file_path", "line"), last).join(last, ["file_path", "level", "node"])
+    return met.groupBy("point").agg(F.max("last")["span"].alias("span"))
+
+
+#: Lines that are looked through for the next start together.
+STRETCH = 4_096
 
 
 def next_after(points: DataFrame, starts: DataFrame, tolerance: int | None = None, inclusive: bool = False) -> DataFrame:
     """As-of join forward: the first start after the point (at most `tolerance` later), ties to the smaller name.
 
-    points: point, file_path, line. starts: start, file_path, low.
+    points: point, file_path, line. starts: start, file_path, low (whole numbers). Points and starts of a stretch of lines are
+    sorted together, and the start met last on the way back is the answer; where the stretch has none, it is the first start of the
+    next stretch that has one. So no file is sorted in one task, and no point meets more than one start.
     """
-    after = F.col("low") >= F.col("line") if inclusive else F.col("low") > F.col("line")
-    near = after if tolerance is None else after & (F.col("low") <= F.col("line") + tolerance)
-    return points.join(starts, "file_path").where(near).groupBy("point").agg(F.min(F.struct("low", "start"))["start"].alias("start"))
+    stretch = lambda line: F.floor(F.col(line) / STRETCH).cast("long").alias("stretch")
+    asked = points.select("point", "file_path", "line", stretch("line"), F.lit(None).cast(starts.schema["start"].dataType).alias("start"))
+    known = starts.where("low is not null").select(F.lit(None).cast(points.schema["point"].dataType).alias("point"), "file_path", F.col("low").alias("line"), stretch("low"), "start")
+    # Backwards; on one line a point comes before the starts if those don't count for it, and a smaller name after larger ones.
+    is_start = F.col("start").isNotNull()
+    back = Window.partitionBy("file_path", "stretch").orderBy(F.desc("line"), F.desc(is_start) if inclusive else F.asc(is_start), F.desc("start")).rowsBetween(Window.unboundedPreceding, 0)
+    near = asked.unionByName(known).withColumn("met", F.last(F.when(is_start, F.struct(F.col("line").alias("low"), "start")), True).over(back)).where(~is_start)
+    heads = known.groupBy("file_path", "stretch").agg(F.min(F.struct(F.col("line").alias("low"), "start")).alias("head"))
+    later = Window.partitionBy("file_path").orderBy(F.desc("stretch")).rowsBetween(Window.unboundedPreceding, -1)
+    # One row for each stretch that has points or starts.
+    places = near.select("file_path", "stretch").distinct().join(heads, ["file_path", "stretch"], "full")
+    beyond = places.withColumn("next", F.last("head", True).over(later)).select("file_path", "stretch", "next")
+    found = near.join(beyond, ["file_path", "stretch"], "left").select("point", "line", F.coalesce("met", "next").alias("m")).where("m is not null")
+    return (found if tolerance is None else found.where(F.col("m.low") <= F.col("line") + tolerance)).select("point", F.col("m.start").alias("start"))
 
 
 def _segments(path: Column) -> Column:
-    return F.split(F.regexp_replace(path, "^/", ""), "/", -1)
+    return F.filter(F.split(path, "/", -1), lambda x: x != "")
+
+
+def _tails(path: Column) -> Column:
+    """All ends of a path that begin with a slash."""
+    parts = F.split(path, "/", -1)
+    return F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.concat(F.lit("/"), F.array_join(F.slice(parts, k + 1, F.size(parts)), "/")))
 
 
 def link_routes(calls: DataFrame, routes: DataFrame) -> DataFrame:
     """Rows (call, route, confidence). calls: call, path. routes: route, template, position (numbers or names that order them).
 
     An exact route wins, the first of them; else the last template that fits segment by segment (:id, {id} and <id> fit
-    anything); else the first that ends in the same last segment. Each is an equi-join: on the path; on the path with a star
-    wherever the template has a hole, for each distinct set of holes among templates of so many segments; on the last segment.
+    anything); else the first of which one path ends in the other, or that has the same last segment if that is of letters, digits,
+    - and _ only. Each is an equi-join: on the path; on the path with a star wherever the template has a hole, for each distinct
+    set of holes among templates of so many segments; on the ends of either path; on the last segment.
     """
     c = calls.select("call", route_key(F.col("path")).alias("p")).withColumn("ps", _segments(F.col("p")))
     r = routes.select("route", "position", route_key(F.col("template")).alias("t")).withColumn("ts", _segments(F.col("t")))
     order = F.struct("position", "route")
-    exact = c.join(r.groupBy("t").agg(F.min(order).alias("m")), F.col("p") == F.col("t")).select("call", F.lit(1).alias("class"), "m.route")
-    hole = lambda x: x.rlike(r"^(:.+|\{.*\}|<.*>)$")
-    holes = F.transform("ts", hole)
-    shaped = r.withColumn("holes", holes).where(F.exists("holes", lambda x: x)).withColumn("key", _starred(F.col("ts"), F.col("holes")))
+    whole = r.groupBy("t").agg(F.min(order).alias("m"))
+    exact = c.join(whole, F.col("p") == F.col("t")).select("call", F.lit(1).alias("class"), "m")
+    holes = F.transform("ts", lambda x: x.rlike(r"^(:|<|\{.*\}$)"))
+    shaped = r.withColumn("holes", holes).withColumn("key", _starred(F.col("ts"), F.col("holes")))
     # One row for each key: what fits a call is the last template of all keys that it matches.
     templates = shaped.groupBy("holes", "key").agg(F.max(order).alias("m"))
     shapes = shaped.select(F.size("ts").alias("n"), "holes").distinct()
     masked = c.withColumn("n", F.size("ps")).join(shapes, "n").withColumn("key", _starred(F.col("ps"), F.col("holes")))
-    template = masked.join(templates, ["holes", "key"]).groupBy("call").agg(F.max("m").alias("m")).select("call", F.lit(2).alias("class"), "m.route")
-    tail = lambda a: F.element_at(a, -1)
-    ends = r.groupBy(tail(F.col("ts")).alias("last")).agg(F.min(order).alias("m"))
-    suffix = c.select("call", tail(F.col("ps")).alias("last")).where("last <> ''").join(ends, "last").select("call", F.lit(3).alias("class"), "m.route")
-    best = exact.unionByName(template).unionByName(suffix).groupBy("call").agg(F.min(F.struct("class", "route")).alias("m"))
+    template = masked.join(templates, ["holes", "key"]).groupBy("call").agg(F.max("m").alias("m")).select("call", F.lit(2).alias("class"), "m")
+    inside = r.withColumn("tail", F.explode(_tails(F.col("t")))).groupBy("tail").agg(F.min(order).alias("m"))
+    around = c.select("call", F.explode(_tails(F.col("p"))).alias("tail")).join(whole, F.col("tail") == F.col("t"))
+    last = lambda a: F.when(F.get(a, F.size(a) - 1).rlike("^[A-Za-z0-9_-]+$"), F.get(a, F.size(a) - 1))
+    ends = r.groupBy(last(F.col("ts")).alias("last")).agg(F.min(order).alias("m"))
+    suffix = c.join(inside, F.col("p") == F.col("tail")).select("call", "m").unionByName(around.select("call", "m")).unionByName(c.withColumn("last", last(F.col("ps"))).join(ends, "last").select("call", "m"))
+    suffix = suffix.groupBy("call").agg(F.min("m").alias("m")).select("call", F.lit(3).alias("class"), "m")
+    best = exact.unionByName(template).unionByName(suffix).groupBy("call").agg(F.min(F.struct("class", "m.route")).alias("m"))
     name = F.when(F.col("m.class") == 1, "exact").when(F.col("m.class") == 2, "template").otherwise("suffix")
     return best.select("call", F.col("m.route").alias("route"), name.alias("confidence"))
 

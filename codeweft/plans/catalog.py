@@ -169,7 +169,7 @@ for _way, _step in {"out": "SELECT src AS a, dst AS b FROM edges", "in": "SELECT
 _MET = _TRACE.format(step="SELECT src AS a, dst AS b FROM edges").rpartition("SELECT q AS qualified_name, 0")[0].rstrip()
 
 
-@query(_MET + " SELECT src, dst, edge_type FROM edges WHERE src IN (FROM l0 UNION ALL FROM l1 UNION ALL FROM l2)", S, E)
+@query(_MET + ", near AS MATERIALIZED (SELECT q FROM l0 UNION SELECT q FROM l1 UNION SELECT q FROM l2) SELECT src, dst, edge_type FROM edges SEMI JOIN near ON src = q", S, E)
 def trace_edges(s, d):
     edges = A.edges(s, d)
     return graph.trace_edges(edges, graph.trace(A.symbols(s, d), edges, "customer::Customer::1", "out", 3), "out", 3)
@@ -477,14 +477,14 @@ def resolve_parents(s, d):
 
 
 # Points are events, a user standing for a file and the minute of the day for a line; spans are made of every tenth event.
-_POINTS = """points AS (SELECT event_id AS point, user_id AS file_path, (hour(ts) * 60 + minute(ts))::BIGINT AS line FROM events WHERE event_type IN ('click', 'view')),
+_POINTS = """points AS (SELECT event_id AS point, user_id AS file_path, (hour(ts) * 60 + minute(ts))::BIGINT AS line FROM events WHERE event_type <> 'signup'),
     spans AS (SELECT event_id AS span, user_id AS file_path, (hour(ts) * 60 + minute(ts))::BIGINT AS low, (hour(ts) * 60 + minute(ts) + 30 + event_id % 300)::BIGINT AS high FROM events WHERE event_type = 'signup')"""
 
 
 def _point_tables(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     e = A.table(s, d, "events")
     line = (F.hour("ts") * 60 + F.minute("ts")).cast("long")
-    points = e.where("event_type in ('click', 'view')").select(F.col("event_id").alias("point"), F.col("user_id").alias("file_path"), line.alias("line"))
+    points = e.where("event_type <> 'signup'").select(F.col("event_id").alias("point"), F.col("user_id").alias("file_path"), line.alias("line"))
     return points, e.where("event_type = 'signup'").select(F.col("event_id").alias("span"), F.col("user_id").alias("file_path"), line.alias("low"), (line + 30 + F.col("event_id") % 300).alias("high"))
 
 
@@ -524,22 +524,30 @@ def normalize_urls(s, d):
     return A.table(s, d, "pages").select("page_id", path.alias("path"), X.route_key(path).alias("route_key"))
 
 
-_LINK = """u AS (SELECT page_id AS call, '/' || split_part(url, '/', 4) || '/' || (page_id % 40) AS p FROM pages),
-    r AS (SELECT i AS route, i AS position, CASE i % 4 WHEN 0 THEN '/en/' || i WHEN 1 THEN '/fr/{id}' WHEN 2 THEN '/:lang/' || i ELSE '/x/y/' || i END AS t FROM range(0, 40) AS g(i))"""
+# Calls from the URLs of all pages, routes of five shapes from all parts: exact, with holes of each kind (some of them last), and
+# some that only end alike, with last segments that do and don't count.
+_LINK = """u AS (SELECT page_id AS call, '/' || split_part(url, '/', 4) || CASE page_id % 3 WHEN 0 THEN '/' WHEN 1 THEN '/v1/' ELSE '/a/b.c/' END || (page_id % 40) || CASE page_id % 5 WHEN 0 THEN '.json' ELSE '' END AS p FROM pages),
+    r AS (SELECT p_partkey AS route, p_partkey AS position, CASE p_partkey % 7 WHEN 0 THEN '/en/' || (p_partkey % 40) WHEN 1 THEN '/fr/{id}' WHEN 2 THEN '/:lang/' || (p_partkey % 40) WHEN 3 THEN '/x/y/' || (p_partkey % 40)
+      WHEN 4 THEN '/<lang>/v1/{id}' WHEN 5 THEN '/b.c/' || (p_partkey % 40) || '.json' ELSE '/orders' || p_partkey || '/{id}' END AS t FROM part),
+    us AS (SELECT call, p, string_split(p, '/')[2:] AS s FROM u),
+    rs AS (SELECT *, string_split(t, '/')[2:] AS s FROM r)"""
 
 
 @query(
-    f"""{_LINK}, c AS (SELECT call, route, 1 AS tier, position AS pos FROM u JOIN r ON p = t
-      UNION ALL SELECT call, route, 2, -position FROM u JOIN r ON (t = '/fr/{{id}}' AND p LIKE '/fr/%') OR (t LIKE '/:lang/%' AND split_part(p, '/', 3) = split_part(t, '/', 3))
-      UNION ALL SELECT call, route, 3, position FROM u JOIN r ON list_last(string_split(p, '/')) = list_last(string_split(t, '/')))
+    f"""{_LINK}, c AS (SELECT call, route, 1 AS tier, position AS pos FROM us JOIN rs ON p = t
+      UNION ALL SELECT call, route, 2, -position FROM us JOIN rs ON len(us.s) = len(rs.s) AND list_bool_and(list_transform(range(1, len(rs.s) + 1), lambda k: rs.s[k] = us.s[k] OR rs.s[k][1] IN (':', '<') OR (rs.s[k][1] = '{{' AND rs.s[k][-1] = '}}')))
+      UNION ALL SELECT call, route, 3, position FROM us JOIN rs ON suffix(t, p) OR suffix(p, t) OR (us.s[-1] = rs.s[-1] AND regexp_full_match(us.s[-1], '[A-Za-z0-9_-]+')))
     SELECT call, arg_min(route, (tier, pos, route)) AS route, ['exact', 'template', 'suffix'][min(tier)] AS confidence FROM c GROUP BY call""",
     "one AS (SELECT 1)",
 )
 def link_routes(s, d):
-    calls = A.table(s, d, "pages").select(F.col("page_id").alias("call"), F.concat(F.lit("/"), F.split_part("url", F.lit("/"), F.lit(4)), F.lit("/"), F.col("page_id") % 40).alias("path"))
-    i = F.col("id")
-    template = F.when(i % 4 == 0, F.concat(F.lit("/en/"), i)).when(i % 4 == 1, "/fr/{id}").when(i % 4 == 2, F.concat(F.lit("/:lang/"), i)).otherwise(F.concat(F.lit("/x/y/"), i))
-    return resolve.link_routes(calls, s.range(40).select(i.alias("route"), template.alias("template"), i.alias("position")))
+    k = F.col("page_id")
+    path = F.concat(F.lit("/"), F.split_part("url", F.lit("/"), F.lit(4)), F.when(k % 3 == 0, "/").when(k % 3 == 1, "/v1/").otherwise("/a/b.c/"), k % 40, F.when(k % 5 == 0, ".json").otherwise(""))
+    i = F.col("p_partkey")
+    end = (i % 40).cast("string")
+    shapes = [F.concat(F.lit("/en/"), end), F.lit("/fr/{id}"), F.concat(F.lit("/:lang/"), end), F.concat(F.lit("/x/y/"), end), F.lit("/<lang>/v1/{id}"), F.concat(F.lit("/b.c/"), end, F.lit(".json")), F.concat(F.lit("/orders"), i, F.lit("/{id}"))]
+    routes = A.table(s, d, "part").select(i.alias("route"), F.get(F.array(*shapes), (i % 7).cast("int")).alias("template"), i.alias("position"))
+    return resolve.link_routes(A.table(s, d, "pages").select(k.alias("call"), path.alias("path")), routes)
 
 
 @query("SELECT path, line_count FROM files WHERE path NOT LIKE 'src1/%' AND path NOT LIKE 'src2/%' UNION ALL SELECT path, line_count + 1 FROM files WHERE path LIKE 'src1/%'", FILES)

@@ -130,6 +130,65 @@ def test_routes(spark):
     assert {r["call"]: (r["route"], r["confidence"]) for r in resolve.link_routes(calls, routes).collect()} == {1: (0, "exact"), 2: (2, "template"), 3: (3, "suffix")}
 
 
+def test_routes_of_every_rest_client_are_not_one(spark):
+    routes = spark.createDataFrame([("r1", "/users/{id}", 1), ("r2", "/old/report.json", 2), ("r3", "/api/items", 3), ("r4", "/a//b", 4), ("r5", "/<x>/y", 5), ("r6", "/:k/y", 6)], "route string, template string, position int")
+    paths = {1: "/orders/{id}", 2: "/v2/report.json", 3: "/items", 4: "/x/api/items", 5: "/a/b", 6: "/q/y", 7: "/n/items", 8: "/users/7/", 9: "/p/old/report.json", 10: "/"}
+    calls = spark.createDataFrame(list(paths.items()), "call int, path string")
+    got = {r["call"]: (r["route"], r["confidence"]) for r in resolve.link_routes(calls, routes).collect()}
+    assert got == {3: ("r3", "suffix"), 4: ("r3", "suffix"), 5: ("r4", "template"), 6: ("r6", "template"), 7: ("r3", "suffix"), 8: ("r1", "template"), 9: ("r2", "suffix")}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_interval_and_next_joins_against_plain_python(spark, monkeypatch, seed):
+    monkeypatch.setattr(resolve, "STRETCH", 16)
+    rng = random.Random(seed)
+    points = [(i, rng.choice("abc"), rng.randint(-40, 120)) for i in range(300)]
+    spans = [(f"s{i % 40}", rng.choice("ab"), lo := rng.randint(-50, 110), lo + rng.choice([-1, 0, 0, 1, 7, 60, 200])) for i in range(80)]
+    p = spark.createDataFrame(points, "point int, file_path string, line long")
+    s = spark.createDataFrame(spans, "span string, file_path string, low long, high long")
+    met = [(i, n, lo) for i, f, x in points for n, g, lo, hi in spans if f == g and lo <= x <= hi]
+    assert sorted(map(tuple, resolve.enclosing(p, s).collect())) == sorted((i, n) for i, n, _ in met)
+    deep = {}
+    for i, n, lo in met:
+        deep[i] = max(deep.get(i, (lo, n)), (lo, n))
+    assert {r["point"]: r["span"] for r in resolve.innermost(p, s).collect()} == {i: n for i, (_, n) in deep.items()}
+    starts = s.select(F.col("span").alias("start"), "file_path", "low")
+    for tolerance, inclusive in ((None, False), (5, False), (None, True), (3, True)):
+        want = {}
+        for i, f, x in points:
+            after = [(lo, n) for n, g, lo, _ in spans if f == g and (lo >= x if inclusive else lo > x) and (tolerance is None or lo <= x + tolerance)]
+            want |= {i: min(after)[1]} if after else {}
+        assert {r["point"]: r["start"] for r in resolve.next_after(p, starts, tolerance, inclusive).collect()} == want
+
+
+def test_a_hundred_thousand_points_and_nested_spans_of_one_file(spark):
+    """All spans cover the middle, so every pair would be a row of a plain join."""
+    n = 100_000
+    points = spark.range(n).select(F.col("id").alias("point"), F.lit("f").alias("file_path"), F.col("id").alias("line"))
+    spans = spark.range(n).select(F.col("id").alias("span"), F.lit("f").alias("file_path"), F.floor(F.col("id") / 2).alias("low"), (F.lit(n) - F.floor(F.col("id") / 2)).alias("high"))
+    began = time.time()
+    deep = resolve.innermost(points, spans)
+    told = deep.agg(F.count(F.lit(1)), F.sum("span")).first()
+    want = [min(2 * min(x, n - x) + 1, n - 1) for x in range(n)]
+    assert tuple(told) == (n, sum(want))
+    after = resolve.next_after(points, spans.select(F.col("span").alias("start"), "file_path", "low"))
+    assert tuple(after.agg(F.count(F.lit(1)), F.sum("start")).first()) == (n // 2 - 1, sum(2 * (x + 1) for x in range(n // 2 - 1)))
+    assert time.time() - began < 90
+
+
+def test_parents_of_common_names(spark):
+    registry = [(f"q{i}", "Base" if i < 40 else f"N{i}", "Class" if i % 2 else "Function", f"f{i % 7}") for i in range(60)] + [("z", "Only", "Function", "g"), ("y1", "Funcs", "Function", "g"), ("y2", "Funcs", "Function", "h")]
+    refs = [(i, f"f{i % 9}", ["Base", "Only", "Funcs", "None", f"N{40 + i % 20}"][i % 5]) for i in range(80)]
+    want = set()
+    for ref, f, base in refs:
+        found = sorted((q, label, home) for q, n, label, home in registry if n == base)
+        local = sorted((label != "Class", q) for q, label, home in found if home == f)
+        classes = [q for q, label, _ in found if label == "Class"]
+        want.add((ref, *((local[0][1], "local") if local else (found[0][0], "unique") if len(found) == 1 else (classes[0], "first_class") if classes else (f"{f}::Class::{base}@L0", "synthetic"))))
+    got = resolve.resolve_parents(spark.createDataFrame(refs, "ref int, file_path string, base string"), spark.createDataFrame(registry, "qualified_name string, name string, label string, file_path string"))
+    assert set(map(tuple, got.collect())) == want and got.count() == len(refs)
+
+
 def test_signals(spark):
     assert similarity.fnv1a(["", "a"]).tolist() == [0xCBF29CE484222325, 0xAF63DC4C8601EC8C]
     docs = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "alpha beta gamma delta"), (3, "")], "id long, t string")
