@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,10 @@ from codeweft.operators import graph, resolve, search, similarity, text
 from codeweft.plans import passes, sqlgate
 from codeweft.schema import EngineConfig
 from codeweft.sources import discover
-from codeweft.store import Store, across, projects
+from codeweft.store import BUCKETS, Store, across, projects
+
+#: Bytes of text that a part of a project holds about.
+PART_BYTES = 64 << 20
 
 
 class Engine:
@@ -29,38 +33,100 @@ class Engine:
             raise PermissionError(f"{path} lies outside {self.config.allowed_root}")
         store = self.store(project or discover.project_name(path))
         files = discover.read_tree(self.spark, path, mode)
-        return self._index(store, files, discover.git_changes(self.spark, path)[0])
+        return self._index(store, files, discover.git_changes(self.spark, path)[0], full)
 
-    def _index(self, store: Store, files: DataFrame, head: str) -> dict[str, int | str]:
+    def _index(self, store: Store, files: DataFrame, head: str, path: str = "") -> dict[str, int | str]:
         files = graph.cut(files)
         found, symbols = passes.read_files(files)
-        return self._derive(store, files, found, symbols, head)
-
-    def _derive(self, store: Store, files: DataFrame, found: DataFrame, symbols: DataFrame, head: str) -> dict[str, int | str]:
         edges = passes.derive(store.project, files, found, symbols, self.config)
+        edges = graph.cut(graph.first_by(edges, ["src", "dst", "edge_type"], ["properties"]))
+        members, vectors = self._statistics(symbols, edges)
+        size = files.agg(F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).alias("n")).first()["n"]
+        buckets = max(BUCKETS, min(4096, size // PART_BYTES))
+        store.replace(buckets, files=files, findings=found, symbols=symbols, edges=edges, members=members, vectors=vectors, postings=text.postings(files))
+        self._mark(store, path, head)
+        return {"project": store.project, "files": files.count(), "symbols": symbols.count(), "edges": edges.count()}
+
+    def _statistics(self, symbols: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Communities and vectors, which follow from the symbols and edges of the whole project and no text."""
         members = graph.communities(symbols, edges, self.config.community_algorithm, self.config.community_resolution)
-        marked = symbols.join(members, "qualified_name", "left").withColumn("properties", F.to_json(F.struct("community")))
-        vectors = similarity.symbol_vectors(symbols.where("label in ('Function', 'Class')"))
-        store.replace(files=files, symbols=marked, edges=graph.first_by(edges, ["src", "dst", "edge_type"], ["properties"]), vectors=vectors, postings=text.postings(files))
-        store.set_meta("indexed_head", head)
-        return {"project": store.project, "files": files.count(), "symbols": symbols.count(), "edges": store.read("edges").count()}
-
-    def update_files(self, project: str, changed: DataFrame, removed: DataFrame | None = None) -> dict[str, int | str]:
-        """Merge changed and removed files; no change, no work.
-
-        Only changed files are read for symbols, which replace those of the files; what edges come from spans files, so the
-        passes run over the merged project.
+        return members, similarity.symbol_vectors(symbols.where("label in ('Function', 'Class')"))
+
+    def _mark(self, store: Store, path: str, head: str) -> None:
+        """When and from where the project was indexed."""
+        now = datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
+        told = {"indexed_at": now, "indexed_head": head} | ({"repo_path": path} if path else {})
+        store.upsert("meta", self.spark.createDataFrame(list(told.items()), "key string, value string"), ["key"])
+
+    def index_changes(self, path: str, project: str | None = None) -> dict[str, int | str]:
+        """Bring a project up to date with its tree: only files that differ from the commit indexed last are read."""
+        name = project or discover.project_name(path)
+        store = self.store(name)
+        head, status = discover.git_changes(self.spark, path)
+        told = text.merged_changes(discover.changed_since(self.spark, path, store.get_meta("indexed_head") or ""), status)
+        here = discover.wanted(discover.sized(self.spark, path, told.select("path").distinct()))
+        there = graph.cut(here.select("path", "language"))
+        lost = told.select("path").distinct().join(there, "path", "left_anti").join(store.read("files").select("path"), "path", "left_semi")
+        return self.update_files(name, discover.read_listed(self.spark, path, there), lost, head=head)
+
+    def update_files(self, project: str, changed: DataFrame, removed: DataFrame | None = None, statistics: bool = True, head: str | None = None) -> dict[str, int | str]:
+        """Merge changed (path, content, language) and removed (path) files; no change, no work.
+
+        Only the changed files' texts are read. Findings of all files are kept, so references elsewhere that name what has changed
+        are resolved again from those, and only the parts of tables that hold touched files are written. The result is that of
+        indexing the tree anew. statistics: find communities and vectors, which hang on all symbols and edges, again; else they stay
+        as they are until refresh(). With semantic_enabled, pairs of alike symbols are scored again with them.
         """
         store = self.store(project)
-        if changed.isEmpty() and (removed is None or removed.isEmpty()):
-            return {"project": project, "files": 0}
         lined = changed.withColumn("line_count", F.size(text.lines(F.col("content"))).cast("long")).select("path", "content", "language", "line_count")
-        files = graph.cut(resolve.merge_changes(store.read("files"), lined, "path", removed))
-        gone = changed.select("path") if removed is None else changed.select("path").unionByName(removed.select("path"))
-        stay = store.read("symbols").drop("properties").join(gone.select(F.col("path").alias("file_path")).distinct(), "file_path", "left_anti")
-        fresh = passes.read_files(lined)[1]
-        symbols = graph.cut(stay.unionByName(fresh.select(*stay.columns)))
-        return self._derive(store, files, passes.read_files(files)[0], symbols, store.get_meta("indexed_head") or "")
+        lined = graph.cut(graph.first_by(lined, ["path"], ["content", "language"]))
+        gone = lined.select("path") if removed is None else lined.select("path").unionByName(removed.select("path"))
+        gone = graph.cut(gone.distinct())
+        if gone.isEmpty():
+            return {"project": project, "files": 0}
+        names = store.read("files").select("path")
+        paths = graph.cut(names.join(gone, "path", "left_anti").unionByName(lined.select("path")))
+        moved = graph.cut(lined.select("path").join(names, "path", "left_anti").unionByName(gone.join(lined, "path", "left_anti").join(names, "path", "left_semi")))
+        before = graph.cut(store.read("symbols", store.parts_of_files(gone)).join(gone.select(F.col("path").alias("file_path")), "file_path", "left_semi"))
+        fresh, fresh_symbols = passes.read_files(lined)
+        changes = [
+            store.rows_of_files("files", lined, gone),
+            store.rows_of_files("findings", fresh, gone),
+            store.rows_of_files("symbols", fresh_symbols.withColumn("properties", F.lit(None).cast("string")), gone),
+            store.rows_of_files("postings", text.postings(lined), gone),
+        ]
+        away = gone.select(F.col("path").alias("file_path"))
+        found = store.read("findings").join(away, "file_path", "left_anti").unionByName(fresh)
+        symbols = store.read("symbols").join(away, "file_path", "left_anti").unionByName(fresh_symbols.withColumn("properties", F.lit(None).cast("string")))
+        config_names = F.element_at(F.split("path", "/", -1), -1).isin("tsconfig.json", "jsconfig.json")
+        holders = graph.cut(paths.where(config_names))
+        configs = store.read("files", store.parts_of_files(holders)).join(gone, "path", "left_anti").unionByName(lined).join(holders, "path", "left_semi")
+        reconfigured = not gone.where(config_names).isEmpty()
+        for types, rows, origins in passes.changed_edges(project, paths, configs, gone, moved, reconfigured, found, symbols, before, store.read_edges(["HTTP_ROUTE"]), self.config):
+            changes.append(store.edges_of_files(graph.cut(graph.first_by(rows, ["src", "dst", "edge_type"], ["properties"])), types, origins))
+        lost = before.select("qualified_name").join(fresh_symbols, "qualified_name", "left_anti")
+        traces = store.read_edges(["RUNTIME_TRACE"])
+        for end in ("src", "dst"):
+            traces = traces.join(lost.withColumnRenamed("qualified_name", end), end, "left_anti")
+        if store._of_types(["RUNTIME_TRACE"]):
+            changes.append(("edges", traces, store._of_types(["RUNTIME_TRACE"])))
+        store.commit(changes)
+        if statistics:
+            self.refresh(project)
+        self._mark(store, "", store.get_meta("indexed_head") or "" if head is None else head)
+        return {"project": project, "files": lined.count(), "symbols": fresh_symbols.count(), "edges": store.read("edges").count()}
+
+    def refresh(self, project: str) -> None:
+        """Find communities, vectors and (with semantic_enabled) alike symbols again, from symbols and edges alone."""
+        store = self.store(project)
+        symbols, edges = store.read("symbols"), store.read("edges")
+        if self.config.semantic_enabled:
+            kinds = ["SIMILAR_TO", "SEMANTICALLY_RELATED"]
+            rest = edges.where(~F.col("edge_type").isin(*kinds))
+            store.replace_edges(graph.cut(passes.semantic_pass(project, store.read("files"), store.read("findings"), symbols, rest, self.config)), kinds)
+            edges = store.read("edges")
+        members, vectors = self._statistics(symbols, edges)
+        store.replace(members=members, vectors=vectors)
 
     def search_graph(self, project: str, **conditions) -> DataFrame:
         s = self.store(project)
@@ -97,7 +163,7 @@ class Engine:
 
     def get_architecture(self, project: str) -> dict[str, DataFrame]:
         s = self.store(project)
-        symbols, edges = s.read("symbols"), s.read("edges")
+        symbols, edges = s.symbols_in_communities(), s.read("edges")
         members = symbols.select("qualified_name", F.get_json_object("properties", "$.community").cast("long").alias("community")).where("community is not null")
         return {
             "labels": symbols.groupBy("label").count().orderBy(F.desc("count"), "label"),
@@ -109,7 +175,7 @@ class Engine:
 
     def query_graph(self, project: str, sql: str) -> DataFrame:
         s = self.store(project)
-        return sqlgate.query(self.spark, sql, {n: s.read(n) for n in ("symbols", "edges", "files", "vectors", "meta")})
+        return sqlgate.query(self.spark, sql, {"symbols": s.symbols_in_communities()} | {n: s.read(n) for n in ("edges", "files", "vectors", "meta")})
 
     def list_projects(self) -> list[str]:
         return projects(self.spark, self.root)

@@ -117,15 +117,25 @@ def decorated(marks: DataFrame, symbols: DataFrame) -> DataFrame:
     return below.select(F.col("start").alias("src"), F.concat("point.file_path", F.lit("::Decorator::"), "point.decorator", F.lit("@L"), "point.line").alias("dst"))
 
 
+def linked_calls(clients: DataFrame, functions: DataFrame, routes: DataFrame) -> DataFrame:
+    """HTTP_CALLS edges from the innermost function around each client call to the route (route, path) that it means."""
+    calls = graph.cut(client_calls(clients, functions).withColumn("call", F.concat_ws("|", "span", "path")))
+    known = routes.select("route", F.col("path").alias("template"), F.col("route").alias("position"))
+    linked = resolve.link_routes(calls.select("call", "path").distinct(), known).join(calls.select("call", "span").distinct(), "call")
+    return _edge(graph.first_by(linked, ["span", "route"], ["call"]), "span", "route", "HTTP_CALLS", confidence=F.col("confidence"))
+
+
+def served_routes(routes: DataFrame, functions: DataFrame) -> DataFrame:
+    """HTTP_ROUTE edges from the next function below each route."""
+    return _edge(handlers(routes, functions), "start", "route", "HTTP_ROUTE", path=F.col("path"))
+
+
 def route_pass(project: str, files: DataFrame, found: DataFrame, symbols: DataFrame, edges: DataFrame, config: EngineConfig) -> DataFrame:
     """HTTP_ROUTE from the next function below a route, HTTP_CALLS from the innermost function around a client call."""
     functions = symbols.where("label = 'Function'")
-    handled = graph.cut(handlers(of_kind(found, "routes"), functions))
-    calls = graph.cut(client_calls(of_kind(found, "clients"), functions).withColumn("call", F.concat_ws("|", "span", "path")))
-    known = handled.select("route", F.col("path").alias("template"), F.col("route").alias("position"))
-    linked = resolve.link_routes(calls.select("call", "path").distinct(), known).join(calls.select("call", "span").distinct(), "call")
-    served = _edge(handled, "start", "route", "HTTP_ROUTE", path=F.col("path"))
-    return served.unionByName(_edge(graph.first_by(linked, ["span", "route"], ["call"]), "span", "route", "HTTP_CALLS", confidence=F.col("confidence")))
+    served = graph.cut(served_routes(of_kind(found, "routes"), functions))
+    known = served.select(F.col("dst").alias("route"), F.get_json_object("properties", "$.path").alias("path"))
+    return served.unionByName(linked_calls(of_kind(found, "clients"), functions, known))
 
 
 def inheritance_pass(project: str, files: DataFrame, found: DataFrame, symbols: DataFrame, edges: DataFrame, config: EngineConfig) -> DataFrame:
@@ -168,6 +178,67 @@ def derive(project: str, files: DataFrame, found: DataFrame, symbols: DataFrame,
     return out
 
 
+def _within(found: DataFrame, files: DataFrame) -> DataFrame:
+    """Findings in some files (path)."""
+    return found.join(files.select(F.col("path").alias("file_path")).distinct(), "file_path", "left_semi")
+
+
+def changed_edges(project: str, paths: DataFrame, configs: DataFrame, gone: DataFrame, moved: DataFrame, reconfigured: bool, found: DataFrame, symbols: DataFrame, before: DataFrame, routes: DataFrame, config: EngineConfig) -> list[tuple[list[str], DataFrame, DataFrame]]:
+    """Edges that a change of some files can alter: (types, new edges, path of the files that they are all such edges of).
+
+    paths: all files after the change (path). configs: those that set path aliases, with their texts. gone: files that were changed,
+    added or removed; moved: those added or removed. found, symbols: all after the change; before: symbols of `gone` before it.
+    routes: HTTP_ROUTE edges before it.
+
+    References are resolved again in the changed files, and elsewhere only where they name something that the change defines or
+    did define: calls and bases by name, imports by the keys under which an added or removed file is found.
+    """
+    keys = ["name", "label", "qualified_name"]
+    after = graph.cut(symbols.join(gone.select(F.col("path").alias("file_path")), "file_path", "left_semi").select(*keys))
+    before = graph.cut(before.select(*keys))
+    names = graph.cut(after.subtract(before).unionByName(before.subtract(after)).select("name").distinct())
+    naming = lambda kind, column: of_kind(found, kind).join(names.withColumnRenamed("name", column), column, "left_semi").select(F.col("file_path").alias("path"))
+    specs, aliases = of_kind(found, "imports"), path_aliases(configs)
+    if reconfigured:
+        importing = graph.cut(gone.unionByName(specs.select(F.col("file_path").alias("path"))).distinct())
+    else:  # an import can mean another file now if an added or removed one is among its candidates
+        importing = graph.cut(gone.unionByName(resolve_imports(specs, moved, aliases).where("path is not null").select(F.col("file_path").alias("path"))).distinct())
+    calling = graph.cut(importing.unionByName(naming("calls", "callee")).distinct())
+    deriving = graph.cut(gone.unionByName(naming("bases", "base")).distinct())
+
+    meant = resolve_imports(of_kind(_within(found, importing), "imports"), paths, aliases).withColumn("src", F.concat("file_path", F.lit("::File::"), "file_path"))
+    imports = _edge(meant, "src", "dst", "IMPORTS", specifier=F.col("specifier"), kind=F.col("kind"), method=F.col("method"))
+    calls = call_pass(project, paths, _within(found, calling), symbols, names, config)
+    derived = inheritance_pass(project, paths, _within(found, deriving), symbols, names, config)
+
+    functions = symbols.where("label = 'Function'")
+    fresh = _within(found, gone)
+    served = graph.cut(served_routes(of_kind(fresh, "routes"), functions))
+    path = F.get_json_object("properties", "$.path").alias("path")
+    is_gone = F.split_part("src", F.lit("::"), F.lit(1)) == F.col("path")
+    old = graph.cut(routes.join(gone, is_gone, "left_semi").select(F.col("dst").alias("route"), path))
+    new = served.select(F.col("dst").alias("route"), path)
+    changed = not (new.subtract(old).isEmpty() and old.subtract(new).isEmpty())
+    asking = graph.cut((gone.unionByName(of_kind(found, "clients").select(F.col("file_path").alias("path"))) if changed else gone).distinct())
+    known = routes.join(gone, is_gone, "left_anti").select(F.col("dst").alias("route"), path).unionByName(new)
+    linked = linked_calls(of_kind(_within(found, asking), "clients"), functions, known)
+
+    # Folders above a changed file may come and go; each is an origin of its own.
+    parts = F.split("path", "/", -1)
+    above = lambda df: df.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))).alias("path")).distinct()
+    holding = graph.cut(above(gone))
+    own = symbols.join(gone.select(F.col("path").alias("file_path")), "file_path", "left_semi")
+    contained = _edge(graph.structure(project, paths, own)[1], "src", "dst", "CONTAINS").join(holding, F.split_part("dst", F.lit("::"), F.lit(1)) == F.col("path"), "left_semi")
+    return [
+        (["CONTAINS"], contained, holding),
+        (["IMPORTS"], imports, importing),
+        (["CALLS"], calls, calling),
+        (["HTTP_ROUTE"], served, gone),
+        (["HTTP_CALLS"], linked, asking),
+        (["INHERITS", "IMPLEMENTS", "DECORATES"], derived, deriving),
+    ]
+
+
 def read_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What is found in the files, each read once, and the symbols among it (of equal names the one that ends first)."""
     found = graph.cut(findings(files))

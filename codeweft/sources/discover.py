@@ -84,6 +84,18 @@ def read_tree(spark: SparkSession, root: str, mode: str = "full") -> DataFrame:
     return read_listed(spark, root, kept)
 
 
+def sized(spark: SparkSession, root: str, paths: DataFrame) -> DataFrame:
+    """Those of the paths that are files below root, with their sizes; executors look."""
+    base = os.path.realpath(root)
+
+    def look(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            there = [(p, os.path.getsize(os.path.join(base, p))) for p in part["path"] if os.path.isfile(os.path.join(base, p))]
+            yield pd.DataFrame(there, columns=["path", "size"]).astype({"size": "int64"})
+
+    return paths.select("path").mapInPandas(look, "path string, size long")
+
+
 def read_listed(spark: SparkSession, root: str, listed: DataFrame) -> DataFrame:
     """Files (path, content, language, line_count) of the listed paths (path, language) below root, which executors read; texts
     that are not UTF-8 are left out."""

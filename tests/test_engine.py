@@ -400,6 +400,83 @@ def test_index_a_tree(spark, tmp_path):
     assert engine.list_projects() == ["p"] and engine.check_index_coverage("p", ["main.js", "none.js"])["percent"] == 50
 
 
+def _tree(folder):
+    """A tree whose files call, import, derive from and ask for each other."""
+    files = {
+        "tsconfig.json": '{"compilerOptions": {"baseUrl": ".", "paths": {"@lib/*": ["lib/*"]}}}',
+        "models.py": "class Base:\n    pass\n\n\nclass Child(Base):\n    pass\n\n\ndef make():\n    return build()\n",
+        "pkg/build.py": "def build():\n    return 1\n\n\ndef other():\n    return make()\n",
+        "pkg/deep/more.py": "from models import Base\n\n\nclass Third(Base):\n    def go(self):\n        return shared()\n",
+        "lib/util.js": "export function x() { return shared(); }\n",
+        "lib/two.js": "export function shared() { return 2; }\n",
+        "main.js": "import { x } from './lib/util';\nimport { y } from '@lib/late';\nfunction load() {\n  x();\n  return fetch('/users/42');\n}\n",
+        "server.py": "@app.get('/users/{id}')\ndef users(id):\n    return id\n\n\n@app.get('/items')\ndef items():\n    return users(1)\n",
+        "client.js": "function all() {\n  return fetch('/items');\n}\nfunction some() {\n  return fetch('/late/7');\n}\n",
+        **{f"many/m{k}.py": f"def f{k}():\n    return f{k + 1}()\n" for k in range(12)},
+    }
+    for path, content in files.items():
+        (folder / path).parent.mkdir(parents=True, exist_ok=True)
+        (folder / path).write_text(content)
+    return files
+
+
+def _tables(store):
+    names = ("files", "findings", "symbols", "edges", "members", "vectors", "postings")
+    return {n: sorted((tuple(map(str, r)) for r in store.read(n).collect())) for n in names}
+
+
+def test_an_update_is_a_full_index_of_what_it_leaves(spark, tmp_path):
+    """After each of several changes all tables equal those of a fresh index, while other files' texts and parts stay untouched."""
+    src = tmp_path / "src"
+    _tree(src)
+    engine = Engine(spark, str(tmp_path / "store"))
+    engine.index_repository(str(src), project="p")
+    one = engine.store("p")
+    one.insert_edges(spark.createDataFrame([("models.py::Function::make@L9", "kept", "RUNTIME_TRACE"), ("pkg/build.py::Function::build@L1", "gone", "RUNTIME_TRACE")], "src string, dst string, edge_type string"))
+    steps = [
+        ({"pkg/build.py": "\n\ndef build():\n    return 1\n", "lib/late.ts": "export function y() { return 3; }\n"}, ["lib/two.js"]),
+        ({"server.py": "@app.get('/late/{id}')\ndef late(id):\n    return id\n", "models.py": "class Other:\n    pass\n\n\ndef make():\n    return late()\n"}, ["many/m3.py", "lib/util.js"]),
+        ({"tsconfig.json": '{"compilerOptions": {"baseUrl": ".", "paths": {"@lib/*": ["pkg/*"]}}}', "lib/util.js": "export function shared() { return 5; }\n", "many/m4.py": ""}, ["pkg/deep/more.py"]),
+    ]
+    for changed, removed in steps:
+        before = one._manifest()[1]["tables"]
+        for path, content in changed.items():
+            (src / path).write_text(content)
+        for path in removed:
+            (src / path).unlink()
+        rows = [(p, c, discover_language(p)) for p, c in changed.items()]
+        told = engine.update_files("p", spark.createDataFrame(rows, "path string, content string, language string"), spark.createDataFrame([(p,) for p in removed], "path string"))
+        assert told["files"] == len(changed)
+        engine.index_repository(str(src), project="fresh")
+        got, want = _tables(one), _tables(engine.store("fresh"))
+        assert [e for e in got["edges"] if "RUNTIME_TRACE" in e] == [("models.py::Function::make@L9", "kept", "RUNTIME_TRACE", "None")] * (changed.get("models.py") is None and "models.py::Function::make@L9" in str(got["symbols"]))
+        got["edges"] = [e for e in got["edges"] if "RUNTIME_TRACE" not in e]
+        rename = lambda rows: sorted(tuple(c.replace("fresh::Project::fresh", "p::Project::p") for c in r) for r in rows)
+        for name in got:
+            assert got[name] == rename(want[name]), name
+        after = one._manifest()[1]["tables"]
+        touched = set(one.parts_of_files(spark.createDataFrame([(p,) for p in [*changed, *removed]], "path string")))
+        for name in ("files", "findings", "symbols", "postings"):
+            assert {k: v for k, v in before[name].items() if k not in touched} == {k: v for k, v in after[name].items() if k not in touched}
+    assert engine.update_files("p", spark.createDataFrame([], "path string, content string, language string"))["files"] == 0
+    assert one.get_meta("indexed_at") and one.get_meta("repo_path") == str(src)
+
+
+def discover_language(path):
+    return {"py": "python", "js": "javascript", "ts": "typescript", "json": "json"}[path.rsplit(".", 1)[1]]
+
+
+def test_one_of_two_writers_is_told(spark, tmp_path):
+    a, b = (Store(spark, str(tmp_path), "w") for _ in range(2))
+    a.set_meta("x", "1")
+    last, manifest = b._manifest()
+    a.set_meta("x", "2")
+    b._manifest = lambda writing=False: (last, manifest)
+    with pytest.raises(RuntimeError):
+        b.set_meta("x", "3")
+    assert a.get_meta("x") == "2"
+
+
 def test_discovery_rules(spark):
     files = spark.createDataFrame([("a.py", 1), ("yarn.lock", 1), ("tests/b.py", 1), ("dist/c.js", 1), ("d.png", 1), ("e.md", 1)], "path string, size long")
     paths = lambda mode: [r["path"] for r in discover.wanted(files, mode).collect()]
