@@ -983,6 +983,23 @@ def sql_dates(s, d):
     return sqlgate.query(s, asked, {"traces": A.table(s, d, "events")})
 
 
+# Functions of other dialects: the statement that the gate gets, and DuckDB's.
+_DIALECT = {
+    "sql_group_concat": ("SELECT label, CAST(length(group_concat(name, ' | ')) AS BIGINT) AS n, CAST(length(group_concat(DISTINCT label)) AS BIGINT) AS k, total(line_start) AS t FROM symbols GROUP BY label", "SELECT label, length(string_agg(name, ' | ')) AS n, length(label) AS k, sum(line_start)::DOUBLE AS t FROM symbols GROUP BY label"),
+    "sql_glob": ("SELECT qualified_name FROM symbols WHERE name GLOB '*r_*[13]?5' OR name GLOB 'part?[^0-8]'", "SELECT qualified_name FROM symbols WHERE name GLOB '*r_*[13]?5' OR regexp_full_match(name, 'part.[^0-8]')"),
+    "sql_replace": ("SELECT replace(edge_type, 'CALLS', 'calls it') AS kind, count(*) AS n FROM edges GROUP BY replace(edge_type, 'CALLS', 'calls it')", "SELECT replace(edge_type, 'CALLS', 'calls it') AS kind, count(*) AS n FROM edges GROUP BY ALL"),
+}
+for _key, (_text, _oracle) in _DIALECT.items():
+    query(_oracle, S, E, name=_key)(lambda s, d, q=_text: sqlgate.query(s, q, {"symbols": A.symbols(s, d), "edges": A.edges(s, d)}))
+_DIALECT_OF_TRACES = {
+    "sql_json_extract": ("SELECT json_extract(props, '$.k') AS k, count(*) AS n FROM traces GROUP BY json_extract(props, '$.k')", "SELECT json_extract_string(props, '$.k') AS k, count(*) AS n FROM events GROUP BY ALL"),
+    "sql_json_each": ("SELECT event_type, j.key AS key, sum(CAST(j.value AS BIGINT)) AS total FROM (SELECT event_type, '[' || event_id || ',' || user_id || ']' AS js FROM traces) e, json_each(e.js) j GROUP BY event_type, j.key", "SELECT event_type, 0 AS key, sum(event_id)::BIGINT AS total FROM events GROUP BY ALL UNION ALL SELECT event_type, 1, sum(user_id)::BIGINT FROM events GROUP BY ALL"),
+    "sql_strftime": ("SELECT strftime('%Y/%m at %H', ts) AS at, count(*) AS n, round(min(julianday(ts)), 6) AS j FROM traces GROUP BY strftime('%Y/%m at %H', ts)", "SELECT strftime(ts, '%Y/%m at %H') AS at, count(*) AS n, round(min(julian(ts)) - 0.5, 6) AS j FROM events GROUP BY ALL"),
+}
+for _key, (_text, _oracle) in _DIALECT_OF_TRACES.items():
+    query(_oracle, name=_key)(lambda s, d, q=_text: sqlgate.query(s, q, {"traces": A.table(s, d, "events")}))
+
+
 _WALK = "SELECT src AS q, 0 AS level FROM edges WHERE src = 'region::Region::1' AND edge_type = 'CONTAINS' UNION SELECT e.dst, w.level + 1 FROM walk w JOIN edges e ON e.src = w.q WHERE e.edge_type = 'CONTAINS' AND w.level < 2"
 
 

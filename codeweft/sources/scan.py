@@ -52,6 +52,7 @@ class Source:
         self.values: list[str] = []
         self.lines: list[int] = []
         self.last_lines: list[int] = []
+        self.spans: list[tuple[int, int]] = []
         for m in _lexer(language).finditer(text):
             kind, value = m.lastgroup, m.group()
             if kind == "skip":
@@ -61,6 +62,7 @@ class Source:
                 value = value[quote:-quote] if len(value) >= 2 * quote and value.endswith(value[:quote]) else value[quote:]
             self.kinds.append({"string": STRING, "name": NAME}.get(kind, MARK))
             self.values.append(value)
+            self.spans.append(m.span())
             self.lines.append(bisect_right(starts, m.start()))
             self.last_lines.append(bisect_right(starts, m.end() - 1))
         self.size = len(self.kinds)

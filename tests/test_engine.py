@@ -1,4 +1,5 @@
 import random
+import re
 import time
 
 import pytest
@@ -216,14 +217,48 @@ def test_sketches_are_those_of_plain_minhash(spark):
     assert got == want
 
 
+_PAST_THE_GATE = [
+    "SELECT ', secret as (' AS t, id FROM secret",
+    "SELECT * FROM (WITH secret2 AS (SELECT * FROM secret) SELECT * FROM secret2)",
+    "SELECT * FROM (WITH edges AS (SELECT * FROM secret) SELECT * FROM edges)",
+    "SELECT * FROM (WITH x AS (SELECT * FROM y), y AS (SELECT 1) SELECT * FROM x)",
+    "SELECT (SELECT max(id) FROM secret) AS m FROM edges",
+    "SELECT src FROM edges WHERE src IN (SELECT id FROM secret) OR EXISTS (SELECT 1 FROM secret)",
+    "SELECT sum(1) OVER (ORDER BY (SELECT max(id) FROM secret)) AS s FROM edges",
+    "SELECT * FROM edges, LATERAL (SELECT * FROM secret)",
+    "SELECT reflect('java.lang.System', 'getenv')",
+    "SELECT `reflect`('a', 'b')",
+    "SELECT /* x */ java_method('a', 'b')",
+    "SELECT src FROM edges LATERAL VIEW explode(array(reflect('a', 'b'))) t AS z",
+    "SELECT TRANSFORM(src) USING 'cat' AS (x) FROM edges",
+]
+
+
+def test_functions_of_other_dialects(spark):
+    edges = spark.createDataFrame([("a", "b", "[1,2]", "2024-03-01 12:00:00"), ("a", "c", '["x"]', "2024-03-02 00:00:00")], "src string, dst string, js string, t string")
+    cases = {
+        "SELECT group_concat(src, ';') AS g, group_concat(DISTINCT src) AS h, total(1) AS t FROM edges": [("a;a", "a", 2.0)],
+        "SELECT dst FROM edges WHERE dst GLOB '[bx]*' AND src GLOB '?'": [("b",)],
+        "SELECT replace(src, 'a', 'its') AS x FROM edges WHERE dst = 'b'": [("its",)],
+        "SELECT json_extract(js, '$[0]') AS x, strftime('%d.%m. T%H', t) AS d, julianday(t) AS j FROM edges": [("1", "01.03. T12", 2460371.0), ("x", "02.03. T00", 2460371.5)],
+        "SELECT e.dst, j.key, j.value FROM edges e, json_each(e.js) j": [("b", 0, "1"), ("b", 1, "2"), ("c", 0, "x")],
+        "SELECT dst FROM edges WHERE src GLOB 'a' AND js NOT GLOB '*]x' AND 'total(' <> dst AND dst GLOB 'c'": [("c",)],
+        "SELECT * FROM (WITH x AS (SELECT dst FROM edges), y AS (SELECT * FROM x) SELECT * FROM y)": [("b",), ("c",)],
+    }
+    for sql, rows in cases.items():
+        assert sorted(map(tuple, sqlgate.query(spark, sql, {"edges": edges}).collect())) == rows, sql
+    assert [bool(re.search(sqlgate.glob_pattern(p), x)) for p, x in (("a*", "a\nb"), ("[^a]", "a"), ("[]x]", "]"), ("a.b", "axb"), ("?", ""))] == [True, False, True, False, False]
+
+
 def test_sql_guard(spark):
+    spark.range(2).createOrReplaceTempView("secret")
     assert sqlgate.check(" SELECT 'UPDATE; x' AS x; ") == "SELECT 'UPDATE; x' AS x"
-    bad = ["DELETE FROM edges", "SELECT 1; SELECT 2", "WITH x AS (SELECT 1) SELECT * FROM x", "SELECT replace('a', 'b', 'c')", "SELECT reflect('java.lang.System', 'getenv')", "SELECT `reflect`('a', 'b')", "", "SELECT /* x */ java_method('a', 'b')"]
+    bad = ["DELETE FROM edges", "SELECT 1; SELECT 2", "WITH x AS (SELECT 1) SELECT * FROM x", "SELECT replace FROM edges", "", "REPLACE INTO edges SELECT 1"]
     for sql in bad:
         with pytest.raises(sqlgate.RejectedSQL):
             sqlgate.check(sql)
     edges = spark.createDataFrame([("a", "b")], "src string, dst string")
-    for sql in ("SELECT * FROM text.`/etc/hostname`", "SELECT * FROM range(3)", "SELECT (SELECT max(value) FROM text.`/etc/hostname`) FROM edges", "SELECT * FROM edges, other", "SELECT * FROM (SELECT * FROM json.`/etc`)"):
+    for sql in ("SELECT * FROM text.`/etc/hostname`", "SELECT * FROM range(3)", "SELECT (SELECT max(value) FROM text.`/etc/hostname`) FROM edges", "SELECT * FROM edges, other", "SELECT * FROM (SELECT * FROM json.`/etc`)", *_PAST_THE_GATE):
         with pytest.raises(sqlgate.RejectedSQL):
             sqlgate.query(spark, sql, {"edges": edges})
     spark.range(3).createOrReplaceTempView("edges")
