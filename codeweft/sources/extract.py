@@ -68,36 +68,59 @@ class Found:
 # --- declarations ------------------------------------------------------------------------------------------------------
 
 
-def _ruby_end(s: Source, k: int) -> int:
-    """The line of the `end` that closes the block opened at k."""
-    depth = 0
-    for at in range(k, s.size):
+def _ruby_ends(s: Source) -> dict[int, int]:
+    """The line of the `end` that closes each block, by the place of the word that opens it."""
+    found, open_at = {}, []
+    for at in range(s.size):
         if not s.named(at) or s.is_(at - 1, ".", ":"):
             continue
         word = s.values[at]
         if word in _ENDED or (word in _CONDITIONS and (s.first[at] or s.is_(at - 1, "="))):
-            depth += 1
-        elif word == "do" and not any(s.is_(x, "while", "until", "for") and s.lines[x] == s.lines[at] for x in range(max(k, at - 12), at)):
-            depth += 1
-        elif word == "end":
-            depth -= 1
-            if not depth:
-                return s.lines[at]
-    return s.lines[-1]
-
-
-def _end_line(s: Source, at: int) -> int:
-    """Where a declaration ends whose head goes on at `at`: with its block, its semicolon or its line."""
-    start = at
-    while at < s.size:
+            open_at.append(at)
+        elif word == "do" and not any(s.is_(x, "while", "until", "for") and s.lines[x] == s.lines[at] for x in range(max(0, at - 12), at)):
+            open_at.append(at)
+        elif word == "end" and open_at:
+            found[open_at.pop()] = s.lines[at]
+    return found
+
+
+class _Ends:
+    """Where declarations end: with their block, their semicolon or their line. Found from the last token to the first, so that
+    each is looked at once however many declarations there are."""
+
+    def __init__(self, s: Source) -> None:
+        self.s, by_line = s, s.language in ("kotlin", "swift", "go", "shell", *_JS)
+        self.after = [s.last_lines[-1] if s.size else 1] * (s.size + 2)
+        for at in range(s.size - 1, -1, -1):
+            line = self._at(at)
+            if line is None and by_line and s.first[at] and not s.is_(at, "=", ":", "where", ".") and not s.is_(at - 1, ",", "=", ":", "->", "=>", "("):
+                line = s.last_lines[at - 1]
+            self.after[at] = line if line is not None else self.after[self._next(at)]
+
+    def _at(self, at: int) -> int | None:
+        s = self.s
         if s.is_(at, "{"):
             return s.lines[s.partner.get(at, s.size - 1)]
-        if s.is_(at, ";"):
-            return s.lines[at]
-        if s.is_(at, "}") or (at > start and s.first[at] and s.language in ("kotlin", "swift", "go", "shell", *_JS) and not s.is_(at, "{", "=", ":", "where", ".") and not s.is_(at - 1, ",", "=", ":", "->", "=>", "(")):
-            return s.last_lines[at - 1]
-        at = s.partner[at] + 1 if s.is_(at, "(", "[") and at in s.partner else at + 1
-    return s.last_lines[-1] if s.size else 1
+        return s.lines[at] if s.is_(at, ";") else s.last_lines[at - 1] if s.is_(at, "}") else None
+
+    def _next(self, at: int) -> int:
+        return self.s.partner[at] + 1 if self.s.is_(at, "(", "[") and at in self.s.partner else at + 1
+
+    def line(self, at: int) -> int:
+        """The last line of a declaration whose head goes on at `at`."""
+        if at >= self.s.size:
+            return self.after[self.s.size]
+        line = self._at(at)
+        return line if line is not None else self.after[self._next(at)]
+
+
+def _heads(s: Source, joined: tuple[str, ...] = ()) -> list[int]:
+    """The first token of the run of words (and of the marks given) on a line that each token ends."""
+    out: list[int] = []
+    for k in range(s.size):
+        more = k and not s.first[k] and (s.named(k - 1) and (bool(joined) or s.values[k - 1] not in _STATEMENTS) or s.is_(k - 1, *joined))
+        out.append(out[-1] if more else k)
+    return out
 
 
 def _declared_name(s: Source, k: int) -> int:
@@ -134,13 +157,13 @@ def _bare_method(s: Source, k: int) -> int:
     """The place after the parameters if the name at k begins a method or function without a word before it, else 0."""
     if not s.is_(k + 1, "(") or k + 1 not in s.partner or s.values[k] in _STATEMENTS:
         return 0
-    after = s.partner[k + 1] + 1
+    after = params = s.partner[k + 1] + 1
     before_ok = s.named(k - 1) and s.values[k - 1] not in _STATEMENTS or s.is_(k - 1, ">", "]", "*", "&")
     if s.language in _JS:
         holder = s.inside[k]
         in_class = holder >= 0 and s.is_(holder, "{") and _opens_class(s, holder)
-        while s.is_(after, ":") or (after > s.partner[k + 1] + 1 and not s.is_(after, "{", ";", "}") and after < s.size):
-            after += 1  # a type after the parameters
+        if s.is_(after, ":"):  # a type after the parameters
+            after = s.next_breaks[params + 1]
         return after if in_class and s.is_(after, "{") and not s.is_(k - 1, ".", "=", "(") else 0
     if not before_ok:
         return 0
@@ -166,6 +189,8 @@ def _opens_class(s: Source, brace: int) -> bool:
 def _symbols(s: Source, found: Found) -> set[int]:
     """Add the symbols; returns the places of their names."""
     words, names = _WORDS.get(s.language, _GENERIC), set()
+    ends, heads, bare_heads = _Ends(s), _heads(s), _heads(s, ("<", ">", "[", "]", ",", "*", "&", "?", ".")) if s.language in _BARE else []
+    ruby_ends = _ruby_ends(s) if s.language == "ruby" else {}
     for k in range(s.size):
         if not s.named(k) or k in names:
             continue
@@ -177,18 +202,12 @@ def _symbols(s: Source, found: Found) -> set[int]:
             if at < 0 or at in names:
                 continue
             names.add(at)
-            head = k
-            while head and not s.first[head] and s.named(head - 1) and s.values[head - 1] not in _STATEMENTS:
-                head -= 1  # pub, export, async, static, ...
-            line = s.lines[head]
-            end = _ruby_end(s, k) if s.language == "ruby" else _end_line(s, at + 1)
+            line = s.lines[heads[k]]  # pub, export, async, static, ... stand before
+            end = ruby_ends.get(k, s.lines[-1]) if s.language == "ruby" else ends.line(at + 1)
             found.add("symbols", s.values[at], words[word], line, end, s.signature(line, end))
         elif s.language in _BARE and (after := _bare_method(s, k)):
             names.add(k)
-            head = k
-            while head and not s.first[head] and (s.named(head - 1) or s.is_(head - 1, "<", ">", "[", "]", ",", "*", "&", "?", ".")):
-                head -= 1
-            line, end = s.lines[head], _end_line(s, after)
+            line, end = s.lines[bare_heads[k]], ends.line(after)
             found.add("symbols", word, FUNCTION, line, end, s.signature(line, end))
         elif s.language == "shell" and s.first[k] and s.is_(k + 1, "(") and s.is_(k + 2, ")") and s.is_(k + 3, "{"):
             names.add(k)
@@ -231,7 +250,7 @@ def _imports(s: Source, found: Found) -> None:
         elif lang in _JS and word == "require" and s.is_(k + 1, "(") and s.string(k + 2):
             put(s.values[k + 2], "cjs", k)
         elif lang == "go" and word == "import" and first:
-            if s.is_(k + 1, "(") and k + 1 in s.partner:
+            if s.is_(k + 1, "(") and k + 1 in s.partner and s.inside[k] < 0:
                 for x in range(k + 2, s.partner[k + 1]):
                     if s.string(x):
                         put(s.values[x], "import_block", x)
@@ -329,9 +348,7 @@ def _web(s: Source, found: Found) -> None:
         if at < 0 or not s.values[at]:
             continue
         if route:
-            start = k
-            while not s.first[start] and s.language in ("python", "java", "kotlin"):
-                start -= 1
+            start = s.line_starts[k] if s.language in ("python", "java", "kotlin") else k
             found.add("routes", s.values[at], route, s.lines[start])
         if client:
             found.add("clients", s.values[at], client, s.lines[k])
@@ -358,6 +375,8 @@ def _bases(s: Source, found: Found) -> None:
                 mark = False
             if s.first[at] and lang in ("ruby", "swift", "kotlin") and not s.is_(at - 1, ",", ":", "<"):
                 break
+            if s.is_(at, "impl") if lang == "rust" else s.is_(at, "class", "interface", "struct", "object") and s.named(at + 1):
+                break  # the next declaration
             at += 1
         return out, at
 
@@ -443,7 +462,7 @@ def read(text: str, language: str) -> Found:
     if language == "python":
         try:
             _python(s, ast.parse(text), found)
-        except (SyntaxError, ValueError, RecursionError):
+        except (SyntaxError, ValueError, RecursionError, MemoryError):
             found = Found()
             _calls(s, found, _broken_python(s, found))
     else:

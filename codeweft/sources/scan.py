@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from functools import cache
+from functools import cache, cached_property
 
 NAME, STRING, MARK = "n", "s", "p"
 #: How comments begin and which quotes make strings. A string in single or double quotes ends with its line at the latest.
@@ -94,18 +94,40 @@ class Source:
     def string(self, k: int) -> bool:
         return 0 <= k < self.size and self.kinds[k] == STRING
 
+    @cached_property
+    def angles(self) -> dict[int, int]:
+        """Which > closes each <, as far as one does."""
+        found, open_at = {}, []
+        for k in range(self.size):
+            if self.is_(k, "<"):
+                open_at.append(k)
+            elif self.is_(k, ">") and open_at:
+                found[open_at.pop()] = k
+        return found
+
+    @cached_property
+    def line_starts(self) -> list[int]:
+        """The last token at or before each one that is the first of its line."""
+        out = []
+        for k in range(self.size):
+            out.append(k if self.first[k] else out[-1])
+        return out
+
+    @cached_property
+    def next_breaks(self) -> list[int]:
+        """The first brace or semicolon at or after each token; the size if there is none."""
+        out = [self.size] * (self.size + 2)
+        for k in range(self.size - 1, -1, -1):
+            out[k] = k if self.is_(k, "{", ";", "}") else out[k + 1]
+        return out
+
     def past(self, k: int, left: str, right: str) -> int:
-        """The place after a bracketed run that begins at k, such as <...>; k itself if none does."""
+        """The place after a bracketed run that begins at k, such as <...> of up to 200 tokens; k itself if none does."""
         if not self.is_(k, left):
             return k
-        if k in self.partner:
-            return self.partner[k] + 1
-        depth = 0
-        for at in range(k, min(self.size, k + 200)):
-            depth += self.is_(at, left) - self.is_(at, right)
-            if not depth:
-                return at + 1
-        return k
+        if left == "<":
+            return self.angles[k] + 1 if self.angles.get(k, k + 200) < k + 200 else k
+        return self.partner[k] + 1 if k in self.partner else k
 
     def dotted(self, k: int, *marks: str) -> tuple[str, int]:
         """Names joined by the given marks from k on, and the place after them."""
@@ -124,11 +146,14 @@ class Source:
         that does or that completes the declaration."""
         if not 0 < start <= len(self.rows):
             return ""
-        told = self.rows[start - 1].rstrip("\r")
-        if "{" in told or len(told) > 200:
+        told = self.rows[start - 1]
+        if len(told) > 200:
             return told[:200]
+        told = told.rstrip("\r")
+        if "{" in told:
+            return told
         for row in self.rows[start : min(end, start + 5)]:
-            told += " " + row.strip()
+            told += " " + row[:400].strip()
             if "{" in told or (":" in told and ("->" in told or told.endswith(":"))):
                 break
         return told[:300]

@@ -297,6 +297,17 @@ def test_extraction(language):
     assert {(x[0], x[4], x[1]) for x in found.bases} == bases
 
 
+@pytest.mark.parametrize("language", ["rust", "go", "java", "javascript", "typescript", "c", "cpp", "csharp", "kotlin", "swift", "ruby", "php", "shell", "python", "lua"])
+def test_extraction_takes_linear_time(language):
+    """Of any repeated piece a text twice as long takes about twice the time."""
+    pieces = ["impl <", "fun a(x: Int) ", "def a\n", "class A extends B ", "class A : B ", "a() ", "fn a ", "function f() ", "pub ", "import (\n", "x a() : y ", "type T struct ", "do ", "@a ", "{", "(", "<", "def f(:\n  ", "export class A { a(): b ", "struct S\n", "object X : object ", "app.get('/x') "]
+    for piece in pieces:
+        text = piece * (40_000 // len(piece))
+        began = time.process_time()
+        read(text, language)
+        assert time.process_time() - began < 1.5, piece
+
+
 def test_extraction_of_routes_and_odd_files():
     web = lambda text, language: [(x[0], x[1], x[2]) for k in ("routes", "clients") for x in getattr(read(text, language), k)]
     assert web("@app.get('/u/{id}')\ndef u(id):\n    requests.post('http://h/x')\n", "python") == [("/u/{id}", "decorator", 1), ("http://h/x", "requests", 3)]
