@@ -42,8 +42,9 @@ class Engine:
         edges = graph.cut(graph.first_by(edges, ["src", "dst", "edge_type"], ["properties"]))
         members, vectors = self._statistics(symbols, edges)
         size = files.agg(F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).alias("n")).first()["n"]
-        buckets = max(BUCKETS, min(4096, size // PART_BYTES))
-        store.replace(buckets, files=files, findings=found, symbols=symbols, edges=edges, members=members, vectors=vectors, postings=text.postings(files))
+        buckets = max(BUCKETS, min(text.N_BLOCKS, 1 << (int(size) // PART_BYTES).bit_length()))
+        words = graph.cut(text.postings(files))
+        store.replace(buckets, files=files, findings=found, symbols=symbols, edges=edges, members=members, vectors=vectors, postings=words, blocks=text.word_blocks(words))
         self._mark(store, path, head)
         return {"project": store.project, "files": files.count(), "symbols": symbols.count(), "edges": edges.count()}
 
@@ -93,7 +94,7 @@ class Engine:
             store.rows_of_files("files", lined, gone),
             store.rows_of_files("findings", fresh, gone),
             store.rows_of_files("symbols", fresh_symbols.withColumn("properties", F.lit(None).cast("string")), gone),
-            store.rows_of_files("postings", text.postings(lined), gone),
+            *store.words_of_files(graph.cut(text.postings(lined)), gone),
         ]
         away = gone.select(F.col("path").alias("file_path"))
         found = store.read("findings").join(away, "file_path", "left_anti").unionByName(fresh)
@@ -156,7 +157,20 @@ class Engine:
         return row["x"] if row else ""
 
     def search_code(self, project: str, pattern: str, limit: int = 20) -> DataFrame:
-        return text.search_code(self.store(project).read("files"), pattern, limit)
+        """Files with the words of the pattern in a row, by the inverted index; texts are read of the files shown only. Where there is
+        none, files that hold the pattern as it is written."""
+        s = self.store(project)
+        if not pattern or limit <= 0:
+            return text.previews(s.read("files").limit(0), pattern or "")
+        found = graph.cut(text.indexed_phrase(s.read("postings"), pattern).orderBy("path").limit(limit))  # at most `limit` rows
+        if found.isEmpty():
+            return text.scan_search(s.read("files"), pattern, limit)
+        return text.previews(s.read("files", s.parts_of_files(found)).join(F.broadcast(found), "path", "left_semi"), pattern)
+
+    def rank_code(self, project: str, query: str, limit: int = 20) -> DataFrame:
+        """Rows (path, score): the files that fit the words of a query best, from the inverted index alone."""
+        s = self.store(project)
+        return text.ranked(s.read("postings"), s.read("blocks"), query, limit)
 
     def get_graph_schema(self, project: str) -> list[str]:
         return [r[0] for r in self.store(project).read("edges").select("edge_type").distinct().orderBy("edge_type").collect()]
@@ -175,7 +189,7 @@ class Engine:
 
     def query_graph(self, project: str, sql: str) -> DataFrame:
         s = self.store(project)
-        return sqlgate.query(self.spark, sql, {"symbols": s.symbols_in_communities()} | {n: s.read(n) for n in ("edges", "files", "vectors", "meta")})
+        return sqlgate.query(self.spark, sql, {"symbols": s.symbols_in_communities(), "files_fts": s.read("files")} | {n: s.read(n) for n in ("edges", "files", "vectors", "meta")}, s.read("postings"))
 
     def list_projects(self) -> list[str]:
         return projects(self.spark, self.root)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame, Window
@@ -39,6 +40,11 @@ def scan_search(files: DataFrame, pattern: str, limit: int | None = 20) -> DataF
     return _hit(found if limit is None else found.orderBy("path").limit(limit), pattern)
 
 
+def previews(files: DataFrame, pattern: str) -> DataFrame:
+    """Rows (path, line_number, preview) of these files for a pattern that was found in them."""
+    return _hit(files, pattern)
+
+
 def search_code(files: DataFrame, pattern: str, limit: int = 20) -> DataFrame:
     """Phrase search, and where it finds nothing the scan."""
     if not pattern or limit <= 0:
@@ -47,13 +53,36 @@ def search_code(files: DataFrame, pattern: str, limit: int = 20) -> DataFrame:
     return scan_search(files, pattern, limit) if found.isEmpty() else found
 
 
+#: Blocks that files fall into by the hash of their path; a project's parts are runs of them.
+N_BLOCKS = 4_096
+
+
 def postings(files: DataFrame) -> DataFrame:
-    """Rows (word, path, places): the inverted index of contents and paths. Places count from 0; those of the path are negative."""
+    """Rows (word, path, places, tf, length, block): the inverted index of contents and paths.
+
+    Places count from 0; those of the path are negative. tf: how many there are; length: words of the file, path among them. The
+    row of the empty word is the file itself.
+    """
     words = lambda c: F.filter(F.split(F.trim(F.regexp_replace(F.lower(F.col(c)), r"[^\p{L}\p{N}]+", " ")), " "), lambda w: w != "")
-    inside = files.select("path", F.posexplode(words("content")).alias("at", "word"))
-    named = files.select("path", words("path").alias("ws")).select("path", F.posexplode("ws").alias("at", "word"), F.size("ws").alias("n"))
-    both = inside.unionByName(named.select("path", (F.col("at") - F.col("n") - 1).alias("at"), "word"))
-    return both.groupBy("word", "path").agg(F.sort_array(F.collect_list("at")).alias("places"))
+    split = files.select("path", F.coalesce(words("content"), F.array().cast("array<string>")).alias("inside"), words("path").alias("named"))
+    split = split.withColumns({"length": F.size("inside") + F.size("named"), "block": F.pmod(F.xxhash64("path"), F.lit(N_BLOCKS)).cast("int")})
+    keys = ["path", "length", "block"]
+    inside = split.select(*keys, F.posexplode("inside").alias("at", "word"))
+    named = split.select(*keys, F.posexplode("named").alias("at", "word"), F.size("named").alias("n"))
+    both = inside.unionByName(named.select(*keys, (F.col("at") - F.col("n") - 1).alias("at"), "word"))
+    found = both.groupBy("word", *keys).agg(F.sort_array(F.collect_list("at")).alias("places"))
+    rows = found.select("word", "path", "places", F.size("places").alias("tf"), "length", "block")
+    return rows.unionByName(split.select(F.lit("").alias("word"), "path", F.lit(None).cast("array<int>").alias("places"), F.lit(0).alias("tf"), "length", "block"))
+
+
+def word_blocks(index: DataFrame) -> DataFrame:
+    """Rows (word, block, files, most, least): of the files of a block that have a word, their number, the most occurrences and the
+    fewest words. From these follows how well a file of the block can fit at best."""
+    return index.where("word <> ''").groupBy("word", "block").agg(F.count(F.lit(1)).alias("files"), F.max("tf").alias("most"), F.min("length").alias("least"))
+
+
+def _words(pattern: str) -> list[str]:
+    return re.findall(r"[^\W_]+", pattern.lower())
 
 
 def indexed_phrase(index: DataFrame, pattern: str) -> DataFrame:
@@ -62,14 +91,83 @@ def indexed_phrase(index: DataFrame, pattern: str) -> DataFrame:
     Only the postings of the pattern's words are read; a file's places are shifted by the word's place in the pattern, and a
     place that all words share is an occurrence.
     """
-    words = re.findall(r"[^\W_]+", pattern.lower())
+    words = _words(pattern)
     if not words:
         return index.select("path").limit(0)
     shifts = index.sparkSession.createDataFrame([(w, k) for k, w in enumerate(words)], "word string, shift int")
-    met = index.join(F.broadcast(shifts), "word").select("path", "shift", F.explode("places").alias("p")).withColumn("start", F.col("p") - F.col("shift"))
+    known = index.where(F.col("word").isin(*words)).select("word", "path", "places")
+    met = known.join(F.broadcast(shifts), "word").select("path", "shift", F.explode("places").alias("p")).withColumn("start", F.col("p") - F.col("shift"))
     return met.where((F.col("p") >= 0) == (F.col("start") >= 0)).groupBy("path", "start").agg(F.countDistinct("shift").alias("n")).where(F.col("n") == len(words)).select("path").distinct()
 
 
+def matching(index: DataFrame, query: str) -> DataFrame:
+    """Rows (path) of the files that fit a full-text query, from the inverted index alone.
+
+    Terms are words, "phrases" and beginnings*; all of them have to fit, none after NOT may, and OR parts alternatives.
+    """
+    out = None
+    for group in re.split(r"\s+OR\s+", query.strip()):
+        found, refused, no = None, [], False
+        for term in re.findall(r'"[^"]*"\*?|\S+', group):
+            if term in ("AND", "NOT"):
+                no = term == "NOT"
+                continue
+            words = _words(term)
+            if len(words) == 1 and term.rstrip('"').endswith("*"):
+                paths = index.where(F.col("word").startswith(words[0])).select("path").distinct()
+            else:
+                paths = indexed_phrase(index, term)
+            if no:
+                refused.append(paths)
+            else:
+                found = paths if found is None else found.join(paths, "path", "left_semi")
+            no = False
+        if found is None:  # nothing is asked for
+            found = index.select("path").limit(0)
+        for paths in refused:
+            found = found.join(paths, "path", "left_anti")
+        out = found if out is None else out.unionByName(found)
+    return out.distinct()
+
+
+def ranked(index: DataFrame, blocks: DataFrame, query: str, limit: int = 20, k1: float = 1.2, b: float = 0.75, told: dict[str, int] | None = None) -> DataFrame:
+    """Rows (path, score), best first: the files that fit the words of a query best by bm25, ties by path; from the index alone.
+
+    The blocks of the highest bounds are scored first; blocks whose bound lies under the last score of these are not read. told, if
+    given, gets the number of blocks that hold a word (blocks) and of those scored (scored).
+    """
+    spark, words = index.sparkSession, sorted(set(_words(query)))
+    if not words or limit <= 0:
+        return spark.createDataFrame([], "path string, score double")
+    size = index.where("word = ''").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).first()
+    met = cut(blocks.where(F.col("word").isin(*words)))  # at most N_BLOCKS rows for each word of the query
+    counts = {r["word"]: r["n"] for r in met.groupBy("word").agg(F.sum("files").alias("n")).collect()}
+    weight = {w: max(1e-6, math.log((size["n"] - n + 0.5) / (n + 0.5))) for w, n in counts.items()}
+    if not weight:
+        return spark.createDataFrame([], "path string, score double")
+    by_word = F.create_map(*[F.lit(x) for pair in weight.items() for x in pair])
+    fit = lambda tf, length: by_word[F.col("word")] * F.col(tf) * (k1 + 1) / (F.col(tf) + k1 * (1 - b + b * F.col(length) / F.lit(float(size["mean"] or 1))))
+    bounds = met.groupBy("block").agg(F.sum(fit("most", "least")).alias("bound"), F.max("files").alias("files")).collect()
+    bounds.sort(key=lambda r: (-r["bound"], r["block"]))
+
+    def best(chosen: list[int]) -> DataFrame:
+        rows = index.where(F.col("word").isin(*words) & F.col("block").isin(*chosen)).select("word", "path", "tf", "length")
+        return rows.groupBy("path").agg(F.sum(fit("tf", "length")).alias("score")).orderBy(F.desc("score"), "path").limit(limit)
+
+    first, files = [], 0
+    while len(first) < len(bounds) and files < 2 * limit:
+        files += bounds[len(first)]["files"]
+        first.append(bounds[len(first)]["block"])
+    found = cut(best(first))  # at most `limit` rows
+    scores = sorted((r["score"] for r in found.collect()), reverse=True)
+    least = scores[limit - 1] if len(scores) >= limit else 0.0
+    more = [r["block"] for r in bounds[len(first) :] if r["bound"] >= least * (1 - 1e-9)]
+    if told is not None:
+        told |= {"blocks": len(bounds), "scored": len(first) + len(more)}
+    both = found.unionByName(best(more)) if more else found
+    return both.orderBy(F.desc("score"), "path").limit(limit)
+
+
 def snippet(content: Column, start: Column, end: Column) -> Column:
     """Lines start to end; all of the text if the range is empty."""
     rows = lines(content)

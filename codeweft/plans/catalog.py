@@ -575,6 +575,26 @@ def indexed_phrase(s, d):
     return text.indexed_phrase(graph.cut(text.postings(A.files(s, d))), "of the")
 
 
+# Best by bm25, from postings and bounds of blocks.
+_BM25 = r"""w AS (SELECT path, list_filter(string_split(trim(regexp_replace(lower(path), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' '), lambda x: x <> '') || list_filter(string_split(trim(regexp_replace(lower(content), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' '), lambda x: x <> '') AS ws FROM files),
+    n AS (SELECT count(*) AS n, avg(len(ws)) AS mean FROM w),
+    t AS (SELECT path, len(ws) AS length, q, len(list_filter(ws, lambda x: x = q)) AS tf FROM w, (SELECT unnest(['the', 'thand', 'wherees']) AS q)),
+    i AS (SELECT q, greatest(1e-6, ln((any_value(n) - count(*) + 0.5) / (count(*) + 0.5))) AS weight FROM t, n WHERE tf > 0 GROUP BY q)
+    SELECT path, round(sum(weight * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 8) AS score FROM t JOIN i USING (q), n WHERE tf > 0 GROUP BY path ORDER BY sum(weight * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))) DESC, path LIMIT 50"""
+
+
+@query(_BM25.replace("\\\\", "\\"), FILES)
+def ranked_search(s, d):
+    index = graph.cut(text.postings(A.files(s, d)))
+    return text.ranked(index, text.word_blocks(index), "the thand wherees", 50).withColumn("score", F.round("score", 8))
+
+
+@query(_PHRASE.partition(", h AS")[0].replace("found AS", "a AS") + f", b AS (SELECT path FROM files WHERE regexp_matches({_FOLD.format('content')}, ' thand[^ ]* ') OR regexp_matches({_FOLD.format('path')}, ' thand[^ ]* ')) SELECT path, line_count FROM files WHERE path IN (SELECT path FROM a) AND path NOT IN (SELECT path FROM b)", FILES)
+def sql_match(s, d):
+    files = A.files(s, d)
+    return sqlgate.query(s, """SELECT path, line_count FROM files_fts WHERE files_fts MATCH '"of the" NOT thand*'""", {"files_fts": files}, graph.cut(text.postings(files)))
+
+
 @query("found AS (SELECT * FROM files WHERE len(list_filter(string_split(content, chr(10)), lambda x: contains(x, 'thand'))) > 0), " + _HIT.format(p="thand"), FILES)
 def scan_substring(s, d):
     return text.scan_search(A.files(s, d), "thand", None)

@@ -22,10 +22,10 @@ from codeweft.operators.graph import cut, first_by
 
 _TABLES = {
     "symbols": schema.SYMBOLS, "edges": schema.EDGES, "files": schema.FILES, "vectors": schema.VECTORS, "meta": schema.META,
-    "sessions": schema.SESSIONS, "chunks": schema.CHUNKS, "jobs": schema.JOBS, "postings": schema.POSTINGS, "findings": schema.FINDINGS, "members": schema.MEMBERS,
+    "sessions": schema.SESSIONS, "chunks": schema.CHUNKS, "jobs": schema.JOBS, "postings": schema.POSTINGS, "findings": schema.FINDINGS, "members": schema.MEMBERS, "blocks": schema.BLOCKS,
 }
 _POINTER = "current-"
-#: Parts that a project's files are dealt to unless it says otherwise; seconds that a writer waits for another one's pointer.
+#: Parts that a project's files are dealt to unless it says otherwise (a power of two); seconds that a writer waits for another one's pointer.
 BUCKETS, PATIENCE = 16, 5.0
 
 
@@ -147,6 +147,8 @@ class Store:
             return F.concat(F.regexp_replace("edge_type", "[^A-Za-z0-9_]", "_"), F.lit("-"), Store.bucket(edge_origin(), buckets))
         if name == "chunks":
             return F.col("session")
+        if name == "blocks":
+            return F.pmod(F.col("block"), F.lit(buckets)).cast("string")  # runs of blocks are those of the paths' own hashes
         return F.lit("all") if file is None else Store.bucket(F.coalesce(file, F.lit("")), buckets)
 
     def parts_of(self, name: str, rows: DataFrame) -> list[str]:
@@ -222,12 +224,18 @@ class Store:
         """Replace these files' rows and their postings in the inverted index; parts of other files are not touched."""
         lined = cut(files)
         gone = lined.select("path")
-        self.commit([self.rows_of_files("files", lined.select(*[f.name for f in schema.FILES]), gone), self.rows_of_files("postings", text.postings(lined), gone)])
+        self.commit([self.rows_of_files("files", lined.select(*[f.name for f in schema.FILES]), gone), *self.words_of_files(text.postings(lined), gone)])
+
+    def words_of_files(self, rows: DataFrame, paths: DataFrame) -> list[tuple[str, DataFrame, list[str]]]:
+        """The changes after which the postings of these files (path) are these rows; bounds of blocks follow."""
+        name, new, touched = self.rows_of_files("postings", rows, paths)
+        return [(name, new, touched), ("blocks", text.word_blocks(new), touched)]
 
     def delete_files(self, paths: DataFrame) -> None:
         """Drop files, their findings, symbols, vectors and postings, and the edges that touch those symbols."""
         paths = cut(paths.select("path").distinct())
-        changes = [self.rows_of_files(n, self.read(n).limit(0), paths) for n in ("files", "findings", "postings", "symbols")]
+        changes = [self.rows_of_files(n, self.read(n).limit(0), paths) for n in ("files", "findings", "symbols")]
+        changes += self.words_of_files(self.read("postings").limit(0), paths)
         known = self.read("symbols", None if self._manifest()[1]["loose"] else self.parts_of_files(paths))
         gone = cut(known.join(paths.select(F.col("path").alias("file_path")), "file_path", "left_semi").select("qualified_name"))
         vectors = self.parts_of("vectors", gone)

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 import time
@@ -366,6 +367,33 @@ def test_postings_find_phrases(spark):
         assert {r["path"] for r in text.indexed_phrase(index, phrase).collect()} == {r["path"] for r in text.phrase_search(files, phrase, None).collect()}, phrase
 
 
+def test_ranking_reads_few_blocks_and_is_that_of_all_files(spark):
+    rng = random.Random(7)
+    words = [f"w{k}" for k in range(60)]
+    rows = [(f"d{i % 9}/f{i}.py", " ".join(rng.choices(words, weights=[1 / (k + 1) for k in range(60)], k=rng.randint(0, 60))), "python", 1) for i in range(500)]
+    rows += [(f"hot{i}.py", "w59 w58 " * 20, "python", 1) for i in range(12)] + [("none.py", None, "python", 1)]
+    files = spark.createDataFrame(rows, "path string, content string, language string, line_count long")
+    index = graph.cut(text.postings(files))
+    bags = {p: re.findall(r"[^\W_]+", (p + " " + (c or "")).lower()) for p, c, _, _ in rows}
+    mean = sum(map(len, bags.values())) / len(bags)
+    for query, limit in (("w59 w58", 10), ("w0 w3", 7), ("W5, hot3", 5), ("nowhere", 3), ("w59", 600)):
+        asked = set(re.findall(r"[^\W_]+", query.lower()))
+        n = {w: sum(w in b for b in bags.values()) for w in asked}
+        idf = {w: max(1e-6, math.log((len(bags) - n[w] + 0.5) / (n[w] + 0.5))) for w in asked if n[w]}
+        want = [(p, sum(i * b.count(w) * 2.2 / (b.count(w) + 1.2 * (0.25 + 0.75 * len(b) / mean)) for w, i in idf.items() if w in b)) for p, b in bags.items() if asked & set(b)]
+        want = sorted(want, key=lambda r: (-round(r[1], 9), r[0]))[:limit]
+        told = {}
+        got = [(r["path"], r["score"]) for r in text.ranked(index, text.word_blocks(index), query, limit, told=told).collect()]
+        assert [p for p, _ in got] == [p for p, _ in want] and all(abs(x - y) < 1e-9 for (_, x), (_, y) in zip(got, want, strict=True))
+        if query == "w59 w58":
+            assert told["scored"] < told["blocks"] / 2
+    found = lambda q: {r["path"] for r in text.matching(index, q).collect()}
+    has = lambda p, w: w in bags[p]
+    assert found("w50 w10") == {p for p in bags if has(p, "w50") and has(p, "w10")}
+    assert found("w50 NOT w0 OR w51") == {p for p in bags if (has(p, "w50") and not has(p, "w0")) or has(p, "w51")}
+    assert found('"w59 w58" AND hot*') == {f"hot{i}.py" for i in range(12)} and found("") == found("NOT w1") == set()
+
+
 def test_changes_jobs_and_numbers(spark):
     from codeweft.streaming.traces import job_states, may_start
 
@@ -434,6 +462,10 @@ def test_index_a_tree(spark, tmp_path):
     walked = engine.trace_path("p", "models.py::Function::make@L9", "out", 2)
     assert [r["level"] for r in walked["nodes"].orderBy("level").collect()] == [0, 1] and [r["edge_type"] for r in walked["trace_edges"].collect()] == ["CALLS"]
     assert engine.semantic_search("p", "build").first()["name"] == "build" and engine.find_symbols(["models.py::Function::make@L9"]).first()["project"] == "p"
+    hit = engine.search_code("p", "return build").first()
+    assert (hit["path"], hit["line_number"]) == ("models.py", 10) and engine.search_code("p", "uild()").first()["path"] == "models.py" and engine.search_code("p", "").count() == 0
+    assert engine.rank_code("p", "users id").first()["path"] == "server.py"
+    assert [r["path"] for r in engine.query_graph("p", "SELECT path FROM files_fts WHERE files_fts MATCH 'fetch us*'").collect()] == ["main.js"]
     session = engine.rlm_scan("p")["session"]
     assert engine.rlm_session_list("p").count() == 1 and engine.rlm_peek("p", session, "build").count() == 1 and engine.rlm_chunk("p", session).count() == 3
     assert engine.rlm_read_symbol("p", "models.py::Function::make@L9")["symbol"].first()["snippet"].startswith("def make")
