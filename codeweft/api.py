@@ -134,11 +134,11 @@ class Engine:
         return search.search_page(s.read("symbols"), s.read("edges"), search.SearchFilter(**conditions))
 
     def trace_path(self, project: str, start: str, direction: str = "both", depth: int = 3) -> dict[str, DataFrame]:
-        """nodes (qualified_name, level) and trace_edges, those met on the way."""
+        """nodes (qualified_name, level, place in order of discovery) and trace_edges, those met on the way."""
         s = self.store(project)
         if s.read("symbols").where(F.col("qualified_name") == start).isEmpty():
             raise KeyError(start)
-        nodes = graph.trace(s.read("symbols"), s.read("edges"), start, direction, depth)
+        nodes = graph.discovery(s.read("symbols"), s.read("edges"), start, direction, depth)
         return {"nodes": nodes, "trace_edges": graph.trace_edges(s.read("edges"), nodes, direction, depth)}
 
     def semantic_search(self, project: str, query: str, limit: int = 20) -> DataFrame:

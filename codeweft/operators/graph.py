@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -57,6 +58,33 @@ def trace(symbols: DataFrame, edges: DataFrame, start: str, direction: str = "bo
     return seen
 
 
+def discovery(symbols: DataFrame, edges: DataFrame, start: str, direction: str = "both", depth: int = 3) -> DataFrame:
+    """trace() with place, the number in order of discovery: by the place of the node that a symbol is first met from, edges out of
+    it before edges into it, then by name."""
+    ways = []
+    if direction not in ("in", "inbound"):
+        ways.append(edges.select(F.col("src").alias("at"), F.col("dst").alias("qualified_name"), F.lit(0).alias("way")))
+    if direction not in ("out", "outbound"):
+        ways.append(edges.select(F.col("dst").alias("at"), F.col("src").alias("qualified_name"), F.lit(1).alias("way")))
+    step = ways[0] if len(ways) == 1 else ways[0].unionByName(ways[1])
+    step = cut(step.distinct()) if depth > 1 else step
+    known = symbols.select("qualified_name")
+    first = known.where(F.col("qualified_name") == start).distinct()
+    seen = frontier = cut(first.select("qualified_name", F.lit(0).alias("level"), F.lit(0).cast("long").alias("place")))
+    count = seen.count()
+    for level in range(1, depth + 1):
+        met = step.join(frontier.select(F.col("qualified_name").alias("at"), F.col("place").alias("parent")), "at")
+        ahead = met.groupBy("qualified_name").agg(F.min(F.struct("parent", "way")).alias("from"))
+        new = ahead.join(seen, "qualified_name", "left_anti").join(known, "qualified_name", "left_semi")
+        ordered = numbered(new.select("qualified_name", F.struct("from.parent", "from.way", "qualified_name").alias("key")), "key", "k")
+        frontier = cut(ordered.select("qualified_name", F.lit(level).alias("level"), (F.col("k") + count).alias("place")))
+        more = frontier.count()
+        if not more:
+            break
+        seen, count = seen.unionByName(frontier), count + more
+    return seen
+
+
 def trace_edges(edges: DataFrame, nodes: DataFrame, direction: str, depth: int) -> DataFrame:
     """Edges met when the nodes below `depth` are searched from; in both directions an inner edge is met twice."""
     inner = nodes.where(F.col("level") < depth).select("qualified_name")
@@ -65,23 +93,59 @@ def trace_edges(edges: DataFrame, nodes: DataFrame, direction: str, depth: int)
     return out if direction in ("out", "outbound") else into if direction in ("in", "inbound") else out.unionByName(into)
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+#: Links that one task finishes at most; parts that the rows of a hub are dealt to.
+FINISH, PARTS = 500_000, 16
+
+
+def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest number that each of n nodes is linked with, over links a - b."""
+    root = np.arange(n)
+    while len(a):
+        x, y = root[a], root[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root != root[root]).any():
+            root = root[root]
+    return root
+
+
+def _to_one(rows: DataFrame, one: DataFrame, key: str, spread: str) -> DataFrame:
+    """Join rows to the one row of their key, which an aggregate made. A hub's rows are dealt by `spread` too."""
+    dealt = rows.withColumn("__part", F.pmod(F.xxhash64(spread), F.lit(PARTS)).cast("int"))
+    return dealt.join(one.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))), [key, "__part"]).drop("__part")
+
+
+def connected_components(nodes: DataFrame, edges: DataFrame, finish: int = FINISH) -> DataFrame:
     """Rows (qualified_name, root): root is the smallest name of the component; edges with an end outside are left out.
 
-    Large and small stars in turn: grouped minima and joins only, in a number of rounds that grows with the logarithm.
+    Large and small stars in turn, grouped minima and joins only, in a number of rounds that grows with the logarithm. Links come
+    ever nearer to stars and fewer by that; the last `finish` of them, a bounded number, are worked off in one task.
     """
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        hung = both.join(least, "a").where("b > a" if large else "b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        hung = _to_one(both, least, "a", "b").where("b > a" if large else "b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         hung = hung if large else hung.unionByName(least.select("a", F.col("m").alias("b")))
         return hung.where("a <> b").distinct()
 
+    def work_off(part: pd.DataFrame) -> pd.DataFrame:
+        names, codes = np.unique(part[["a", "b"]].to_numpy().astype(str).ravel(), return_inverse=True)
+        codes = codes.reshape(-1, 2)
+        order = np.argsort(np.array([n.encode() for n in names], dtype=object), kind="stable")  # as Spark orders strings
+        place = np.empty(len(names), dtype=np.int64)
+        place[order] = np.arange(len(names))
+        root = _roots(place[codes[:, 0]], place[codes[:, 1]], len(names))
+        return pd.DataFrame({"a": names[order], "b": names[order][root]})
+
     names = nodes.select("qualified_name")
     inside = edges.join(names, F.col("src") == F.col("qualified_name"), "left_semi").join(names, F.col("dst") == F.col("qualified_name"), "left_semi")
-    links, told = cut(inside.where("src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct()), None
+    links, told = cut(inside.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()), None
     while (new := links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()) != told and new[0]:
+        if new[0] <= finish:
+            links = links.groupBy().applyInPandas(work_off, "a string, b string")  # at most `finish` rows
+            break
         told = new
         links = cut(star(star(links, True), False))
     return names.distinct().join(links.select(F.col("a").alias("qualified_name"), F.col("b").alias("root")), "qualified_name", "left").withColumn("root", F.coalesce("root", "qualified_name"))
@@ -228,26 +292,61 @@ def runtime_edges(traces: DataFrame) -> DataFrame:
     return pairs.where("src is not null and dst is not null").distinct().withColumn("edge_type", F.lit("RUNTIME_TRACE"))
 
 
-def greedy_pairs(scored: DataFrame, similar: float = 0.55, similar_cap: int = 10, related_cap: int = 15) -> DataFrame:
+def _in_order(part: pd.DataFrame) -> pd.DataFrame:
+    """Pairs kept when gone through one by one; room_a and room_b are what their ends have left."""
+    part, room, kept = part.sort_values(["edge_type", "score", "a", "b"], ascending=[True, False, True, True], kind="stable"), {}, []
+    for k, (kind, a, b, left_a, left_b) in enumerate(part[["edge_type", "a", "b", "room_a", "room_b"]].itertuples(index=False)):
+        at, to = (kind, a), (kind, b)
+        if room.setdefault(at, left_a) > 0 and room.setdefault(to, left_b) > 0:
+            kept.append(k)
+            room[at] -= 1
+            room[to] -= 1
+    return part.iloc[kept][["a", "b", "score", "edge_type"]]
+
+
+def greedy_pairs(scored: DataFrame, similar: float = 0.55, similar_cap: int = 10, related_cap: int = 15, finish: int = FINISH, rounds: int = 4) -> DataFrame:
     """Edges kept in order of (score desc, a, b) while both ends have room; the similar and the related have their own room.
 
     A pair that finds no room is dropped. Each round keeps the pairs that come first at both ends within the room left, which
-    the order alone decides, so the result is that of going through the pairs one by one.
+    the order alone decides, so the result is that of going through the pairs one by one. Rounds don't grow with chains of pairs
+    that wait for each other: the last `finish` pairs are gone through in one task, and after every few rounds so are, each in a task
+    of its own, the groups of pairs that are linked by ends and no larger.
     """
     kind = F.when(F.col("score") >= similar, "SIMILAR_TO").otherwise("SEMANTICALLY_RELATED")
-    cap = F.when(F.col("edge_type") == "SIMILAR_TO", similar_cap).otherwise(related_cap)
+    full = F.when(F.col("edge_type") == "SIMILAR_TO", similar_cap).otherwise(related_cap)
+    columns = ["a", "b", "score", "edge_type"]
     left = cut(scored.select("a", "b", "score").withColumn("edge_type", kind))
-    kept = left.limit(0)
-    while not left.isEmpty():
+    kept, done = left.limit(0), 0
+
+    def with_room(pairs: DataFrame) -> DataFrame:
+        used = kept.select("edge_type", F.explode(F.array("a", "b")).alias("n")).groupBy("edge_type", "n").agg(F.count(F.lit(1)).alias("used"))
+        for end in ("a", "b"):
+            pairs = pairs.join(used.select("edge_type", F.col("n").alias(end), (full - F.col("used")).alias(f"room_{end}")), ["edge_type", end], "left")
+        return pairs.withColumns({f"room_{end}": F.coalesce(f"room_{end}", full) for end in ("a", "b")})
+
+    told = "a string, b string, score double, edge_type string"
+    while n := left.count():
+        if n <= finish:
+            return kept.unionByName(with_room(left).groupBy().applyInPandas(_in_order, told))
+        if done and done % rounds == 0:
+            ends = left.select(F.concat_ws("|", "edge_type", "a").alias("src"), F.concat_ws("|", "edge_type", "b").alias("dst"))
+            nodes = ends.select(F.explode(F.array("src", "dst")).alias("qualified_name")).distinct()
+            group = connected_components(nodes, ends)
+            owned = left.withColumn("qualified_name", F.concat_ws("|", "edge_type", "a")).join(group, "qualified_name").drop("qualified_name")
+            small = cut(owned.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= finish).select("root"))
+            owned = cut(owned)
+            finished = with_room(owned.join(small, "root", "left_semi")).groupBy("root").applyInPandas(_in_order, told)
+            kept = cut(kept.unionByName(finished))
+            left = cut(owned.join(small, "root", "left_anti").select(*columns))
         used = kept.select("edge_type", F.explode(F.array("a", "b")).alias("n")).groupBy("edge_type", "n").agg(F.count(F.lit(1)).alias("used"))
         ends = left.select("*", F.explode(F.array("a", "b")).alias("n")).join(used, ["edge_type", "n"], "left")
         order = Window.partitionBy("edge_type", "n").orderBy(F.desc("score"), "a", "b")
-        room = ends.withColumn("room", cap - F.coalesce("used", F.lit(0))).withColumn("k", F.row_number().over(order))
-        told = room.groupBy("a", "b", "score", "edge_type").agg(F.min((F.col("k") <= F.col("room")).cast("int")).alias("ok"), F.min("room").alias("room"))
-        told = cut(told.where("room > 0"))
-        new = told.where("ok = 1").select("a", "b", "score", "edge_type")
-        kept = cut(kept.unionByName(new))
-        left = cut(told.where("ok = 0").select("a", "b", "score", "edge_type"))
+        room = ends.withColumn("room", full - F.coalesce("used", F.lit(0))).withColumn("k", F.row_number().over(order))
+        decided = room.groupBy(*columns).agg(F.min((F.col("k") <= F.col("room")).cast("int")).alias("ok"), F.min("room").alias("room"))
+        decided = cut(decided.where("room > 0"))
+        kept = cut(kept.unionByName(decided.where("ok = 1").select(*columns)))
+        left = cut(decided.where("ok = 0").select(*columns))
+        done += 1
     return kept
 
 

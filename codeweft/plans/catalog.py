@@ -166,6 +166,23 @@ for _way, _step in {"out": "SELECT src AS a, dst AS b FROM edges", "in": "SELECT
     query(_TRACE.format(step=_step), S, E, name=f"trace_{_way}")(lambda s, d, way=_way: graph.trace(A.symbols(s, d), A.edges(s, d), "customer::Customer::1", way, 3))
 
 
+_FOUND = """SELECT b AS q, {k} AS level, row_number() OVER (ORDER BY f, b) + (SELECT max(place) FROM ({seen})) AS place FROM
+      (SELECT b, min({{'p': place, 'w': way}}) AS f FROM step JOIN d{last} ON a = q WHERE b IN (SELECT qualified_name FROM symbols) AND b NOT IN (SELECT q FROM ({seen})) GROUP BY b)"""
+_seen = [" UNION ALL ".join(f"SELECT q, place FROM d{j}" for j in range(k)) for k in range(4)]
+
+
+@query(
+    """step AS (SELECT src AS a, dst AS b, 0 AS way FROM edges UNION ALL SELECT dst, src, 1 FROM edges), d0 AS (SELECT 'customer::Customer::1' AS q, 0 AS level, 0::BIGINT AS place),
+    """
+    + ",\n".join(f"d{k} AS MATERIALIZED ({_FOUND.format(k=k, seen=_seen[k], last=k - 1)})" for k in (1, 2, 3))
+    + " SELECT q AS qualified_name, level, place FROM d0 UNION ALL FROM d1 UNION ALL FROM d2 UNION ALL FROM d3",
+    S,
+    E,
+)
+def trace_discovery(s, d):
+    return graph.discovery(A.symbols(s, d), A.edges(s, d), "customer::Customer::1", "both", 3)
+
+
 _MET = _TRACE.format(step="SELECT src AS a, dst AS b FROM edges").rpartition("SELECT q AS qualified_name, 0")[0].rstrip()
 
 

@@ -93,8 +93,29 @@ def test_components_louvain_greedy_against_plain_python(spark):
         if used.get((kind, a), 0) < cap and used.get((kind, b), 0) < cap:
             want.add((a, b, kind))
             used[kind, a], used[kind, b] = used.get((kind, a), 0) + 1, used.get((kind, b), 0) + 1
-    kept = graph.greedy_pairs(spark.createDataFrame(scored, "a string, b string, score double"), similar_cap=2, related_cap=3)
-    assert {(r["a"], r["b"], r["edge_type"]) for r in kept.collect()} == want
+    for finish in (500_000, 20, 0):  # all in one task; groups in tasks of their own; rounds alone
+        kept = graph.greedy_pairs(spark.createDataFrame(scored, "a string, b string, score double"), similar_cap=2, related_cap=3, finish=finish, rounds=1 if finish else 99)
+        assert {(r["a"], r["b"], r["edge_type"]) for r in kept.collect()} == want
+    assert {r["qualified_name"]: r["root"] for r in graph.connected_components(nodes, edges, finish=0).collect()} == got
+
+
+def test_a_chain_of_pairs_is_no_chain_of_rounds(spark):
+    """Each pair waits for the one before it."""
+    n = 10_000
+    chain = spark.range(n).select(F.format_string("n%06d", F.col("id")).alias("a"), F.format_string("n%06d", F.col("id") + 1).alias("b"), (F.lit(1.0) - F.col("id") / (4 * n)).alias("score"))
+    began = time.time()
+    kept = graph.greedy_pairs(chain, similar_cap=1, related_cap=1)
+    assert {r["a"] for r in kept.select("a").collect()} == {f"n{k:06}" for k in range(0, n, 2)} and time.time() - began < 60
+
+
+def test_order_of_discovery(spark):
+    edges = [("s", "c", "CALLS"), ("s", "b", "CALLS"), ("a", "s", "CALLS"), ("b", "d", "CALLS"), ("c", "e", "CALLS"), ("d", "a", "CALLS"), ("x", "c", "CALLS"), ("b", "gone", "CALLS"), ("gone", "far", "CALLS"), ("s", "s", "CALLS"), ("b", "d", "IMPORTS")]
+    symbols = spark.createDataFrame([(n,) for n in ["s", "a", "b", "c", "d", "e", "x", "far"]], "qualified_name string")
+    df = spark.createDataFrame(edges, "src string, dst string, edge_type string")
+    for direction, want in (("both", ["s", "b", "c", "a", "d", "e", "x"]), ("out", ["s", "b", "c", "d", "e", "a"]), ("in", ["s", "a", "d", "b"])):
+        rows = graph.discovery(symbols, df, "s", direction, 3).orderBy("place").collect()
+        assert [r["qualified_name"] for r in rows] == want and [r["place"] for r in rows] == list(range(len(want)))
+    assert graph.discovery(symbols, df, "none").count() == 0
 
 
 def test_text(spark):
