@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import fnmatch
 import os
+import re
 import subprocess
 from collections.abc import Iterator
 
@@ -46,13 +46,43 @@ def wanted(files: DataFrame, mode: str = "full") -> DataFrame:
     return out.orderBy("path")
 
 
-def _ignored(path: str, rules: list[str]) -> bool:
+def _rule(text: str) -> tuple[bool, bool, re.Pattern] | None:
+    """One line of an ignore file: whether it keeps, whether it is for folders only, and what paths below its folder it fits."""
+    text = re.sub(r"(?<!\\)\s+$", "", text.rstrip("\r\n"))
+    if not text or text.startswith("#"):
+        return None
+    keep, text = text.startswith("!"), text.removeprefix("!")
+    folder, text = text.endswith("/"), text.rstrip("/")
+    anchored, text = "/" in text, text.lstrip("/")
+    out = "" if anchored or text.startswith("**/") else "(?:.*/)?"
+    for part in re.findall(r"^\*\*/|/\*\*/|/\*\*$|\*+|\?|\[[!^]?\]?[^\]]*\]|\\.|[\s\S]", text):
+        if part == "**/":
+            out += "(?:.*/)?"
+        elif part == "/**/":
+            out += "/(?:.*/)?"
+        elif part == "/**":
+            out += "/.*"
+        elif part[0] == "*":
+            out += "[^/]*"
+        elif part == "?":
+            out += "[^/]"
+        elif len(part) > 2 and part[0] == "[":
+            out += "(?!/)[" + re.sub(r"^[!^]", "^", part[1:-1]).replace("\\", "\\\\") + "]"
+        else:
+            out += re.escape(part[-1])
+    try:
+        return keep, folder, re.compile(out)
+    except re.error:  # a set that is none fits nothing
+        return None
+
+
+def _ignored(path: str, is_folder: bool, rules: list[tuple[str, tuple[bool, bool, re.Pattern]]]) -> bool:
+    """Whether the last rule that fits a path excludes it. rules: the folder each stands in ('.' at the top), outer ones first."""
     hit = False
-    for rule in rules:
-        keep, rule = rule.startswith("!"), rule.lstrip("!")
-        folder, rule = rule.endswith("/"), rule.strip("/")
-        found = any(fnmatch.fnmatch(p, rule) for p in (path, *path.split("/")[: -1 if folder else None])) or fnmatch.fnmatch(path, rule + "/*")
-        hit = (not keep) if found else hit
+    for at, (keep, folder, pattern) in rules:
+        below = path if at == "." else path[len(at) + 1 :] if path.startswith(at + "/") else None
+        if below is not None and (is_folder or not folder) and pattern.fullmatch(below):
+            hit = not keep
     return hit
 
 
@@ -60,26 +90,24 @@ def read_tree(spark: SparkSession, root: str, mode: str = "full") -> DataFrame:
     """Files (path, content, language, line_count) below a folder that driver and executors see. The driver lists names and
     sizes and reads ignore files, of which each counts for its folder and those below; executors read the texts."""
 
-    def read_rules(*names: str) -> list[str]:
-        found: list[str] = []
+    def read_rules(at: str, *names: str) -> list[tuple[str, tuple[bool, bool, re.Pattern]]]:
+        found = []
         for full in (n for n in names if os.path.isfile(n)):
-            with open(full, encoding="utf-8") as f:
-                found += [x.strip() for x in f if x.strip() and not x.startswith("#")]
+            with open(full, encoding="utf-8", errors="replace") as f:
+                found += [(at, rule) for rule in map(_rule, f) if rule]
         return found
 
-    rules: dict[str, list[str]] = {}
+    rules: dict[str, list] = {}  # of a folder: those of the folders above and its own
     listed = []
     for folder, names, files in os.walk(root):
-        names[:] = sorted(n for n in names if n not in (".git", "node_modules"))
         here = os.path.relpath(folder, root).replace(os.sep, "/")
         extra = [os.path.join(root, ".git/info/exclude")] if here == "." else []
-        if own := read_rules(*(os.path.join(folder, n) for n in (".gitignore", ".codeweftignore")), *extra):
-            rules[here] = own
-        for f in files:
-            path = os.path.relpath(os.path.join(folder, f), root).replace(os.sep, "/")
-            above = [(r, path if at == "." else path[len(at) + 1 :]) for at, r in rules.items() if at == "." or path.startswith(at + "/")]
-            if not any(_ignored(below, r) for r, below in above):
-                listed.append((path, os.path.getsize(os.path.join(folder, f))))
+        above = [] if here == "." else rules[os.path.dirname(here) or "."]
+        rules[here] = above + read_rules(here, *extra, *(os.path.join(folder, n) for n in (".gitignore", ".codeweftignore")))
+        below = lambda n: n if here == "." else f"{here}/{n}"  # noqa: B023, E731
+        # What lies in an excluded folder can't be brought back, so it isn't looked at.
+        names[:] = sorted(n for n in names if n not in (".git", "node_modules") and not _ignored(below(n), True, rules[here]))
+        listed += [(below(f), os.path.getsize(os.path.join(folder, f))) for f in files if os.path.isfile(os.path.join(folder, f)) and not _ignored(below(f), False, rules[here])]
     kept = wanted(spark.createDataFrame(listed, "path string, size long"), mode).select("path", "language")
     return read_listed(spark, root, kept)
 

@@ -576,6 +576,33 @@ def test_one_of_two_writers_is_told(spark, tmp_path):
     assert a.get_meta("x") == "2"
 
 
+@pytest.mark.parametrize(
+    "rules, kept",
+    [
+        ("*.py", []),
+        ("/*.py", ["a/b/d.py", "a/c.py", "doc/f.py"]),
+        ("a/*.py", ["a/b/d.py", "doc/f.py", "x.py"]),
+        ("a/**/*.py", ["doc/f.py", "x.py"]),
+        ("**/b", ["a/c.py", "doc/f.py", "x.py"]),
+        ("b/", ["a/c.py", "doc/f.py", "x.py"]),
+        ("x.py/", ["a/b/d.py", "a/c.py", "doc/f.py", "x.py"]),
+        ("*.py\n!c.py", ["a/c.py"]),
+        ("a/\n!a/c.py", ["doc/f.py", "x.py"]),
+        ("a/*\n!a/b", ["a/b/d.py", "doc/f.py", "x.py"]),
+        ("[a-c]", ["doc/f.py", "x.py"]),
+        ("[!x].py\n# y\n\\#z", ["x.py"]),
+        ("do?/**", ["a/b/d.py", "a/c.py", "x.py"]),
+        ("/b", ["a/b/d.py", "a/c.py", "doc/f.py", "x.py"]),
+    ],
+)
+def test_ignore_rules(spark, tmp_path, rules, kept):
+    for path in ("x.py", "a/c.py", "a/b/d.py", "doc/f.py"):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text("x = 1\n")
+    (tmp_path / ".gitignore").write_text(rules + "\n")
+    assert sorted(r["path"] for r in discover.read_tree(spark, str(tmp_path)).select("path").collect()) == kept
+
+
 def test_discovery_rules(spark):
     files = spark.createDataFrame([("a.py", 1), ("yarn.lock", 1), ("tests/b.py", 1), ("dist/c.js", 1), ("d.png", 1), ("e.md", 1)], "path string, size long")
     paths = lambda mode: [r["path"] for r in discover.wanted(files, mode).collect()]
