@@ -224,38 +224,93 @@ def pair_signals(ready: DataFrame, candidates: DataFrame) -> DataFrame:
     return p.select("a", "b", *[v.alias(n) for n, v in signals.items()])
 
 
-def _cross(x: pd.DataFrame, y: pd.DataFrame) -> dict[str, np.ndarray]:
-    """Every signal of every row of x with every row of y, as matrices."""
-
-    def cosines(column: str) -> np.ndarray:
-        entries = [[[] if e is None else [(d["key"], d["value"]) for d in e] for e in side[column]] for side in (x, y)]
-        places = {k: i for i, k in enumerate({k for side in entries for e in side for k, _ in e})}
-        unit = []
-        for side in entries:
-            grid = np.zeros((len(side), len(places)))
-            for k, e in enumerate(side):
-                grid[k, [places[n] for n, _ in e]] = [v for _, v in e]
-            norm = np.sqrt((grid * grid).sum(1, keepdims=True))
-            unit.append(np.divide(grid, norm, out=np.zeros_like(grid), where=norm > 0))
-        return unit[0] @ unit[1].T
-
-    out = {n: cosines(n) for n in ("tfidf", "ri")}
-    sketch = [np.array([s if s is not None and len(s) else [0] * SLOTS for s in side["sketch"]], dtype=np.int64).reshape(-1, SLOTS) for side in (x, y)]
-    there = [np.array([s is not None and len(s) > 0 for s in side["sketch"]]) for side in (x, y)]
-    same = sum((sketch[0][:, None, k] == sketch[1][None, :, k]).astype(np.int32) for k in range(SLOTS))
-    out["minhash"] = same / SLOTS * (there[0][:, None] & there[1][None, :])
-    bags = [[pd.Series(list(v)).value_counts().to_dict() if v is not None and len(v) else {} for v in side["api"]] for side in (x, y)]
-    words = {w: i for i, w in enumerate({w for side in bags for b in side for w in b})}
-    share, member = np.zeros((len(x), len(words))), np.zeros((len(y), len(words)))
-    for k, b in enumerate(bags[0]):
-        for w, n in b.items():
-            share[k, words[w]] = n / sum(b.values())
-    for k, b in enumerate(bags[1]):
-        member[k, [words[w] for w in b]] = 1
-    size = member.sum(1)
-    norm = np.maximum(np.sqrt((share**2).sum(1))[:, None], np.sqrt(size)[None, :])
-    out["api"] = np.clip(np.divide(share @ member.T, norm, out=np.zeros_like(norm), where=norm > 0), 0, 1)
-    paths = [[p.split("/") for p in side["file_path"]] for side in (x, y)]
+#: Items that meet in at most one of this many pairs of a block are multiplied pair by pair, the others as dense strips.
+_SPARSE, _STRIP, _PAIRS = 200, 1024, 1 << 20
+
+
+def _entries(x: pd.Series, y: pd.Series) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
+    """(row, number of the item) of everything in the lists of both sides, and how many numbers there are; null lists are empty."""
+    lists = [[() if v is None else v for v in side] for side in (x, y)]
+    rows = [np.repeat(np.arange(len(side)), np.fromiter(map(len, side), int, len(side))) for side in lists]
+    codes, known = pd.factorize(np.array([w for side in lists for v in side for w in v], dtype=object))
+    return [(rows[0], codes[: len(rows[0])]), (rows[1], codes[len(rows[0]) :])], len(known)
+
+
+def _once(rows: np.ndarray, codes: np.ndarray, known: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different (row, item) and how often each stands there."""
+    places, n = np.unique(rows * max(known, 1) + codes, return_counts=True)
+    return places // max(known, 1), places % max(known, 1), n.astype(float)
+
+
+def _products(a: tuple, b: tuple, known: int, shape: tuple[int, int]) -> np.ndarray:
+    """Inner products of sparse rows, each side as (row, item, value). Memory is bounded whatever the number of items: those of
+    few rows are joined a million pairs at a time, the others multiplied in strips."""
+    out = np.zeros(shape)
+    met = np.bincount(a[1], minlength=known) * np.bincount(b[1], minlength=known)
+    few = met * _SPARSE <= shape[0] * shape[1]
+    often = np.flatnonzero(~few)
+    place = np.full(known, -1)
+    place[often] = np.arange(len(often))
+    for k in range(0, len(often), _STRIP):
+        width, grids = min(_STRIP, len(often) - k), []
+        for (rows, codes, values), n in ((a, shape[0]), (b, shape[1])):
+            at = place[codes] - k
+            own = (at >= 0) & (at < width)
+            grids.append(np.bincount(rows[own] * width + at[own], values[own], n * width).reshape(n, width))
+        out += grids[0] @ grids[1].T
+    rows, codes, values = (v[few[a[1]] & (met[a[1]] > 0)] for v in a)
+    order = np.argsort(b[1], kind="stable")
+    other = tuple(v[order] for v in b)
+    start = np.searchsorted(other[1], np.arange(known + 1))
+    meets = start[codes + 1] - start[codes]
+    parts = np.cumsum(meets) // _PAIRS
+    for k in np.unique(parts):
+        at = np.flatnonzero(parts == k)
+        left = np.repeat(at, meets[at])
+        right = np.arange(len(left)) - np.repeat(np.cumsum(meets[at]) - meets[at], meets[at]) + start[codes[left]]
+        out += np.bincount(rows[left] * shape[1] + other[0][right], values[left] * other[2][right], out.size).reshape(shape)
+    return out
+
+
+def _ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.divide(a, b, out=np.zeros(np.broadcast(a, b).shape), where=b > 0)
+
+
+def _weighted(x: pd.DataFrame, y: pd.DataFrame, items: str, values: str) -> np.ndarray:
+    """Cosines of weighted items."""
+    sides, known = _entries(x[items], y[items])
+    full = [(*e, np.array([v for vs in side[values] if vs is not None for v in vs], dtype=float)) for e, side in zip(sides, (x, y), strict=True)]
+    norms = [np.sqrt(np.bincount(e[0], e[2] ** 2, len(side))) for e, side in zip(full, (x, y), strict=True)]
+    return _ratio(_products(*full, known, (len(x), len(y))), norms[0][:, None] * norms[1][None, :])
+
+
+def _api(x: pd.DataFrame, y: pd.DataFrame, first: np.ndarray) -> np.ndarray:
+    """The API signal, which looks from the row that is first to the other."""
+    sides, known = _entries(x["api"], y["api"])
+    bags = [_once(*e, known) for e in sides]
+    total = [np.bincount(e[0], minlength=len(side)).astype(float) for e, side in zip(sides, (x, y), strict=True)]
+    share = [(r, c, n / t[r]) for (r, c, n), t in zip(bags, total, strict=True)]
+    member = [(r, c, np.ones(len(r))) for r, c, _ in bags]
+    norm = [np.sqrt(np.bincount(r, v**2, len(t))) for (r, _, v), t in zip(share, total, strict=True)]
+    size = [np.sqrt(np.bincount(r, minlength=len(t))) for (r, _, _), t in zip(bags, total, strict=True)]
+    shape = (len(x), len(y))
+    there = _ratio(_products(share[0], member[1], known, shape), np.maximum(norm[0][:, None], size[1][None, :]))
+    back = _ratio(_products(member[0], share[1], known, shape), np.maximum(size[0][:, None], norm[1][None, :]))
+    return np.clip(np.where(first, there, back), 0, 1)
+
+
+def _sets(x: pd.Series, y: pd.Series) -> np.ndarray:
+    """Jaccard similarity of sets; two empty ones have none."""
+    sides, known = _entries(x, y)
+    bags = [(r, c, np.ones(len(r))) for r, c, _ in (_once(*e, known) for e in sides)]
+    both = _products(*bags, known, (len(x), len(y)))
+    size = [np.bincount(r, minlength=len(side)) for (r, _, _), side in zip(bags, (x, y), strict=True)]
+    return _ratio(both, size[0][:, None] + size[1][None, :] - both)
+
+
+def _module(x: pd.Series, y: pd.Series) -> np.ndarray:
+    """Shared leading folders over the longer path."""
+    paths = [[p.split("/") for p in side] for side in (x, y)]
     depth = max(len(p) for side in paths for p in side)
     part = {w: i for i, w in enumerate({w for side in paths for p in side for w in p})}
     grid = [np.array([[part[w] for w in p] + [-1 - s] * (depth - len(p)) for p in side]) for s, side in enumerate(paths)]
@@ -264,33 +319,82 @@ def _cross(x: pd.DataFrame, y: pd.DataFrame) -> dict[str, np.ndarray]:
         going &= grid[0][:, None, k] == grid[1][None, :, k]
         shared += going
     long = [np.array([len(p) for p in side]) for side in paths]
-    blank = [np.array([p == "" for p in side["file_path"]]) for side in (x, y)]
-    out["module"] = np.where(blank[0][:, None] | blank[1][None, :], 0.0, shared / np.maximum(long[0][:, None], long[1][None, :]))
-    kinds = [np.stack(side["kinds"].to_list()).astype(float) for side in (x, y)]
-    norm = np.sqrt((kinds[0] ** 2).sum(1))[:, None] * np.sqrt((kinds[1] ** 2).sum(1))[None, :]
-    out["ast"] = np.divide(kinds[0] @ kinds[1].T, norm, out=np.zeros_like(norm), where=norm > 0)
-    a, b = x["volume"].to_numpy()[:, None], y["volume"].to_numpy()[None, :]
+    blank = [(side == "").to_numpy() for side in (x, y)]
+    return np.where(blank[0][:, None] | blank[1][None, :], 0.0, shared / np.maximum(long[0][:, None], long[1][None, :]))
+
+
+def _kinds(x: pd.Series, y: pd.Series) -> np.ndarray:
+    kinds = [np.stack(side.to_list()).astype(float) for side in (x, y)]
+    return _ratio(kinds[0] @ kinds[1].T, np.sqrt((kinds[0] ** 2).sum(1))[:, None] * np.sqrt((kinds[1] ** 2).sum(1))[None, :])
+
+
+def _halstead(x: pd.Series, y: pd.Series) -> np.ndarray:
+    a, b = x.to_numpy()[:, None], y.to_numpy()[None, :]
     most = np.maximum(a, b)
-    out["halstead"] = np.where(most == 0, 0.0, 1 - np.abs(a - b) / np.where(most == 0, 1, most))
-    for name, column in _SETS.items():
-        sets = [[() if v is None else v for v in side[column]] for side in (x, y)]
-        words = {w: i for i, w in enumerate({w for side in sets for v in side for w in v})}
-        bits = [np.zeros((len(side), len(words))) for side in sets]
-        for side, grid_of in zip(sets, bits, strict=True):
-            for k, v in enumerate(side):
-                grid_of[k, [words[w] for w in v]] = 1
-        both = bits[0] @ bits[1].T
-        whole = bits[0].sum(1)[:, None] + bits[1].sum(1)[None, :] - both
-        out[name] = np.divide(both, whole, out=np.zeros_like(both), where=(whole > 0) & (both > 0))
+    return np.where(most == 0, 0.0, 1 - np.abs(a - b) / np.where(most == 0, 1, most))
+
+
+def _sketches(x: pd.Series, y: pd.Series, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Share of equal sketch values for the pairs of rows (i, j); no sketch, none equal."""
+    there = [np.array([s is not None and len(s) > 0 for s in side], dtype=bool) for side in (x, y)]
+    grid = [np.array([s if t else [0] * SLOTS for s, t in zip(side, known, strict=True)], dtype=np.int64).reshape(-1, SLOTS) for side, known in zip((x, y), there, strict=True)]
+    out = np.zeros(len(i))
+    for k in range(0, len(i), 1 << 16):
+        p, q = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+        out[k : k + len(p)] = (grid[0][p] == grid[1][q]).mean(1) * (there[0][p] & there[1][q])
     return out
 
 
+def score_blocks(x: pd.DataFrame, y: pd.DataFrame, least: float, weights: dict[str, float], within: bool) -> tuple[pd.DataFrame, dict[str, int]]:
+    """Pairs of a row of x and one of y that score `least` or more, and for how many pairs each signal had still to be known.
+
+    Signals are added in turn, those that tell pairs apart at little cost first. A signal is at most 1, so a pair is given up once
+    its sum and the weights that are left can't reach `least`; when none is left, the rest of the signals isn't computed.
+    """
+    names = [side["qualified_name"].to_numpy(dtype=object) for side in (x, y)]
+    first = names[0][:, None] < names[1][None, :]
+    alike = (x["name"].to_numpy()[:, None] == y["name"].to_numpy()[None, :]) & (x["file_path"].to_numpy()[:, None] == y["file_path"].to_numpy()[None, :])
+    open_, total = (first if within else names[0][:, None] != names[1][None, :]) & ~alike, np.zeros((len(x), len(y)))
+    signals = {
+        "ri": lambda: _weighted(x, y, "slots", "values"),
+        "halstead": lambda: _halstead(x["volume"], y["volume"]),
+        "ast": lambda: _kinds(x["kinds"], y["kinds"]),
+        "module": lambda: _module(x["file_path"], y["file_path"]),
+        **{n: (lambda c=c: _sets(x[c], y[c])) for n, c in _SETS.items()},
+        "api": lambda: _api(x, y, first),
+        "tfidf": lambda: _weighted(x, y, "tokens", "weights"),
+    }
+    left, asked = sum(max(0.0, weights.get(n, 0.0)) for n in (*signals, "minhash")), {}
+    for name, signal in signals.items():
+        asked[name] = int(open_.sum())
+        if not asked[name]:
+            break
+        value = signal()
+        if name == "ri":
+            open_ &= value >= 0.05
+        total += weights.get(name, 0.0) * value
+        left -= max(0.0, weights.get(name, 0.0))
+        open_ &= total + left >= least - 1e-9
+    i, j = np.nonzero(open_)
+    asked["minhash"] = len(i)
+    score = total[i, j] + weights.get("minhash", 0.0) * _sketches(x["sketch"], y["sketch"], i, j)
+    i, j, score = (v[score >= least] for v in (i, j, score))
+    a, b = names[0][i], names[1][j]
+    return pd.DataFrame({"a": np.where(a > b, b, a), "b": np.where(a > b, a, b), "score": score}).astype({"a": str, "b": str, "score": float}), asked
+
+
+def score_rows(ready: DataFrame) -> DataFrame:
+    """What score_blocks() reads of prepared symbols."""
+    return ready.select("qualified_name", "name", "file_path", F.map_keys("tfidf").alias("tokens"), F.map_values("tfidf").alias("weights"), F.map_keys("ri").alias("slots"), F.map_values("ri").alias("values"), "sketch", "api", "types", "words", "kinds", "marks", "near", volume(F.col("signature")).alias("volume"))
+
+
 def pair_scores(ready: DataFrame, candidates: DataFrame | None = None, least: float = 0.35, weights: dict[str, float] | None = None, block: int = BLOCK) -> DataFrame:
     """Rows (a, b, score) of pairs a < b, not of one name in one file, whose combined score is `least` or more.
 
     Without candidates all pairs are scored, which is quadratic in the symbols by its meaning: they are dealt in blocks, a
     pair of blocks to a task, and only pairs that reach `least` come out of it. Pairs whose random-index vectors are
-    less alike than 0.05 are not scored, as in the definition. No pair is passed over for what its tokens are.
+    less alike than 0.05 are not scored, as in the definition; others end once what is left of their signals can't bring them
+    to `least` (see score_blocks). No pair is passed over for what its tokens are.
     """
     weights = weights or SIGNAL_WEIGHTS
     if candidates is not None:
@@ -299,7 +403,7 @@ def pair_scores(ready: DataFrame, candidates: DataFrame | None = None, least: fl
         fit = own.where("a < b and not (file_path_a = file_path_b and name_a = name_b)").select("a", "b")
         told = pair_signals(ready, fit).where("ri >= 0.05")
         return told.select("a", "b", combined({n: F.col(n) for n in weights}, weights).alias("score")).where(F.col("score") >= least)
-    rows = ready.select("qualified_name", "name", "file_path", F.map_entries("tfidf").alias("tfidf"), F.map_entries("ri").alias("ri"), "sketch", "api", "types", "words", "kinds", "marks", "near", volume(F.col("signature")).alias("volume"))
+    rows = score_rows(ready)
     rows = rows.withColumn("blocks", F.lit(max(1, -(-ready.count() // block)))).withColumn("block", F.pmod(F.xxhash64("qualified_name"), "blocks").cast("int"))
     other = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = other.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("other", "blocks")
@@ -307,24 +411,9 @@ def pair_scores(ready: DataFrame, candidates: DataFrame | None = None, least: fl
     def score(part: pd.DataFrame) -> pd.DataFrame:
         within = part["low"].iloc[0] == part["high"].iloc[0]
         x, y = (part, part) if within else (part[part["block"] == part["low"]], part[part["block"] == part["high"]])
-        empty = pd.DataFrame({"a": [], "b": [], "score": []}).astype({"a": str, "b": str, "score": float})
         if not len(x) or not len(y):
-            return empty
-        # The API signal looks from the smaller name to the larger one: rows in order of name on both sides.
-        names = [side["qualified_name"].to_numpy(dtype=object) for side in (x, y)]
-        first = names[0][:, None] < names[1][None, :]
-        told, turned = _cross(x, y), None if within else _cross(y, x)["api"].T
-        if turned is not None:
-            told["api"] = np.where(first, told["api"], turned)
-        total = sum(weights.get(n, 0.0) * v for n, v in told.items())
-        alike = (x["name"].to_numpy()[:, None] == y["name"].to_numpy()[None, :]) & (x["file_path"].to_numpy()[:, None] == y["file_path"].to_numpy()[None, :])
-        good = (total >= least) & (told["ri"] >= 0.05) & ~alike & (first if within else names[0][:, None] != names[1][None, :])
-        i, j = np.nonzero(good)
-        if not len(i):
-            return empty
-        a, b = names[0][i], names[1][j]
-        turn = a > b
-        return pd.DataFrame({"a": np.where(turn, b, a), "b": np.where(turn, a, b), "score": total[i, j]})
+            return pd.DataFrame({"a": [], "b": [], "score": []}).astype({"a": str, "b": str, "score": float})
+        return score_blocks(x, y, least, weights, within)[0]
 
     return dealt.groupBy("low", "high").applyInPandas(score, "a string, b string, score double")
 

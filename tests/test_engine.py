@@ -371,6 +371,27 @@ def test_pair_scores_of_blocks_are_those_of_expressions(spark):
     table = lambda df: {(r["a"], r["b"]): round(r["score"], 9) for r in df.collect()}
     want = table(similarity.pair_scores(ready, every))
     assert len(want) > 50 and table(similarity.pair_scores(ready)) == want == table(similarity.pair_scores(ready, block=7))
+    least = sorted(want.values())[-20]
+    high = {k: v for k, v in want.items() if v >= least - 1e-9}
+    assert 20 <= len(high) < 40 and table(similarity.pair_scores(ready, least=least - 1e-9)) == high
+    part = similarity.score_rows(ready).toPandas()
+    found, asked = similarity.score_blocks(part, part, least - 1e-9, similarity.SIGNAL_WEIGHTS, True)
+    assert len(found) == len(high) and len(high) <= asked["minhash"] < asked["ri"] / 2, asked
+    assert similarity.pair_scores(ready.limit(0)).count() == 0
+
+
+def test_sparse_products_are_those_of_grids(monkeypatch):
+    """Whatever is done pair by pair and whatever in strips."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    a, b = ((rng.random((n, 90)) < rng.random(90) ** 4) * rng.random((n, 90)) for n in (37, 50))
+    flat = lambda m: (*np.nonzero(m), m[np.nonzero(m)])
+    for sparse, strip, pairs in ((200, 1024, 1 << 20), (1, 8, 64), (10**9, 7, 5), (20, 1, 1)):
+        monkeypatch.setattr(similarity, "_SPARSE", sparse)
+        monkeypatch.setattr(similarity, "_STRIP", strip)
+        monkeypatch.setattr(similarity, "_PAIRS", pairs)
+        assert np.allclose(similarity._products(flat(a), flat(b), 90, (37, 50)), a @ b.T)
 
 
 def test_common_names_alone_make_pairs(spark):
