@@ -8,12 +8,14 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from codeweft.operators import graph, resolve, search, similarity, text
 from codeweft.plans import passes, sqlgate
 from codeweft.schema import EngineConfig
 from codeweft.sources import discover
 from codeweft.store import BUCKETS, Store, across, projects
+from codeweft.streaming import watcher
 
 #: Bytes of text that a part of a project holds about.
 PART_BYTES = 64 << 20
@@ -62,14 +64,36 @@ class Engine:
     def index_changes(self, path: str, project: str | None = None) -> dict[str, int | str]:
         """Bring a project up to date with its tree: only files that differ from the commit indexed last are read."""
         name = project or discover.project_name(path)
-        store = self.store(name)
         head, status = discover.git_changes(self.spark, path)
-        told = text.merged_changes(discover.changed_since(self.spark, path, store.get_meta("indexed_head") or ""), status)
-        here = discover.wanted(discover.sized(self.spark, path, told.select("path").distinct()))
-        there = graph.cut(here.select("path", "language"))
-        lost = told.select("path").distinct().join(there, "path", "left_anti").join(store.read("files").select("path"), "path", "left_semi")
+        told = text.merged_changes(discover.changed_since(self.spark, path, self.store(name).get_meta("indexed_head") or ""), status)
+        return self._index_paths(name, path, told.select("path"), head)
+
+    def _index_paths(self, name: str, path: str, paths: DataFrame, head: str) -> dict[str, int | str]:
+        """Read these paths of a tree again, and forget those that are no longer there or not wanted."""
+        told = paths.distinct()
+        there = graph.cut(discover.wanted(discover.sized(self.spark, path, told)).select("path", "language"))
+        lost = told.join(there, "path", "left_anti").join(self.store(name).read("files").select("path"), "path", "left_semi")
         return self.update_files(name, discover.read_listed(self.spark, path, there), lost, head=head)
 
+    def watch(self, path: str, checkpoint: str, project: str | None = None, once: bool = False, base_ms: int = watcher.BASE_MS) -> StreamingQuery:
+        """Keep a project up to date with its git tree: looked at with back-off, each batch of changed paths indexed.
+
+        It begins at the commit indexed last. With `once` the stream ends when it has caught up. A batch that fails stops the query
+        with its error; started again on the same checkpoint it takes the batch up anew.
+        """
+        name = project or discover.project_name(path)
+
+        def batch(rows: DataFrame, number: int) -> None:
+            # Looked up first: a commit made while the batch runs is then found again by index_changes().
+            head = discover.git_changes(self.spark, path)[0]
+            told = graph.cut(rows.select("path"))
+            if not told.isEmpty():
+                self._index_paths(name, path, told, head)
+
+        changes = watcher.tree_changes(self.spark, path, self.store(name).get_meta("indexed_head") or None, base_ms)
+        writer = changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+        return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=watcher.TICK)).start()
+
     def update_files(self, project: str, changed: DataFrame, removed: DataFrame | None = None, statistics: bool = True, head: str | None = None) -> dict[str, int | str]:
         """Merge changed (path, content, language) and removed (path) files; no change, no work.
 
@@ -142,9 +166,9 @@ class Engine:
         return {"nodes": nodes, "trace_edges": graph.trace_edges(s.read("edges"), nodes, direction, depth)}
 
     def semantic_search(self, project: str, query: str, limit: int = 20) -> DataFrame:
-        """Symbols whose stored vectors are nearest to the query's words."""
+        """Symbols that the query's words find, best first, with their score and its signals."""
         s = self.store(project)
-        return similarity.vector_search(s.read("vectors"), s.read("symbols"), self.spark.createDataFrame([(query,)], "text string"), limit)
+        return similarity.vector_search(s.read("vectors"), s.read("symbols"), self.spark.createDataFrame([(query,)], "text string"), limit, weights=self.config.weights)
 
     def find_symbols(self, names: list[str]) -> DataFrame:
         """Symbols of these names in any project."""

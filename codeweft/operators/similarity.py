@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -35,21 +37,28 @@ def fnv_hash(words: pd.Series) -> pd.Series:
     return pd.Series(fnv1a(words.fillna("").tolist()).astype(np.int64))
 
 
+def _slots(words: list[str]) -> np.ndarray:
+    """Two places and a sign of each word in a random-index vector."""
+    a, b, s = (fnv1a(words, k) for k in range(3))
+    sign = np.where(s % np.uint64(2) == 0, 1, -1)
+    return np.stack([(a % np.uint64(DIMENSION)).astype(int), (b % np.uint64(DIMENSION)).astype(int), sign], axis=1).astype(np.int32)
+
+
+def _sketch_hashes(shingles: list[str]) -> np.ndarray:
+    """The seeded hashes of each shingle, sign bit flipped so that signed order is unsigned order."""
+    return np.stack([fnv1a(shingles, k) ^ np.uint64(1 << 63) for k in range(SLOTS)], axis=1).astype(np.int64)
+
+
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
 def index_slots(words: pd.Series) -> pd.Series:
     """Two places and a sign of each word in a random-index vector."""
-    w = words.fillna("").tolist()
-    a, b, s = (fnv1a(w, k) for k in range(3))
-    sign = np.where(s % np.uint64(2) == 0, 1, -1)
-    return pd.Series(list(np.stack([(a % np.uint64(DIMENSION)).astype(int), (b % np.uint64(DIMENSION)).astype(int), sign], axis=1).astype(np.int32)))
+    return pd.Series(list(_slots(words.fillna("").tolist())))
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def slot_hashes(shingles: pd.Series) -> pd.Series:
-    """The seeded hashes of a shingle, sign bit flipped so that signed order is unsigned order."""
-    w = shingles.fillna("").tolist()
-    rows = np.stack([fnv1a(w, k) ^ np.uint64(1 << 63) for k in range(SLOTS)], axis=1)
-    return pd.Series(list(rows.astype(np.int64)))
+    """The seeded hashes of a shingle; see _sketch_hashes."""
+    return pd.Series(list(_sketch_hashes(shingles.fillna("").tolist())))
 
 
 def token_rows(texts: DataFrame, key: str, text: str) -> DataFrame:
@@ -435,10 +444,70 @@ def text_vector(query: DataFrame) -> DataFrame:
     return m.select(F.transform(F.sequence(F.lit(0), F.lit(DIMENSION - 1)), lambda k: F.coalesce(F.try_element_at(F.col("m"), k), F.lit(0.0))).alias("q"))
 
 
-def vector_search(vectors: DataFrame, symbols: DataFrame, query: DataFrame, limit: int = 20, least: float = 0.05) -> DataFrame:
-    """The stored vectors nearest to a query text, joined to their symbols: rows of symbols with score, best first."""
-    found = vector_topk(vectors.select(F.col("qualified_name").alias("id"), F.col("data").alias("v")), text_vector(query), limit, least)
-    return symbols.join(F.broadcast(found.withColumnRenamed("id", "qualified_name")), "qualified_name").orderBy(F.desc("score"), "qualified_name")
+@F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in ("tfidf", "ri", "minhash")]))
+def asked_signals(words: pd.Series, asked: pd.Series) -> pd.DataFrame:
+    """Signals of a query's words (the same in all rows) with the words of each text, where the two are the whole corpus: a word of
+    one of them alone weighs ln(3/2) + 1, one of both 1. The query's own vector knows no other text, so its words weigh 1."""
+    texts = [list(asked.iloc[0]) if len(asked) else [], *map(list, words)]
+    row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    code, known = pd.factorize(np.array([w for t in texts for w in t], dtype=object))
+    row, code, n = _once(row, code, len(known))
+    weight = np.full(len(known), math.log(1.5) + 1)
+    weight[code[row == 0]] = 1.0
+    value = n * weight[code]
+    share = value / np.maximum(1, np.array([len(t) for t in texts]))[row]
+    norm = np.sqrt(np.bincount(row, share**2, len(texts)))
+    own = np.zeros(len(known))
+    own[code[row == 0]] = share[row == 0]
+    tfidf = _ratio(np.bincount(row, share * own[code], len(texts)), norm * norm[0])[1:]
+    slots = np.array(_slots(list(known))).reshape(-1, 3)[code]
+    grid = np.zeros((len(texts), DIMENSION))
+    np.add.at(grid, (row, slots[:, 0]), value * slots[:, 2])
+    np.add.at(grid, (row, slots[:, 1]), value * slots[:, 2] * 0.5)
+    norm = np.sqrt((grid**2).sum(1))
+    ri = _ratio(grid @ grid[0], norm * norm[0])[1:]
+    made = [["_".join(t[k : k + 3]) for k in range(max(1, len(t) - 2))] if t else [] for t in texts]
+    code, known = pd.factorize(np.array([w for m in made for w in m], dtype=object))
+    hashes, ends = _sketch_hashes(list(known)), np.cumsum([len(m) for m in made])
+    sketch = [hashes[code[e - len(m) : e]].min(0) if m else None for e, m in zip(ends, made, strict=True)]
+    same = [0.0 if s is None or sketch[0] is None else float((s == sketch[0]).mean()) for s in sketch[1:]]
+    return pd.DataFrame({"tfidf": tfidf, "ri": ri, "minhash": same})
+
+
+def search_signals(vectors: DataFrame, symbols: DataFrame, query: DataFrame, least: float = 0.05) -> DataFrame:
+    """Rows of symbols with a column for each signal between a query text and them, for those whose stored vectors are as near
+    to the query's as `least`. The query has no path and no neighbours, so `module` and `diffusion` are 0."""
+    asked = query.limit(1).select("text", F.col("text").alias("_query"), tokens(F.col("text")).alias("_asked")).where(F.size("_asked") > 0)
+    one = asked.join(text_vector(asked)).withColumn("q", quantize(F.col("q")))
+    near = vectors.join(F.broadcast(one)).where(cosine(F.col("data"), F.col("q")) >= least).select("qualified_name", "_asked", "_query")
+    told = symbols.join(near, "qualified_name")
+    signature, empty = F.coalesce("signature", F.lit("")), F.array().cast("array<string>")
+    told = told.withColumn("made", asked_signals(tokens(F.concat_ws(" ", "name", "qualified_name", "label", signature)), F.col("_asked")))
+    text = F.col("_query")
+    signals = {
+        **{n: F.col(f"made.{n}") for n in ("tfidf", "ri", "minhash")},
+        "api": api_similarity(api_tokens(text), api_tokens(signature)),
+        "module": F.lit(0.0),
+        "ast": cosine(histogram(text, F.lit("query")), histogram(signature, F.col("name"))),
+        "halstead": volume_similarity(text, signature),
+        "type": jaccard(type_tokens(text), type_tokens(signature)),
+        "flow": jaccard(identifier_tokens(text, F.lit("query")), identifier_tokens(signature, F.col("name"))),
+        "decorator": jaccard(decorator_tokens(text), decorator_tokens(signature)),
+        "diffusion": F.lit(0.0),
+    }
+    return told.select(*symbols.columns, F.struct(*[F.coalesce(v, F.lit(0.0)).alias(n) for n, v in signals.items()]).alias("signals"))
+
+
+def vector_search(vectors: DataFrame, symbols: DataFrame, query: DataFrame, limit: int | None = 20, least: float = 0.05, weights: dict[str, float] | None = None) -> DataFrame:
+    """The symbols that a query text (one row, text) finds, best first: rows of symbols with score and signals.
+
+    The stored vectors choose who is looked at (`least`), all eleven signals give the score, and scores over 0.1 count. Without
+    `limit` all that are found. A query without words, one that is null and an empty table find nothing; ties go by name.
+    """
+    found = search_signals(vectors, symbols, query, least)
+    scored = found.withColumn("score", combined({n: F.col(f"signals.{n}") for n in SIGNAL_WEIGHTS}, weights)).where("score > 0.1")
+    ranked = scored.orderBy(F.desc("score"), "qualified_name")
+    return ranked if limit is None else ranked.limit(limit)
 
 
 def vector_topk(vectors: DataFrame, query: DataFrame, limit: int = 20, least: float = 0.05) -> DataFrame:

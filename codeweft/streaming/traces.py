@@ -60,16 +60,17 @@ TRANSITIONS = {None: ("Queued",), "Queued": ("Running", "Failed"), "Running": ("
 def job_states(log: DataFrame, finished: int = 32) -> DataFrame:
     """Rows (project, job, state, at) from a log (project, job, state, at): each job's last state.
 
-    Steps that the state before does not allow are left out; of finished jobs a project keeps the newest ones.
+    Steps that the state before does not allow are left out, as are unknown states and rows without a job or time; steps of one
+    time count in order of name. Of finished jobs a project keeps the newest ones.
     """
-    order = Window.partitionBy("project", "job").orderBy("at", "state")
-    rank = F.create_map(*[F.lit(x) for pair in {"Queued": 0, "Running": 1, "Failed": 2, "Completed": 2}.items() for x in pair])
-    # States only go forward, so a step counts if it is higher than all before it; a job begins queued.
-    known = log.withColumn("r", F.try_element_at(rank, F.col("state"))).where("r is not null")
-    before = F.max("r").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    first = F.first("r").over(order)
-    steps = known.withColumn("b", before).withColumn("f", first).where("f = 0 and (b is null or (r > b and not (b = 0 and state = 'Completed')))")
-    last = steps.groupBy("project", "job").agg(F.max(F.struct("r", "at", "state")).alias("m")).select("project", "job", F.col("m.state").alias("state"), F.col("m.at").alias("at"))
+    job, t = Window.partitionBy("project", "job"), F.col("t")
+    step = lambda *states: F.col("state").isin(*states)
+    known = log.where(F.col("state").isin(*(k for k in TRANSITIONS if k)) & F.col("job").isNotNull() & F.col("at").isNotNull()).select("project", "job", "state", F.struct("at", "state").alias("t"))
+    # A job makes three steps at most; each is the first one after the one before that its state allows.
+    known = known.withColumn("s1", F.min(F.when(step("Queued"), t)).over(job))
+    known = known.withColumn("s2", F.min(F.when(step(*TRANSITIONS["Queued"]) & (t > F.col("s1")), t)).over(job))
+    known = known.withColumn("s3", F.min(F.when(step(*TRANSITIONS["Running"]) & (F.col("s2.state") == "Running") & (t > F.col("s2")), t)).over(job))
+    last = known.groupBy("project", "job").agg(F.first(F.coalesce("s3", "s2", "s1")).alias("m")).where("m is not null").select("project", "job", F.col("m.state").alias("state"), F.col("m.at").alias("at"))
     newest = Window.partitionBy("project", F.col("state").isin("Completed", "Failed")).orderBy(F.desc("at"), "job")
     return last.withColumn("k", F.row_number().over(newest)).where(~F.col("state").isin("Completed", "Failed") | (F.col("k") <= finished)).drop("k")
 

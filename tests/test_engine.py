@@ -380,6 +380,91 @@ def test_pair_scores_of_blocks_are_those_of_expressions(spark):
     assert similarity.pair_scores(ready.limit(0)).count() == 0
 
 
+def _plain_search(rows, query, limit):
+    """Scores of plain Python: the query and each symbol are a corpus of two texts."""
+    from codeweft.functions import patterns as P
+
+    def hash64(w, seed=0):
+        h = 0xCBF29CE484222325 ^ seed
+        for b in w.encode():
+            h = (h ^ b) * 0x100000001B3 % 2**64
+        return h
+
+    words = lambda t: [w.lower() for w in re.findall(r"[A-Za-z0-9_]{2,}", t)]
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    cos = lambda a, b: sum(x * b.get(k, 0) for k, x in a.items()) / (norm(a) * norm(b)) if norm(a) * norm(b) else 0.0
+    jac = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b)) if a and b else 0.0
+
+    def vector(bag, idf):
+        out = {}
+        for w in set(bag):
+            x = bag.count(w) * idf(w) * (1 if hash64(w, 2) % 2 == 0 else -1)
+            for k, f in ((0, 1.0), (1, 0.5)):
+                out[hash64(w, k) % 768] = out.get(hash64(w, k) % 768, 0) + x * f
+        n = norm(out)
+        return {k: v / n for k, v in out.items()} if n > 1e-8 else out
+
+    coded = lambda v: {k: math.copysign(math.floor(abs(x) * 127 + 0.5), x) for k, x in v.items()}
+
+    def sketch(bag):
+        made = ["_".join(bag[k : k + 3]) for k in range(max(1, len(bag) - 2))]
+        return [min(hash64(m, k) for m in made) for k in range(64)]
+
+    def profile(sig, name):
+        bag, both = words(sig), words(sig) + words(name)
+        key, number = sum(w in P.KEYWORDS for w in both), sum(w.isdigit() for w in both)
+        api = [w for w in bag if w not in P.API_STOP]
+        types = [w.lower() for w in re.findall(r"(?<!\w)([A-Z]\w+)", sig) if w not in P.TYPE_STOP]
+        marks = [w for line in sig.split("\n") if line.strip()[:1] in ("#", "@") and line.strip() for w in words(line)]
+        return {"api": api, "types": types, "marks": marks, "ids": [w for w in both if len(w) >= 3], "kinds": dict(enumerate((key, len(both) - key - number, 0, number))), "volume": sum(sig.count(c) for c in "(){}[];,:<>") + len(bag)}
+
+    bags = {r[0]: words(" ".join([r[1], r[0], r[2], r[4] or ""])) for r in rows}
+    seen = {w: sum(w in b for b in bags.values()) for b in bags.values() for w in b}
+    asked, mine = words(query), profile(query, "query")
+    own = vector(asked, lambda w: 1.0)
+    out = []
+    for r in rows:
+        bag = bags[r[0]]
+        if cos(coded(vector(bag, lambda w: math.log((len(rows) + 1) / (seen[w] + 1)) + 1)), coded(own)) < 0.05:
+            continue
+        idf = lambda w: 1.0 if w in asked else math.log(1.5) + 1
+        other = profile(r[4] or "", r[1])
+        share = {w: mine["api"].count(w) / len(mine["api"]) for w in mine["api"]}
+        api = sum(v for w, v in share.items() if w in other["api"]) / max(norm(share), math.sqrt(len(set(other["api"])))) if share and other["api"] else 0.0
+        a, b = mine["volume"], other["volume"]
+        parts = {
+            "tfidf": cos({w: asked.count(w) / len(asked) for w in asked}, {w: bag.count(w) / len(bag) * idf(w) for w in bag}),
+            "ri": cos(own, vector(bag, idf)),
+            "minhash": sum(x == y for x, y in zip(sketch(asked), sketch(bag), strict=True)) / 64,
+            "api": min(1.0, api),
+            "type": jac(mine["types"], other["types"]),
+            "ast": cos(mine["kinds"], other["kinds"]),
+            "flow": jac(mine["ids"], other["ids"]),
+            "decorator": jac(mine["marks"], other["marks"]),
+            "halstead": 1 - abs(a - b) / max(a, b) if max(a, b) else 0.0,
+        }
+        score = sum(similarity.SIGNAL_WEIGHTS[k] * v for k, v in parts.items())
+        if score > 0.1:
+            out.append((r[0], score))
+    return sorted(out, key=lambda t: (-round(t[1], 9), t[0]))[:limit]
+
+
+def test_vector_search_scores_by_all_signals(spark):
+    rng = random.Random(5)
+    words = ["load", "User", "by", "id", "save", "Order", "render", "Page", "\n@cache", "fn", "(x: int)", "9", "é"]
+    rows = [(f"m{i % 7}.py::Function::q{i:02}", rng.choice(["load_user", "save_order", "render"]), rng.choice(["Function", "Class"]), f"m{i % 7}.py", rng.choice([None, " ".join(rng.choice(words) for _ in range(rng.randint(0, 9)))]) if i % 5 == 0 else " ".join(rng.choice(words) for _ in range(rng.randint(1, 9)))) for i in range(60)]
+    # Another column named as one in use inside changes nothing.
+    symbols = spark.createDataFrame([(*r, "mine") for r in rows], "qualified_name string, name string, label string, file_path string, signature string, text string")
+    vectors = graph.cut(similarity.symbol_vectors(symbols))
+    ask = lambda q, limit=20: similarity.vector_search(vectors, symbols, spark.createDataFrame([(q,)], "text string"), limit).collect()
+    for query, limit in (("def load(User, id)\n@cache", 20), ("save_order Order Order", 7), ("render Page q07 m3", None)):
+        got, want = ask(query, limit), _plain_search(rows, query, limit)
+        assert len(want) > 5 and [r["qualified_name"] for r in got] == [n for n, _ in want]
+        assert all(abs(r["score"] - w) < 1e-6 for r, (_, w) in zip(got, want, strict=True)) and got[0]["text"] == "mine"
+    assert ask("") == ask(None) == ask("é ?") == []
+    assert similarity.vector_search(vectors.limit(0), symbols, spark.createDataFrame([("load",)], "text string")).count() == 0
+
+
 def test_sparse_products_are_those_of_grids(monkeypatch):
     """Whatever is done pair by pair and whatever in strips."""
     import numpy as np
