@@ -145,7 +145,7 @@ def test_job_stream_is_the_batch_version(spark, tmp_path):
     log.append({"project": "p0", "job": None, "state": "Queued", "at": "2026-01-02T00:00:00"})
     schema = "project string, job string, state string, at timestamp"
     got = _stream(spark, str(tmp_path / "in"), [log[:20], log[20:55], log[55:]], schema, lambda s: job_changes(s, 4), str(tmp_path / "c"))
-    want = {(r["project"], r["job"]): (r["state"], r["at"]) for r in job_states(spark.read.schema(schema).json(str(tmp_path / "in"))), 4).collect()}
+    want = {(r["project"], r["job"]): (r["state"], r["at"]) for r in job_states(spark.read.schema(schema).json(str(tmp_path / "in")), 4).collect()}
     assert {k: (r["state"], r["at"]) for k, r in got.items() if r["kept"]} == want and any(not r["kept"] for r in got.values())
 
 
