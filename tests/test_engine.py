@@ -774,3 +774,32 @@ def test_communities_of_the_whole_graph(spark):
     got = {r["qualified_name"]: r["community"] for r in catalog.QUERIES["connected_components"](spark, d).collect()}
     assert got == {n: number[root(n)] for n in top}
     assert {r["qualified_name"] for r in catalog.QUERIES["louvain"](spark, d).collect()} == {r["qualified_name"] for r in catalog.QUERIES["extract_symbols"](spark, d).collect()}
+
+
+def test_components_by_number(spark, monkeypatch):
+    """Hubs, ends outside, components left apart by the first links; nothing is repeated for parts of a hub."""
+    rng = random.Random(11)
+    names = [f"n{i:03}" for i in range(300)]
+    pairs = [("n000", f"n{i:03}") for i in range(1, 90)] + [(f"n{i:03}", f"n{i + 1:03}") for i in range(100, 160)] + [tuple(rng.sample(names[170:280], 2)) for _ in range(90)]
+    pairs += [("n005", "gone"), ("gone", "n290"), ("n291", "n291"), ("n000", "n005"), ("n100", "away")]
+    top = {n: n for n in names}
+
+    def root(n):
+        while top[n] != n:
+            n = top[n]
+        return n
+
+    for a, b in pairs:
+        if a in top and b in top:
+            x, y = sorted((root(a), root(b)))
+            top[y] = x
+    nodes = spark.createDataFrame([(n,) for n in names + names[:5]], "qualified_name string")
+    edges = spark.createDataFrame([(rng.choice([(a, b), (b, a)])) for a, b in pairs], "src string, dst string")
+    for hub, few, finish in ((100_000, 1_000_000, 100), (4, 1_000_000, 0), (4, 0, 0)):
+        monkeypatch.setattr(graph, "HUB", hub)
+        monkeypatch.setattr(graph, "FEW", few)
+        got = graph.connected_components(nodes, edges, finish=finish).collect()
+        assert len(got) == 300 and {r["qualified_name"]: r["root"] for r in got} == {n: root(n) for n in names}
+    members = graph.number_components(spark.createDataFrame([(n, root(n)) for n in names], "qualified_name string, root string"))
+    first = graph.community_summary(members, 2, 3).orderBy("community").collect()
+    assert [(r["community"], r["size"], r["members"]) for r in first][0] == (0, 90, "n000,n001,n002")
