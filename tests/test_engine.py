@@ -2,7 +2,9 @@ import math
 import random
 import re
 import time
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -803,3 +805,21 @@ def test_components_by_number(spark, monkeypatch):
     members = graph.number_components(spark.createDataFrame([(n, root(n)) for n in names], "qualified_name string, root string"))
     first = graph.community_summary(members, 2, 3).orderBy("community").collect()
     assert [(r["community"], r["size"], r["members"]) for r in first][0] == (0, 90, "n000,n001,n002")
+
+
+def test_counts_and_sketches_stay_with_their_text(spark):
+    """Nothing is shuffled but the keys; texts of one key are added up, null keys too."""
+    rows = [(1, "ab cd ab cd ab"), (2, None), (3, "x é"), (4, "Zz"), (4, "zz yy"), (None, "aa bb"), (None, "aa"), (5, "w1 " * 25_000 + "tail")]
+    texts = spark.createDataFrame(rows, "id long, text string")
+    words = lambda t: [w.lower() for w in re.findall("[A-Za-z0-9_]{2,}", t or "")]
+    made = lambda ws: ["_".join(ws[i : i + 3]) for i in range(max(1, len(ws) - 2))] if ws else []
+    for got, items in ((similarity.token_rows(texts, "id", "text"), words), (similarity.shingle_counts(texts, "id", "text"), lambda t: made(words(t)))):
+        want = Counter((k, x) for k, t in rows for x in items(t))
+        assert {tuple(r)[:2]: r["n"] for r in got.collect()} == want and got.count() == len(want)
+    alone = texts.where("id < 4")
+    for df in (similarity.token_bags(alone, "id", "text"), similarity.shingle_counts(alone, "id", "text")):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    sketches = {r["id"]: list(r["sketch"]) for r in similarity.minhash(texts, "id", "text").collect()}
+    hashed = lambda t: similarity._sketch_hashes(made(words(t))).min(0)
+    assert set(sketches) == {1, 4, None, 5} and sketches[5] == list(hashed(rows[-1][1])) and sketches[4] == list(np.minimum(hashed("Zz"), hashed("zz yy")))
+    assert "Generate" not in similarity.minhash(texts, "id", "text")._jdf.queryExecution().executedPlan().toString()
