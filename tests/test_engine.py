@@ -823,3 +823,30 @@ def test_counts_and_sketches_stay_with_their_text(spark):
     hashed = lambda t: similarity._sketch_hashes(made(words(t))).min(0)
     assert set(sketches) == {1, 4, None, 5} and sketches[5] == list(hashed(rows[-1][1])) and sketches[4] == list(np.minimum(hashed("Zz"), hashed("zz yy")))
     assert "Generate" not in similarity.minhash(texts, "id", "text")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_small_frontiers_go_to_the_edges(small, monkeypatch):
+    """The edges are neither written nor dealt; large frontiers find the same."""
+    symbols, edges = small
+    start, found = "f.py::Function::main@L1", []
+
+    def written(df):
+        raise AssertionError("written")
+
+    monkeypatch.setattr(graph, "cut", written)
+    for near in (500_000, 0):
+        monkeypatch.setattr(graph, "NEAR", near)
+        met = graph.trace(symbols, edges, start, "both", 3)
+        found.append((sorted(map(tuple, met.collect())), sorted(map(tuple, graph.trace_edges(edges, met, "both", 3).collect()))))
+    assert found[0] == found[1] and len(found[0][0]) > 1 and found[0][1]
+
+
+def test_rows_are_dealt_by_groups_of_blocks(spark, monkeypatch):
+    rows = [(f"f{i}.py::Function::handle@L1", "handle", "Function", f"f{i}.py", f"def handle(request{i % 4})") for i in range(30)]
+    symbols = spark.createDataFrame(rows, "qualified_name string, name string, label string, file_path string, signature string")
+    ready = graph.cut(similarity.prepared(symbols, spark.createDataFrame([], "src string, dst string, edge_type string")))
+    found = []
+    for group in (1, 2, 100):
+        monkeypatch.setattr(similarity, "GROUP", group)
+        found.append(sorted((r["a"], r["b"], round(r["score"], 9)) for r in similarity.pair_scores(ready, block=5).collect()))
+    assert found[0] == found[1] == found[2] and len(found[0]) > 100
