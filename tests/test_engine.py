@@ -850,3 +850,13 @@ def test_rows_are_dealt_by_groups_of_blocks(spark, monkeypatch):
         monkeypatch.setattr(similarity, "GROUP", group)
         found.append(sorted((r["a"], r["b"], round(r["score"], 9)) for r in similarity.pair_scores(ready, block=5).collect()))
     assert found[0] == found[1] == found[2] and len(found[0]) > 100
+
+
+def test_postings_are_made_where_the_file_is_read(spark):
+    """Without collecting words by a shuffle; files of one path share their rows."""
+    rows = [("a/b.py", "Load the load"), ("c.py", None), ("d/d.py", "x"), ("d/d.py", "x")]
+    files = spark.createDataFrame(rows, "path string, content string")
+    got = {(r["word"], r["path"]): (list(r["places"]), r["tf"], r["length"]) for r in text.postings(files).where("word <> ''").collect()}
+    assert got[("load", "a/b.py")] == ([0, 2], 2, 6) and got[("b", "a/b.py")] == ([-3], 1, 6) and got[("py", "c.py")] == ([-2], 1, 2)
+    assert got[("x", "d/d.py")] == ([0, 0], 2, 4) and got[("d", "d/d.py")] == ([-4, -4, -3, -3], 4, 4)
+    assert "Exchange" not in text.postings(files.where("path < 'd'"))._jdf.queryExecution().executedPlan().toString()
