@@ -467,6 +467,45 @@ def test_vector_search_scores_by_all_signals(spark):
     assert similarity.vector_search(vectors.limit(0), symbols, spark.createDataFrame([("load",)], "text string")).count() == 0
 
 
+def test_vectors_are_made_and_met_a_batch_at_a_time(spark):
+    """The codes and cosines of a batch are those of the expressions, also of vectors that are short, zero, null or miss components."""
+    from codeweft.functions import text as X
+
+    rng = random.Random(3)
+    rows = [(i, sorted(rng.sample(range(similarity.DIMENSION), n)), [rng.choice([-1.5, -0.5 / 127, 0.5 / 127, 1.5 / 127, rng.uniform(-1, 1)]) for _ in range(n)]) for i, n in enumerate([0, 1, 7, 40] * 10)]
+    sparse = spark.createDataFrame(rows, "id int, slots array<int>, vs array<double>")
+    dense = F.transform(F.sequence(F.lit(0), F.lit(similarity.DIMENSION - 1)), lambda k: F.coalesce(F.try_element_at(F.map_from_arrays("slots", "vs"), k), F.lit(0.0)))
+    assert sparse.where(~similarity.dense_codes("slots", "vs").eqNullSafe(X.quantize(dense))).count() == 0
+    odd = spark.createDataFrame([(100, [3, None, 4]), (101, [0, 0]), (102, None), (103, [])], "id int, v array<byte>")
+    both = sparse.select("id", similarity.dense_codes("slots", "vs").alias("v")).unionByName(odd)
+    for one in (7, 100, 101):
+        asked = both.where(F.col("id") == one).select(F.col("v").alias("q"))
+        told = both.join(F.broadcast(asked)).select("id", similarity.code_cosine(F.col("v"), asked.first()["q"]).alias("got"), X.cosine(F.col("v"), F.col("q")).alias("want"))
+        assert told.where("not got <=> want").collect() == []
+    plan = similarity.symbol_vectors(spark.createDataFrame([("a", "a", "Class", None)], "qualified_name string, name string, label string, signature string"))
+    assert "try_element_at" not in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_index_vectors_add_up_runs_of_a_key(spark, monkeypatch):
+    """Whatever the number of rows that are added up at a time: keys of one and of many rows, a missing key, and one row for each key."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(300)]
+    bags = [(k, w, rng.randint(1, 4)) for k in [None, *range(40)] for w in rng.sample(words, 300 if k in (None, 7) else rng.randint(1, 20))]
+    known = [(w, rng.uniform(1, 3)) for w in words]
+    idf, slots, want = dict(known), dict(zip(words, similarity._slots(words), strict=True)), {}
+    for k, w, n in bags:
+        p, q, sign = map(int, slots[w])
+        for at, x in ((p, n * idf[w] * sign), (q, n * idf[w] * sign * 0.5)):
+            want[k, at] = want.get((k, at), 0.0) + x
+    norm = {k: math.sqrt(sum(x * x for (j, _), x in want.items() if j == k)) for k in [None, *range(40)]}
+    for size in (1, 64, 30_000):
+        monkeypatch.setattr(similarity, "_SUMMED", size)
+        lists = similarity.ri_lists(spark.createDataFrame(bags, "k int, token string, n int"), "k", spark.createDataFrame(known, "token string, idf double")).collect()
+        assert sorted((r["k"] for r in lists), key=str) == sorted([None, *range(40)], key=str)
+        got = {(r["k"], p): v for r in lists for p, v in zip(r["slots"], r["vs"], strict=True)}
+        assert got.keys() == want.keys() and all(abs(v - want[k] / norm[k[0]]) < 1e-9 for k, v in got.items())
+
+
 def test_sparse_products_are_those_of_grids(monkeypatch):
     """Whatever is done pair by pair and whatever in strips."""
     import numpy as np
