@@ -486,6 +486,25 @@ def test_vectors_are_made_and_met_a_batch_at_a_time(spark):
     assert "try_element_at" not in plan._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_louvain_takes_components_as_they_come(monkeypatch):
+    """Components of a task are worked on one after another, wherever batches end."""
+    import pandas as pd
+
+    rng, rows = random.Random(4), []
+    for c in range(60):
+        names = [f"c{c:02}n{k}" for k in range(rng.randint(1, 9))]
+        rows += [(names[0], n, None, 0.0) for n in names]
+        rows += [(names[0], a, b, rng.choice([0.5, 1.0])) for k, a in enumerate(names) for b in names[k + 1 :] if rng.random() < 0.4]
+    want = [graph._moves([r[1:] for r in rows if r[0] == root], 90.0, 1.0, 20) for root in dict.fromkeys(r[0] for r in rows)]
+    want = [pair for names, heads in want for pair in zip(names, heads, strict=True)]
+    assert len(set(want)) == len({r[1] for r in rows}) and any(a != b for a, b in want)
+    for size in (1, 7, 10_000):
+        parts = (pd.DataFrame(rows[k : k + size], columns=["root", "a", "b", "w"]) for k in range(0, len(rows), size))
+        got = pd.concat(graph.moved(parts, 90.0, 1.0, 20))
+        assert list(zip(got["qualified_name"], got["head"], strict=True)) == want
+    assert len(pd.concat(graph.moved(iter([]), 0.0, 1.0, 20))) == 0
+
+
 def test_index_vectors_add_up_runs_of_a_key(spark, monkeypatch):
     """Whatever the number of rows that are added up at a time: keys of one and of many rows, a missing key, and one row for each key."""
     rng = random.Random(8)
