@@ -486,6 +486,17 @@ def test_vectors_are_made_and_met_a_batch_at_a_time(spark):
     assert "try_element_at" not in plan._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_degrees_are_counted_before_names_meet(spark):
+    """With a least degree the join gets only the names that fit, none of the single ends."""
+    symbols = spark.createDataFrame([(n, "Class") for n in "abcd"], "qualified_name string, label string")
+    edges = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "c"), ("x", "a")], "src string, dst string").withColumn("edge_type", F.lit("CALLS"))
+    ask = lambda low, high: search.matching(symbols, edges, search.SearchFilter(label="Class", relationship="CALLS", min_degree=low, max_degree=high))
+    names = lambda df: sorted(r["qualified_name"] for r in df.collect())
+    assert names(ask(2, None)) == ["a", "b"] and names(ask(1, 2)) == ["c"] and names(ask(3, 3)) == ["a", "b"] and names(ask(None, 2)) == ["c"]
+    plan = ask(2, None)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("LeftSemi") < plan.index("Aggregate") and plan.count("LeftSemi") == 1
+
+
 def test_louvain_takes_components_as_they_come(monkeypatch):
     """Components of a task are worked on one after another, wherever batches end."""
     import pandas as pd
