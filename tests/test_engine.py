@@ -110,6 +110,21 @@ def test_a_chain_of_pairs_is_no_chain_of_rounds(spark):
     assert {r["a"] for r in kept.select("a").collect()} == {f"n{k:06}" for k in range(0, n, 2)} and time.time() - began < 60
 
 
+def test_equal_scores_are_no_chain_of_rounds(spark):
+    """All pairs of 160 names score the same, so each name waits for those before it; 13 stretches."""
+    n = 160
+    pairs = [(f"n{a:03}", f"n{b:03}") for a in range(n) for b in range(a + 1, n)]
+    used, want = {}, set()
+    for a, b in pairs:
+        if used.get(a, 0) < 3 and used.get(b, 0) < 3:
+            want.add((a, b))
+            used[a], used[b] = used.get(a, 0) + 1, used.get(b, 0) + 1
+    rows = spark.createDataFrame(pairs, "a string, b string").withColumn("score", F.lit(0.4)).repartition(3, "b")
+    began = time.time()
+    kept = graph.greedy_pairs(rows, related_cap=3, finish=1000)
+    assert {(r["a"], r["b"]) for r in kept.collect()} == want and time.time() - began < 60
+
+
 def test_order_of_discovery(spark):
     edges = [("s", "c", "CALLS"), ("s", "b", "CALLS"), ("a", "s", "CALLS"), ("b", "d", "CALLS"), ("c", "e", "CALLS"), ("d", "a", "CALLS"), ("x", "c", "CALLS"), ("b", "gone", "CALLS"), ("gone", "far", "CALLS"), ("s", "s", "CALLS"), ("b", "d", "IMPORTS")]
     symbols = spark.createDataFrame([(n,) for n in ["s", "a", "b", "c", "d", "e", "x", "far"]], "qualified_name string")
