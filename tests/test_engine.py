@@ -944,3 +944,12 @@ def test_postings_are_made_where_the_file_is_read(spark):
     assert got[("load", "a/b.py")] == ([0, 2], 2, 6) and got[("b", "a/b.py")] == ([-3], 1, 6) and got[("py", "c.py")] == ([-2], 1, 2)
     assert got[("x", "d/d.py")] == ([0, 0], 2, 4) and got[("d", "d/d.py")] == ([-4, -4, -3, -3], 4, 4)
     assert "Exchange" not in text.postings(files.where("path < 'd'"))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_postings_read_a_file_once(spark, tmp_path):
+    """Its own row, that of the empty word, comes with those of its words; one for each file of a path."""
+    spark.createDataFrame([("a.py", "x"), ("b.py", None), ("c.py", "y"), ("c.py", "y z")], "path string, content string").write.parquet(str(tmp_path / "files"))
+    files = spark.read.parquet(str(tmp_path / "files"))
+    own = text.postings(files).where("word = ''")
+    assert sorted((r["path"], r["places"], r["tf"], r["length"]) for r in own.collect()) == [("a.py", None, 0, 3), ("b.py", None, 0, 2), ("c.py", None, 0, 3), ("c.py", None, 0, 4)]
+    assert text.postings(files.where("path < 'c'"))._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1
