@@ -946,6 +946,14 @@ def test_postings_are_made_where_the_file_is_read(spark):
     assert "Exchange" not in text.postings(files.where("path < 'd'"))._jdf.queryExecution().executedPlan().toString()
 
 
+def test_both_ways_read_the_edges_once(spark):
+    edges = spark.createDataFrame([("a", "b", "CALLS"), ("b", "b", "CALLS"), (None, "c", "CALLS")], "src string, dst string, edge_type string")
+    met = graph._ways(edges, "both")
+    assert met._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1
+    assert sorted(map(tuple, met.collect()), key=str) == sorted([("a", "b", 0), ("b", "a", 1), ("b", "b", 0), ("b", "b", 1), (None, "c", 0), ("c", None, 1)], key=str)
+    assert sorted(map(tuple, graph._ways(edges, "in").collect()), key=str) == sorted([("b", "a", 1), ("b", "b", 1), ("c", None, 1)], key=str)
+
+
 def test_postings_read_a_file_once(spark, tmp_path):
     """Its own row, that of the empty word, comes with those of its words; one for each file of a path."""
     spark.createDataFrame([("a.py", "x"), ("b.py", None), ("c.py", "y"), ("c.py", "y z")], "path string, content string").write.parquet(str(tmp_path / "files"))
