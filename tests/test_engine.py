@@ -289,6 +289,35 @@ def test_functions_of_other_dialects(spark):
     assert [bool(re.search(sqlgate.glob_pattern(p), x)) for p, x in (("a*", "a\nb"), ("[^a]", "a"), ("[]x]", "]"), ("a.b", "axb"), ("?", ""))] == [True, False, True, False, False]
 
 
+def test_sql_windows_in_blocks(spark, monkeypatch):
+    """Windows over a large table see a bounded number of rows at a time, and find what Spark finds in one task."""
+    rows = [(f"n{k:04}", None if k % 11 == 0 else "ab"[k % 50 == 0], None if k % 7 == 0 else k * 37 % 100 / 4, k) for k in range(600)]
+    rows += [rows[-1]] * 150
+    symbols = spark.createDataFrame(rows, "name string, label string, x double, line int").repartition(5)
+    over = "OVER (PARTITION BY label ORDER BY name"
+    cases = {
+        f"SELECT name, CAST(sum(line) {over} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS BIGINT) AS moving, lag(name) {over}) AS before, dense_rank() OVER (ORDER BY label) AS place FROM symbols": True,
+        f"SELECT name, lead(line, 25, -1) {over}), count(*) {over} ROWS BETWEEN 12 PRECEDING AND 31 FOLLOWING) AS n FROM symbols AS s": True,
+        "SELECT label, dense_rank() OVER (PARTITION BY label ORDER BY x DESC NULLS FIRST, line % 3) + 1 AS k FROM symbols": True,
+        "SELECT DISTINCT x, dense_rank() OVER (PARTITION BY lower(label), line % 2 ORDER BY x DESC) AS k FROM symbols ORDER BY k, x LIMIT 700": True,
+        "SELECT max(x) OVER (ORDER BY line, name ROWS 3 PRECEDING) AS m, rank() OVER (PARTITION BY name, x ORDER BY line) AS k FROM symbols": True,
+        f"SELECT name, lag(name) {over}) AS before FROM symbols WHERE line % 2 = 0": False,
+        f"SELECT *, lag(name) {over}) AS before FROM symbols": False,
+        "SELECT max(line) AS m, dense_rank() OVER (ORDER BY max(line)) AS k FROM symbols": False,
+        "SELECT k FROM (SELECT dense_rank() OVER (ORDER BY x) AS k FROM symbols) t": False,
+        "SELECT name, sum(line) OVER (ORDER BY name) AS n FROM symbols": False,
+        "SELECT name, first_value(x) IGNORE NULLS OVER (ORDER BY name ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS n FROM symbols": False,
+    }
+    plain = {sql: sqlgate.query(spark, sql, {"symbols": symbols}) for sql in cases}
+    monkeypatch.setattr("codeweft.operators.windows.ROWS_OF_A_TASK", 100)
+    monkeypatch.setattr("codeweft.operators.windows.ROWS_OF_A_BLOCK", 40)
+    for sql, spread in cases.items():
+        found = sqlgate.query(spark, sql, {"symbols": symbols})
+        assert found.dtypes == plain[sql].dtypes and Counter(found.collect()) == Counter(plain[sql].collect()), sql
+        plan = found._jdf.queryExecution().toString()
+        assert ("over_0_of_symbols" in plan) == spread and not (spread and "Exchange SinglePartition" in plan), sql
+
+
 def test_sql_guard(spark):
     spark.range(2).createOrReplaceTempView("secret")
     assert sqlgate.check(" SELECT 'UPDATE; x' AS x; ") == "SELECT 'UPDATE; x' AS x"
