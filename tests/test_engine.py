@@ -318,6 +318,31 @@ def test_sql_windows_in_blocks(spark, monkeypatch):
         assert ("over_0_of_symbols" in plan) == spread and not (spread and "Exchange SinglePartition" in plan), sql
 
 
+def test_sql_joins_in_bounded_tasks(spark, monkeypatch):
+    """A statement's join gets tasks by the number of edges, not by the session's number of partitions alone; the rows stay the same."""
+    from codeweft.plans import adapters, catalog
+
+    d, n = "/root/testdata/sf0.001", "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(n)
+    spark.conf.set(n, "-1")
+    try:
+        for name in ("sql_join", "sql_left_join", "sql_subquery"):
+            plain = catalog.QUERIES[name](spark, d)
+            rows = Counter(plain.collect())
+            assert not re.search(r"RepartitionByExpression \[(src|dst)#", plain._jdf.queryExecution().analyzed().toString()), name  # few edges: as before
+            with monkeypatch.context() as m:
+                m.setattr(adapters, "PAIRS_OF_A_TASK", 1000)
+                found = catalog.QUERIES[name](spark, d)
+                assert Counter(found.collect()) == rows and rows, name
+                # nation, customer, supplier, orders, and lineitem twice
+                parts = -(-sum(adapters.table(spark, d, t).count() for t in ("nation", "customer", "supplier", "orders", "lineitem", "lineitem")) // 1000)
+                joined = re.findall(r"hashpartitioning\((?:dst|src|qualified_name)#\d+, (\d+)\)", found._jdf.queryExecution().executedPlan().toString())
+                assert re.search(r"RepartitionByExpression \[(src|dst)#", found._jdf.queryExecution().analyzed().toString()), name
+                assert parts > 4 and len(joined) >= 2 and set(joined) == {str(parts)}, name
+    finally:
+        spark.conf.set(n, before)
+
+
 def test_sql_guard(spark):
     spark.range(2).createOrReplaceTempView("secret")
     assert sqlgate.check(" SELECT 'UPDATE; x' AS x; ") == "SELECT 'UPDATE; x' AS x"
