@@ -1015,3 +1015,10 @@ def test_postings_read_a_file_once(spark, tmp_path):
     own = text.postings(files).where("word = ''")
     assert sorted((r["path"], r["places"], r["tf"], r["length"]) for r in own.collect()) == [("a.py", None, 0, 3), ("b.py", None, 0, 2), ("c.py", None, 0, 3), ("c.py", None, 0, 4)]
     assert text.postings(files.where("path < 'c'"))._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1
+
+
+def test_pairs_of_the_catalogue_are_of_functions_and_classes(spark):
+    from codeweft.plans import catalog
+
+    found = catalog.QUERIES["pair_scores"](spark, "/root/testdata/sf0.001").select(*[F.split(c, "::")[1].alias(c) for c in "ab"]).distinct()
+    assert {tuple(sorted((r["a"], r["b"]))) for r in found.collect()} == {("Class", "Class"), ("Class", "Function"), ("Function", "Function")}
