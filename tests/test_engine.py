@@ -1022,3 +1022,23 @@ def test_pairs_of_the_catalogue_are_of_functions_and_classes(spark):
 
     found = catalog.QUERIES["pair_scores"](spark, "/root/testdata/sf0.001").select(*[F.split(c, "::")[1].alias(c) for c in "ab"]).distinct()
     assert {tuple(sorted((r["a"], r["b"]))) for r in found.collect()} == {("Class", "Class"), ("Class", "Function"), ("Function", "Function")}
+
+
+def test_rows_are_not_dealt_once_for_each_block_they_meet(spark, monkeypatch):
+    """What is shuffled for the scoring is each row once and its packed block, whatever the number of blocks."""
+    rows = [(f"f{i:03}.py::Function::handle@L1", "handle", "Function", f"f{i:03}.py", f"def handle(request{i % 4})") for i in range(240)]
+    symbols = spark.createDataFrame(rows, "qualified_name string, name string, label string, file_path string, signature string")
+    ready = graph.cut(similarity.prepared(symbols, spark.createDataFrame([], "src string, dst string, edge_type string")))
+    monkeypatch.setattr(similarity, "GROUP", 1)
+    sc, gateway = spark.sparkContext, spark.sparkContext._gateway
+
+    def told():
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+        return {s.stageId(): s.shuffleWriteRecords() for s in (stages.apply(k) for k in range(stages.size()))}
+
+    before = told()
+    found = similarity.pair_scores(ready, block=10).collect()
+    time.sleep(1)
+    assert 240 <= sum(n for k, n in told().items() if k not in before) < 3 * 240
+    whole = similarity.pair_scores(ready, block=1000).collect()
+    assert len(whole) > 5000 and sorted((r["a"], r["b"], round(r["score"], 9)) for r in found) == sorted((r["a"], r["b"], round(r["score"], 9)) for r in whole)
