@@ -1042,3 +1042,40 @@ def test_rows_are_not_dealt_once_for_each_block_they_meet(spark, monkeypatch):
     assert 240 <= sum(n for k, n in told().items() if k not in before) < 3 * 240
     whole = similarity.pair_scores(ready, block=1000).collect()
     assert len(whole) > 5000 and sorted((r["a"], r["b"], round(r["score"], 9)) for r in found) == sorted((r["a"], r["b"], round(r["score"], 9)) for r in whole)
+
+
+def test_capped_pairs_are_chosen_without_writing_all(spark, monkeypatch):
+    """A few pairs of each task at a time: the same edges as from all pairs at once, and never as many pairs written."""
+    rows = [(f"d{i % 7}/f{i:02}.py::Function::handle@L1", "handle", "Function", f"d{i % 7}/f{i:02}.py", f"def handle(request, {'x' * (i % 3)})") for i in range(60)]
+    symbols = spark.createDataFrame(rows, "qualified_name string, name string, label string, file_path string, signature string")
+    ready = graph.cut(similarity.prepared(symbols, spark.createDataFrame([], "src string, dst string, edge_type string")))
+    table = lambda df: sorted((r["a"], r["b"], round(r["score"], 9), r["edge_type"]) for r in df.collect())
+    scored = similarity.pair_scores(ready).select("a", "b", F.round("score", 2).alias("score")).collect()
+    similar = sorted(r["score"] for r in scored)[len(scored) * 2 // 3]
+    want = table(graph.greedy_pairs(spark.createDataFrame(scored), similar, 2, 3))
+    assert len(scored) > 500 and {w[3] for w in want} == {"SIMILAR_TO", "SEMANTICALLY_RELATED"}
+    written, kept, rounds = [], graph.kept, []
+
+    def counted(df):
+        out = kept(df)
+        written.append(out[0].count() if "score" in df.columns else 0)
+        rounds.append("cut" in df.columns)
+        return out
+
+    monkeypatch.setattr(graph, "kept", counted)
+    caps = {"similar": similar, "similar_cap": 2, "related_cap": 3, "digits": 2}
+    assert table(similarity.greedy_scores(ready, **caps)) == want and rounds.count(True) == 1
+    for most, block in ((150, 1000), (400, 20)):
+        written.clear(), rounds.clear()
+        assert table(similarity.greedy_scores(ready, **caps, block=block, pairs=most, each=1)) == want
+        assert rounds.count(True) > 1 and max(written) <= 2 * most < len(scored)
+    assert similarity.greedy_scores(ready.limit(0)).count() == 0
+
+
+def test_scores_are_rounded_as_by_spark(spark):
+    rng = random.Random(1)
+    values = [rng.random() for _ in range(2000)] + [k / 2e6 for k in range(700_001, 701_001)] + [0.0, 1.0, 0.5499995, 0.3500005]
+    want = [r["r"] for r in spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v double").orderBy("k").select(F.round("v", 6).alias("r")).collect()]
+    import numpy as np
+
+    assert similarity._rounded(np.array(values), 6).tolist() == want
